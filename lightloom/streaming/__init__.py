@@ -1,0 +1 @@
+"""Lightloom streaming."""
