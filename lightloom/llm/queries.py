@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination_report
+from .language import language_report
 from .lines import line_report
 from .mixing import plan_mixture
 from .tokens import token_report
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,4 +33,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_line_dedup, op7_decontaminate, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op7_decontaminate, op9_token_files)}
