@@ -45,6 +45,19 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY rid
 """
 
+_OP6 = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS c FROM embeddings UNION SELECT p.u, r.c FROM reach r JOIN pairs p ON r.u = p.v)
+SELECT e.vec_id, (SELECT count(*) FROM pairs p WHERE p.u = e.vec_id) AS n_links, (SELECT min(c) FROM reach r WHERE r.u = e.vec_id) AS component_id,
+       e.vec_id = (SELECT min(c) FROM reach r WHERE r.u = e.vec_id) AS kept
+FROM embeddings e
+"""
+
 _OP7 = r"""
 WITH dw AS (
   SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
@@ -66,4 +79,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op7_decontaminate": _OP7}
+ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination_report
+from .embeddings import embedding_report
 from .language import language_report
 from .licenses import license_report
 from .lines import line_report
@@ -31,6 +32,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_report(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_report(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,4 +48,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op7_decontaminate, op8_license_scan, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files)}
