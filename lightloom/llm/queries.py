@@ -13,6 +13,7 @@ from .licenses import license_report
 from .lines import line_report
 from .minhash import minhash_report
 from .mixing import plan_mixture
+from .substrings import substring_report
 from .tokens import token_report
 
 
@@ -32,6 +33,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_report(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_report(table(spark, sf_dir, "embeddings"))
 
@@ -48,4 +53,4 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files)}
