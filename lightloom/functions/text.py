@@ -46,7 +46,8 @@ def sector_number(meta: Column, name: Column) -> Column:
 
 
 def sector_tag(meta: Column, name: Column) -> Column:
-    return F.coalesce(F.format_string("s%04d", sector_number(meta, name)), F.lit("nosector"))
+    sector = sector_number(meta, name)
+    return F.when(sector.isNotNull(), F.format_string("s%04d", sector)).otherwise("nosector")
 
 
 STEM = r"^(s\d{4})_(.+)_(target\d+)_(.+)$"
@@ -103,7 +104,7 @@ def base_run_token(x: Column) -> Column:
 
 def preferred_label(main_id: Column, ids: Column, fallback: Column) -> Column:
     """Clean main id, else the first NAME, HD and GAIA DR3 identifier of a ``|`` list, else the fallback."""
-    listed = F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), r"\|"), F.trim), lambda i: i != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), r"\|"), lambda i: F.trim(i)), lambda i: i != "")
     first = lambda p: F.get(F.filter(listed, lambda i: F.upper(i).startswith(p)), 0)
     main = without_object_prefix(main_id)
     clean = (F.trim(main_id) != "") & ~F.lower(main).isin("name", "unknown") & ~is_catalogue_name(main_id)
