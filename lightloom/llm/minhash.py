@@ -6,9 +6,8 @@
    pairs. A larger one gives a star: each class with the centre, the class whose buckets are the fullest in all (in a
    family of near copies that is the text which the others were made from), so rows stay in proportion to classes.
 3. Pairs whose signatures agree too little go; the others are confirmed on the full sets of the two texts.
-4. Large buckets are completed exactly: for their classes that are not in their centre's component yet, a prefix filter
-   (a set's rarest shingles) over all classes of large buckets finds every pair that can reach the similarity, however
-   the star went; those pairs are confirmed like the others.
+4. Large buckets are completed exactly: their classes that are not in their centre's component yet are held against all
+   classes around that centre on full sets, in blocks, without a row for each pair.
 5. Components by alternating large-star and small-star.
 
 Banding misses a pair at the threshold of 0.85 with a probability of 2e-8 (0.8: 3e-6).
@@ -27,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stored
 from .graph import connected_components
@@ -36,6 +34,8 @@ MINIMA, ROWS = 96, 4
 BANDS = MINIMA // ROWS
 SMALL = 32
 MARGIN = 0.2
+BLOCK_SHINGLES = 60_000
+BROADCAST_IDS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -59,7 +59,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-        if len(self.codes) > 1_000_000:
+        if len(self.codes) > 300_000:
             self.codes.clear()
         codes = np.array(list(map(self.codes.__getitem__, words)), np.uint64)
         n = len(codes) - self.width + 1
@@ -137,6 +137,13 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of these ids. Up to ``BROADCAST_IDS`` ids, counted here, go to every task; more are joined."""
+    ids = stored(ids.distinct(), "text-ids")
+    few = ids.count() <= BROADCAST_IDS
+    return stored(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
 
@@ -152,8 +159,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias("t" + n))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "a long, b long")
 
@@ -167,36 +173,53 @@ def _candidates(members: DataFrame) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def _completion(members: DataFrame, roots: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of classes of large buckets, in different components, that share a shingle of both prefixes.
+def _linked_across(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between (rep, root, set) of both sides with different roots, one for each rep and other root."""
+    codes = np.concatenate([r[2] for r in right])
+    owners = np.repeat(np.arange(len(right)), [len(r[2]) for r in right])
+    order = np.argsort(codes, kind="stable")
+    codes, owners = codes[order], owners[order]
+    sizes, roots = np.array([len(r[2]) for r in right]), np.array([r[1] for r in right])
+    out = []
+    for rep, root, own in left:
+        first, last = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+        count = last - first
+        ends = np.cumsum(count)
+        at = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+        both = np.bincount(owners[at], minlength=len(right))
+        linked = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (both > 0) & (roots != root))
+        out += [(rep, right[k][0]) for k in linked[np.unique(roots[linked], return_index=True)[1]]]
+    return out
+
 
-    Two sets of that similarity share one of the ``size - ceil(size * percent / 100) + 1`` rarest shingles of each.
-    """
-    large = members.filter(F.col("n") > SMALL)
+def _completion(members: DataFrame, sizes: DataFrame, roots: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that the stars of large buckets missed: all classes of a family (the large buckets with one centre) that are
+    not in the centre's component are held against the whole family on full sets, block by block. No row is made for a
+    pair, blocks have about ``BLOCK_SHINGLES`` shingles, and a large family is many blocks."""
+    large = members.filter(F.col("n") > SMALL).select("centre", "rep").distinct()
     root = roots.select(F.col("node").alias("rep"), "root")
     centre = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    placed = large.join(root, "rep", "left").join(centre, "centre", "left")
-    apart = F.coalesce("root", "rep") != F.coalesce("centre_root", "centre")
-    every = stored(placed.groupBy("rep").agg(F.max(apart).alias("open"), F.max(F.coalesce("root", "rep")).alias("root")), "large")
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    placed = large.join(root, "rep", "left").join(centre, "centre", "left").join(sizes, "rep")
+    placed = placed.select("centre", "rep", "size", F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") != F.coalesce("centre_root", "centre")).alias("open"))
+    placed = stored(placed, "families")
+    blocks = F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    family = placed.groupBy("centre").agg(blocks, F.max("open").alias("any_open")).filter("any_open").select("centre", "blocks")
+    dealt = placed.join(family, "centre").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = dealt.filter("open").select("centre", F.col("block").alias("i"), every.alias("j"), "rep", "root", F.lit(True).alias("left"))
+    cells = cells.unionByName(dealt.select("centre", every.alias("i"), F.col("block").alias("j"), "rep", "root", F.lit(False).alias("left")))
+    texts = _texts(docs, dealt.select(F.col("rep").alias("doc_id")))
+    filled = cells.join(texts, F.col("rep") == F.col("doc_id")).select("centre", "i", "j", "rep", "root", "left", "text")
+
+    def compare(cell: pa.Table) -> pa.Table:
         shingle = Shingler(width)
-        for batch in batches:
-            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes = shingle(text.as_py()).view(np.int64)
-                columns = [pa.array(np.full(len(codes), rep)), pa.array(np.full(len(codes), len(codes))), pa.array(codes)]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "code"])
-
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(every.select("rep"), "rep", "left_semi")
-    codes = texts.mapInArrow(explode, "rep long, size long, code long").distinct()
-    common = codes.groupBy("code").agg(F.count("*").alias("docs"))
-    rarest = Window.partitionBy("rep").orderBy("docs", "code")
-    ranked = codes.join(common, "code").withColumn("rank", F.row_number().over(rarest))
-    prefix = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).filter("docs > 1")
-    prefix = stored(prefix.join(every, "rep").select("rep", "size", "code", "open", "root"), "prefixes")
-    left = prefix.filter("open").select("code", F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("root").alias("rx"))
-    near = (F.col("nx") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("nx") * percent)
-    return left.join(prefix, "code").filter(near & (F.col("rx") != F.col("root"))).select(*_pair("x", "rep")).distinct()
+        sides: tuple[list, list] = ([], [])
+        for rep, root, left, text in zip(*(cell.column(c).to_pylist() for c in ("rep", "root", "left", "text")), strict=True):
+            sides[not left].append((rep, root, shingle(text)))
+        links = _linked_across(*sides, percent) if all(sides) else []
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return filled.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,8 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stored(_confirmed(stored(pairs, "pairs"), docs, width, percent), "links")
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not members.filter(F.col("n") > SMALL).isEmpty():
-        more = stored(_completion(members, roots, docs, width, percent), "pairs")
-        extra = stored(_confirmed(more, docs, width, percent), "links")
+        sizes = usable.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")).groupBy("rep").agg(F.max("size").alias("size"))
+        extra = stored(_completion(members, sizes, roots, docs, width, percent), "links")
         if not extra.isEmpty():
             known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = connected_components(known.unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v"))))
