@@ -1,13 +1,14 @@
-"""What the training-data operators share: scratch tables, word patterns and row keys."""
+"""What the training-data operators share: word patterns, and the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, scratch_root, stored
+
+__all__ = ["ascii_lower", "count_plain_words", "discard", "scratch_root", "stored", "table"]
+
 #: ASCII white space, the only separators of a "plain" word.
 SPACE_CLASS = r"\x20\x09-\x0D"
 PLAIN_WORD = rf"[^{SPACE_CLASS}]+"
@@ -19,40 +20,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets a temporary folder, kept in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        root = tempfile.mkdtemp(prefix="lightloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lightloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a ``stored`` table that nothing reads any more."""
-    path = getattr(df, "stored_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
