@@ -166,12 +166,15 @@ def multiharmonic_power(series: DataFrame, grid: DataFrame, harmonics: int = 5)
 
 
 def harmonic_snr(spectrum: DataFrame, at: DataFrame, share: float = 0.02, guard: int = 5) -> DataFrame:
-    """(series_id, snr): (peak - median) / MAD within +-share of the span outside ``guard`` bins; null with fewer than 10."""
-    span = spectrum.withColumn("span_", F.max("f").over(by()) - F.min("f").over(by())).join(at.select("series_id", F.col("j").alias("j0"), F.col("f").alias("f0"), F.col("power").alias("peak_")), "series_id")
-    near = span.filter((F.abs(F.col("f") - F.col("f0")) <= share * F.col("span_")) & (F.abs(F.col("j") - F.col("j0")) > guard))
-    near = near.withColumn("m_", F.median("power").over(by()))
+    """(series_id, snr): (peak - median) / MAD within +-share of the span outside ``guard`` bins; null where fewer than 20
+    bins are near or fewer than 10 are left."""
+    peak = at.select("series_id", F.col("j").alias("j0"), F.col("f").alias("f0"), F.col("power").alias("peak_"))
+    span = spectrum.withColumn("span_", F.max("f").over(by()) - F.min("f").over(by())).join(peak, "series_id")
+    near = span.filter(F.abs(F.col("f") - F.col("f0")) <= share * F.col("span_")).withColumn("near_", F.count("*").over(by()))
+    kept = near.filter(F.abs(F.col("j") - F.col("j0")) > guard).withColumn("m_", F.median("power").over(by()))
     mad = F.nullif(F.median(F.abs(F.col("power") - F.col("m_"))), F.lit(0.0))
-    return near.groupBy("series_id").agg(F.when(F.count("*") >= 10, (F.max("peak_") - F.max("m_")) / mad).alias("snr"))
+    enough = (F.max("near_") >= 20) & (F.count("*") >= 10)
+    return kept.groupBy("series_id").agg(F.when(enough, (F.max("peak_") - F.max("m_")) / mad).alias("snr"))
 
 
 def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, harmonics: int = 5, stop: float = 3.0) -> DataFrame:

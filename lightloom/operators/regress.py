@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import stored
 from .series import ROBUST, by
 
 
@@ -106,9 +107,8 @@ def robust_fit(rows: DataFrame, features: list[str], y: str, rounds: int = 8, ke
     w = by(*keys)
     fits = least_squares(rows, features, y, keys=keys).select(*keys, "beta", F.lit(False).alias("done"))
     for _ in range(rounds):
-        # one row a series comes to the driver and goes back as a literal table, which cuts the lineage of the rounds
-        fits = rows.sparkSession.createDataFrame(fits.collect(), fits.schema)
-        res = rows.join(F.broadcast(fits), list(keys)).withColumn("res_", F.col(y) - predicted(features))
+        fits = stored(fits, "fits")
+        res = rows.join(fits, list(keys)).withColumn("res_", F.col(y) - predicted(features))
         res = res.withColumn("dev_", F.abs(F.col("res_") - F.median("res_").over(w)))
         res = res.withColumn("mad_", ROBUST * F.median("dev_").over(w))
         sigma = F.when(F.col("mad_") > 0, F.col("mad_")) if stop else F.when(F.col("mad_") > 0, F.col("mad_")).otherwise(F.stddev_pop("res_").over(w))
