@@ -29,7 +29,7 @@ MAX_GRAMS = 50_000
 GRAM_SIZES = (5, 4, 3, 2, 1)
 SHARPNESS = 20
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 UNSEEN = -12.0
 
 
@@ -57,42 +57,63 @@ class LanguageModel:
         return np.vstack([logs, np.full(wide, UNSEEN)])
 
 
-class _Rater(dict):
-    """Words to rows of a matrix of scores; a word is rated when it first turns up."""
+class _Rater:
+    """Texts to languages; words beyond the model's are rated once and remembered as rows of a matrix."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
         self.model = model
-        self.count = len(model.word_logs)
-        self.logs = np.resize(model.word_logs, (2 * self.count, model.word_logs.shape[1]))
-
-    def __missing__(self, word: str) -> int:
-        """Backoff: the mean over the word's positions of the longest known n-gram that starts there."""
-        marked, grams = f"<{word[:64]}>", self.model.grams
-        found = []
-        for at in range(len(marked)):
-            for n in GRAM_SIZES:
-                k = grams.get(marked[at : at + n])
-                if k is not None:
-                    break
-            found.append(-1 if k is None else k)
-        if self.count == len(self.logs):
-            self.logs = np.resize(self.logs, (2 * self.count, self.logs.shape[1]))
-        self.logs[self.count] = self.model.gram_logs[found].mean(0)
-        self[word] = at = self.count
-        self.count += 1
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        languages = self.model.languages
-        if not languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        at = list(map(self.__getitem__, words))
-        scores = self.logs[at].mean(0) * min(len(words), SHARPNESS)
-        odds = np.exp(scores - scores.max())
-        best = int(np.argmax(odds))
-        return languages[best], float(odds[best] / odds.sum())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows = dict(self.model.words)
+        self.count = len(self.model.word_logs)
+        self.logs = np.resize(self.model.word_logs, (self.count + REMEMBERED, self.model.word_logs.shape[1]))
+
+    def _add(self, fresh: list[str]) -> None:
+        """Backoff: the mean over a word's positions of the longest known n-gram that starts there."""
+        get, found, sizes = self.model.grams.get, [], []
+        for word in fresh:
+            marked = f"<{word[:64]}>"
+            sizes.append(len(marked))
+            for at in range(len(marked)):
+                for n in GRAM_SIZES:
+                    k = get(marked[at : at + n])
+                    if k is not None:
+                        break
+                found.append(-1 if k is None else k)
+        sizes = np.array(sizes)
+        means = np.add.reduceat(self.model.gram_logs[found], np.cumsum(sizes) - sizes) / sizes[:, None]
+        while self.count + len(fresh) > len(self.logs):
+            self.logs = np.resize(self.logs, (2 * len(self.logs), self.logs.shape[1]))
+        self.logs[self.count : self.count + len(fresh)] = means
+        self.count += len(fresh)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if self.count > len(self.model.word_logs) + REMEMBERED:
+            self._forget()
+        rows, fresh, at, out = self.rows, [], [], []
+        for text in texts:
+            words = _WORD.findall(text.lower()) if text else []
+            own = list(map(rows.get, words))
+            if None in own:
+                for k, row in enumerate(own):
+                    if row is None:
+                        own[k] = rows.setdefault(words[k], self.count + len(fresh))
+                        if own[k] == self.count + len(fresh):
+                            fresh.append(words[k])
+            letters = any(c.isalpha() for w in words for c in w)
+            at.append(own if letters and self.model.languages else [])
+        if fresh:
+            self._add(fresh)
+        for own in at:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            scores = self.logs[own].mean(0) * min(len(own), SHARPNESS)
+            odds = np.exp(scores - scores.max())
+            best = int(np.argmax(odds))
+            out.append((self.model.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
@@ -133,9 +154,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rater = _Rater(shared.value)
         for batch in batches:
-            if len(rater) > REMEMBERED:
-                rater = _Rater(shared.value)
-            rated = [rater.predict(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text").to_pylist()
+            rated = [r for a in range(0, len(texts), 200) for r in rater.predict(texts[a : a + 200])]
             made = [pa.array([r[0] for r in rated], pa.string()), pa.array([r[1] for r in rated], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("d"), *made], ["d", "lang_pred", "score"])
 
