@@ -5,7 +5,8 @@ words of a benchmark item (an item of fewer words is one window). Windows become
 a sorted array; each hit is then verified word by word. The benchmark's windows are sent to executors in pieces of at
 most ``max_windows`` windows; a larger benchmark takes more passes over the documents, whose findings are merged.
 
-Defined results: null texts have no words; null items are none; repeated items count once by item_id; rows that repeat
+Defined results: null texts have no words; items without a text have no windows, items
+without an item_id hit but are not listed; repeated items count once by item_id; rows that repeat
 are documents of their own; an empty benchmark hits nothing; other columns are ignored.
 """
 
@@ -76,7 +77,8 @@ class _Index:
                 place = np.minimum(np.searchsorted(known, sums[at]), len(known) - 1)
                 at = at[known[place] == sums[at]]
             for i in at.tolist():
-                if found := self.items.get(tuple(words[i : i + n])):
+                found = self.items.get(tuple(words[i : i + n]))
+                if found is not None:
                     spans.append((i, i + n))
                     items |= found
         return spans, items
