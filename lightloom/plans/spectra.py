@@ -12,6 +12,7 @@ from ..operators import series as S
 from ..operators import spectrum as P
 from ..operators import spline as K
 from ..tables import stored
+from .basics import SEG
 from .registry import EVENTS_SQL, LINES_SQL, events, lines, query, rounded
 
 #: Frequencies of the standard spectra: 0.05 to 2 cycles a day, 120 points at most.
@@ -120,7 +121,7 @@ def exclusion_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return P.excluded(spec, P.strongest(spec), 0.1).select("series_id", "j")
 
 
-@query(f"{E}, sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1) SELECT series_id, round(sqrt(t_full), 6) AS weight FROM sp")
+@query(f"{E}, {SEG.format(gap=1, src='e')}, g AS (SELECT series_id, segment, min(t) AS a, max(t) AS b, count(*) AS n FROM seg GROUP BY ALL), c AS (SELECT series_id, coalesce(max(b - a) FILTER (n >= 2), max(b) - min(a)) AS t_chunk FROM g GROUP BY 1) SELECT series_id, round(CASE WHEN t_chunk > 0 THEN sqrt(t_chunk) ELSE 1 END, 6) AS weight FROM c")
 def dataset_weight(spark: SparkSession, sf: str) -> DataFrame:
     chunk = S.longest_chunk(events(spark, sf), 1.0)
     return rounded(chunk.select("series_id", F.when(F.col("t_chunk") > 0, F.sqrt("t_chunk")).otherwise(1.0).alias("weight")), 6)
