@@ -26,7 +26,7 @@ def documents(seed: int = 1, n: int = 60) -> list[tuple]:
         if i % 10 == 3:
             copy = list(base)
             copy[rng.randrange(200)] = f"edit{i}"
-            text = " ".join(copy)
+            text, lang = " ".join(copy), "en"
         if i % 5 == 0:
             text += "\n  Shared LINE of text \nReleased under the MIT License.\n"
         out.append((i, text, lang, f"src{i % 4}", len(text), "x", 7, "k"))
