@@ -74,9 +74,9 @@ def _coded(classes: DataFrame, wide: int, mean: np.ndarray, projection: np.ndarr
     return classes.select("rep", "embedding").mapInArrow(code, "rep long, code long")
 
 
-def candidate_pairs(codes: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, that some table brings together."""
-    tables = range(BITS // CHUNK)
+def candidate_pairs(codes: DataFrame, bits: int = BITS, most_bits: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b), a < b, that some table brings together; the tables cover the ``bits`` that codes have."""
+    tables = range(-(-bits // CHUNK))
     chunk = lambda t: F.shiftrightunsigned("code", t * CHUNK).bitwiseAND((1 << CHUNK) - 1)
     flips = [0, *(1 << k for k in range(CHUNK))]
     slot = lambda t, f: (chunk(t).bitwiseXOR(F.lit(f)) + F.lit(t << CHUNK)).cast("int")
@@ -112,7 +112,7 @@ def embedding_links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Da
     sample = _matrix(pa.array(picked, pa.list_(pa.float32())), wide) if picked else np.zeros((1, wide))
     mean, projection = learn_rotation(sample, min(BITS, wide))
     codes = stored(_coded(classes, wide, mean, projection), "codes")
-    links = stored(_reranked(stored(candidate_pairs(codes), "vector-pairs"), classes, wide, threshold), "vector-links")
+    links = stored(_reranked(stored(candidate_pairs(codes, min(BITS, wide)), "vector-pairs"), classes, wide, threshold), "vector-links")
     return keyed.select("vec_id", "usable", "h", "g"), classes.drop("embedding"), links
 
 
