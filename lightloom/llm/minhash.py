@@ -59,7 +59,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-        if len(self.codes) > 300_000:
+        if len(self.codes) > 200_000:
             self.codes.clear()
         codes = np.array(list(map(self.codes.__getitem__, words)), np.uint64)
         n = len(codes) - self.width + 1
@@ -263,7 +263,13 @@ def minhash_report(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row for each group of near copies: the smallest doc_id's. Rows without words all stay."""
+    """``docs`` with one row for each group of near copies: the smallest doc_id's. Texts without words all stay."""
     gone = near_duplicates(docs, width, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
     whole = docs.select(F.struct("*").alias("d"))
-    return whole.join(gone, F.col("d.doc_id") == F.col("gone"), "left_anti").select("d.*")
+    kept = whole.join(gone, F.col("d.doc_id") == F.col("gone"), "left_anti")
+    twice = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("twice"))
+    if not twice.isEmpty():  # rows that share an id are one document
+        repeated = F.col("d.doc_id") == F.col("twice")
+        one = kept.join(twice, repeated, "left_semi").withColumn("id_", F.col("d.doc_id")).dropDuplicates(["id_"]).select("d")
+        kept = kept.join(twice, repeated, "left_anti").unionByName(one)
+    return kept.select("d.*")

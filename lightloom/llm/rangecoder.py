@@ -20,22 +20,22 @@ import numpy as np
 
 MAGIC = b"LLTK"
 HEADER = struct.Struct("<4s6I")
-MAX_LANES = 4096
-STEPS = 256
+MAX_LANES = 8192
+STEPS = 128
 _U = np.uint64
 _32, _MASK32, _FULL = _U(32), _U(0xFFFFFFFF), _U(2**64 - 1)
 _FLAG_BITS = _U(12)
 _TABLE = 1 << 18
-_REBUILD = 4
-_MOST = 1 << 20
+_REBUILD = 16
+_MOST = 1 << 19
 
 
 class _Model:
     """What both sides know: predictions of order 2 and 1 with certainties, and counts."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.id2, self.sure2 = np.zeros(_TABLE, np.int64), np.zeros(_TABLE, np.int64)
-        self.id1, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
+    def __init__(self, vocabulary: int, lanes: int, reads: bool = False):
+        self.reads = reads
+        self.order2, self.order1 = np.zeros(_TABLE, np.int32), np.zeros(vocabulary, np.int32)  # id * 4 + certainty
         self.flags = np.tile(np.array([3, 2, 3], np.int64), (32, 1))
         self.count = np.ones(vocabulary, np.int64)
         self.recent: list[np.ndarray] = []
@@ -59,28 +59,28 @@ class _Model:
         np.cumsum(self.count, out=self.cum[1:])
         self.cum_u = self.cum.astype(_U)
         self.total = _U(int(self.cum[-1]))
+        if self.reads:
+            self.holder = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)  # of each place below total
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.slot = (self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA6B >> 7) & (_TABLE - 1)
-        self.c2, self.c1 = self.id2[self.slot], self.id1[self.before1]
-        self.s2, self.s1 = self.sure2[self.slot], self.sure1[self.before1]
-        self.context = self.s2 * 4 + self.s1 + 16 * (self.c1 == self.c2)
+        self.p2, self.p1 = self.order2[self.slot], self.order1[self.before1]
+        self.c2, self.c1 = self.p2 >> 2, self.p1 >> 2
+        self.context = (self.p2 & 3) * 4 + (self.p1 & 3) + 16 * (self.c1 == self.c2)
         return self.c2, self.c1, self.context
 
     def learn(self, ids: np.ndarray, which: np.ndarray, missed: np.ndarray) -> None:
-        for names, sures, at, named, sure in (
-            (self.id2, self.sure2, self.slot, self.c2, self.s2),
-            (self.id1, self.sure1, self.before1, self.c1, self.s1),
-        ):
-            right = named == ids
-            names[at] = np.where(right | (sure > 0), named, ids)
-            sures[at] = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
+        fresh = (ids * 4).astype(np.int32)
+        for known, at, packed, named in ((self.order2, self.slot, self.p2, self.c2), (self.order1, self.before1, self.p1, self.c1)):
+            sure = packed & 3
+            known[at] = np.where(named == ids, packed + (sure < 3), np.where(sure > 0, packed - 1, fresh))
         self.flags += np.bincount(self.context * 3 + which, minlength=96).reshape(32, 3) * 2
-        if self.flags.max() > 1 << 16:
-            self.flags = (self.flags + 1) >> 1
-        self._flags_up()
         self.recent.append(missed)
         self.steps += 1
+        if self.steps % 2 == 0:
+            if self.flags.max() > 1 << 16:
+                self.flags = (self.flags + 1) >> 1
+            self._flags_up()
         if self.steps % _REBUILD == 0 or self.steps < _REBUILD:
             self.count += 24 * np.bincount(np.concatenate(self.recent), minlength=len(self.count))
             self.recent = []
@@ -159,7 +159,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     stream, at = flat[n_docs + 2 * lanes :].astype(_U), 0
     steps = -(-n // lanes)
     out = np.empty((steps, lanes), np.int64)
-    model = _Model(vocabulary, lanes)
+    model = _Model(vocabulary, lanes, reads=True)
     low, width = np.zeros(lanes, _U), np.full(lanes, _FULL)
     code = (heads[0] << _32) | heads[1]
     for t in range(steps):
@@ -171,11 +171,11 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         start = model.flag_cum_u[context, which]
         low += width * start
         width *= model.flag_cum_u[context, which + 1] - start
-        x = np.where(which == 0, c2, c1)
+        x = np.where(which == 0, c2, c1).astype(np.int64)
         missed = np.flatnonzero(which == 2)
         part = width[missed] // model.total
         value = np.minimum((code[missed] - low[missed]) // part, model.total - _U(1))
-        y = np.searchsorted(model.cum, value.astype(np.int64), "right") - 1
+        y = model.holder[value.astype(np.int64)]
         low[missed] += part * model.cum_u[y]
         width[missed] = part * (model.cum_u[y + 1] - model.cum_u[y])
         x[missed] = y

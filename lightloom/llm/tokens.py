@@ -15,7 +15,6 @@ null doc_ids come first; rows that repeat are documents of their own; an empty t
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +28,13 @@ from .common import stored
 from .rangecoder import decode_block, encode_block
 
 BLOCK_TOKENS = 1 << 20
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 END_ID = 0
 BLOCK_SCHEMA = "shard int, block int, n_tokens long, doc_ids array<long>, data binary"
-_UNSAFE = re.compile(r"^ | $| \s|\s ")
+
+
+def _separable(piece: str) -> bool:
+    return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
 
 
 class PieceEncoder:
@@ -45,6 +47,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.begins = np.zeros(self.vocabulary, bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # the space byte
         self.end_id = end_id
         self._forget()
 
@@ -55,75 +59,81 @@ class PieceEncoder:
         self.offset, self.length = np.zeros(1024, np.int64), np.ones(1024, np.int64)
         self.pieces = 1
 
-    def _add(self, texts: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.int32, int(lengths.sum()))
+    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of pieces, in the order of their numbers, one after another."""
         while self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        while self.pieces + len(made) > len(self.length):
+        while self.pieces + len(lengths) > len(self.length):
             self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.length[self.pieces : self.pieces + len(made)] = lengths
-        self.offset[self.pieces : self.pieces + len(made)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.pieces : self.pieces + len(lengths)] = lengths
+        self.offset[self.pieces : self.pieces + len(lengths)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.pieces += len(made)
+        self.pieces += len(lengths)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _add_spaced(self, pieces: list[str]) -> None:
+        """Pieces with a space before each: encoded in one go, cut where an id begins with the space."""
+        ids = self._ids(" " + " ".join(pieces))
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) == len(pieces):
+            self._add(ids, np.diff(np.r_[starts, len(ids)]))
+        else:
+            self._add_each([" " + p for p in pieces])
+
+    def _add_each(self, texts: list[str]) -> None:
+        made = [self._ids(t) for t in texts]
+        self._add(np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made)))
+
+    def _learn(self, row: list[int | None], pieces: list[str], fresh: list[str]) -> bool:
+        """Number the unknown pieces of a row; False if one of them can't be taken on its own."""
+        for k, at in enumerate(row):
+            if at is None:
+                if not _separable(pieces[k]):
+                    return False
+                row[k] = self.known.setdefault(pieces[k], self.pieces + len(fresh))
+                if row[k] == self.pieces + len(fresh):
+                    fresh.append(pieces[k])
+        return True
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, lengths)."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        known, order, counts, fresh = self.known, [], [], []
-        start = self.pieces
-
-        class Look(dict):
-            def __missing__(self, piece: str) -> int:
-                fresh.append(piece)
-                at = known[piece] = start + len(fresh) - 1
-                return at
-
-        look = Look()
-        whole: list[str] = []
+        known, order, counts, fresh, single = self.known, [], [], [], []
         for text in texts:
-            if not text:
-                pieces = []
-            elif _UNSAFE.search(text):
-                pieces = [text]  # looked up under a name that no piece has
-                whole.append(text)
-            else:
+            head, row = None, []
+            if text:
                 head, *tail = text.split(" ")
-                pieces = [" " + head, *tail]  # a piece with its space is named without it, and the other way round
-            row = []
-            if pieces and len(whole) and pieces[0] is whole[-1]:
-                fresh.append(" " + text)
-                row.append(start + len(fresh) - 1)
-            else:
-                for p in pieces:
-                    at = known.get(p)
-                    row.append(look[p] if at is None else at)
+                row = list(map(known.get, tail))
+                if not _separable(head) or None in row and not self._learn(row, tail, fresh):
+                    head, row = text, []
+            if head is not None:  # begins the text, has no space before it
+                single.append(head)
+                order.append(-len(single))
             order += row
             order.append(0)
-            counts.append(len(row) + 1)
-        if fresh:
-            self._add([p[1:] if p[:1] == " " else " " + p for p in fresh])
+            counts.append(len(row) + 1 + (head is not None))
+        before = self.pieces
+        for a in range(0, len(fresh), 4096):
+            self._add_spaced(fresh[a : a + 4096])
+        if single:
+            at = self.pieces
+            self._add_each(single)
         rows = np.array(order, np.int64)
+        if single:
+            rows = np.where(rows < 0, at - 1 - rows, rows)
         lengths = self.length[rows]
-        before = np.cumsum(lengths) - lengths
-        ids = self.pool[np.repeat(self.offset[rows] - before, lengths) + np.arange(int(lengths.sum()))]
+        begins = np.cumsum(lengths) - lengths
+        ids = self.pool[np.repeat(self.offset[rows] - begins, lengths) + np.arange(int(lengths.sum()))]
         ends = np.cumsum(counts)
+        if single:  # numbers of text beginnings are not remembered
+            self.used, self.pieces = int(self.offset[at]), before + len(fresh)
         return ids, np.add.reduceat(lengths, ends - counts) if len(counts) else np.zeros(0, np.int64)
 
 
-_ENCODERS: dict[tuple, PieceEncoder] = {}
-
-
-def _encoder(path: str, end_id: int) -> PieceEncoder:
-    """One a worker process: what it remembers serves later tasks."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = PieceEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
-
-
 def _slices(texts: list[str | None], most: int = 1 << 22) -> Iterator[slice]:
     start, size = 0, 0
     for k, text in enumerate(texts):
@@ -142,7 +152,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        encoder = _encoder(tokenizer_path, end_id)
+        encoder = PieceEncoder(tokenizer_path, end_id)  # what it remembers goes with the task
         ids, lengths, names, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
