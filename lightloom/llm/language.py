@@ -29,7 +29,7 @@ MAX_GRAMS = 50_000
 GRAM_SIZES = (5, 4, 3, 2, 1)
 SHARPNESS = 20
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 UNSEEN = -12.0
 
 

@@ -59,7 +59,7 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-        if len(self.codes) > 200_000:
+        if len(self.codes) > 120_000:
             self.codes.clear()
         codes = np.array(list(map(self.codes.__getitem__, words)), np.uint64)
         n = len(codes) - self.width + 1
