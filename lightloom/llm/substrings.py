@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 WINDOW = 20
 GRAM = 6
@@ -92,7 +92,7 @@ class _Scanner:
         self.window, self.codes = window, _Codes()
 
     def code(self, words: list[bytes]) -> np.ndarray:
-        if len(self.codes) > 1_000_000:
+        if len(self.codes) > 300_000:
             self.codes.clear()
         return np.array(list(map(self.codes.__getitem__, words)), np.uint64)
 
@@ -129,13 +129,17 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """(h, g, doc_id, h1, start) of every window whose anchor recurs; recurring: doc_id, h1, h2, hits (anchor codes)."""
+    """(h, g, o, start) of every window whose anchor recurs; recurring: doc_id, h1, h2, o, hits (anchor codes).
+
+    Rows that repeat give their windows again, which changes no first place.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(window)
+        names = ("o", "text", "h1", "h2", "hits")
         for batch in batches:
-            names = ("doc_id", "text", "h1", "h2", "hits")
-            for doc_id, text, h1, h2, hits in zip(*(batch.column(c) for c in names), strict=True):
+            kept = []
+            for o, text, h1, h2, hits in zip(*(batch.column(c) for c in names), strict=True):
                 codes = scanner.code(words_of(text.as_py()))
                 if _digest(codes) != (h1.as_py(), h2.as_py()):
                     continue  # another row with this doc_id
@@ -145,73 +149,86 @@ def candidate_windows(docs: DataFrame, recurring: DataFrame, window: int) -> Dat
                 place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 starts = np.flatnonzero(wanted[place] == own)
                 h = _rolling(codes, window, 0xA24BAED4963EE407)[starts].view(np.int64)
-                g = _rolling(codes, window, 0x9FB21C651E98DF25)[starts].view(np.int64) >> 32
-                one = lambda x, t: pa.array([x], t)
-                columns = [one(doc_id.as_py(), pa.int64()), one(h1.as_py(), pa.int64()), one(starts, pa.list_(pa.int32()))]
-                columns += [one(h, pa.list_(pa.int64())), one(g, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "starts", "h", "g"])
+                g = (_rolling(codes, window, 0x9FB21C651E98DF25)[starts].view(np.int64) >> 32).astype(np.int32)
+                kept.append((h, g, np.full(len(starts), o.as_py()), starts.astype(np.int32)))
+            if kept:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "g", "o", "start"])
 
     joined = docs.select("doc_id", "text").join(recurring.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i")))
-    found = joined.select("doc_id", "text", "h1", "h2", "hits").mapInArrow(
-        scan, "doc_id long, h1 long, starts array<int>, h array<long>, g array<int>"
-    )
-    windows = F.explode(F.arrays_zip("starts", "h", "g")).alias("w")
-    return found.select("doc_id", "h1", windows).select("w.h", "w.g", "doc_id", "h1", F.col("w.starts").alias("start"))
+    return joined.select("o", "text", "h1", "h2", "hits").mapInArrow(scan, "h long, g int, o long, start int")
 
 
 def recurring_places(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(all documents: doc_id, n_words, h1, h2; documents with recurring windows: doc_id, h1, places).
+    """(all documents: doc_id, n_words, h1, h2, o, head; documents with windows that started earlier: o, places).
 
-    places: array of (start, first_doc, first_h1, first_start), for every window of the document that recurs.
+    o numbers the documents in order; head is the o of the first document with the same words.
+    places: arrays starts, first_os, first_starts, in order, of every window of the document that starts earlier elsewhere.
     """
-    table = stored(anchor_table(docs, window), "anchors")
-    heads = table.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("no_id"))
-    heads = heads.select("h1", "h2", F.when(~F.col("no_id"), F.col("doc_id")).alias("head"))
-    same = (F.col("table.h1") == F.col("heads.h1")) & (F.col("table.h2") == F.col("heads.h2")) & F.col("doc_id").eqNullSafe(F.col("head"))
-    firsts = table.alias("table").join(heads.alias("heads"), same, "left_semi").filter(F.size("anchors") > 0)
-    firsts = firsts.dropDuplicates(["doc_id", "h1", "h2"])
-    each = stored(firsts.select("doc_id", "h1", "h2", F.explode("anchors").alias("anchor")), "anchor-rows")
-    counted = each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    hits = each.join(counted, "anchor").groupBy("doc_id", "h1", "h2").agg(F.collect_set("anchor").alias("hits"))
-    windows = stored(candidate_windows(docs, hits, window).distinct(), "windows")
-    place = F.struct("doc_id", "h1", "start")
-    first = windows.groupBy("h", "g").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", "g", "f")
-    entry = F.struct("start", F.col("f.doc_id").alias("first_doc"), F.col("f.h1").alias("first_h1"), F.col("f.start").alias("first_start"))
-    places = windows.join(first, ["h", "g"]).groupBy("doc_id", "h1").agg(F.collect_list(entry).alias("places"))
-    return table.drop("anchors").join(heads, ["h1", "h2"]), places
-
-
-def _passages(places: list[dict], window: int) -> list[tuple[int, int, tuple]]:
-    """Runs (start, end in words, first place) of windows whose first places run along."""
-    out: list[tuple[int, int, tuple]] = []
-    for p in sorted(places, key=lambda p: p["start"]):
-        first = (p["first_doc"], p["first_h1"], p["first_start"])
-        if out:
-            start, end, at = out[-1]
-            if end == p["start"] + window - 1 and first == (at[0], at[1], at[2] + p["start"] - start):
-                out[-1] = (start, end + 1, at)
-                continue
-        out.append((p["start"], p["start"] + window, first))
-    return out
+    order = ["doc_id", "h1", "h2"]
+    scanned = stored(anchor_table(docs, window), "anchors")
+    ids = scanned.select(*order, "n_words").dropDuplicates(order)
+    ids = stored(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("o", F.monotonically_increasing_id()), "order")
+    heads = ids.groupBy("h1", "h2").agg(F.min("o").alias("head"))
+    named = stored(ids.join(heads, ["h1", "h2"]), "documents")
+    head = named.filter("o = head").select(F.col("doc_id").alias("i"), "h1", "h2", "o")
+    same = F.col("doc_id").eqNullSafe(F.col("i"))
+    firsts = scanned.filter(F.size("anchors") > 0).join(head, ["h1", "h2"]).filter(same).select("o", "anchors")
+    firsts = stored(firsts, "first-anchors")
+    discard(scanned)
+    each = firsts.select("o", F.explode("anchors").alias("anchor"))
+    counted = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "recurring-anchors")
+    hits = each.join(counted, "anchor").groupBy("o").agg(F.collect_set("anchor").alias("hits"))
+    hits = stored(hits.join(named.select("o", *order), "o"), "anchor-hits")
+    discard(firsts)
+    discard(counted)
+    windows = stored(candidate_windows(docs, hits, window), "windows")
+    discard(hits)
+    place = F.struct("o", "start")
+    first = windows.groupBy("h", "g").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(first.select("h", "g", F.col("f.o").alias("first_o"), F.col("f.start").alias("first_start")), "first-windows")
+    later = windows.join(first, ["h", "g"]).filter("o != first_o or start != first_start")
+    later = stored(later.select("o", "start", "first_o", "first_start"), "later-windows")
+    for done in (ids, windows, first):
+        discard(done)
+    listed = F.array_sort(F.collect_list(F.struct("start", "first_o", "first_start")))
+    places = later.groupBy("o").agg(listed.alias("p")).select("o", *[F.col("p")[c].alias(c + "s") for c in ("start", "first_o", "first_start")])
+    places = stored(places, "places")
+    discard(later)
+    return named, places
+
+
+def _passages(starts: np.ndarray, first_os: np.ndarray, first_starts: np.ndarray, window: int) -> list[tuple]:
+    """Runs (start, end in words, o and start of the first place) of windows whose first places run along."""
+    along = (np.diff(starts) == 1) & (np.diff(first_os) == 0) & (np.diff(first_starts) == 1)
+    begin = np.flatnonzero(np.r_[True, ~along])
+    end = np.r_[begin[1:], len(starts)] - 1
+    return list(zip(starts[begin].tolist(), (starts[end] + window).tolist(), first_os[begin].tolist(), first_starts[begin].tolist(), strict=True))
 
 
 def _removed(docs: list[tuple], window: int) -> list[np.ndarray]:
-    """A shard: (doc_id, h1, words, places) of each document; which words go."""
+    """A shard: (o, words, places) of each document; which words go."""
     numbers: dict[bytes, int] = {}
-    texts = [tuple(numbers.setdefault(w, len(numbers) + 1) for w in words) if places else () for _, _, words, places in docs]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for (_, _, _, places), text in zip(docs, texts, strict=True):
-        for start, end, first in _passages(places or [], window):
-            automaton.add_word(text[start:end], (end - start, first))
+    texts, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for _, words, places in docs:
+        text = ()
+        if places is not None:
+            for w in words:
+                if w not in numbers:
+                    numbers[w] = len(numbers) + 1
+            text = tuple(map(numbers.__getitem__, words))
+            for start, end, o, at in _passages(*places, window):
+                automaton.add_word(text[start:end], (end - start, (o, at)))
+        texts.append(text)
     if len(automaton):
         automaton.make_automaton()
     out = []
-    for (doc_id, h1, words, places), text in zip(docs, texts, strict=True):
+    for (o, words, places), text in zip(docs, texts, strict=True):
         edge = np.zeros(len(words) + 1, np.int32)
-        if places:
+        if places is not None:
             for last, (size, first) in automaton.iter(text):
                 start = last - size + 1
-                if first != (doc_id, h1, start):
+                if first != (o, start):
                     edge[start] += 1
                     edge[last + 1] -= 1
         out.append(np.cumsum(edge[:-1]) > 0)
@@ -220,12 +237,11 @@ def _removed(docs: list[tuple], window: int) -> list[np.ndarray]:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` as struct ``d``, with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    table, places = recurring_places(docs, window)
-    copies = table.filter((F.col("n_words") >= window) & ~F.col("doc_id").eqNullSafe(F.col("head")))
-    copies = copies.select("doc_id", "h1", "h2", F.lit(True).alias("copy"), F.lit(None).cast(places.schema["places"].dataType).alias("places"))
-    listed = table.select("doc_id", "h1", "h2").distinct().join(places.withColumnRenamed("doc_id", "i").withColumnRenamed("h1", "j"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("j")))
-    notes = copies.distinct().unionByName(listed.select("doc_id", "h1", "h2", F.lit(False).alias("copy"), "places"))
-    grouped = notes.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "copy", "places")).alias("notes"))
+    named, places = recurring_places(docs, window)
+    copy = (F.col("n_words") >= window) & (F.col("o") != F.col("head"))
+    notes = named.join(places, "o", "left").filter(copy | F.col("starts").isNotNull())
+    note = F.struct("h1", "h2", "o", copy.alias("copy"), "starts", "first_os", "first_starts")
+    grouped = notes.groupBy("doc_id").agg(F.collect_list(note).alias("notes"))
     whole = docs.select(F.struct("*").alias("d"))
     joined = whole.join(grouped, F.col("d.doc_id").eqNullSafe(F.col("doc_id")), "left").select("d", "notes")
 
@@ -234,7 +250,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         def finish(rows: pa.RecordBatch, shard: list[tuple], gone: list[bool]) -> pa.RecordBatch:
             n_words, n_removed, kept = [], [], []
-            for (_, _, words, _), all_of_it, cut in zip(shard, gone, _removed(shard, window), strict=True):
+            for (_, words, _), all_of_it, cut in zip(shard, gone, _removed(shard, window), strict=True):
                 stay = [] if all_of_it else words
                 if not all_of_it and cut.any():
                     stay = [w for w, x in zip(words, cut.tolist(), strict=True) if not x]
@@ -247,14 +263,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             d = batch.column("d")
             shard, gone, held, begun = [], [], 0, 0
-            for k, (doc_id, text, notes) in enumerate(zip(d.field("doc_id").to_pylist(), d.field("text"), batch.column("notes"), strict=True)):
-                words, h1, copy, places = words_of(text.as_py()), None, False, None
+            for k, (text, notes) in enumerate(zip(d.field("text"), batch.column("notes"), strict=True)):
+                words, o, copy, places = words_of(text.as_py()), None, False, None
                 if notes.is_valid:
-                    digest = _digest(scanner.code(words))
-                    for note in notes.as_py():
-                        if (note["h1"], note["h2"]) == digest:
-                            h1, copy, places = note["h1"], note["copy"], note["places"]
-                shard.append((doc_id, h1, words, places))
+                    high, low = _digest(scanner.code(words))
+                    for note in notes:
+                        if (note["h1"].as_py(), note["h2"].as_py()) == (high, low):
+                            o, copy = note["o"].as_py(), note["copy"].as_py()
+                            if note["starts"].is_valid:
+                                places = [note[c].values.to_numpy() for c in ("starts", "first_os", "first_starts")]
+                shard.append((o, words, places))
                 gone.append(copy)
                 held += len(text.as_py() or "")
                 if held > SHARD_CHARS:
