@@ -3,12 +3,15 @@
 Equal vectors are one class (its smallest vec_id stands for it, with a count). A rotation of the principal components
 is learnt on at most ``SAMPLE`` classes, picked by hash, so that the signs of a vector's rotated coordinates keep angles;
 every class is then coded. A code is cut into chunks of ``CHUNK`` bits, one table each; a query looks up its own chunk and
-all chunks that differ in one bit, and what it meets within ``MOST_BITS`` bits in all is reranked by the cosine of the
-original vectors in double precision, so no pair below the threshold is linked. Rows in the tables grow with the number
-of classes, never with pairs of copies.
+all chunks that differ in one bit, and what it meets within a limit of bits in the first code is reranked by the cosine of
+the original vectors in double precision, so no pair below the threshold is linked. Rows in the tables grow with the
+number of classes, never with pairs of copies.
 
-Pairs are found unless every chunk differs in two bits or more: at a cosine of 0.95 or more that is rare (see the recall
-test; 0.9 is required).
+Pairs are found unless every chunk differs in two bits or more. How often that happens depends on the vectors: codes are
+of vectors less their mean, so what all vectors share makes links look far apart. Pairs made at exactly the threshold, from
+the sample, tell how many codes (each of another rotation, ``CODES``) find ``RECALL`` of them, and the limit of bits is the
+largest distance among them. Where the most codes do not do, all classes are compared, block by block: exact, but its work
+grows with the square of the classes.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components link with nothing (n_links 0,
 component their own id); shorter vectors count as padded with zeros; rows that share a vec_id and a vector count as
@@ -30,7 +33,11 @@ from .graph import connected_components
 SAMPLE = 10_000
 ROUNDS = 50
 BITS, CHUNK = 64, 16
-MOST_BITS = 20
+#: Codes a vector has, in the order of trial; the share of made pairs to find; made pairs of each kind; classes in a block.
+CODES = (1, 2, 4, 8, 16)
+RECALL = 0.95
+MADE = 2_000
+BLOCK = 2_000
 
 
 def _usable(embedding: str = "embedding") -> F.Column:
@@ -62,28 +69,89 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: in
     return mean, directions @ rotation
 
 
-def _coded(classes: DataFrame, wide: int, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
+def _signs(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    return (unit - mean) @ projection >= 0
+
+
+def pairs_at(sample: np.ndarray, threshold: float, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors with a cosine of ``threshold``: sample vectors moved any way, and the way that two others differ."""
+    rng, made = np.random.default_rng(seed), []
+    one, a, b = rng.integers(0, len(sample), (3, MADE))
+    for way in (rng.normal(size=(MADE, sample.shape[1])), sample[a] - sample[b]):
+        x = sample[one]
+        way = way - np.einsum("ij,ij->i", way, x)[:, None] * x
+        size = np.linalg.norm(way, axis=1)
+        fine = size > 1e-9
+        made.append((x[fine], threshold * x[fine] + np.sqrt(max(0.0, 1 - threshold**2)) * way[fine] / size[fine, None]))
+    return [m for m in made if len(m[0])]
+
+
+def choose_codes(sample: np.ndarray, bits: int, threshold: float) -> tuple[np.ndarray, list[np.ndarray], int] | None:
+    """(mean, projections, limit of bits) that find ``RECALL`` of each kind of made pairs; None if the most codes do not."""
+    made, projections = pairs_at(sample, threshold), []
+    met, limit = [np.zeros(len(x), bool) for x, _ in made], 0
+    while len(projections) < CODES[-1]:
+        mean, projection = learn_rotation(sample, bits, seed=7 + len(projections))
+        projections.append(projection)
+        for k, (x, y) in enumerate(made):
+            differ = _signs(x, mean, projection) != _signs(y, mean, projection)
+            met[k] |= np.add.reduceat(differ, np.arange(0, bits, CHUNK), axis=1, dtype=int).min(1) <= 1
+            limit = max(limit, int(differ.sum(1).max())) if len(projections) == 1 else limit
+        if len(projections) in CODES and all(m.mean() >= RECALL for m in met):
+            return mean, projections, limit
+    return None
+
+
+def _coded(classes: DataFrame, wide: int, mean: np.ndarray, projections: list[np.ndarray]) -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = (_matrix(batch.column("embedding"), wide) - mean) @ projection >= 0
-            padded = np.zeros((len(signs), BITS), bool)
-            padded[:, : signs.shape[1]] = signs
-            codes = np.packbits(padded, axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(codes, pa.int64())], ["rep", "code"])
+            unit = _matrix(batch.column("embedding"), wide)
+            padded = np.zeros((len(unit), len(projections), BITS), bool)
+            for k, projection in enumerate(projections):
+                padded[:, k, : projection.shape[1]] = _signs(unit, mean, projection)
+            codes = np.packbits(padded, axis=2, bitorder="little").view("<i8").reshape(len(unit), len(projections))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(codes), pa.list_(pa.int64()))], ["rep", "codes"])
 
-    return classes.select("rep", "embedding").mapInArrow(code, "rep long, code long")
+    return classes.select("rep", "embedding").mapInArrow(code, "rep long, codes array<long>")
 
 
-def candidate_pairs(codes: DataFrame, bits: int = BITS, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, that some table brings together; the tables cover the ``bits`` that codes have."""
-    tables = range(-(-bits // CHUNK))
-    chunk = lambda t: F.shiftrightunsigned("code", t * CHUNK).bitwiseAND((1 << CHUNK) - 1)
+def candidate_pairs(codes: DataFrame, bits: int, most_bits: int, count: int) -> DataFrame:
+    """Pairs (a, b), a < b, that some table of the ``count`` codes brings together; the tables cover the ``bits`` that codes have."""
+    tables = [(k, t) for k in range(count) for t in range(-(-bits // CHUNK))]
+    chunk = lambda k, t: F.shiftrightunsigned(F.get("codes", F.lit(k)), t * CHUNK).bitwiseAND((1 << CHUNK) - 1)
     flips = [0, *(1 << k for k in range(CHUNK))]
-    slot = lambda t, f: (chunk(t).bitwiseXOR(F.lit(f)) + F.lit(t << CHUNK)).cast("int")
-    index = codes.select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.explode(F.array(*[slot(t, 0) for t in tables])).alias("slot"))
-    probe = codes.select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.explode(F.array(*[slot(t, f) for t in tables for f in flips])).alias("slot"))
+    start = codes.withColumns({"code": F.get("codes", F.lit(0)), "chunks": F.array(*[chunk(k, t) + F.lit((k * BITS // CHUNK + t) << CHUNK) for k, t in tables])})
+    flipped = F.flatten(F.transform("chunks", lambda c: F.array(*[c.bitwiseXOR(F.lit(f).cast("long")) for f in flips])))
+    index = start.select(F.col("rep").alias("b"), F.col("code").alias("cb"), F.explode("chunks").alias("slot"))
+    probe = start.select(F.col("rep").alias("a"), F.col("code").alias("ca"), F.explode(flipped).alias("slot"))
+    side = lambda rows: rows.withColumn("slot", F.col("slot").cast("int"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most_bits)
-    return probe.join(index, "slot").filter(near).select("a", "b").distinct()
+    return side(probe).join(side(index), "slot").filter(near).select("a", "b").distinct()
+
+
+def _compared(classes: DataFrame, rows: int, wide: int, threshold: float) -> DataFrame:
+    """Links of all classes, each pair of blocks in a group of its own."""
+    blocks = -(-rows // BLOCK)
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("rep")
+        unit, rep = _matrix(group.column("embedding").combine_chunks(), wide), group.column("rep").to_numpy()
+        own, (i, j) = group.column("block").to_numpy(), (group.column(c)[0].as_py() for c in ("i", "j"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        p, q = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-9)
+        p, q = left[p], right[q]
+        once = rep[p] < rep[q] if i == j else np.ones(len(p), bool)
+        p, q = p[once], q[once]
+        cosine = np.einsum("ij,ij->i", unit[p], unit[q])
+        kept = cosine >= threshold
+        low, high = np.minimum(rep[p], rep[q]), np.maximum(rep[p], rep[q])
+        return pa.table({"a": low[kept], "b": high[kept], "cosine": cosine[kept]})
+
+    placed = classes.select("rep", "embedding", block.alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = placed.select("*", other).select("rep", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, cosine double")
 
 
 def _reranked(pairs: DataFrame, classes: DataFrame, wide: int, threshold: float) -> DataFrame:
@@ -110,9 +178,16 @@ def embedding_links(vectors: DataFrame, threshold: float) -> tuple[DataFrame, Da
     share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(shape[0], 1)))
     picked = [r[0] for r in classes.filter(share).orderBy("rep").select("embedding").limit(2 * SAMPLE).collect()]
     sample = _matrix(pa.array(picked, pa.list_(pa.float32())), wide) if picked else np.zeros((1, wide))
-    mean, projection = learn_rotation(sample, min(BITS, wide))
-    codes = stored(_coded(classes, wide, mean, projection), "codes")
-    links = stored(_reranked(stored(candidate_pairs(codes, min(BITS, wide)), "vector-pairs"), classes, wide, threshold), "vector-links")
+    bits = min(BITS, wide)
+    chosen = choose_codes(sample, bits, threshold)
+    if chosen is None:
+        links = _compared(classes, shape[0], wide, threshold)
+    else:
+        mean, projections, limit = chosen
+        codes = stored(_coded(classes, wide, mean, projections), "codes")
+        pairs = stored(candidate_pairs(codes, bits, limit, len(projections)), "vector-pairs")
+        links = _reranked(pairs, classes, wide, threshold)
+    links = stored(links, "vector-links")
     return keyed.select("vec_id", "usable", "h", "g"), classes.drop("embedding"), links
 
 

@@ -50,6 +50,27 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.embedding_report(none).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.5, 0.8, 0.93])
+def test_embeddings_with_a_common_direction(spark, shared):
+    """Vectors of a mean cosine of ``shared``, in pairs at cosines from 0.95 to 0.96: both the tables and all pairs."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = rng.normal(size=(600, 64))
+    own[:, 0] = 0
+    first = np.sqrt(1 - shared) * unit(own)
+    first[:, 0] = np.sqrt(shared)
+    way = rng.normal(size=first.shape)
+    way = unit(way - (way * first).sum(1, keepdims=True) * first)
+    cosine = rng.uniform(0.9505, 0.96, (600, 1))
+    vectors = np.vstack([first, cosine * first + np.sqrt(1 - cosine**2) * way]).astype(np.float32)
+    good = unit(vectors.astype(float))
+    links = (good @ good.T >= 0.95) & ~np.eye(len(good), dtype=bool)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    got = {r.vec_id: r.n_links for r in embeddings.embedding_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert 0.9 * links.sum() <= sum(got.values()) <= links.sum()
+    assert all(got[k] <= n for k, n in enumerate(links.sum(1)))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 5000, 300_000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
