@@ -7,9 +7,12 @@ grid never leaves the task that makes it, only one row per task, series and freq
 from __future__ import annotations
 
 import math
+from bisect import bisect
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .series import by, trimmed_median
@@ -173,17 +176,29 @@ def prominences(spectrum: DataFrame, value: str = "power") -> DataFrame:
     return spectrum.groupBy("series_id").applyInPandas(walk, f"series_id {kind}, j long, f double, {value} double, prominence double")
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _stay(values: pd.Series, min_sep: pd.Series) -> pd.Series:
+    out = []
+    for row, sep in zip(values, min_sep, strict=True):
+        kept, flags = [], []
+        for x in row:
+            at = bisect(kept, x)
+            flags.append((at == 0 or x - kept[at - 1] >= sep) and (at == len(kept) or kept[at] - x >= sep))
+            if flags[-1]:
+                kept.insert(at, x)
+        out.append(flags)
+    return pd.Series(out)
+
+
 def spaced(peaks: DataFrame, order: list, min_sep: float, f: str = "f") -> DataFrame:
     """Greedy choice in ``order``: a row stays if it is ``min_sep`` or more from all that stayed. Runs over one array of
-    candidates a series (candidates are few), in SQL."""
+    candidates a series; a walk that looks at the nearest that stayed on either side."""
     names = peaks.columns
     ranked = peaks.withColumn("rank_", F.row_number().over(by().orderBy(*order)))
     rows = F.sort_array(F.collect_list(F.struct("rank_", *names)))
-    kind = ranked.select(F.array(F.struct("rank_", *names)).alias("x")).schema["x"].dataType.simpleString()
-    far = lambda kept, r: F.forall(kept, lambda k: F.abs(k[f] - r[f]) >= min_sep)
-    chosen = F.aggregate("rows_", F.array().cast(kind), lambda kept, r: F.when(far(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
     grouped = ranked.groupBy(F.col("series_id").alias("key_")).agg(rows.alias("rows_"))
-    return grouped.select(F.inline(chosen)).drop("rank_")
+    flagged = grouped.withColumn("stay_", _stay(F.transform("rows_", lambda r: r[f].cast("double")), F.lit(float(min_sep))))
+    return flagged.select(F.inline(F.filter("rows_", lambda r, i: F.get("stay_", i)))).drop("rank_")
 
 
 def top_peaks(spectrum: DataFrame, k: int, min_sep: float, min_prominence: float = 1.0, value: str = "power") -> DataFrame:

@@ -17,6 +17,8 @@ from .registry import EVENTS_SQL, LINES_SQL, events, lines, query, rounded
 
 #: Frequencies of the standard spectra: 0.05 to 2 cycles a day, 120 points at most.
 FMIN, FMAX, POINTS = 0.05, 2.0, 120
+#: Frequencies of whole searches, as in the reference.
+FULL_MIN, FULL_MAX, FULL_POINTS = 0.01, 50.0, 60_000
 
 _GRID = f"""sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1),
 st AS (SELECT series_id, t_full, floor(({FMAX}e0 - {FMIN}e0) / (1 / t_full / 3e0)) + 1 AS n, 1 / t_full / 3e0 AS df FROM sp),
@@ -39,6 +41,10 @@ def _grid(series: DataFrame) -> DataFrame:
     return P.frequency_grid(_spans(series), FMIN, FMAX, oversample=3.0, most=POINTS)
 
 
+def _full_grid(series: DataFrame, fmax: float = FULL_MAX, oversample: float = 3.0, most: int = FULL_POINTS) -> DataFrame:
+    return P.frequency_grid(_spans(series), FULL_MIN, fmax, oversample=oversample, most=most)
+
+
 def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     return P.lomb_scargle(e, _grid(e))
@@ -202,13 +208,14 @@ def guided_search(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def multiharmonic_ls(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
-    return rounded(M.multiharmonic_power(e, _grid(e).filter("j % 6 = 0"), 3), 6)
+    return rounded(M.multiharmonic_power(e, _full_grid(e), 3), 6)
 
 
 @query()
 def harmonic_prewhiten(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select("series_id", "t", "y", "k")
-    return rounded(M.harmonic_prewhitened(e, _grid(e).filter("j % 4 = 0"), rounds=1, harmonics=2, stop=0.5).select("k", "y"), 4)
+    grid = _full_grid(e, fmax=20.0, oversample=4.0, most=100_000)
+    return rounded(M.harmonic_prewhitened(e, grid, rounds=3, harmonics=5, stop=0.5).select("k", "y"), 4)
 
 
 @query()
@@ -230,7 +237,7 @@ def refine_peak(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary_modes(e: DataFrame) -> DataFrame:
-    fit = P.nuisance_periodogram(e, _grid(e)).filter("j % 5 = 0")
+    fit = P.nuisance_periodogram(e, _full_grid(e))
     amp = waves.amplitude(F.col("s_coeff"), F.col("c_coeff"))
     return fit.select(
         F.lit("star").alias("series_id"), F.col("series_id").alias("channel"), "f", amp.alias("amp"), (amp / 10).alias("amp_err"), waves.phase(F.col("s_coeff"), F.col("c_coeff")).alias("phase"), F.lit(0.1).alias("phase_err"),

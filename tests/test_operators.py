@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lightloom.functions import text as X
 from lightloom.operators import apertures, modes, pixels, regress, series, spectrum, spline
+from lightloom.plans import spectra
 
 
 def make_series(spark, **many):
@@ -74,6 +75,19 @@ def test_sequential_modes_find_both_waves(spark, waves):
     assert sum(r.amp > 0.1 for r in found) == 2
 
 
+def test_whole_searches_have_no_gaps_in_their_grids(spark, waves, monkeypatch):
+    """A wave between the points of the thinned grid, and one beyond 2 cycles a day, are found at their frequency."""
+    t, _ = waves
+    rows = make_series(spark, a=(t, np.sin(2 * np.pi * 1.113 * t)), b=(t, np.sin(2 * np.pi * 7.37 * t)))
+    monkeypatch.setattr(spectra, "events", lambda spark, sf: rows)
+    power = spectrum.strongest(spectra.multiharmonic_ls(spark, "").filter("f > 0.9")).collect()
+    tall = {r.series_id: r.f for r in spectra._summary_modes(rows).groupBy("channel").agg(F.max_by("f", "amp").alias("f")).withColumnRenamed("channel", "series_id").collect()}
+    assert abs(tall["a"] - 1.113) < 0.3 / 27 and abs(tall["b"] - 7.37) < 0.3 / 27
+    assert all(r.power > 0.95 for r in power)
+    left = {r.k: r.y for r in spectra.harmonic_prewhiten(spark, "").filter("k >= 0").collect()}
+    assert np.std(list(left.values())) < 0.3
+
+
 def test_one_series_alone_equals_a_batch(spark, waves):
     t, y = waves
     grid = lambda *names: spark.createDataFrame([(n, j, 0.5 + 0.1 * j) for n in names for j in range(20)], "series_id string, j long, f double")
