@@ -12,6 +12,7 @@ from .regress import least_squares, predicted
 from .series import by, longest_chunk
 from .spectrum import TAU, excluded, frequency_fit, frequency_grid, local_grid, lomb_scargle, nuisance_periodogram, on_grid, prewhitened, spaced, strongest, whitened
 
+#: Fit windows and noise guards reach this many times 2 / T; the reference has 3 (and the queries, with its steps).
 KFIT = 1.0
 
 
@@ -33,7 +34,7 @@ def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> D
     return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
 
 
-def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int = 20, snr_stop: float = 4.0, most: int = 60_000, steps: int = 1001) -> DataFrame:
+def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int = 20, snr_stop: float = 4.0, most: int = 60_000, steps: int = 1001, kfit: float = KFIT) -> DataFrame:
     """(series_id, mode, f, amp, phase, snr, w): strongest peak, fit, test, prewhiten, until a series' peak is too weak."""
     spans = stored(longest_chunk(series), "spans")
     grid = stored(frequency_grid(spans, fmin, fmax, most=most), "grid")
@@ -42,9 +43,9 @@ def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int =
         spectrum = stored(lomb_scargle(left, grid), "spectrum")
         free = spectrum if found is None else excluded(spectrum, found.select("series_id", "f"), 1e-9)
         start = strongest(free).select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
-        fits = stored(frequency_fit(left, start, KFIT * 2.0 / F.col("t_full"), fmin, fmax, steps), "fits")
+        fits = stored(frequency_fit(left, start, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fits")
         at = fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
-        tested = fits.join(snr_at(spectrum, at, KFIT * 2.0 / F.col("t_chunk"), 5.0 / F.col("t_chunk")), "series_id", "left")
+        tested = fits.join(snr_at(spectrum, at, kfit * 2.0 / F.col("t_chunk"), 5.0 / F.col("t_chunk")), "series_id", "left")
         amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
         kept = stored(tested.filter(F.col("snr") >= snr_stop).select("series_id", F.lit(mode).alias("mode"), "f", "s_coeff", "c_coeff", amp.alias("amp"), phi.alias("phase"), "snr", "w"), "modes")
         if kept.isEmpty():
@@ -202,7 +203,7 @@ def refined_peak(series: DataFrame, other: DataFrame, peaks: DataFrame, df: Colu
     return strongest(both.withColumn("score", combined_power(F.col("white"), F.col("white2"))), "score").select("series_id", "f", "score")
 
 
-def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, night: str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 2000, steps: int = 201) -> DataFrame:
+def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, night: str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 60_000, steps: int = 2001, kfit: float = KFIT) -> DataFrame:
     """Modes that two series of one target share: combined whitened spectrum, fits and tests on both, prewhiten both."""
     spans = stored(longest_chunk(first).join(longest_chunk(second).select("series_id", F.col("t_full").alias("t2")), "series_id"), "spans")
     grid = stored(frequency_grid(spans, fmin, fmax, span="t_chunk", most=most), "grid")
@@ -215,9 +216,9 @@ def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, n
         at = stored(strongest(both, "score").select("series_id", F.col("f").alias("f0"), "score").join(spans, "series_id"), "joint-at")
         if at.isEmpty():
             break
-        fa = stored(frequency_fit(a, at, KFIT * 2.0 / F.col("t_full"), fmin, fmax, steps), "fit")
-        fb = stored(frequency_fit(b, at, KFIT * 2.0 / F.col("t2"), fmin, fmax, steps, night), "fit")
-        named = lambda fit, s, spec, tag: fit.join(snr_at(spec, fit.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), 2.0 / F.col(s), 5.0 / F.col(s)), "series_id", "left").select(
+        fa = stored(frequency_fit(a, at, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fit")
+        fb = stored(frequency_fit(b, at, kfit * 2.0 / F.col("t2"), fmin, fmax, steps, night), "fit")
+        named = lambda fit, s, spec, tag: fit.join(snr_at(spec, fit.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), kfit * 2.0 / F.col(s), 5.0 / F.col(s)), "series_id", "left").select(
             "series_id", F.col("f").alias(f"f_{tag}"), amplitude(F.col("s_coeff"), F.col("c_coeff")).alias(f"amp_{tag}"), phase(F.col("s_coeff"), F.col("c_coeff")).alias(f"phase_{tag}"), F.col("snr").alias(f"snr_{tag}"), F.col("w").alias(f"w_{tag}"))
         rows = at.select("series_id", F.lit(n).alias("n"), F.col("f0").alias("f_comb"), F.col("score").alias("score_comb")).join(named(fa, "t_chunk", sa, "first"), "series_id").join(named(fb, "t2", sb, "second"), "series_id")
         weak = F.coalesce((F.col("snr_first") < snr_stop) & (F.col("snr_second") < snr_stop), F.lit(False))

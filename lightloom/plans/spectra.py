@@ -19,6 +19,7 @@ from .registry import EVENTS_SQL, LINES_SQL, events, lines, query, rounded
 FMIN, FMAX, POINTS = 0.05, 2.0, 120
 #: Frequencies of whole searches, as in the reference.
 FULL_MIN, FULL_MAX, FULL_POINTS = 0.01, 50.0, 60_000
+REFERENCE_KFIT = 3.0
 
 _GRID = f"""sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1),
 st AS (SELECT series_id, t_full, floor(({FMAX}e0 - {FMIN}e0) / (1 / t_full / 3e0)) + 1 AS n, 1 / t_full / 3e0 AS df FROM sp),
@@ -155,7 +156,7 @@ def prewhiten(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def sequential_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Event values are noise, so the limit is low: the loop runs its rounds."""
-    found = M.sequential_modes(events(spark, sf), FMIN, FMAX, rounds=3, snr_stop=1.0, most=POINTS, steps=41)
+    found = M.sequential_modes(events(spark, sf), FULL_MIN, FULL_MAX, rounds=20, snr_stop=1.0, most=FULL_POINTS, steps=1001, kfit=REFERENCE_KFIT)
     return rounded(found, 4)
 
 
@@ -223,8 +224,9 @@ def joint_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """The series of event type error is the second one of every other type."""
     e = events(spark, sf).select("series_id", "t", "y", "k")
     first = e.filter("series_id != 'error'")
-    second = e.filter("series_id = 'error'").select(F.explode(F.array(*[F.lit(x) for x in ("view", "click", "purchase")])).alias("series_id"), "t", "y", "k")
-    out = M.joint_modes(first.filter(F.col("series_id").isin("view", "click", "purchase")), second, FMIN, FMAX, rounds=2, snr_stop=0.5, prefilter=0.5, most=POINTS, steps=41)
+    others = first.filter("series_id is not null").select("series_id").distinct()
+    second = e.filter("series_id = 'error'").drop("series_id").join(F.broadcast(others)).select("series_id", "t", "y", "k")
+    out = M.joint_modes(first, second, FULL_MIN, FULL_MAX, rounds=20, snr_stop=0.5, prefilter=0.5, most=FULL_POINTS, steps=2001, kfit=REFERENCE_KFIT)
     return rounded(out, 4)
 
 

@@ -88,6 +88,29 @@ def test_whole_searches_have_no_gaps_in_their_grids(spark, waves, monkeypatch):
     assert np.std(list(left.values())) < 0.3
 
 
+def test_fit_window_is_three_resolutions_twice(spark, waves, monkeypatch):
+    t, y = waves
+    reach = []
+    fit = modes.frequency_fit
+    monkeypatch.setattr(modes, "frequency_fit", lambda s, at, half, *a, **k: reach.append(at.select((half * F.col("t_full")).alias("x")).first()[0]) or fit(s, at, half, *a, **k))
+    modes.sequential_modes(make_series(spark, a=(t, y)), 0.2, 5.0, rounds=1, most=100, steps=11, kfit=3.0).collect()
+    assert np.allclose(reach, 6.0)
+
+
+def test_joint_extraction_has_every_type(spark, monkeypatch):
+    rows = make_series(spark, error=([0.0, 1.0], [1.0, 2.0]), signup=([0.0], [1.0]), view=([0.0], [1.0]), other=([0.0], [1.0]))
+    monkeypatch.setattr(spectra, "events", lambda spark, sf: rows)
+    seen = []
+    told = []
+    monkeypatch.setattr(modes, "joint_modes", lambda first, second, *a, **k: (seen.append((first, second)), told.append(k), first)[-1])
+    monkeypatch.setattr(modes, "sequential_modes", lambda first, *a, **k: (told.append(k), first)[-1])
+    spectra.sequential_modes(spark, "")
+    spectra.joint_extraction(spark, "")
+    first, second = ({r.series_id for r in s.collect()} for s in seen[0])
+    assert [(k["kfit"], k["rounds"], k["steps"]) for k in told] == [(3.0, 20, 1001), (3.0, 20, 2001)]
+    assert first == second == {"signup", "view", "other"} and seen[0][1].count() == 6
+
+
 def test_one_series_alone_equals_a_batch(spark, waves):
     t, y = waves
     grid = lambda *names: spark.createDataFrame([(n, j, 0.5 + 0.1 * j) for n in names for j in range(20)], "series_id string, j long, f double")
