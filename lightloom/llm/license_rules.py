@@ -21,14 +21,17 @@ GATES = (
     "licen", " under ", " cc by", " cc0", "creative commons", "creativecommons", "public domain", "copyright", "copyleft",
     "warranty", "permission", "redistribution", "endorse or promote", "advertising materials", "free software foundation",
     "any later version", "unencumbered", "eclipse org legal", "source code form", "confidential",
+    "affero general public", "common development and distribution",
 )
 
 #: (label, keyword, names as a regex, identifier as words)
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat)", "mit"),
+    ("mit", "mit", r"mit", "mit"),
+    ("mit", "expat", r"expat", "mit"),
     ("mit-0", "mit", r"mit (?:no attribution|0)", "mit 0"),
     ("x11", "x11", r"x11", "x11"),
-    ("isc", "isc", r"(?:isc|internet systems consortium)", "isc"),
+    ("isc", "isc", r"isc", "isc"),
+    ("isc", "internet systems", r"internet systems consortium", "isc"),
     ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)", "0bsd"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:bsd )?2 clause bsd|bsd 2 clause)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised) bsd|3 clause bsd|bsd 3 clause)", "bsd 3 clause"),
@@ -70,9 +73,10 @@ FAMILIES = (
     ("bsl-1.0", "boost", r"boost software", "bsl 1 0"),
     ("busl-1.1", "business source", r"business source", "busl 1 1"),
     ("zlib", "zlib", r"(?:zlib|zlib libpng)", "zlib"),
-    ("libpng", "libpng", r"(?:libpng|png reference library)", "libpng 2 0"),
+    ("libpng", "png", r"(?:libpng|png reference library)", "libpng 2 0"),
     ("unlicense", "unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", "wtf", r"(?:wtfpl|do what the f\w+ you want to public)", "wtfpl"),
+    ("wtfpl", "wtf", r"wtfpl", "wtfpl"),
+    ("wtfpl", "do what the f", r"do what the f\w+ you want to public", "wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
     ("cc-by-4.0", "cc by", r"cc by 4 0", "cc by 4 0"),
     ("cc-by-3.0", "cc by", r"cc by 3 0", "cc by 3 0"),

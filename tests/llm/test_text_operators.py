@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lightloom.llm import decontaminate, language, licenses, lines, lm, minhash, mixing, substrings
+from lightloom.llm import decontaminate, language, license_rules, licenses, lines, lm, minhash, mixing, substrings
 
 from .corpus import documents, empty, frame
 
@@ -177,6 +177,46 @@ def test_licenses(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+def _examples(tree):
+    """For every way through a parsed regex, a text that it matches; repeats as few times as they may, or once."""
+    out = [""]
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = _examples(value[2])
+            own = [x * value[0] for x in some] if value[0] else ["", *some]
+        elif name == "SUBPATTERN":
+            own = _examples(value[3])
+        elif name == "BRANCH":
+            own = [x for b in value[1] for x in _examples(b)]
+        elif name == "IN":
+            own = [{"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "0" if "DIGIT" in str(v) else "x"}[str(k)](v) for k, v in value]
+        else:
+            assert name == "ANY"
+            own = ["x"]
+        out = [a + b for a in out for b in dict.fromkeys(own)]
+    return out
+
+
+def test_license_keywords_are_implied_by_their_rules():
+    from re import _parser
+
+    for rule in [license_rules.Rule(*b) for b in license_rules.BASE] + license_rules.rules():
+        name = re.sub(r"^\(\?:licen\[cs\]ed\|.*?\(\?: the\)\?(?= [^(]| \()", "licensed under", rule.regex) if rule.priority == 2 else rule.regex
+        for text in _examples(_parser.parse(name)):
+            assert rule.keyword in f" {text} ", (rule, text)
+            assert any(g in f" {text} " for g in license_rules.GATES), (rule, text)
+
+
+def test_license_full_names(spark):
+    names = {"mit": "expat", "isc": "internet systems consortium", "libpng": "png reference library", "wtfpl": "do what the fork you want to public"}
+    rows = [(k, f"this is licensed under the {name} license") for k, name in enumerate(names.values())]
+    got = licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {k: (label, 0.9) for k, label in enumerate(names)}
+
+
 def test_language(spark):
     got = language.language_report(frame(spark)).collect()
     truth = {r[0]: r[2] for r in documents()}
