@@ -73,7 +73,7 @@ class _Rater:
         """Backoff: the mean over a word's positions of the longest known n-gram that starts there."""
         get, found, sizes = self.model.grams.get, [], []
         for word in fresh:
-            marked = f"<{word[:64]}>"
+            marked = f"<{word}>"
             sizes.append(len(marked))
             for at in range(len(marked)):
                 for n in GRAM_SIZES:
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MA
         languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
         if not languages:
             return LanguageModel([], {}, {})
-        marked = F.concat(F.lit("<"), F.substring("word", 1, 64), F.lit(">"))
+        marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
         grams = [
             F.transform(F.sequence(F.lit(1), F.length("m") - (n - 1)), lambda i, n=n: F.substring(F.col("m"), i, F.lit(n)))
             for n in GRAM_SIZES

@@ -217,6 +217,13 @@ def test_license_full_names(spark):
     assert {r.doc_id: (r.labels, r.score) for r in got} == {k: (label, 0.9) for k, label in enumerate(names)}
 
 
+def test_language_of_a_run_without_spaces():
+    """The end of a run counts, not its first 64 letters alone."""
+    model = language.LanguageModel(["x", "y"], {}, {"a": [99.0, 1.0], "b": [1.0, 99.0]})
+    rated = language._Rater(model).predict(["a" * 64 + "b" * 20_000, "b" * 64 + "a" * 20_000])
+    assert [r[0] for r in rated] == ["y", "x"] and min(r[1] for r in rated) > 0.9
+
+
 def test_language(spark):
     got = language.language_report(frame(spark)).collect()
     truth = {r[0]: r[2] for r in documents()}
