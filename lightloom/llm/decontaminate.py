@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE
+from .common import ALNUM_TABLE, gives_back
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -106,7 +106,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(window, pa.list_(pa.binary())), pa.array(item, pa.string())], ["window", "item"])
 
     picked = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    return picked.mapInArrow(windows, "window array<binary>, item string").groupBy("window").agg(
+    return picked.mapInArrow(gives_back(windows), "window array<binary>, item string").groupBy("window").agg(
         F.collect_set("item").alias("items")
     )
 
@@ -143,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, m
                 made = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column("d"), *made], ["d", "n_words", "starts", "ends", "items"])
 
-        out = out.mapInArrow(scan, out.schema)
+        out = out.mapInArrow(gives_back(scan), out.schema)
     return out
 
 
@@ -177,7 +177,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
             yield batch.set_column(0, "text", pa.array(texts, pa.string()))
 
     narrow = found.select(F.col("d.text").alias("text"), "starts", "ends", "d")
-    cleaned = narrow.mapInArrow(cut, narrow.schema)
+    cleaned = narrow.mapInArrow(gives_back(cut), narrow.schema)
     return cleaned.select(cleaned["d"].withField("text", F.col("text")).alias("d")).select("d.*")
 
 

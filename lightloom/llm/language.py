@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gives_back
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 20_000
 MAX_WORDS = 50_000
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("d"), *made], ["d", "lang_pred", "score"])
 
     whole = docs.select(F.struct("*").alias("d"), "text")
-    return whole.mapInArrow(rate, whole.select("d").schema.add("lang_pred", "string").add("score", "double"))
+    return whole.mapInArrow(gives_back(rate), whole.select("d").schema.add("lang_pred", "string").add("score", "double"))
 
 
 def language_report(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, discard, stored
+from .common import SPACES, ascii_lower, discard, gives_back, stored
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -113,7 +113,7 @@ def dedup_lines(
             yield pa.RecordBatch.from_arrays([part.column("d"), *made], ["d", "n_lines", "n_dropped", "kept"])
 
     schema = whole.schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(gives_back(cut), schema)
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1) -> DataFrame:

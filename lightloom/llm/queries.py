@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import short_batches
+from .common import table as stored_table
 from .decontaminate import contamination_report
 from .embeddings import embedding_report
 from .language import language_report
@@ -18,6 +19,11 @@ from .substrings import substring_report
 from .tokens import token_report
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
+    return stored_table(spark, sf_dir, name)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 

@@ -33,8 +33,7 @@ _MOST = 1 << 19
 class _Model:
     """What both sides know: predictions of order 2 and 1 with certainties, and counts."""
 
-    def __init__(self, vocabulary: int, lanes: int, reads: bool = False):
-        self.reads = reads
+    def __init__(self, vocabulary: int, lanes: int):
         self.order2, self.order1 = np.zeros(_TABLE, np.int32), np.zeros(vocabulary, np.int32)  # id * 4 + certainty
         self.flags = np.tile(np.array([3, 2, 3], np.int64), (32, 1))
         self.count = np.ones(vocabulary, np.int64)
@@ -59,8 +58,6 @@ class _Model:
         np.cumsum(self.count, out=self.cum[1:])
         self.cum_u = self.cum.astype(_U)
         self.total = _U(int(self.cum[-1]))
-        if self.reads:
-            self.holder = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)  # of each place below total
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.slot = (self.before2 * 0x9E3779B1 + self.before1 * 0x85EBCA6B >> 7) & (_TABLE - 1)
@@ -159,15 +156,14 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     stream, at = flat[n_docs + 2 * lanes :].astype(_U), 0
     steps = -(-n // lanes)
     out = np.empty((steps, lanes), np.int64)
-    model = _Model(vocabulary, lanes, reads=True)
+    model = _Model(vocabulary, lanes)
     low, width = np.zeros(lanes, _U), np.full(lanes, _FULL)
     code = (heads[0] << _32) | heads[1]
     for t in range(steps):
         c2, c1, context = model.predict()
         width >>= _FLAG_BITS
-        value = (code - low) // width
-        edges = model.flag_cum_u[context]
-        which = (value >= edges[:, 1]).astype(np.int64) + (value >= edges[:, 2])
+        edges, ahead = model.flag_cum_u[context], code - low
+        which = (ahead >= width * edges[:, 1]).astype(np.int64) + (ahead >= width * edges[:, 2])
         start = model.flag_cum_u[context, which]
         low += width * start
         width *= model.flag_cum_u[context, which + 1] - start
@@ -175,7 +171,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         missed = np.flatnonzero(which == 2)
         part = width[missed] // model.total
         value = np.minimum((code[missed] - low[missed]) // part, model.total - _U(1))
-        y = model.holder[value.astype(np.int64)]
+        y = np.searchsorted(model.cum, value.astype(np.int64), side="right") - 1
         low[missed] += part * model.cum_u[y]
         width[missed] = part * (model.cum_u[y + 1] - model.cum_u[y])
         x[missed] = y

@@ -14,9 +14,11 @@ null doc_ids come first; rows that repeat are documents of their own; an empty t
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import gives_back, stored
 from .rangecoder import decode_block, encode_block
 
-BLOCK_TOKENS = 1 << 20
-REMEMBERED = 120_000
+BLOCK_TOKENS = 1 << 19
+REMEMBERED = 300_000
+#: Up to so many blocks (24 bytes each), the table of where they start goes to every task; more are joined by shuffle.
+BROADCAST_BLOCKS = 1_000_000
 END_ID = 0
 BLOCK_SCHEMA = "shard int, block int, n_tokens long, doc_ids array<long>, data binary"
 
@@ -37,70 +41,136 @@ def _separable(piece: str) -> bool:
     return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin letters beyond ASCII to the letters that stand for their bytes in a byte-level vocabulary."""
+    return {c: "".join(chr(b) if 161 <= b <= 172 or b >= 174 else chr(256 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+
+
+#: Bytes that a byte-level vocabulary shows as letters from U+0100 on, since they have no visible form of their own.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SPACE = chr(256 + _HIDDEN.index(32))
+_PUNCTUATION = ".,;:!?"
+
+
 class PieceEncoder:
-    """Texts to ids; piece 0 is the end of a document."""
+    """Texts to ids; piece 0 is the end of a document.
 
-    def __init__(self, tokenizer_path: str, end_id: int = END_ID):
+    A piece of Latin letters, with or without one punctuation mark at its end, is one word of the tokenizer's pattern (and
+    the mark another), so it goes to the tokenizer's model without the pattern; other pieces go to the whole tokenizer.
+    Of the pieces remembered, those used least go first.
+    """
+
+    def __init__(self, tokenizer_path: str, end_id: int = END_ID, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.begins = np.zeros(self.vocabulary, bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # the space byte
-        self.end_id = end_id
-        self._forget()
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
+        self.marks = {c: self._ids(c).tolist() for c in _PUNCTUATION}
+        self.letters = _byte_letters()
+        self.end_id, self.remembered = end_id, remembered
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.full(1024, end_id, np.int32), 1
+        self.offset, self.length, self.uses, self.pieces = np.zeros(1024, np.int64), np.ones(1024, np.int64), np.zeros(1024, np.int64), 1
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.array([self.end_id] * 1024, np.int32)
-        self.used = 1
-        self.offset, self.length = np.zeros(1024, np.int64), np.ones(1024, np.int64)
-        self.pieces = 1
-
-    def _add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        """Ids of pieces, in the order of their numbers, one after another."""
-        while self.used + len(flat) > len(self.pool):
+        """Half of the pieces that may be remembered stay, the most used."""
+        often = np.flatnonzero(self.uses[1 : self.pieces] > 1)
+        if len(often) > self.remembered // 2:
+            often = np.sort(often[np.argsort(-self.uses[1 + often], kind="stable")[: self.remembered // 2]])
+        names, kept = list(self.known), np.r_[0, 1 + often]
+        lengths, offsets = self.length[kept], self.offset[kept]
+        begins = np.cumsum(lengths) - lengths
+        pool = self.pool[np.repeat(offsets - begins, lengths) + np.arange(int(lengths.sum()))]
+        self.known = {names[k]: at for at, k in enumerate(often.tolist(), 1)}
+        self.pool, self.used, self.pieces = pool, len(pool), len(kept)
+        self.offset, self.length, self.uses = begins, lengths, self.uses[kept] // 2
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while self.used + ids > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        while self.pieces + len(lengths) > len(self.length):
-            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
+        while self.pieces + pieces > len(self.length):
+            wide = 2 * len(self.length)
+            self.offset, self.length, self.uses = np.resize(self.offset, wide), np.resize(self.length, wide), np.resize(self.uses, wide)
+
+    def _put(self, numbers: np.ndarray, flat: list[int] | np.ndarray, lengths: list[int]) -> None:
+        """Ids of the pieces with these numbers, one after another."""
+        sizes = np.array(lengths, np.int64)
         self.pool[self.used : self.used + len(flat)] = flat
-        self.length[self.pieces : self.pieces + len(lengths)] = lengths
-        self.offset[self.pieces : self.pieces + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers], self.offset[numbers], self.uses[numbers] = sizes, self.used + np.cumsum(sizes) - sizes, 0
         self.used += len(flat)
-        self.pieces += len(lengths)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _add_spaced(self, pieces: list[str]) -> None:
-        """Pieces with a space before each: encoded in one go, cut where an id begins with the space."""
+    def _spaced(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces with a space before each: encoded in one go, cut where an id begins with the space."""
         ids = self._ids(" " + " ".join(pieces))
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) == len(pieces):
-            self._add(ids, np.diff(np.r_[starts, len(ids)]))
-        else:
-            self._add_each([" " + p for p in pieces])
-
-    def _add_each(self, texts: list[str]) -> None:
-        made = [self._ids(t) for t in texts]
-        self._add(np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made)))
+        if len(starts) != len(pieces):
+            return [self._ids(" " + p).tolist() for p in pieces]
+        flat, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
+        return [flat[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
+
+    def _add_fresh(self, pieces: list[str]) -> None:
+        flat, lengths, numbers, rest = [], [], [], []
+        tokenize, marks, letters = self.model.tokenize, self.marks, self.letters
+        for at, piece in enumerate(pieces, self.pieces):
+            mark = marks.get(piece[-1])
+            word = piece[:-1] if mark else piece
+            if not word.isalpha():
+                rest.append(at)
+                continue
+            if not word.isascii():
+                if max(word) >= "\u0250":
+                    rest.append(at)
+                    continue
+                word = word.translate(letters)
+            ids = [t.id for t in tokenize(_SPACE + word)]
+            if mark:
+                ids += mark
+            flat += ids
+            lengths.append(len(ids))
+            numbers.append(at)
+        others = []
+        for a in range(0, len(rest), 4096):
+            others += self._spaced([pieces[at - self.pieces] for at in rest[a : a + 4096]])
+        more = list(chain.from_iterable(others))
+        self._room(len(pieces), len(flat) + len(more))
+        self._put(np.array(numbers, np.int64), flat, lengths)
+        self._put(np.array(rest, np.int64), more, list(map(len, others)))
+        self.pieces += len(pieces)
 
     def _learn(self, row: list[int | None], pieces: list[str], fresh: list[str]) -> bool:
         """Number the unknown pieces of a row; False if one of them can't be taken on its own."""
-        for k, at in enumerate(row):
+        known = self.known
+        for k in [k for k, at in enumerate(row) if at is None]:
+            piece = pieces[k]
+            at = known.get(piece)
             if at is None:
-                if not _separable(pieces[k]):
+                if not piece or piece[0].isspace() or piece[-1].isspace():
                     return False
-                row[k] = self.known.setdefault(pieces[k], self.pieces + len(fresh))
-                if row[k] == self.pieces + len(fresh):
-                    fresh.append(pieces[k])
+                at = known[piece] = self.pieces + len(fresh)
+                fresh.append(piece)
+            row[k] = at
         return True
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, lengths)."""
-        if len(self.known) > REMEMBERED:
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > self.remembered:
             self._forget()
         known, order, counts, fresh, single = self.known, [], [], [], []
         for text in texts:
@@ -116,12 +186,13 @@ class PieceEncoder:
             order += row
             order.append(0)
             counts.append(len(row) + 1 + (head is not None))
-        before = self.pieces
-        for a in range(0, len(fresh), 4096):
-            self._add_spaced(fresh[a : a + 4096])
+        if fresh:
+            self._add_fresh(fresh)
+        at, used = self.pieces, self.used
         if single:
-            at = self.pieces
-            self._add_each(single)
+            made = [self._ids(t) for t in single]
+            self._room(len(made), sum(map(len, made)))
+            self._put(np.arange(at, at + len(made)), np.concatenate(made), list(map(len, made)))
         rows = np.array(order, np.int64)
         if single:
             rows = np.where(rows < 0, at - 1 - rows, rows)
@@ -129,20 +200,32 @@ class PieceEncoder:
         begins = np.cumsum(lengths) - lengths
         ids = self.pool[np.repeat(self.offset[rows] - begins, lengths) + np.arange(int(lengths.sum()))]
         ends = np.cumsum(counts)
-        if single:  # numbers of text beginnings are not remembered
-            self.used, self.pieces = int(self.offset[at]), before + len(fresh)
+        self.used, self.pieces = used, at  # numbers of text beginnings are not remembered
+        self.uses[:at] += np.bincount(rows[rows < at], minlength=at)
         return ids, np.add.reduceat(lengths, ends - counts) if len(counts) else np.zeros(0, np.int64)
 
 
-def _slices(texts: list[str | None], most: int = 1 << 22) -> Iterator[slice]:
-    start, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def _encoder(tokenizer_path: str, end_id: int) -> PieceEncoder:
+    """One encoder a Python worker: its next tasks find the tokenizer loaded and the pieces known."""
+    if (tokenizer_path, end_id) not in _encoders:
+        _encoders[tokenizer_path, end_id] = PieceEncoder(tokenizer_path, end_id)
+    return _encoders[tokenizer_path, end_id]
+
+
+def _slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of about ``most`` characters."""
+    start, held, size = 0, [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
         if size > most:
-            yield slice(start, k + 1)
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+            yield start, held
+            start, held, size = start + len(held), [], 0
+    if held:
+        yield start, held
 
 
 def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -152,7 +235,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer_path, end_id)  # what it remembers goes with the task
+        encoder = _encoder(tokenizer_path, end_id)
         ids, lengths, names, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -164,12 +247,12 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
             return pa.RecordBatch.from_arrays(columns, ["shard", "block", "n_tokens", "doc_ids", "data"])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for piece in _slices(texts):
-                made, sizes = encoder.encode(texts[piece])
+            doc_ids = batch.column(0)
+            for first, texts in _slices(batch.column(1)):
+                made, sizes = encoder.encode(texts)
                 ids.append(made)
                 lengths.append(sizes)
-                names += doc_ids[piece]
+                names += doc_ids.slice(first, len(texts)).to_pylist()
                 held += len(made)
                 if held >= block_tokens:
                     yield flush()
@@ -182,7 +265,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
     ordered = dealt.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "tie"
     )
-    return ordered.select("doc_id", "text").mapInArrow(encode, BLOCK_SCHEMA)
+    return ordered.select("doc_id", "text").mapInArrow(gives_back(encode), BLOCK_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -216,14 +299,15 @@ def read_tokens(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "shard int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long"
-    documents = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(decode, schema + ", ids array<int>" * with_ids)
+    documents = blocks.select("shard", "block", "doc_ids", "data").mapInArrow(gives_back(decode), schema + ", ids array<int>" * with_ids)
     earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     counts = blocks.select("shard", "block", "n_tokens")
+    few = counts.count() <= BROADCAST_BLOCKS
     shards = counts.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
     shards = shards.select("shard", F.coalesce(F.sum("tokens").over(earlier("shard")), F.lit(0)).alias("base"))
     offset = F.coalesce(F.sum("n_tokens").over(earlier("shard", "block")), F.lit(0))
     starts = counts.withColumn("offset", offset).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("offset")).alias("base"))
-    joined = documents.join(starts, ["shard", "block"])
+    joined = documents.join(F.broadcast(starts) if few else starts, ["shard", "block"])
     return joined.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
