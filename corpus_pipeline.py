@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lightloom.llm.common import stored, table
+from lightloom.llm.common import short_batches, stored, table
 from lightloom.llm.decontaminate import remove_contaminated
 from lightloom.llm.language import fit, keep_identified
 from lightloom.llm.minhash import keep_one_of_each
@@ -19,16 +19,19 @@ from lightloom.llm.tokens import token_report
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not found, or is doubtful, go; the model learns from the labelled documents."""
+    short_batches(spark)
     return keep_identified(docs, fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, a similarity of 0.8)."""
+    short_batches(spark)
     return keep_one_of_each(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
+    short_batches(spark)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), how="documents")
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    short_batches(spark)
     return token_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
