@@ -1,16 +1,17 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Texts with equal words are one class; every document of a class but the first loses all its words at once.
-2. Anchors: of each window of ``window`` words the least code among its ``GRAM``-word grams, so that equal windows have equal
-   anchors; about one position in eight is one. Anchors are counted over all documents (pre-aggregated).
-3. Windows whose anchor recurs are candidates; their 96-bit codes are grouped, which confirms the recurring ones and names
-   the place where each starts first.
-4. Runs of confirmed windows whose first places run along are the recurring passages. Each batch of documents (a shard)
-   compiles its passages into an Aho-Corasick automaton over words and streams its texts through it; every occurrence
-   that is not the passage's first place is removed. No task ever holds more than its shard's passages.
-
-Only anchors and codes of candidate windows are shuffled by value; a passage that a third of the documents share is one
-row a task in the counts and a few places in each of its documents.
+2. Confirm: of each window of ``window`` words the least code among its ``GRAM``-word grams is its anchor, so that equal windows
+   have equal anchors; about one position in eight is one. Windows whose anchor recurs are coded in 96 bits and counted;
+   those that recur are kept once, by the place where each starts first.
+3. Runs of such places in one document are the recurring passages. They are dealt to shards of about ``SHARD_WORDS`` words.
+4. Each shard becomes an Aho-Corasick automaton over words, of tiles of half a window, and the documents are streamed through
+   it. A tile found leads to the windows around it, which are looked up among the shard's windows and verified word by
+   word. Every window that is not its own first place is removed.
+
+A document is streamed through the shards that hold an anchor of it; in others nothing of it can be found, since equal
+windows have equal anchors. A shard that very many documents meet is compiled for each ``CHUNK_WORDS`` words of them. Anchors
+and texts that very many documents share are salted where they are joined.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that share a doc_id and
 the words count as one document, other rows with one doc_id are ordered by a hash of their words; null doc_ids come
@@ -28,11 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, gives_back, salted_join, stored
 
 WINDOW = 20
 GRAM = 6
-SHARD_CHARS = 1 << 22
+SHARD_WORDS, CHUNK_WORDS = 400_000, 1_000_000
+_PART = 480
+#: Up to so many shards, the table of their sizes (8 bytes each) goes to every task.
+BROADCAST_SHARDS = 1_000_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -102,15 +106,17 @@ def _digest(codes: np.ndarray) -> tuple[int, int]:
     return high - (1 << 63), low - (1 << 63)
 
 
-ANCHOR_SCHEMA = "doc_id long, n_words int, h1 long, h2 long, anchors array<long>"
+ANCHOR_SCHEMA = "doc_id long, t long, n_words int, h1 long, h2 long, anchors array<long>"
 
 
 def anchor_table(docs: DataFrame, window: int) -> DataFrame:
+    """docs: doc_id, t, text."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(window)
         for batch in batches:
             n_words, h1, h2, anchors = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 codes = scanner.code(words_of(text.as_py()))
                 high, low = _digest(codes)
                 found = np.zeros(0, np.uint64)
@@ -121,28 +127,22 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
                 h1.append(high)
                 h2.append(low)
                 anchors.append(found.view(np.int64))
-            columns = [batch.column(0), pa.array(n_words, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(n_words, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
             columns.append(pa.array(anchors, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "h1", "h2", "anchors"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, ANCHOR_SCHEMA)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_words", "h1", "h2", "anchors"])
 
+    return docs.mapInArrow(gives_back(scan), ANCHOR_SCHEMA)
 
-def candidate_windows(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """(h, g, o, start) of every window whose anchor recurs; recurring: doc_id, h1, h2, o, hits (anchor codes).
 
-    Rows that repeat give their windows again, which changes no first place.
-    """
+def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
+    """(h, g, o, start) of every window whose anchor recurs, from o, text and hits (recurring anchors)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(window)
-        names = ("o", "text", "h1", "h2", "hits")
         for batch in batches:
             kept = []
-            for o, text, h1, h2, hits in zip(*(batch.column(c) for c in names), strict=True):
+            for o, text, hits in zip(*(batch.column(c) for c in ("o", "text", "hits")), strict=True):
                 codes = scanner.code(words_of(text.as_py()))
-                if _digest(codes) != (h1.as_py(), h2.as_py()):
-                    continue  # another row with this doc_id
                 grams, at = _anchors(codes, window)
                 wanted = np.sort(hits.values.to_numpy().view(np.uint64))
                 own = grams[at]
@@ -155,134 +155,178 @@ def candidate_windows(docs: DataFrame, recurring: DataFrame, window: int) -> Dat
                 columns = [pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "g", "o", "start"])
 
-    joined = docs.select("doc_id", "text").join(recurring.withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i")))
-    return joined.select("o", "text", "h1", "h2", "hits").mapInArrow(scan, "h long, g int, o long, start int")
+    return rows.select("o", "text", "hits").mapInArrow(gives_back(scan), "h long, g int, o long, start int")
 
 
-def recurring_places(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(all documents: doc_id, n_words, h1, h2, o, head; documents with windows that started earlier: o, places).
+def passages(rows: DataFrame, window: int) -> DataFrame:
+    """(o, start, words, n, anchors) from o, text and starts (first places of recurring windows), in parts of up to ``_PART`` windows."""
 
-    o numbers the documents in order; head is the o of the first document with the same words.
-    places: arrays starts, first_os, first_starts, in order, of every window of the document that starts earlier elsewhere.
-    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _Scanner(window)
+        for batch in batches:
+            out: list[tuple] = []
+            for o, text, starts in zip(*(batch.column(c) for c in ("o", "text", "starts")), strict=True):
+                words, at = words_of(text.as_py()), np.sort(starts.values.to_numpy())
+                grams, least = _anchors(scanner.code(words), window)
+                for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                    for k in range(0, len(run), _PART):
+                        a, b = int(run[k]), int(run[min(k + _PART, len(run)) - 1])
+                        own = np.unique(grams[least[a : b + 1]]).view(np.int64)
+                        out.append((o.as_py(), a, b" ".join(words[a : b + window]), b - a + window, own))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors"])
+
+    return rows.select("o", "text", "starts").mapInArrow(gives_back(cut), "o long, start int, words binary, n long, anchors array<long>")
+
+
+class Shard:
+    """The automaton of a shard's passages, given as (o, start, words)."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], window: int):
+        self.window, self.tile = window, max(1, window // 2)
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        flat, codes, firsts = [], [], []
+        begin = 0
+        for o, start, words in parts:
+            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words.split()]
+            for k in range(0, len(own) - self.tile + 1, self.tile):
+                self.automaton.add_word(tuple(own[k : k + self.tile]))
+            row = np.array(own, np.uint64)
+            codes.append(_rolling(row, window, 0xA24BAED4963EE407))
+            n = len(codes[-1])
+            firsts.append(np.stack([np.full(n, o), start + np.arange(n), begin + np.arange(n)]))
+            flat.append(row)
+            begin += len(own)
+        self.automaton.make_automaton()
+        self.flat, codes = np.concatenate(flat), np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        self.codes, (self.first_o, self.first_start, self.at) = codes[order], np.concatenate(firsts, axis=1)[:, order]
+
+    def removed(self, o: int, words: list[bytes]) -> list[tuple[int, int]]:
+        """Word spans [from, to) of the document's windows that are passages' and not first places."""
+        window, tile = self.window, self.tile
+        get, n = self.numbers.get, len(words) - self.window + 1
+        text = tuple([get(w, 0) for w in words])
+        ends = [end for end, _ in self.automaton.iter(text)] if n > 0 else []
+        if not ends:
+            return []
+        begin = np.array(ends) - tile + 1
+        low, high = np.clip(begin - (window - tile), 0, n), np.clip(begin + 1, 0, n)
+        starts = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1] > 0)
+        row = np.array(text, np.uint64)
+        codes = _rolling(row, window, 0xA24BAED4963EE407)[starts]
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[place] == codes
+        starts, place = starts[known], place[known]
+        within = np.arange(window)
+        same = (row[starts[:, None] + within] == self.flat[self.at[place][:, None] + within]).all(1)
+        starts = starts[same & ((self.first_o[place] != o) | (self.first_start[place] != starts))]
+        if not len(starts):
+            return []
+        split = np.flatnonzero(np.diff(starts) > window)
+        return list(zip(starts[np.r_[0, split + 1]].tolist(), (starts[np.r_[split, len(starts) - 1]] + window).tolist(), strict=True))
+
+
+def _streamed(documents: DataFrame, parts: DataFrame, window: int) -> DataFrame:
+    """(o, low, high): spans to remove, from documents (shard, chunk, o, text) and the parts (shard, chunk, o, start, words)."""
+
+    def stream(texts: pa.Table, own: pa.Table) -> pa.Table:
+        spans: list[tuple[int, int, int]] = []
+        if texts.num_rows and own.num_rows:
+            shard = Shard(list(zip(*(own.column(c).to_pylist() for c in ("o", "start", "words")), strict=True)), window)
+            for o, text in zip(texts.column("o").to_pylist(), texts.column("text"), strict=True):
+                spans += [(o, a, b) for a, b in shard.removed(o, words_of(text.as_py()))]
+        return pa.table([pa.array([x[k] for x in spans], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["o", "low", "high"])
+
+    keys = ["shard", "chunk"]
+    return documents.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(stream, "o long, low int, high int")
+
+
+def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, t, copy, spans) of the documents that lose words; t is the hash of the text, copy: all words go."""
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    scanned = stored(anchor_table(hashed, window).filter(F.col("n_words") >= window), "anchors")
     order = ["doc_id", "h1", "h2"]
-    scanned = stored(anchor_table(docs, window), "anchors")
-    ids = scanned.select(*order, "n_words").dropDuplicates(order)
+    ids = scanned.groupBy(*order).agg(F.min("t").alias("t"))
     ids = stored(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("o", F.monotonically_increasing_id()), "order")
-    heads = ids.groupBy("h1", "h2").agg(F.min("o").alias("head"))
-    named = stored(ids.join(heads, ["h1", "h2"]), "documents")
-    head = named.filter("o = head").select(F.col("doc_id").alias("i"), "h1", "h2", "o")
-    same = F.col("doc_id").eqNullSafe(F.col("i"))
-    firsts = scanned.filter(F.size("anchors") > 0).join(head, ["h1", "h2"]).filter(same).select("o", "anchors")
-    firsts = stored(firsts, "first-anchors")
-    discard(scanned)
+    heads = ids.groupBy("h1", "h2").agg(F.min(F.struct("o", "doc_id", "t")).alias("head"), F.count("*").alias("n"))
+    heads = stored(heads.select("h1", "h2", "n", "head.*"), "first-of-class")
+    words = F.struct("h1", "h2").alias("words")
+    copies = salted_join(ids.select(words, *order, "o"), heads.filter("n > 1").select(words, F.col("o").alias("head"), "n"), "words", "o")
+    copies = copies.filter("o != head").select(*order)
+    own_row = lambda rows: (rows["doc_id"].eqNullSafe(F.col("i"))) & (rows["t"] == F.col("u"))
+    first = heads.select("o", F.col("doc_id").alias("i"), F.col("t").alias("u"))
+    firsts = stored(scanned.join(first, own_row(scanned)).select("o", "i", "u", "anchors"), "first-anchors")
     each = firsts.select("o", F.explode("anchors").alias("anchor"))
-    counted = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "recurring-anchors")
-    hits = each.join(counted, "anchor").groupBy("o").agg(F.collect_set("anchor").alias("hits"))
-    hits = stored(hits.join(named.select("o", *order), "o"), "anchor-hits")
+    counted = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "recurring-anchors")
+    hits = salted_join(each, counted, "anchor", "o").groupBy("o").agg(F.collect_set("anchor").alias("hits"))
+    hits = stored(hits.join(first, "o"), "anchor-hits")
     discard(firsts)
-    discard(counted)
-    windows = stored(candidate_windows(docs, hits, window), "windows")
-    discard(hits)
-    place = F.struct("o", "start")
-    first = windows.groupBy("h", "g").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    first = stored(first.select("h", "g", F.col("f.o").alias("first_o"), F.col("f.start").alias("first_start")), "first-windows")
-    later = windows.join(first, ["h", "g"]).filter("o != first_o or start != first_start")
-    later = stored(later.select("o", "start", "first_o", "first_start"), "later-windows")
-    for done in (ids, windows, first):
+    with_text = lambda rows: hashed.join(rows, own_row(hashed))
+
+    windows = stored(candidate_windows(with_text(hits), window), "windows")
+    confirmed = windows.groupBy("h", "g").agg(F.min(F.struct("o", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    starts = confirmed.groupBy(F.col("f.o").alias("o")).agg(F.collect_list("f.start").alias("starts"))
+    starts = stored(starts.join(first, "o"), "first-windows")
+    discard(windows)
+    parts = stored(passages(with_text(starts), window), "passages")
+    discard(starts)
+    shards = -(-(parts.agg(F.sum("n")).first()[0] or 1) // SHARD_WORDS)
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("o", F.floor(F.col("start") / (16 * _PART))), F.lit(shards)).cast("int"))
+    homes = dealt.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.collect_set("shard").alias("shards"))
+    routes = salted_join(hits.select("o", F.explode("hits").alias("anchor")), homes.join(counted, "anchor"), "anchor", "o")
+    routes = routes.select("o", F.explode("shards").alias("shard")).distinct().groupBy("o").agg(F.collect_list("shard").alias("shards"))
+    routes = stored(routes.join(hits.select("o", "i", "u"), "o"), "routes")
+    sent = with_text(routes).select("o", "text", F.explode("shards").alias("shard"))
+    sizes = routes.join(scanned.select("doc_id", "t", "n_words"), own_row(scanned)).select("n_words", F.explode("shards").alias("shard"))
+    sizes = stored(sizes.groupBy("shard").agg(F.ceil(F.sum("n_words") / CHUNK_WORDS).cast("int").alias("chunks")), "shard-sizes")
+    chunk = F.pmod(F.xxhash64("o"), F.col("chunks")).cast("int").alias("chunk")
+    sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "text")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    spans = _streamed(sent, dealt.join(sizes, "shard").select("shard", every, "o", "start", "words"), window)
+    spans = stored(spans.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    for done in (parts, routes, counted):
+        discard(done)
+    cut = spans.join(ids, "o").select(*order, F.lit(False).alias("copy"), "spans")
+    cut = cut.unionByName(copies.select(*order, F.lit(True).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    texts = scanned.select(*order, "t").distinct()
+    same = texts["doc_id"].eqNullSafe(F.col("i")) & (texts["h1"] == F.col("g1")) & (texts["h2"] == F.col("g2"))
+    renamed = cut.withColumnsRenamed({"doc_id": "i", "h1": "g1", "h2": "g2"})
+    out = stored(texts.join(renamed, same).select("doc_id", "t", "copy", "spans"), "repeated-spans")
+    for done in (scanned, ids, heads, hits, sizes, spans):
         discard(done)
-    listed = F.array_sort(F.collect_list(F.struct("start", "first_o", "first_start")))
-    places = later.groupBy("o").agg(listed.alias("p")).select("o", *[F.col("p")[c].alias(c + "s") for c in ("start", "first_o", "first_start")])
-    places = stored(places, "places")
-    discard(later)
-    return named, places
-
-
-def _passages(starts: np.ndarray, first_os: np.ndarray, first_starts: np.ndarray, window: int) -> list[tuple]:
-    """Runs (start, end in words, o and start of the first place) of windows whose first places run along."""
-    along = (np.diff(starts) == 1) & (np.diff(first_os) == 0) & (np.diff(first_starts) == 1)
-    begin = np.flatnonzero(np.r_[True, ~along])
-    end = np.r_[begin[1:], len(starts)] - 1
-    return list(zip(starts[begin].tolist(), (starts[end] + window).tolist(), first_os[begin].tolist(), first_starts[begin].tolist(), strict=True))
-
-
-def _removed(docs: list[tuple], window: int) -> list[np.ndarray]:
-    """A shard: (o, words, places) of each document; which words go."""
-    numbers: dict[bytes, int] = {}
-    texts, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for _, words, places in docs:
-        text = ()
-        if places is not None:
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers) + 1
-            text = tuple(map(numbers.__getitem__, words))
-            for start, end, o, at in _passages(*places, window):
-                automaton.add_word(text[start:end], (end - start, (o, at)))
-        texts.append(text)
-    if len(automaton):
-        automaton.make_automaton()
-    out = []
-    for (o, words, places), text in zip(docs, texts, strict=True):
-        edge = np.zeros(len(words) + 1, np.int32)
-        if places is not None:
-            for last, (size, first) in automaton.iter(text):
-                start = last - size + 1
-                if first != (o, start):
-                    edge[start] += 1
-                    edge[last + 1] -= 1
-        out.append(np.cumsum(edge[:-1]) > 0)
     return out
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` as struct ``d``, with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    named, places = recurring_places(docs, window)
-    copy = (F.col("n_words") >= window) & (F.col("o") != F.col("head"))
-    notes = named.join(places, "o", "left").filter(copy | F.col("starts").isNotNull())
-    note = F.struct("h1", "h2", "o", copy.alias("copy"), "starts", "first_os", "first_starts")
-    grouped = notes.groupBy("doc_id").agg(F.collect_list(note).alias("notes"))
+    spans = repeated_spans(docs, window).withColumnsRenamed({"doc_id": "i", "t": "u"})
     whole = docs.select(F.struct("*").alias("d"))
-    joined = whole.join(grouped, F.col("d.doc_id").eqNullSafe(F.col("doc_id")), "left").select("d", "notes")
+    same = F.col("d.doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("d.text") == F.col("u"))
+    joined = whole.join(spans, same, "left").select("d", F.col("d.text").alias("text"), "copy", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(window)
-
-        def finish(rows: pa.RecordBatch, shard: list[tuple], gone: list[bool]) -> pa.RecordBatch:
+        for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for (_, words, _), all_of_it, cut in zip(shard, gone, _removed(shard, window), strict=True):
-                stay = [] if all_of_it else words
-                if not all_of_it and cut.any():
-                    stay = [w for w, x in zip(words, cut.tolist(), strict=True) if not x]
+            for text, copy, cuts in zip(*(batch.column(c) for c in ("text", "copy", "spans")), strict=True):
+                words = words_of(text.as_py())
+                stay = [] if copy.as_py() else words
+                if cuts.is_valid:
+                    gone = bytearray(len(words))
+                    for cut in cuts.as_py():
+                        gone[cut["low"] : cut["high"]] = b"\x01" * (cut["high"] - cut["low"])
+                    stay = [w for w, x in zip(words, gone, strict=True) if not x]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(stay))
                 kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            return pa.RecordBatch.from_arrays([rows.column("d"), *made], ["d", "n_words", "n_removed", "kept"])
-
-        for batch in batches:
-            d = batch.column("d")
-            shard, gone, held, begun = [], [], 0, 0
-            for k, (text, notes) in enumerate(zip(d.field("text"), batch.column("notes"), strict=True)):
-                words, o, copy, places = words_of(text.as_py()), None, False, None
-                if notes.is_valid:
-                    high, low = _digest(scanner.code(words))
-                    for note in notes:
-                        if (note["h1"].as_py(), note["h2"].as_py()) == (high, low):
-                            o, copy = note["o"].as_py(), note["copy"].as_py()
-                            if note["starts"].is_valid:
-                                places = [note[c].values.to_numpy() for c in ("starts", "first_os", "first_starts")]
-                shard.append((o, words, places))
-                gone.append(copy)
-                held += len(text.as_py() or "")
-                if held > SHARD_CHARS:
-                    yield finish(batch.slice(begun, k + 1 - begun), shard, gone)
-                    shard, gone, held, begun = [], [], 0, k + 1
-            if shard:
-                yield finish(batch.slice(begun), shard, gone)
+            yield pa.RecordBatch.from_arrays([batch.column("d"), *made], ["d", "n_words", "n_removed", "kept"])
 
     schema = whole.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(gives_back(remove), schema)
 
 
 def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
