@@ -19,7 +19,7 @@ component and is kept; other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import gives_back, salted_join, stored
 from .graph import connected_components
 
 MINIMA, ROWS = 96, 4
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             if ids:
                 yield rows(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(gives_back(sign), SIGNATURE_SCHEMA)
 
 
 def _pair(a: str, b: str) -> list:
@@ -134,7 +134,14 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             yield batch.filter(pa.array((x == y).mean(1) >= least)).select(["a", "b"])
 
     side = lambda n: reps.select(F.col("rep").alias(n), F.col("sig").alias("s" + n))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
+    return _beside(pairs, side).mapInArrow(gives_back(compare), "a long, b long")
+
+
+def _beside(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
+    """Pairs with what ``side`` has for a and for b; the centre of a large star is in very many of them."""
+    for n, other in (("a", "b"), ("b", "a")):
+        pairs = salted_join(pairs, side(n).join(pairs.groupBy(n).agg(F.count("*").alias("n")), n), n, other)
+    return pairs
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias("t" + n))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "a long, b long")
+    return _beside(pairs, side).mapInArrow(gives_back(confirm), "a long, b long")
 
 
 def _candidates(members: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     signed = stored(signatures(docs, width), "minhash")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     same = usable.withColumnRenamed("doc_id", "rep").select("rep", "h1", "h2", "sig").dropDuplicates(["rep", "h1", "h2"])
     reps = stored(same.join(classes, ["rep", "h1", "h2"], "left_semi").select("rep", "sig"), "classes")
 
@@ -244,17 +251,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = stored(sized.join(centres, "key", "left"), "members")
     pairs = _agreeing(_candidates(members), reps, percent / 100 - MARGIN)
     links = stored(_confirmed(stored(pairs, "pairs"), docs, width, percent), "links")
-    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    several = usable.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("kinds")).filter("kinds > 1").select("doc_id")
+    one_document = usable.join(several, "doc_id").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(one_document))
     if not members.filter(F.col("n") > SMALL).isEmpty():
         sizes = usable.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")).groupBy("rep").agg(F.max("size").alias("size"))
         extra = stored(_completion(members, sizes, roots, docs, width, percent), "links")
         if not extra.isEmpty():
             known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = connected_components(known.unionByName(extra.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    in_class = classes.join(roots, F.col("rep") == F.col("node"), "left")
-    in_class = in_class.select("h1", "h2", F.coalesce("root", "rep").alias("component"))
-    alone = F.when(F.col("n_shingles") > 0, F.col("component"))
-    return signed.drop("sig").join(in_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, F.col("doc_id"))).alias("component_id"))
+    digest = F.struct("h1", "h2").alias("set")
+    in_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select(digest, F.coalesce("root", "rep").alias("component_id"), "n")
+    placed = salted_join(usable.select("doc_id", "n_shingles", digest), in_class, "set", "doc_id").drop("set")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def minhash_report(docs: DataFrame, width: int, percent: int) -> DataFrame:
