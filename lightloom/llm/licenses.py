@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import ascii_lower
 from .license_rules import BASE, CONFIDENCE, GATES, Rule, rules
 
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,7 +25,7 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def normalised(text: Column) -> Column:
     """Lower-case words, each between single spaces; one space if there are none."""
-    inner = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_ALNUM, " "))
+    inner = F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_ALNUM, " "))
     return F.when(inner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
