@@ -50,6 +50,25 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.embedding_report(none).count() == 0
 
 
+@pytest.mark.parametrize("large,block", [(4096, 2000), (0, 7)])
+def test_embedding_families(spark, monkeypatch, large, block):
+    """A family of near copies with copies of its own, and values beyond float: exact counts, with blocks of any size."""
+    monkeypatch.setattr(embeddings, "LARGE", large)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    vectors = [centre + 0.12 * rng.normal(size=16) for _ in range(60)] + [rng.normal(size=16) for _ in range(60)]
+    vectors += [vectors[3] * 1e300, vectors[5], vectors[5]]
+    rows = [(i, [float(x) for x in v], "x", None) for i, v in enumerate(vectors)]
+    unit = np.array([v / np.abs(v).max() for v in vectors])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
+    got = {r.vec_id: r for r in embeddings.embedding_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>, value string, root int")).collect()}
+    assert all(got[k].n_links == n for k, n in enumerate(links.sum(1)))
+    reach = np.linalg.matrix_power(links.astype(float) + np.eye(len(unit)), 16) > 0
+    assert all(got[k].component_id == int(np.flatnonzero(r)[0]) for k, r in enumerate(reach))
+
+
 @pytest.mark.parametrize("shared", [0.5, 0.8, 0.93])
 def test_embeddings_with_a_common_direction(spark, shared):
     """Vectors of a mean cosine of ``shared``, in pairs at cosines from 0.95 to 0.96: both the tables and all pairs."""

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lightloom.llm import decontaminate, language, license_rules, licenses, lines, lm, minhash, mixing, substrings
 
@@ -74,6 +75,15 @@ def test_lines(spark, batches, fanout):
     assert lines.drop_frequent_lines(frame(spark)).columns == frame(spark).columns
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """7 is a copy of 5 and, in another row, of 9: all are one group."""
+    base, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    docs = spark.createDataFrame([(5, base), (7, base), (7, other), (9, other)], "doc_id long, text string")
+    got = minhash.minhash_report(docs, 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False)]
+    assert [r.doc_id for r in minhash.keep_one_of_each(docs, 3, 85).collect()] == [5]
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for r in rows:
@@ -126,6 +136,23 @@ def test_substrings(spark):
     assert substrings.drop_repeated_passages(frame(spark)).columns == frame(spark).columns
 
 
+def test_substrings_come_from_the_automaton(spark, monkeypatch):
+    """With an automaton that finds nothing only whole copies go; with small shards and chunks nothing changes."""
+    docs = frame(spark).select("doc_id", "text").distinct()
+    got = substrings.substring_report(docs).collect()
+    whole = sorted(map(tuple, got), key=str)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 30)
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(substrings, "_PART", 7)
+    assert sorted(map(tuple, substrings.substring_report(docs).collect()), key=str) == whole
+    spans = substrings.Shard([(1, 0, b"a b c d e f"), (2, 4, b"x b c d e y")], 4)
+    assert spans.removed(9, b"q b c d e r a b c d".split()) == [(1, 5), (6, 10)]
+    assert spans.removed(1, b"a b c d e f".split()) == []
+    nothing = lambda documents, parts, window: documents.select("o", F.lit(0).alias("low"), F.lit(0).alias("high")).limit(0)
+    monkeypatch.setattr(substrings, "_streamed", nothing)
+    assert sum(r.n_removed for r in substrings.substring_report(docs).collect()) < sum(r.n_removed for r in got)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 7])
 def test_decontamination(spark, most):
     rows = documents()
@@ -257,28 +284,58 @@ def test_lm(spark, monkeypatch, most):
     assert lm.lm_report(empty(spark)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over all words that training knows, the end, and one unseen word, after some history."""
-    docs = frame(spark).select("doc_id", "text")
-    counts = lm.word_counts(docs)
-    model = lm.fit(docs, counts)
-    words = [r.word.decode() for r in counts.collect()]
-    one = lambda text: (text, text)
-    texts = ["the", *("the " + w for w in words), "the unseenword"]
-    scored = lm.score(spark.createDataFrame([one(t) for t in texts], "doc_id string, text string"), model, counts).collect()
-    by = {r.d.doc_id: r.score for r in scored}
-    # a text "the w" is the, w, end: divide out the common start and the end after (the, w)
-    slots = lambda a, b: lm._features(np.array([a, b, 0], np.int32), np.array([0]))[:, 2:]
-    total = 10 ** (by["the"])  # P(the) P(end | the)
-    number = lambda w: model.vocab.numbers.get(w.encode(), lm.RARE)
-    for w in [*words, "unseenword"]:
-        s = slots(number("the"), number(w))
-        logs = lm._log_softmax(model.weights[s[0]] + model.weights[s[1]] + model.weights[s[2]] + model.bias)[0]
-        end = logs[model.classes[lm.END]] / math.log(10) + math.log10((model.vocab.counts[0] + lm.ALPHA) / model.class_mass[model.classes[lm.END]])
-        total += 10 ** (by["the " + w] - end)
-    first = lm._features(np.array([number("the")], np.int32), np.array([0]))
-    logs = lm._log_softmax(model.weights[first[0]] + model.weights[first[1]] + model.weights[first[2]] + model.bias)[0]
-    k = number("the")
-    own = math.log(model.vocab.counts[k] + lm.ALPHA) if k != lm.RARE else math.log(lm.ALPHA)
-    start = math.exp(logs[model.classes[k]] + own - math.log(model.class_mass[model.classes[k]]))
-    assert math.isclose(total, start, rel_tol=1e-3)
+def test_lm_probabilities_sum_to_one(spark, monkeypatch):
+    """Over the end, all numbered words, and all others as one, after some history; with classes of a few words each."""
+    monkeypatch.setattr(lm, "WIDE", 4)
+    monkeypatch.setattr(lm, "BANDS", 2)
+    monkeypatch.setattr(lm, "CLASSES", lm.CLUSTERS * 3 + 1)
+    docs = frame(spark).select(F.struct("doc_id").alias("d"), "text", F.lit(True).alias("learn"))
+    vocab = lm.vocabulary(lm.word_counts(docs), docs.count(), 60)
+    assert len(vocab.numbers) == 60
+    model = lm.fit(lm.numbered(docs, vocab).withColumn("rid", F.monotonically_increasing_id()), vocab)
+    assert np.abs(model.class_weights).max() > 0.01 and np.abs(model.word_weights).max() > 0.01
+    ends = np.arange(62)
+    for history in ([2, 3], [5], [lm.RARE, 9]):
+        rows = np.stack([[*history, e] for e in ends]).astype(np.int32)
+        codes = model.codes[rows]
+        codes[rows == lm.RARE] = 12345
+        starts = np.arange(len(ends)) * rows.shape[1]
+        logs = lm.log_probabilities(lm._Run(starts, rows.ravel(), codes.ravel()), model).reshape(rows.shape)[:, -1]
+        assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)  # the rare words' class as one outcome
+
+
+def test_lm_step_is_the_gradient():
+    """A mini-batch step moves every feature's weights against its mean residual, here counted token by token."""
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(size=(8, 5)).astype(np.float32), rng.normal(size=5).astype(np.float32)
+    slots, target = rng.integers(0, 8, (2, 40)), rng.integers(0, 5, 40)
+    want = weights.astype(float)
+    for k in range(2):
+        step, seen = np.zeros((8, 5)), np.zeros(8)
+        now = weights.astype(float)
+        for t in range(40):
+            logits = now[slots[0, t]] + now[slots[1, t]] + bias
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            p[target[t]] -= 1
+            step[slots[k, t]] += p
+            seen[slots[k, t]] += 1
+        want -= lm.RATE * step / (seen + 5)[:, None] * (seen > 0)[:, None]
+    lm.descend(weights, slots, bias, target)
+    assert np.allclose(weights, want, atol=1e-5)
+
+
+def test_lm_learns_history(spark):
+    """Texts in which each word names the next: held out, the model beats the base by far."""
+    words = [f"w{k}" for k in range(30)]
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(400):
+        at = int(rng.integers(30))
+        text = []
+        for _ in range(60):
+            text.append(words[at])
+            at = (7 * at + 3) % 30
+        rows.append((i, " ".join(text)))
+    got = [r for r in lm.lm_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got) and len(got) > 20
