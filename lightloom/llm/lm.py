@@ -37,11 +37,11 @@ from .common import gives_back, stored
 
 ALPHA = 0.1
 MAX_WORDS = 100_000
-CLUSTERS, BANDS, WIDE, SEEDS = 5, 24, 96, 12
+CLUSTERS, BANDS, WIDE, SEEDS = 5, 5, 48, 12
 CLASSES = CLUSTERS * (BANDS + 1) + 1
 SLOTS = 1 << 14
 ROUNDS = 3
-BATCH = 1 << 13
+BATCH = 1 << 12
 RATE = 1.0
 END, RARE = 0, 1
 _FLUSH = 300_000
@@ -217,7 +217,7 @@ class Classes(NamedTuple):
     told: np.ndarray
 
 
-def word_classes(docs: DataFrame, vocab: Vocabulary, blocks: int = 16) -> Classes:
+def word_classes(docs: DataFrame, vocab: Vocabulary, blocks: int = 8) -> Classes:
     """From ``numbered`` documents, by the very frequent words that a word meets in them."""
     size = len(vocab.counts)
     of, place, told = np.full(size, CLASSES - 1), np.zeros(size, int), np.arange(CLASSES) % (BANDS + 1) != BANDS
@@ -308,7 +308,7 @@ def descend(weights: np.ndarray, slots: np.ndarray, bias: np.ndarray, target: np
         weights[sorted_slots[first]] -= np.float32(RATE) * np.add.reduceat(residual[order], first) / (size + 5.0).astype(np.float32)[:, None]
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, blocks: int = 64) -> Model:
+def fit(docs: DataFrame, vocab: Vocabulary, blocks: int = 16) -> Model:
     """From ``numbered`` training documents."""
     context = docs.sparkSession.sparkContext
     classes, codes = word_classes(docs, vocab), _code_table(vocab)
