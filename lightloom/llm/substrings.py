@@ -2,16 +2,17 @@
 
 1. Texts with equal words are one class; every document of a class but the first loses all its words at once.
 2. Confirm: of each window of ``window`` words the least code among its ``GRAM``-word grams is its anchor, so that equal windows
-   have equal anchors; about one position in eight is one. Windows whose anchor recurs are coded in 96 bits and counted;
-   those that recur are kept once, by the place where each starts first.
+   have equal anchors; about one position in eight is one. Runs of windows whose anchor recurs are a document's regions; only
+   they can hold anything that recurs. Their windows are coded in 96 bits and counted; those that recur are kept once, by
+   the place where each starts first.
 3. Runs of such places in one document are the recurring passages. They are dealt to shards of about ``SHARD_WORDS`` words.
-4. Each shard becomes an Aho-Corasick automaton over words, of tiles of half a window, and the documents are streamed through
+4. Each shard becomes an Aho-Corasick automaton of tiles of its passages, and the regions of all documents are streamed through
    it. A tile found leads to the windows around it, which are looked up among the shard's windows and verified word by
    word. Every window that is not its own first place is removed.
 
-A document is streamed through the shards that hold an anchor of it; in others nothing of it can be found, since equal
-windows have equal anchors. A shard that very many documents meet is compiled for each ``CHUNK_WORDS`` words of them. Anchors
-and texts that very many documents share are salted where they are joined.
+A region is streamed through the shards that hold an anchor of it; in others nothing of it can be found, since equal windows
+have equal anchors. A shard that very many regions meet is compiled for each ``CHUNK_WORDS`` words of them. Anchors and texts
+that very many documents share are salted where they are joined.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that share a doc_id and
 the words count as one document, other rows with one doc_id are ordered by a hash of their words; null doc_ids come
@@ -21,6 +22,7 @@ first; other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,8 +35,9 @@ from .common import discard, gives_back, salted_join, stored
 
 WINDOW = 20
 GRAM = 6
-SHARD_WORDS, CHUNK_WORDS = 400_000, 1_000_000
+SHARD_WORDS, CHUNK_WORDS = 1_000_000, 4_000_000
 _PART = 480
+_FIRST = 0xF0000  # letters of private use
 #: Up to so many shards, the table of their sizes (8 bytes each) goes to every task.
 BROADCAST_SHARDS = 1_000_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -134,96 +137,117 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(gives_back(scan), ANCHOR_SCHEMA)
 
 
-def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(h, g, o, start) of every window whose anchor recurs, from o, text and hits (recurring anchors)."""
+REGION_SCHEMA = "o long, start int, words binary, n int, anchors array<long>, h array<long>, g array<int>"
+
+
+def regions(rows: DataFrame, window: int) -> DataFrame:
+    """Runs of windows whose anchor recurs, in parts of up to ``_PART`` windows, from o, text and hits (recurring anchors): where
+    the run starts, its words and how many, its anchors, and the two codes of each window."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(window)
         for batch in batches:
-            kept = []
+            out: list[tuple] = []
             for o, text, hits in zip(*(batch.column(c) for c in ("o", "text", "hits")), strict=True):
-                codes = scanner.code(words_of(text.as_py()))
+                words = words_of(text.as_py())
+                codes = scanner.code(words)
                 grams, at = _anchors(codes, window)
-                wanted = np.sort(hits.values.to_numpy().view(np.uint64))
-                own = grams[at]
+                wanted, own = np.sort(hits.values.to_numpy().view(np.uint64)), grams[at]
                 place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 starts = np.flatnonzero(wanted[place] == own)
-                h = _rolling(codes, window, 0xA24BAED4963EE407)[starts].view(np.int64)
-                g = (_rolling(codes, window, 0x9FB21C651E98DF25)[starts].view(np.int64) >> 32).astype(np.int32)
-                kept.append((h, g, np.full(len(starts), o.as_py()), starts.astype(np.int32)))
-            if kept:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*kept, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "g", "o", "start"])
+                h = _rolling(codes, window, 0xA24BAED4963EE407).view(np.int64)
+                g = (_rolling(codes, window, 0x9FB21C651E98DF25).view(np.int64) >> 32).astype(np.int32)
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
+                    for k in range(0, len(run), _PART):
+                        a, b = int(run[k]), int(run[min(k + _PART, len(run)) - 1]) + 1
+                        anchors = np.unique(own[a:b]).view(np.int64)
+                        out.append((o.as_py(), a, b" ".join(words[a : b + window - 1]), b - a + window - 1, anchors, h[a:b], g[a:b]))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors", "h", "g"])
 
-    return rows.select("o", "text", "hits").mapInArrow(gives_back(scan), "h long, g int, o long, start int")
+    return rows.select("o", "text", "hits").mapInArrow(gives_back(scan), REGION_SCHEMA)
 
 
 def passages(rows: DataFrame, window: int) -> DataFrame:
-    """(o, start, words, n, anchors) from o, text and starts (first places of recurring windows), in parts of up to ``_PART`` windows."""
+    """(o, start, words, n, anchors) from regions (o, start, words) and firsts (first places of recurring windows in the region)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(window)
         for batch in batches:
             out: list[tuple] = []
-            for o, text, starts in zip(*(batch.column(c) for c in ("o", "text", "starts")), strict=True):
-                words, at = words_of(text.as_py()), np.sort(starts.values.to_numpy())
+            for o, start, text, firsts in zip(*(batch.column(c) for c in ("o", "start", "words", "firsts")), strict=True):
+                words, at = text.as_py().split(), np.sort(firsts.values.to_numpy()) - start.as_py()
                 grams, least = _anchors(scanner.code(words), window)
                 for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                    for k in range(0, len(run), _PART):
-                        a, b = int(run[k]), int(run[min(k + _PART, len(run)) - 1])
-                        own = np.unique(grams[least[a : b + 1]]).view(np.int64)
-                        out.append((o.as_py(), a, b" ".join(words[a : b + window]), b - a + window, own))
+                    a, b = int(run[0]), int(run[-1])
+                    own = np.unique(grams[least[a : b + 1]]).view(np.int64)
+                    out.append((o.as_py(), start.as_py() + a, b" ".join(words[a : b + window]), b - a + window, own))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors"])
 
-    return rows.select("o", "text", "starts").mapInArrow(gives_back(cut), "o long, start int, words binary, n long, anchors array<long>")
+    return rows.select("o", "start", "words", "firsts").mapInArrow(gives_back(cut), "o long, start int, words binary, n long, anchors array<long>")
 
 
 class Shard:
-    """The automaton of a shard's passages, given as (o, start, words)."""
+    """The automaton of a shard's passages, given as (o, start, words).
+
+    A word is two letters of two alphabets, so that no state of the automaton has more branches than an alphabet has letters
+    and matches begin and end with words. Tiles stand so close that each window holds one.
+    """
 
     def __init__(self, parts: list[tuple[int, int, bytes]], window: int):
-        self.window, self.tile = window, max(1, window // 2)
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        flat, codes, firsts = [], [], []
-        begin = 0
-        for o, start, words in parts:
-            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words.split()]
-            for k in range(0, len(own) - self.tile + 1, self.tile):
-                self.automaton.add_word(tuple(own[k : k + self.tile]))
-            row = np.array(own, np.uint64)
-            codes.append(_rolling(row, window, 0xA24BAED4963EE407))
+        self.window, self.tile = window, max(1, 2 * window // 5)
+        self.names: dict[bytes, str] = {}
+        split = [words.split() for _, _, words in parts]
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        base = max(1, int(len(numbers) ** 0.5) + 1)
+        self.names = {w: chr(_FIRST + k // base) + chr(_FIRST + base + 1 + k % base) for w, k in numbers.items()}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        codes, firsts, rows, begin = [], [], [], 0
+        for (o, start, _), words in zip(parts, split, strict=True):
+            text = "".join([self.names[w] for w in words])
+            for k in range(0, len(words) - self.tile + 1, window - self.tile + 1):
+                self.automaton.add_word(text[2 * k : 2 * (k + self.tile)])
+            rows.append(self._row(text))
+            codes.append(_rolling(rows[-1], window, 0xA24BAED4963EE407))
             n = len(codes[-1])
             firsts.append(np.stack([np.full(n, o), start + np.arange(n), begin + np.arange(n)]))
-            flat.append(row)
-            begin += len(own)
+            begin += len(words)
         self.automaton.make_automaton()
-        self.flat, codes = np.concatenate(flat), np.concatenate(codes)
+        self.flat, codes = np.concatenate(rows), np.concatenate(codes)
         order = np.argsort(codes, kind="stable")
         self.codes, (self.first_o, self.first_start, self.at) = codes[order], np.concatenate(firsts, axis=1)[:, order]
 
-    def removed(self, o: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Word spans [from, to) of the document's windows that are passages' and not first places."""
+    @staticmethod
+    def _row(text: str) -> np.ndarray:
+        """A number for each word of two letters."""
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return letters[::2] << np.uint64(32) | letters[1::2]
+
+    def removed(self, o: int, words: list[bytes], offset: int = 0) -> list[tuple[int, int]]:
+        """Word spans [from, to) of the windows of a region, which stands at ``offset`` in document ``o``, that are passages' and
+        not first places."""
         window, tile = self.window, self.tile
-        get, n = self.numbers.get, len(words) - self.window + 1
-        text = tuple([get(w, 0) for w in words])
+        get, n = self.names.get, len(words) - self.window + 1
+        text = "".join([get(w, "\0\1") for w in words])
         ends = [end for end, _ in self.automaton.iter(text)] if n > 0 else []
         if not ends:
             return []
-        begin = np.array(ends) - tile + 1
+        begin = np.array(ends) // 2 - tile + 1
         low, high = np.clip(begin - (window - tile), 0, n), np.clip(begin + 1, 0, n)
         starts = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1] > 0)
-        row = np.array(text, np.uint64)
+        row = self._row(text)
         codes = _rolling(row, window, 0xA24BAED4963EE407)[starts]
         place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         known = self.codes[place] == codes
         starts, place = starts[known], place[known]
         within = np.arange(window)
         same = (row[starts[:, None] + within] == self.flat[self.at[place][:, None] + within]).all(1)
-        starts = starts[same & ((self.first_o[place] != o) | (self.first_start[place] != starts))]
+        starts = starts[same & ((self.first_o[place] != o) | (self.first_start[place] != starts + offset))] + offset
         if not len(starts):
             return []
         split = np.flatnonzero(np.diff(starts) > window)
@@ -231,14 +255,14 @@ class Shard:
 
 
 def _streamed(documents: DataFrame, parts: DataFrame, window: int) -> DataFrame:
-    """(o, low, high): spans to remove, from documents (shard, chunk, o, text) and the parts (shard, chunk, o, start, words)."""
+    """(o, low, high): spans to remove, from regions and passages, both (shard, chunk, o, start, words)."""
 
     def stream(texts: pa.Table, own: pa.Table) -> pa.Table:
         spans: list[tuple[int, int, int]] = []
         if texts.num_rows and own.num_rows:
             shard = Shard(list(zip(*(own.column(c).to_pylist() for c in ("o", "start", "words")), strict=True)), window)
-            for o, text in zip(texts.column("o").to_pylist(), texts.column("text"), strict=True):
-                spans += [(o, a, b) for a, b in shard.removed(o, words_of(text.as_py()))]
+            for o, start, words in zip(texts.column("o").to_pylist(), texts.column("start").to_pylist(), texts.column("words"), strict=True):
+                spans += [(o, a, b) for a, b in shard.removed(o, words.as_py().split(), start)]
         return pa.table([pa.array([x[k] for x in spans], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["o", "low", "high"])
 
     keys = ["shard", "chunk"]
@@ -265,30 +289,30 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     hits = salted_join(each, counted, "anchor", "o").groupBy("o").agg(F.collect_set("anchor").alias("hits"))
     hits = stored(hits.join(first, "o"), "anchor-hits")
     discard(firsts)
-    with_text = lambda rows: hashed.join(rows, own_row(hashed))
-
-    windows = stored(candidate_windows(with_text(hits), window), "windows")
+    found = stored(regions(hashed.join(hits, own_row(hashed)), window), "regions")
+    windows = found.select("o", F.posexplode(F.arrays_zip("h", "g")).alias("at", "w"), "start")
+    windows = windows.select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), "o", (F.col("start") + F.col("at")).alias("start"))
     confirmed = windows.groupBy("h", "g").agg(F.min(F.struct("o", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    starts = confirmed.groupBy(F.col("f.o").alias("o")).agg(F.collect_list("f.start").alias("starts"))
-    starts = stored(starts.join(first, "o"), "first-windows")
-    discard(windows)
-    parts = stored(passages(with_text(starts), window), "passages")
-    discard(starts)
+    starts = stored(confirmed.groupBy(F.col("f.o").alias("o")).agg(F.collect_list("f.start").alias("starts")), "first-windows")
+    inside = F.filter("starts", lambda s: (s >= F.col("start")) & (s <= F.col("start") + F.col("n") - window))
+    here = found.join(starts, "o").select("o", "start", "words", inside.alias("firsts")).filter(F.size("firsts") > 0)
+    parts = stored(passages(here, window), "passages")
     shards = -(-(parts.agg(F.sum("n")).first()[0] or 1) // SHARD_WORDS)
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("o", F.floor(F.col("start") / (16 * _PART))), F.lit(shards)).cast("int"))
     homes = dealt.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.collect_set("shard").alias("shards"))
-    routes = salted_join(hits.select("o", F.explode("hits").alias("anchor")), homes.join(counted, "anchor"), "anchor", "o")
-    routes = routes.select("o", F.explode("shards").alias("shard")).distinct().groupBy("o").agg(F.collect_list("shard").alias("shards"))
-    routes = stored(routes.join(hits.select("o", "i", "u"), "o"), "routes")
-    sent = with_text(routes).select("o", "text", F.explode("shards").alias("shard"))
-    sizes = routes.join(scanned.select("doc_id", "t", "n_words"), own_row(scanned)).select("n_words", F.explode("shards").alias("shard"))
-    sizes = stored(sizes.groupBy("shard").agg(F.ceil(F.sum("n_words") / CHUNK_WORDS).cast("int").alias("chunks")), "shard-sizes")
-    chunk = F.pmod(F.xxhash64("o"), F.col("chunks")).cast("int").alias("chunk")
-    sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "text")
+    pieces = found.select("o", "start", F.explode("anchors").alias("anchor"))
+    held = stored(homes.join(pieces.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"), "anchor-shards")
+    routes = salted_join(pieces, held, "anchor", "o").select("o", "start", F.explode("shards").alias("shard")).distinct()
+    routes = stored(routes.groupBy("o", "start").agg(F.collect_list("shard").alias("shards")), "routes")
+    sent = found.select("o", "start", "words", "n").join(routes, ["o", "start"]).select("o", "start", "words", "n", F.explode("shards").alias("shard"))
+    sizes = found.select("o", "start", "n").join(routes, ["o", "start"]).select("n", F.explode("shards").alias("shard"))
+    sizes = stored(sizes.groupBy("shard").agg(F.ceil(F.sum("n") / CHUNK_WORDS).cast("int").alias("chunks")), "shard-sizes")
+    chunk = F.pmod(F.xxhash64("o", "start"), F.col("chunks")).cast("int").alias("chunk")
+    sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "start", "words")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     spans = _streamed(sent, dealt.join(sizes, "shard").select("shard", every, "o", "start", "words"), window)
     spans = stored(spans.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
-    for done in (parts, routes, counted):
+    for done in (found, starts, parts, held, routes, counted):
         discard(done)
     cut = spans.join(ids, "o").select(*order, F.lit(False).alias("copy"), "spans")
     cut = cut.unionByName(copies.select(*order, F.lit(True).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
