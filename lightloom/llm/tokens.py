@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import gives_back, stored
 from .rangecoder import decode_block, encode_block
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 REMEMBERED = 300_000
 #: Up to so many blocks (24 bytes each), the table of where they start goes to every task; more are joined by shuffle.
 BROADCAST_BLOCKS = 1_000_000
@@ -56,7 +56,7 @@ class PieceEncoder:
     """Texts to ids; piece 0 is the end of a document.
 
     A piece of Latin letters, with or without one punctuation mark at its end, is one word of the tokenizer's pattern (and
-    the mark another), so it goes to the tokenizer's model without the pattern; other pieces go to the whole tokenizer.
+    the mark another, as is a single line end between such words), so it goes to the tokenizer's model without the pattern; other pieces go to the whole tokenizer.
     Of the pieces remembered, those used least go first.
     """
 
@@ -71,7 +71,7 @@ class PieceEncoder:
         self.begins = np.zeros(self.vocabulary, bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(_SPACE)]] = True
         self.marks = {c: self._ids(c).tolist() for c in _PUNCTUATION}
-        self.letters = _byte_letters()
+        self.letters, self.line_end = _byte_letters(), self._ids("\n").tolist()
         self.end_id, self.remembered = end_id, remembered
         self.known: dict[str, int] = {}
         self.pool, self.used = np.full(1024, end_id, np.int32), 1
@@ -116,23 +116,36 @@ class PieceEncoder:
         flat, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
         return [flat[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
 
+    def _word(self, piece: str, lead: str) -> list[int] | None:
+        """Ids of ``lead`` and a piece of letters with at most one mark after them; None for other pieces."""
+        mark = self.marks.get(piece[-1]) if piece else None
+        word = piece[:-1] if mark else piece
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0250":
+                return None
+            word = word.translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(lead + word)]
+        return ids + mark if mark else ids
+
+    def _lines(self, piece: str, lead: str) -> list[int] | None:
+        """As ``_word`` for words with a single line end between them."""
+        out = []
+        for k, line in enumerate(piece.split("\n")):
+            ids = self._word(line, "" if k else lead)
+            if ids is None:
+                return None
+            out += self.line_end + ids if k else ids
+        return out
+
     def _add_fresh(self, pieces: list[str]) -> None:
         flat, lengths, numbers, rest = [], [], [], []
-        tokenize, marks, letters = self.model.tokenize, self.marks, self.letters
         for at, piece in enumerate(pieces, self.pieces):
-            mark = marks.get(piece[-1])
-            word = piece[:-1] if mark else piece
-            if not word.isalpha():
+            ids = self._lines(piece, _SPACE) if "\n" in piece else self._word(piece, _SPACE)
+            if ids is None:
                 rest.append(at)
                 continue
-            if not word.isascii():
-                if max(word) >= "\u0250":
-                    rest.append(at)
-                    continue
-                word = word.translate(letters)
-            ids = [t.id for t in tokenize(_SPACE + word)]
-            if mark:
-                ids += mark
             flat += ids
             lengths.append(len(ids))
             numbers.append(at)
@@ -190,7 +203,7 @@ class PieceEncoder:
             self._add_fresh(fresh)
         at, used = self.pieces, self.used
         if single:
-            made = [self._ids(t) for t in single]
+            made = [self._lines(t, "") or self._ids(t) for t in single]
             self._room(len(made), sum(map(len, made)))
             self._put(np.arange(at, at + len(made)), np.concatenate(made), list(map(len, made)))
         rows = np.array(order, np.int64)
