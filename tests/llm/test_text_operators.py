@@ -148,6 +148,7 @@ def test_substrings_come_from_the_automaton(spark, monkeypatch):
     spans = substrings.Shard([(1, 0, b"a b c d e f"), (2, 4, b"x b c d e y")], 4)
     assert spans.removed(9, b"q b c d e r a b c d".split()) == [(1, 5), (6, 10)]
     assert spans.removed(1, b"a b c d e f".split()) == []
+    assert spans.removed(1, b"z a b c d e f".split(), 5) == [(6, 12)]
     nothing = lambda documents, parts, window: documents.select("o", F.lit(0).alias("low"), F.lit(0).alias("high")).limit(0)
     monkeypatch.setattr(substrings, "_streamed", nothing)
     assert sum(r.n_removed for r in substrings.substring_report(docs).collect()) < sum(r.n_removed for r in got)
