@@ -117,6 +117,17 @@ def preferred_label(main_id: Column, ids: Column, fallback: Column) -> Column:
     )
 
 
+def target_label(friendly: Column, at_header: Column, at_brightest: Column, number: Column, catalogue: Column) -> Column:
+    """The label of a lone target: a header name that is no catalogue number, what stands at the header's position, what stands at
+    the brightest pixel, TIC_ and the header's number, the brightest catalogue source, else unknown_target."""
+    useful = lambda x: F.when(~F.lower(x).isin("", "unknown", "nan", "none"), x)
+    name = F.trim(friendly)
+    own = F.when((name != "") & ~is_catalogue_name(name), useful(extractor_token(name)))
+    found = lambda x: F.when(~x.isin("", "unknown_target"), x)
+    tic = F.when(F.trim(number) != "", extractor_token(F.concat(F.lit("TIC_"), F.trim(number))))
+    return F.coalesce(own, found(at_header), found(at_brightest), tic, found(catalogue), F.lit("unknown_target"))
+
+
 def header_value(headers: Column, *keys: str) -> Column:
     """The first key of a MAP<STRING, STRING> whose value is neither null nor empty."""
     return F.coalesce(*[F.nullif(F.try_element_at(headers, F.lit(k)), F.lit("")) for k in keys])

@@ -62,6 +62,18 @@ def combined_power(p1: Column, p2: Column, w1: float = 1.0, w2: float = 1.0, eps
     return F.exp((w1 * F.ln(safe(p1)) + w2 * F.ln(safe(p2))) / (w1 + w2))
 
 
+def dataset_weight(mode: str, chunk: Column, given: float = 1.0) -> Column:
+    """Weight of a data set in a combined spectrum: ``equal`` (1), ``sqrt`` of the longest chunk (1 where that is not
+    positive) or ``manual`` (``given``)."""
+    if mode == "equal":
+        return F.lit(1.0)
+    if mode == "manual":
+        return F.lit(float(given))
+    if mode != "sqrt":
+        raise ValueError("mode is equal, sqrt or manual")
+    return F.when(chunk > 0, F.sqrt(chunk)).otherwise(1.0)
+
+
 def signal_weight(err: Column) -> Column:
     e = finite(err)
     return F.when(e > 0, 1 / F.nullif(e * e, F.lit(0.0))).otherwise(F.lit(0.0))

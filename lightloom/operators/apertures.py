@@ -13,16 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pixels import NEIGHBOURS, aperture_sums, mean_image, nearest_seed, peak_seeds, region_threshold, smoothed
-from .series import level
+from ..functions.waves import in_circle
+from ..tables import stored
+from .pixels import NEIGHBOURS, aperture_sums, extraction_mode, mean_image, nearest_seed, peak_seeds, region_threshold, smoothed
+from .series import gap_segments, level
 
 MASK = "stamp_id {kind}, target int, row int, col int, step int"
 
 
 def _noise(curve: np.ndarray) -> float:
-    """Standard deviation of first differences over the median."""
+    """Standard deviation of first differences of the curve over its median; never negative."""
     m = np.median(curve)
-    return float(np.std(np.diff(curve)) / m) if len(curve) >= 10 and np.isfinite(m) and m != 0 else np.inf
+    return float(np.std(np.diff(curve)) / abs(m)) if len(curve) >= 10 and np.isfinite(m) and m != 0 else np.inf
 
 
 def _swing(curve: np.ndarray) -> float:
@@ -186,6 +188,32 @@ def region_mask(regions: DataFrame) -> DataFrame:
     return regions.filter("owner >= 0").select("stamp_id", F.col("owner").alias("target"), "row", "col")
 
 
+def masks_by_mode(pixels: DataFrame, targets: int = 1, mode: str = "auto", radius: float = 2.5, min_sep: float = 6.0, edge: int = 1) -> DataFrame:
+    """(stamp_id, mode, target, row, col): by the stamp's mode all its pixels (fullstamp), a circle around its brightest maximum, or
+    its middle where it has none (fixedap), or grown regions (apgrow; a stamp without a maximum is taken whole, as
+    fullstamp_fallback)."""
+    image = stored(mean_image(pixels), "image")
+    modes = extraction_mode(image, targets, mode)
+    whole = lambda rows, name: rows.join(image.select("stamp_id", "row", "col"), "stamp_id").select("stamp_id", F.lit(name).alias("mode"), F.lit(0).alias("target"), "row", "col")
+    full = whole(modes.filter("mode = 'fullstamp'").select("stamp_id"), "fullstamp")
+    first = peak_seeds(image, 1, 1.0, edge).select("stamp_id", F.col("row").alias("seed_row"), F.col("col").alias("seed_col"))
+    middle = image.groupBy("stamp_id").agg(F.floor((F.max("row") + 1) / 2).alias("mid_row"), F.floor((F.max("col") + 1) / 2).alias("mid_col"))
+    centre = modes.filter("mode = 'fixedap'").select("stamp_id").join(middle, "stamp_id").join(first, "stamp_id", "left")
+    near = image.join(centre, "stamp_id").filter(in_circle(F.col("row"), F.col("col"), F.coalesce("seed_row", "mid_row"), F.coalesce("seed_col", "mid_col"), radius))
+    fixed = near.select("stamp_id", F.lit("fixedap").alias("mode"), F.lit(0).alias("target"), "row", "col")
+    growing = modes.filter("mode = 'apgrow'").select("stamp_id")
+    seeded = peak_seeds(image, 1, min_sep, edge).select("stamp_id")
+    grown = region_grow(pixels.join(growing, "stamp_id", "left_semi"), targets, min_sep).select("stamp_id", F.lit("apgrow").alias("mode"), "target", "row", "col")
+    return full.unionByName(fixed).unionByName(grown).unionByName(whole(growing.join(seeded, "stamp_id", "left_anti"), "fullstamp_fallback"))
+
+
+def levelled_by_segment(sums: DataFrame, times: DataFrame, gap: float) -> DataFrame:
+    """Aperture sums over the median of their segment of time (times: stamp_id, cadence, t); without one they have none."""
+    rows = sums.join(times, ["stamp_id", "cadence"]).withColumn("k", F.col("cadence"))
+    keys = ("stamp_id", "target")
+    return gap_segments(rows, gap, "segment", keys).withColumn("flux_rel", level("flux", *keys, "segment", zero="null")).drop("k", "segment")
+
+
 def levelled_curve(sums: DataFrame) -> DataFrame:
     """Aperture sums over their median by stamp and target."""
     return sums.withColumn("flux_rel", level("flux", "stamp_id", "target"))

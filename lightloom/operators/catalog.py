@@ -16,11 +16,20 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
 def cone_search(centres: DataFrame, catalogue: DataFrame, radius: float) -> DataFrame:
     """Sources within ``radius`` degrees of centres (stamp_id, ra0, dec0), brightest first as ``rank``.
 
-    Declination bands as wide as the radius make it an equality join; the exact distance decides.
+    Declination bands as wide as the radius, and in each band cells of right ascension that are no narrower on the sky,
+    make it an equality join with the sources of at most nine cells; the exact distance decides.
     """
-    band = lambda d: F.floor(d / radius)
+    band = lambda d: F.floor((d + 90) / radius)
+    #: A band's cells are as wide as a circle of the radius that touches it can be; bands near a pole have one cell.
+    top = lambda b: F.greatest(F.abs(b * radius - 90), F.abs((b + 1) * radius - 90)) + radius
+    reach = lambda b: F.degrees(F.asin(F.sin(F.radians(F.lit(radius))) / F.cos(F.radians(top(b)))))
+    cells = lambda b: F.when(top(b) < 89.9, F.greatest(F.floor(360 / F.coalesce(F.nanvl(reach(b), F.lit(360.0)), F.lit(360.0))), F.lit(1))).otherwise(1).cast("long")
+    cell = lambda ra, b: F.floor(F.pmod(ra, F.lit(360.0)) / 360 * cells(b)).cast("long")
     near = centres.withColumn("band_", F.explode(F.array(*[band(F.col("dec0")) + k for k in (-1, 0, 1)])))
-    pairs = near.join(catalogue.withColumn("band_", band(F.col("dec"))), "band_").drop("band_")
+    around = F.array_distinct(F.array(*[F.pmod(cell(F.col("ra0"), F.col("band_")) + k, cells(F.col("band_"))) for k in (-1, 0, 1)]))
+    near = near.withColumn("cell_", F.explode(around))
+    placed = catalogue.withColumn("band_", band(F.col("dec"))).withColumn("cell_", cell(F.col("ra"), F.col("band_")))
+    pairs = near.join(placed, ["band_", "cell_"]).drop("band_", "cell_")
     found = pairs.withColumn("sep", separation(F.col("ra0"), F.col("dec0"), F.col("ra"), F.col("dec"))).filter(F.col("sep") <= radius)
     from .series import by
 

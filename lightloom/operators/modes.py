@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.waves import amplitude, combined_power, period, phase, sinusoid
-from ..tables import stored
-from .regress import least_squares, predicted
+from ..tables import discard, stored
+from .regress import least_squares, predicted, solve
 from .series import by, longest_chunk
-from .spectrum import TAU, excluded, frequency_fit, frequency_grid, local_grid, lomb_scargle, nuisance_periodogram, on_grid, prewhitened, spaced, strongest, whitened
+from .spectrum import TAU, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened
 
-#: Fit windows and noise guards reach this many times 2 / T; the reference has 3 (and the queries, with its steps).
-KFIT = 1.0
+#: Fit windows and noise guards reach this many times 2 / T.
+KFIT = 3.0
+#: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
+SEPARATION = 5.0
 
 
 def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> DataFrame:
@@ -35,13 +37,18 @@ def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> D
 
 
 def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int = 20, snr_stop: float = 4.0, most: int = 60_000, steps: int = 1001, kfit: float = KFIT) -> DataFrame:
-    """(series_id, mode, f, amp, phase, snr, w): strongest peak, fit, test, prewhiten, until a series' peak is too weak."""
+    """(series_id, mode, f, amp, phase, snr, w): strongest peak, fit, test, prewhiten, until a series' peak is too weak.
+    No peak is taken within max(``SEPARATION`` / T, a grid step) of a mode that was found before."""
     spans = stored(longest_chunk(series), "spans")
     grid = stored(frequency_grid(spans, fmin, fmax, most=most), "grid")
     left, found = stored(series.select("series_id", "t", "y", "k"), "left"), None
     for mode in range(1, rounds + 1):
         spectrum = stored(lomb_scargle(left, grid), "spectrum")
-        free = spectrum if found is None else excluded(spectrum, found.select("series_id", "f"), 1e-9)
+        free = spectrum
+        if found is not None:
+            bins = grid.groupBy("series_id").agg(((F.max("f") - F.min("f")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("bin_"))
+            reach = spans.join(bins, "series_id").select("series_id", F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), "bin_").alias("reach_"))
+            free = excluded(spectrum.join(reach, "series_id"), found.select("series_id", "f"), F.col("reach_")).drop("reach_")
         start = strongest(free).select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
         fits = stored(frequency_fit(left, start, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fits")
         at = fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
@@ -55,13 +62,13 @@ def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int =
     return kept if found is None else found
 
 
-def deduped(modes: DataFrame, min_sep: float) -> DataFrame:
+def deduped(modes: DataFrame, min_sep: float | Column) -> DataFrame:
     """Best first (the largest of snr, amp, w and 0; lower f among equals), each ``min_sep`` from those before."""
     score = F.greatest(F.lit(0.0), *[F.coalesce(c, F.lit(0.0)) for c in ("snr", "amp", "w")])
     return spaced(modes.withColumn("score_", score), [F.desc("score_"), "f"], min_sep).drop("score_")
 
 
-def collapsed(modes: DataFrame, min_sep: float) -> DataFrame:
+def collapsed(modes: DataFrame, min_sep: float | Column) -> DataFrame:
     """Chains of modes closer than ``min_sep`` to the one before become their largest."""
     w = by().orderBy("f", "mode")
     chain = F.sum(F.when(F.col("f") - F.lag("f").over(w) >= min_sep, 1).otherwise(0)).over(w)
@@ -69,11 +76,11 @@ def collapsed(modes: DataFrame, min_sep: float) -> DataFrame:
     return modes.withColumn("chain_", chain).groupBy("series_id", "chain_").agg(best.alias("b")).select("series_id", "b.*")
 
 
-def merged_peaks(tables: list[DataFrame], min_sep: float) -> DataFrame:
+def merged_peaks(tables: list[DataFrame], min_sep: float | Column) -> DataFrame:
     """Tables (series_id, f, height) in order of priority, each peak ``min_sep`` from those before."""
     every = None
     for k, t in enumerate(tables):
-        t = t.select("series_id", "f", "height", F.lit(k).alias("source"))
+        t = t.withColumn("source", F.lit(k))
         every = t if every is None else every.unionByName(t)
     return spaced(every, ["source", F.desc("height"), "f"], min_sep)
 
@@ -97,56 +104,125 @@ def matched(local: DataFrame, components: DataFrame) -> DataFrame:
     return both.select("series_id", F.inline(F.aggregate("own_", zero, step)["done"]))
 
 
-def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rounds: int = 8) -> DataFrame:
-    """Gauss-Newton for all modes of a series at once: Spark sums the normal equations of waves, their derivatives in
-    frequency and an offset; frequencies move within +-3 / t_full. (series_id, mode, f, s_coeff, c_coeff)."""
-    most = modes.agg(F.max("mode")).first()[0] or 0
-    start = modes.select("series_id", "mode", "f", F.col("f").alias("f0"), "s_coeff", "c_coeff")
-    limit = spans.select("series_id", (3.0 / F.col("t_full")).alias("reach"))
-    for last in [False] * rounds + [True]:
-        packed = start.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("mode", F.struct("f", "s_coeff", "c_coeff")))).alias("m_"))
-        rows, names = series.join(packed, "series_id").withColumn("one", F.lit(1.0)), ["one"]
-        for m in range(1, most + 1):
-            own = F.try_element_at("m_", F.lit(m))
-            angle = TAU * own["f"] * F.col("t")
-            rows = rows.withColumns({f"s{m}": F.coalesce(F.sin(angle), F.lit(0.0)), f"c{m}": F.coalesce(F.cos(angle), F.lit(0.0))})
-            names += [f"s{m}", f"c{m}"]
-            if not last:
-                slope = TAU * F.col("t") * (own["s_coeff"] * F.cos(angle) - own["c_coeff"] * F.sin(angle))
-                rows = rows.withColumn(f"d{m}", F.coalesce(slope, F.lit(0.0)))
-                names.append(f"d{m}")
-        beta = least_squares(rows, names, "y").select("series_id", "beta")
-        width = 2 if last else 3
-        moved = start.join(beta, "series_id").join(limit, "series_id")
-        at = F.col("mode") * width - (width - 1)
-        step = F.lit(0.0) if last else F.coalesce(F.get("beta", at + 2), F.lit(0.0))
-        f = F.least(F.greatest(F.col("f") + step, F.col("f0") - F.col("reach")), F.col("f0") + F.col("reach"))
-        start = stored(moved.select("series_id", "mode", f.alias("f"), "f0", F.get("beta", at).alias("s_coeff"), F.get("beta", at + 1).alias("c_coeff")), "refined")
-    return start.drop("f0")
-
-
-def guided_search(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin: float, fmax: float, half_bins: float = 3.0, snr_min: float = 4.0, night: str | None = None, steps: int = 201) -> DataFrame:
-    """Each template frequency (series_id, mode, f_template) in order: local spectrum, fit within the window, test,
-    prewhiten where it is detected. (series_id, mode, f_template, detected, f, amp, phase, snr, w, skip_reason)."""
+def _multi_features(series: DataFrame, modes: DataFrame, most: int, slopes: bool, night: str | None) -> tuple[DataFrame, list[str]]:
+    """Waves of each mode (and their slopes in frequency), less their means of the series or night."""
+    own = F.struct("f", *(["s_coeff", "c_coeff"] if slopes else []))
+    packed = modes.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("mode", own))).alias("m_"))
+    rows, made = series.join(packed, "series_id"), {}
+    for m in range(1, most + 1):
+        own = F.try_element_at("m_", F.lit(m))
+        angle = TAU * own["f"] * F.col("t")
+        made |= {f"s{m}": F.coalesce(F.sin(angle), F.lit(0.0)), f"c{m}": F.coalesce(F.cos(angle), F.lit(0.0))}
+        if slopes:
+            made[f"d{m}"] = F.coalesce(TAU * F.col("t") * (own["s_coeff"] * F.cos(angle) - own["c_coeff"] * F.sin(angle)), F.lit(0.0))
+    group = by("series_id", *([night] if night else []))
+    rows = rows.withColumns(made)
+    return rows.withColumns({n: F.col(n) - F.avg(n).over(group) for n in made} | {"yc_": F.col("y") - F.avg("y").over(group)}), list(made)
+
+
+def _linear(series: DataFrame, modes: DataFrame, most: int, night: str | None) -> DataFrame:
+    """modes with s_coeff, c_coeff and the fit's rss, all waves of a series at once."""
+    rows, names = _multi_features(series, modes, most, False, night)
+    beta = least_squares(rows, names, "yc_").select("series_id", "beta", "rss")
+    at = (F.col("mode") - 1) * 2
+    return modes.drop("s_coeff", "c_coeff", "rss").join(beta, "series_id").withColumns({"s_coeff": F.get("beta", at), "c_coeff": F.get("beta", at + 1)}).drop("beta")
+
+
+def _numbered(modes: DataFrame) -> DataFrame:
+    return modes.withColumn("mode", F.row_number().over(by().orderBy("f")).cast("int"))
+
+
+def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rounds: int = 12, night: str | None = None, bound: float = 3.0, fmin: float = 0.01, fmax: float = 50.0) -> DataFrame:
+    """All modes of a series at once, beside an offset (one a night): seeds (series_id, f, in order of ``mode``) closer than
+    ``SEPARATION`` / T to a better one go; frequencies move within ``bound`` / T by Gauss-Newton steps, of which the half, a
+    quarter and so on are tried until the fit gets better; close modes collapse and the waves are fitted again.
+    (series_id, mode, f, s_coeff, c_coeff, rss), modes numbered by frequency."""
+    reach = spans.select("series_id", F.greatest(bound / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("reach"), F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("sep"))
+    seeds = spaced(modes.join(reach, "series_id").select("series_id", "mode", "f", "reach", "sep"), ["mode", "f"], F.col("sep"))
+    limits = {"low": F.greatest(F.lit(fmin), F.col("f") - F.col("reach")), "high": F.least(F.lit(fmax), F.col("f") + F.col("reach"))}
+    start = stored(_numbered(seeds.withColumns(limits)).select("series_id", "mode", "f", "low", "high"), "refined")
+    most = start.agg(F.max("mode")).first()[0] or 0
+    if not most:
+        return start.select("series_id", "mode", "f", *[F.lit(None).cast("double").alias(c) for c in ("s_coeff", "c_coeff", "rss")])
+    best = stored(_linear(series, start, most, night).withColumn("damp", F.lit(1.0)), "refined")
+    for _ in range(rounds):
+        rows, names = _multi_features(series, best, most, True, night)
+        beta = least_squares(rows, names, "yc_").select("series_id", "beta")
+        step = F.coalesce(F.get("beta", (F.col("mode") - 1) * 3 + 2), F.lit(0.0)) * F.col("damp")
+        moved = best.join(beta, "series_id").withColumn("f", F.least(F.greatest(F.col("f") + step, F.col("low")), F.col("high")))
+        tried = _linear(series, moved.drop("beta"), most, night)
+        new = tried.select("series_id", "mode", *[F.col(c).alias(f"new_{c}") for c in ("f", "s_coeff", "c_coeff", "rss")])
+        better = F.col("new_rss") <= F.col("rss")
+        both = best.join(new, ["series_id", "mode"])
+        pick = lambda c: F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+        former = best
+        best = stored(both.select("series_id", "mode", pick("f"), "low", "high", pick("rss"), pick("s_coeff"), pick("c_coeff"), F.when(better, F.least(F.col("damp") * 2, F.lit(1.0))).otherwise(F.col("damp") / 4).alias("damp")), "refined")
+        discard(former)
+    amp = amplitude(F.col("s_coeff"), F.col("c_coeff"))
+    merged = collapsed(best.select("series_id", "mode", "f", amp.alias("amp")).join(reach, "series_id"), F.col("sep"))
+    return stored(_linear(series, stored(_numbered(merged.select("series_id", "f")), "refined"), most, night).select("series_id", "mode", "f", "s_coeff", "c_coeff", "rss"), "refined")
+
+
+def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin: float = 0.2, fmax: float = 50.0, half_bins: float = 10.0, snr_min: float = 2.0, night: str | None = None, steps: int = 1001, most: int = 1201, oversample: float = 2.0, side: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(search table, series without the modes found). Each template frequency (series_id, mode, f_template) in order: local
+    spectrum in +-``half_bins`` resolution elements, fit within it, test, prewhiten where it is detected. Columns series_id,
+    mode, f_template, detected, f, amp, phase, snr, w, skip_reason."""
     left, out = stored(series, "guided"), None
+    t = F.greatest(F.col("t_full"), F.lit(1e-8))
     for mode in range(1, (templates.agg(F.max("mode")).first()[0] or 0) + 1):
         at = stored(templates.filter(F.col("mode") == mode).join(spans, "series_id"), "templates")
         skipped = at.filter(F.col("f_template") < fmin)
         centres = at.filter(F.col("f_template") >= fmin).withColumnRenamed("f_template", "f0")
-        half = half_bins / F.col("t_full")
-        grid = local_grid(centres, half, 1.0 / F.col("t_full") / 5, fmin, fmax).select("series_id", "j", "f")
+        grid = stored(local_grid(centres, half_bins / t, 1.0 / t / oversample, fmin, fmax, most).select("series_id", "j", "f"), "local-grid")
         spectrum = stored(nuisance_periodogram(left, grid, night).select("series_id", "j", "f", "power"), "local")
-        fits = stored(frequency_fit(left, centres, half, fmin, fmax, steps, night), "fits")
-        noise = snr_at(spectrum, fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), 1.0 / F.col("t_full"), 2.0 / F.col("t_full"))
-        tested = fits.join(noise, "series_id", "left").join(centres.select("series_id", "mode", F.col("f0").alias("f_template")), "series_id")
+        peak = strongest(spectrum.filter("power is not null")).select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
+        edges = grid.groupBy("series_id").agg(F.min("f").alias("low"), F.max("f").alias("high"))
+        fits = stored(frequency_fit(left, peak.join(edges, "series_id"), KFIT * 2.0 / t, fmin, fmax, steps, night, ("low", "high")), "fits")
+        noise = snr_at(spectrum, fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), 1.0 / t, side / t)
+        tested = centres.select("series_id", "mode", F.col("f0").alias("f_template")).join(fits, "series_id", "left").join(noise, "series_id", "left")
         ok = F.coalesce(F.col("snr") >= snr_min, F.lit(False))
         amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
         only = lambda c: F.when(F.col("detected"), c)
-        rows = stored(tested.withColumn("detected", ok).select("series_id", "mode", "f_template", "detected", only(F.col("f")).alias("f"), only(amp).alias("amp"), only(phi).alias("phase"), only(F.col("snr")).alias("snr"), only(F.col("w")).alias("w"), F.lit(None).cast("string").alias("skip_reason"), "s_coeff", "c_coeff"), "guided-rows")
-        left = stored(prewhitened(left, rows.filter("detected")), "guided")
+        why = F.when(F.col("f").isNull(), "no_finite_power").when(~F.col("detected"), "snr_below_threshold")
+        found = tested.withColumn("detected", ok).withColumn("skip_reason", why)
+        rows = stored(found.select("series_id", "mode", "f_template", "detected", only(F.col("f")).alias("f"), only(amp).alias("amp"), only(phi).alias("phase"), "snr", "w", "skip_reason", "s_coeff", "c_coeff"), "guided-rows")
+        former = left
+        left = stored(prewhitened(left, rows.filter("detected"), night=night), "guided")
+        for done in (former, spectrum, fits, grid):
+            discard(done)
         rows = rows.drop("s_coeff", "c_coeff").unionByName(skipped.select("series_id", "mode", "f_template", F.lit(False).alias("detected"), F.lit("below_minimum_frequency").alias("skip_reason")), allowMissingColumns=True)
         out = rows if out is None else out.unionByName(rows)
-    return stored(out, "guided-result")
+    return (out if out is None else stored(out, "guided-result")), left
+
+
+def guided_search(series: DataFrame, templates: DataFrame, spans: DataFrame, night: str | None = None, **options: object) -> DataFrame:
+    """The whole search: ``guided_rows``; of detections within ``SEPARATION`` / T the best stay; all are refined together on the
+    series as it came; each takes the closest refined mode that is left. (series_id, mode, f_template, f_local, amp_local,
+    phase_local, snr, w, f, amp, phase) of accepted templates."""
+    rows, _ = guided_rows(series, templates, spans, night=night, **options)
+    sep = spans.select("series_id", F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("sep"))
+    accepted = stored(deduped(rows.filter("detected").join(sep, "series_id"), F.col("sep")).drop("sep"), "accepted")
+    score = F.row_number().over(by().orderBy(F.desc("snr"), "f")).alias("rank")
+    refined = global_refinement(series, accepted.select("series_id", F.col("f"), score).withColumnRenamed("rank", "mode"), spans, night=night)
+    amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
+    pairs = matched(accepted.select("series_id", "mode", "f"), refined.select("series_id", "f", amp.alias("amp"), phi.alias("phase")))
+    own = accepted.select("series_id", "mode", "f_template", F.col("f").alias("f_local"), F.col("amp").alias("amp_local"), F.col("phase").alias("phase_local"), "snr", "w")
+    return own.join(pairs.select("series_id", "mode", "f", "amp", "phase"), ["series_id", "mode"])
+
+
+def batch_search(series: DataFrame, templates: DataFrame, least: int = 60, **options: object) -> DataFrame:
+    """The guided search for all series at once: (series_id, n, status, detected, best_snr); status is too_short (fewer than ``least``
+    points), no_span, or ok. A series that cannot be searched leaves the others alone."""
+    spans = stored(longest_chunk(series).join(series.groupBy("series_id").agg(F.count("*").alias("n")), "series_id"), "batch-spans")
+    status = F.when(F.col("n") < least, "too_short").when(F.col("t_full") <= 0, "no_span").otherwise("ok")
+    named = spans.withColumn("status", status)
+    able = stored(named.filter("status = 'ok'").drop("status", "n"), "batch-able")
+    rows, _ = guided_rows(series.join(able.select("series_id"), "series_id", "left_semi"), templates.join(able.select("series_id"), "series_id", "left_semi"), able, **options)
+    out = named.select("series_id", "n", "status")
+    if rows is None:
+        return out.select("*", F.lit(0).cast("long").alias("detected"), F.lit(None).cast("double").alias("best_snr"))
+    found = rows.groupBy("series_id").agg(F.count_if("detected").alias("detected"), F.max("snr").alias("best_snr"))
+    return out.join(found, "series_id", "left").select("series_id", "n", "status", F.coalesce("detected", F.lit(0)).cast("long").alias("detected"), "best_snr")
 
 
 def harmonic_features(series: DataFrame, harmonics: int, f: str = "f") -> tuple[DataFrame, list[str]]:
@@ -159,10 +235,9 @@ def harmonic_features(series: DataFrame, harmonics: int, f: str = "f") -> tuple[
 
 
 def multiharmonic_power(series: DataFrame, grid: DataFrame, harmonics: int = 5) -> DataFrame:
-    """Share of the variance that an offset and ``harmonics`` sinusoids remove, for each frequency."""
-    rows, names = harmonic_features(on_grid(series, grid), harmonics)
-    total = series.groupBy("series_id").agg((F.var_pop("y") * F.count("y")).alias("total"))
-    fits = least_squares(rows, names, "y", keys=("series_id", "j", "f")).join(total, "series_id")
+    """Share of the variance that an offset and ``harmonics`` sinusoids remove, for each frequency of an even grid."""
+    sums = harmonic_sums(series, grid, harmonics)
+    fits = sums.withColumn("fit_", solve("xx", "xy", "yy", "n")).select("series_id", "j", "f", F.col("fit_.rss").alias("rss"), (F.col("yy") - F.get("xy", F.lit(0)) * F.get("xy", F.lit(0)) / F.col("n")).alias("total"))
     return fits.select("series_id", "j", "f", F.greatest(F.lit(0.0), 1 - F.col("rss") / F.nullif(F.col("total"), F.lit(0.0))).alias("power"))
 
 
@@ -178,23 +253,51 @@ def harmonic_snr(spectrum: DataFrame, at: DataFrame, share: float = 0.02, guard:
     return kept.groupBy("series_id").agg(F.when(enough, (F.max("peak_") - F.max("m_")) / mad).alias("snr"))
 
 
-def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, harmonics: int = 5, stop: float = 3.0) -> DataFrame:
-    """series with ``y`` free of up to ``rounds`` periodic signals of ``harmonics`` terms."""
+def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, harmonics: int = 5, stop: float = 3.0, reach: float = 0.05, steps: int = 201) -> DataFrame:
+    """series with ``y`` free of up to ``rounds`` periodic signals of ``harmonics`` terms. A signal's frequency is the one of least
+    residual within ``reach`` of the peak's and inside the grid: ``steps`` even points over that range, and as many again over
+    two steps around the best, twice."""
     left = stored(series, "harmonic")
+    ends = stored(grid.groupBy("series_id").agg(F.min("f").alias("first_"), F.max("f").alias("last_")), "ends")
     for _ in range(rounds):
         spectrum = stored(multiharmonic_power(left, grid, harmonics), "spectrum")
         best = strongest(spectrum)
         go = stored(best.join(harmonic_snr(spectrum, best), "series_id").filter(F.col("snr") >= stop).select("series_id", "f"), "harmonic-at")
         if go.isEmpty():
             break
-        rows, names = harmonic_features(left.join(go, "series_id", "left"), harmonics)
+        low, high = F.greatest("first_", F.col("f") * (1 - reach)), F.least("last_", F.col("f") * (1 + reach))
+        window = go.join(ends, "series_id").select("series_id", F.col("f").alias("at_"), low.alias("low_"), high.alias("high_"))
+        for _ in range(3):
+            points = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("j")
+            fine = window.select("series_id", "low_", "high_", points).select("series_id", "j", (F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / (steps - 1)).alias("f"))
+            finest = strongest(multiharmonic_power(left, fine, harmonics)).select("series_id", "f").join(window, "series_id")
+            step = (F.col("high_") - F.col("low_")) / (steps - 1)
+            window = stored(finest.select("series_id", F.col("f").alias("at_"), F.greatest("low_", F.col("f") - step).alias("low_"), F.least("high_", F.col("f") + step).alias("high_")), "harmonic-window")
+        rows, names = harmonic_features(left.join(window.select("series_id", F.col("at_").alias("f")), "series_id", "left"), harmonics)
         beta = least_squares(rows.filter("f is not null"), names, "y").select("series_id", "beta")
         fitted = rows.join(beta, "series_id", "left")
-        wave = F.when(F.col("f").isNotNull(), predicted(names) - F.get("beta", F.lit(0))).otherwise(0.0)
+        wave = F.when(F.col("f").isNotNull(), predicted(names)).otherwise(0.0)
+        former = left
         left = stored(fitted.withColumn("y", F.col("y") - wave).select(*series.columns), "harmonic")
+        for done in (former, spectrum):
+            discard(done)
     return left
 
 
+def fine_peaks(series: DataFrame, other: DataFrame, peaks: DataFrame, fmin: float, fmax: float, night: str | None = None) -> DataFrame:
+    """(series_id, f0, f, score, white, white2): of each peak (series_id, f0, sep) the largest combined whitened power on a grid
+    of sep / 10 within 3 sep; all peaks of all series in one plan."""
+    key = F.concat_ws("|", F.col("f0").cast("string"), F.col("series_id").cast("string"))
+    keyed = stored(peaks.withColumn("key_", key), "fine-peaks")
+    grid = stored(local_grid(keyed.select(F.col("key_").alias("series_id"), "f0", "sep"), 3 * F.col("sep"), F.col("sep") / 10, fmin, fmax).select("series_id", "j", "f"), "fine")
+    own = lambda s: s.join(keyed.select("series_id", "key_"), "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
+    a = whitened(lomb_scargle(own(series), grid), 6, 12).select("series_id", "j", "f", "white")
+    b = whitened(nuisance_periodogram(own(other), grid, night).select("series_id", "j", "f", "power"), 6, 12)
+    both = a.join(b.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"]).withColumn("score", combined_power(F.col("white"), F.col("white2")))
+    best = F.max_by(F.struct("f", "score", "white", "white2"), F.struct("score", -F.col("j"))).alias("b")
+    return both.filter("score is not null").groupBy(F.col("series_id").alias("key_")).agg(best).join(keyed.select("key_", "series_id", "f0"), "key_").select("series_id", "f0", "b.*")
+
+
 def refined_peak(series: DataFrame, other: DataFrame, peaks: DataFrame, df: Column, fmin: float, fmax: float) -> DataFrame:
     """(series_id, f, score): the largest combined whitened power on a grid of df / 10 within 3 df of f0."""
     grid = stored(local_grid(peaks, 3 * df, df / 10, fmin, fmax).select("series_id", "j", "f"), "fine")
@@ -203,17 +306,23 @@ def refined_peak(series: DataFrame, other: DataFrame, peaks: DataFrame, df: Colu
     return strongest(both.withColumn("score", combined_power(F.col("white"), F.col("white2"))), "score").select("series_id", "f", "score")
 
 
-def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, night: str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 60_000, steps: int = 2001, kfit: float = KFIT) -> DataFrame:
-    """Modes that two series of one target share: combined whitened spectrum, fits and tests on both, prewhiten both."""
-    spans = stored(longest_chunk(first).join(longest_chunk(second).select("series_id", F.col("t_full").alias("t2")), "series_id"), "spans")
+def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, night: str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 60_000, steps: int = 2001, kfit: float = KFIT, prominence: float = 1.0) -> DataFrame:
+    """Modes that two series of one target share. A round: the 10 highest peaks of the combined whitened spectrum and the 3
+    highest of the first series', merged, refined on fine grids, the best whose two whitened powers pass ``prefilter``; fits
+    and tests on both series; stop where both are weak; prewhiten both."""
+    spans = stored(longest_chunk(first).join(longest_chunk(second).select("series_id", F.col("t_full").alias("t2"), F.col("t_chunk").alias("t2_chunk")), "series_id"), "spans")
     grid = stored(frequency_grid(spans, fmin, fmax, span="t_chunk", most=most), "grid")
+    sep = stored(spans.select("series_id", (1.0 / F.greatest("t_chunk", "t2_chunk", F.lit(1e-8))).alias("sep")), "separation")
     a, b, out, n = stored(first, "joint"), stored(second, "joint"), None, 0
     while n < rounds:
         n += 1
         sa, sb = stored(whitened(lomb_scargle(a, grid), 6, 12), "spec"), stored(whitened(nuisance_periodogram(b, grid, night).select("series_id", "j", "f", "power"), 6, 12), "spec")
-        both = sa.select("series_id", "j", "f", "white").join(sb.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"])
-        both = both.filter((F.col("white") > prefilter) & (F.col("white2") > prefilter)).withColumn("score", combined_power(F.col("white"), F.col("white2")))
-        at = stored(strongest(both, "score").select("series_id", F.col("f").alias("f0"), "score").join(spans, "series_id"), "joint-at")
+        both = stored(sa.select("series_id", "j", "f", F.col("power").alias("power1"), "white").join(sb.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"]).withColumn("score", combined_power(F.col("white"), F.col("white2"))), "both")
+        peaks = [top_peaks(both.filter(F.col(v).isNotNull()), k, F.col("sep"), prominence, v, sep).select("series_id", "f", F.col(v).alias("height"), "sep") for v, k in (("score", 10), ("power1", 3))]
+        candidates = merged_peaks(peaks, F.col("sep")).select("series_id", F.col("f").alias("f0"))
+        fine = fine_peaks(a, b, candidates.join(sep, "series_id"), fmin, fmax, night)
+        good = fine.filter((F.col("white") > prefilter) & (F.col("white2") > prefilter))
+        at = stored(strongest(good.withColumn("j", F.col("f")), "score").select("series_id", F.col("f").alias("f0"), "score").join(spans, "series_id"), "joint-at")
         if at.isEmpty():
             break
         fa = stored(frequency_fit(a, at, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fit")

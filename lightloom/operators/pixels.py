@@ -122,6 +122,14 @@ def psf_width(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return rows.groupBy("stamp_id", "target", "cadence").agg(F.when(var >= 0, F.sqrt(var)).alias("width"))
 
 
+def mask_union(*masks: DataFrame) -> DataFrame:
+    """Pixels (stamp_id, row, col) of any of the masks."""
+    every = masks[0].select("stamp_id", "row", "col")
+    for mask in masks[1:]:
+        every = every.unionByName(mask.select("stamp_id", "row", "col"))
+    return every.distinct()
+
+
 def frontier(mask: DataFrame, allowed: DataFrame) -> DataFrame:
     """The 8-neighbours of a mask that are allowed and not in it."""
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEIGHBOURS])).alias("o")

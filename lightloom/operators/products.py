@@ -9,7 +9,7 @@ from ..functions.waves import fold
 from ..tables import stored
 from . import apertures, catalog, pixels
 from .modes import harmonic_prewhitened
-from .regress import background_scale, decorrelated, extractor_features, robust_fit
+from .regress import background_scale, least_squares, decorrelated, extractor_features, robust_fit, split_decorrelated
 from .series import by, gap_segments, level, longest_chunk, ordered
 from .spectrum import local_grid, lomb_scargle, nuisance_periodogram
 from .spline import template, template_detrended
@@ -58,14 +58,20 @@ def snr_after_fit(series: DataFrame, fits: DataFrame, spans: DataFrame, fmin: fl
     return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
 
 
-def local_diagnostics(first: DataFrame, last: DataFrame, templates: DataFrame, half: float, df: float, fmin: float, fmax: float, night: str | None = None) -> DataFrame:
+def local_diagnostics(first: DataFrame, last: DataFrame, templates: DataFrame, half: float | Column, df: float | Column, fmin: float, fmax: float, night: str | None = None) -> DataFrame:
     """Spectra before and after a guided search around each template: series_id, mode, j, f, before, after."""
     centres = templates.filter(F.col("f_template") >= fmin).withColumnRenamed("f_template", "f0")
-    grid = local_grid(centres, F.lit(half), F.lit(df), fmin, fmax)
-    numbered = grid.select("series_id", (F.col("mode") * 100_000 + F.col("j")).alias("j"), "f")
-    a, b = (nuisance_periodogram(s, numbered, night).select("series_id", "j", "f", F.col("power").alias(n)) for s, n in ((first, "before"), (last, "after")))
-    both = a.join(b.drop("f"), ["series_id", "j"])
-    return both.select("series_id", F.floor(F.col("j") / 100_000).alias("mode"), (F.col("j") % 100_000).alias("j"), "f", "before", "after")
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    key = F.concat_ws("|", F.col("mode").cast("string"), F.col("series_id").cast("string"))  # a series for each template
+    grid = local_grid(centres, column(half), column(df), fmin, fmax).select(key.alias("key_"), "series_id", "mode", "j", "f")
+    names = stored(centres.select("series_id", "mode", key.alias("key_")), "templates")
+    own = grid.select(F.col("key_").alias("series_id"), "j", "f")
+    powers = []
+    for s, n in ((first, "before"), (last, "after")):
+        rows = s.join(names.select("series_id", "key_"), "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
+        powers.append(nuisance_periodogram(rows, own, night).select(F.col("series_id").alias("key_"), "j", "f", F.col("power").alias(n)))
+    both = powers[0].join(powers[1].drop("f"), ["key_", "j"])
+    return both.join(names, "key_").select("series_id", "mode", "j", "f", "before", "after")
 
 
 def polarimetric_frame(channels: DataFrame, gap: float = 0.4, rounds: int = 3, harmonics: int = 5, grid_points: int = 1000) -> DataFrame:
@@ -82,8 +88,8 @@ def polarimetric_frame(channels: DataFrame, gap: float = 0.4, rounds: int = 3, h
 
 
 def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targets: int = 2, method: str = "multi") -> DataFrame:
-    """Brightest sources of each stamp -> nearest pixels -> watershed regions -> growth -> light curve, centroid, level.
-    sky: stamp_id, row, col, ra, dec; sources: stamp_id, source_id, ra, dec, mag."""
+    """Brightest sources of each stamp -> nearest pixels -> watershed regions -> growth -> light curve, centroid and width, level,
+    and the levelled curve less its regression on position, width and time (``decorrelated``). sky: stamp_id, row, col, ra, dec; sources: stamp_id, source_id, ra, dec, mag."""
     rank = F.row_number().over(by("stamp_id").orderBy("mag", "source_id"))
     best = sources.withColumn("target", rank - 1).filter(F.col("target") < targets)
     at = catalog.nearest_pixel(sky, best).join(best.select("stamp_id", "source_id", "target"), ["stamp_id", "source_id"])
@@ -91,19 +97,22 @@ def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targ
     seeds = stored(at.withColumn("one_", one).filter("one_ = 1").select("stamp_id", "target", "row", "col").withColumn("target", (F.row_number().over(by("stamp_id").orderBy("target")) - 1).cast("int")), "seeds")
     regions = stored(apertures.watershed_regions(px, seeds), "regions")
     mask = stored(apertures.grow(px, seeds, regions, method, 3), "mask")
-    curve = apertures.extract(px, mask)
-    return curve.join(pixels.centroids(px, mask), ["stamp_id", "target", "cadence"])
+    keys = ["stamp_id", "target"]
+    curve = apertures.extract(px, mask).join(pixels.centroids(px, mask), [*keys, "cadence"]).join(pixels.psf_width(px, mask), [*keys, "cadence"])
+    curve = stored(curve.withColumns({"series_id": F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), "t": F.col("cadence").cast("double"), "k": F.col("cadence")}), "curves")
+    whole = curve.filter("crow is not null and ccol is not null and width is not null and flux_rel is not null")
+    rows, names = extractor_features(whole, "crow", "ccol", width="width")
+    flat = decorrelated(rows, names, "flux_rel", least_squares(rows, names, "flux_rel")).select("series_id", "cadence", "decorrelated")
+    return curve.join(flat, ["series_id", "cadence"], "left").drop("series_id", "t", "k")
 
 
-def saturated_route(curves: DataFrame, background: DataFrame, frequency: float, mid: float | None = None, rounds: int = 3) -> DataFrame:
+def saturated_route(curves: DataFrame, background: DataFrame, frequency: float, mid: float | None = None, rounds: int = 8) -> DataFrame:
     """curves (series_id, t, y, x, x2, k) and background (series_id, k, b): the best multiple of the background goes, then
     the template at the orbital frequency, then a robust fit before and after the middle; flux relative to the median."""
     rows = stored(curves.join(background, ["series_id", "k"]), "saturated")
-    scaled = rows.join(background_scale(rows, "b", steps=41).withColumnRenamed("k", "mult"), "series_id")
+    scaled = rows.join(background_scale(rows, "b").withColumnRenamed("k", "mult"), "series_id")
     scaled = scaled.withColumn("y", F.col("y") - F.col("mult") * F.col("b")).drop("mult").withColumn("phase", fold(F.col("t"), F.lit(frequency)))
-    flat = stored(template_detrended(scaled, "phase", 0.05).withColumn("y", F.col("detrended")).drop("detrended", "trend", "phase"), "flat")
+    flat = template_detrended(scaled, "phase", 0.05).withColumn("y", F.col("detrended")).drop("detrended", "trend", "phase")
     half = F.col("t") >= (F.percentile("t", F.lit(0.5)).over(by()) if mid is None else F.lit(mid))
-    features, names = extractor_features(flat.withColumn("half", half), "x", "x2", "b")
-    keys = ("series_id", "half")
-    out = decorrelated(features, names, "y", robust_fit(features, names, "y", rounds, keys, stop=True), keys)
+    out = split_decorrelated(stored(flat.withColumn("half", half), "flat"), "x", "x2", "b", "half", rounds=rounds)
     return out.withColumn("flux_rel", level("decorrelated")).select("series_id", "t", "k", "flux_rel")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,9 +14,39 @@ from ..tables import stored
 from .series import ROBUST, by
 
 
+_VECTOR = T.ArrayType(T.DoubleType())
+#: Designs of more columns than this are summed as matrix products in Arrow; their sums are too many for one aggregate.
+WIDE = 12
+
+
+def _wide_sums(rows: DataFrame, features: list[str], y: str, weight: Column, keys: tuple) -> DataFrame:
+    """As ``normal_sums``: a task's rows give one matrix a key, of which the entries are added by Spark."""
+    p = len(features)
+    named = rows.select(*keys, weight.cast("double").alias("w_"), F.array(*[F.col(f).cast("double") for f in features], F.col(y).cast("double")).alias("x_"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, own in batch.groupby(list(keys), dropna=False, sort=False):
+                x, w = np.stack(own["x_"].to_numpy()), own["w_"].to_numpy()
+                total = np.r_[((x * w[:, None]).T @ x).ravel(), np.count_nonzero(w > 0)]
+                out.append((*key, total))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "sums"])
+
+    schema = T.StructType([named.schema[k] for k in keys]).add("sums", _VECTOR)
+    each = named.mapInPandas(add, schema).select(*keys, F.posexplode("sums").alias("at", "v"))
+    packed = each.groupBy(*keys, "at").agg(F.sum("v").alias("v")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("m"))
+    at = lambda i, j: F.get("m", F.lit(i * (p + 1) + j))
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.slice("m", i * (p + 1) + 1, p)))
+    return packed.select(*keys, inner.alias("xx"), F.slice("m", p * (p + 1) + 1, p).alias("xy"), at(p, p).alias("yy"), at(p + 1, 0).cast("long").alias("n"))
+
+
 def normal_sums(rows: DataFrame, features: list[str], y: str, weight: Column | None = None, keys: tuple = ("series_id",)) -> DataFrame:
     """(keys, xx: p * p sums, xy: p sums, yy, n) of weighted products."""
     w = F.lit(1.0) if weight is None else weight
+    if len(features) > WIDE:
+        return _wide_sums(rows, features, y, w, keys)
     named = rows.select(*keys, w.alias("w_"), F.col(y).alias("y_"), *[F.col(f).alias(f"x{k}_") for k, f in enumerate(features)])
     p = range(len(features))
     pairs = [F.sum(F.col("w_") * F.col(f"x{i}_") * F.col(f"x{j}_")).alias(f"xx{i}_{j}") for i in p for j in p if j >= i]
@@ -23,22 +55,23 @@ def normal_sums(rows: DataFrame, features: list[str], y: str, weight: Column | N
     return sums.select(*keys, xx.alias("xx"), F.array(*[F.col(f"xy{i}") for i in p]).alias("xy"), "yy", "n")
 
 
-_VECTOR = T.ArrayType(T.DoubleType())
-
-
 @F.pandas_udf(T.StructType().add("beta", _VECTOR).add("cov", _VECTOR).add("rss", T.DoubleType()))
 def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Least-norm solution, covariance (pseudo-inverse times rss / max(n - p, 1)) and residual sum of squares."""
-    out = []
-    for a, b, c, m in zip(xx, xy, yy, n, strict=True):
-        b = np.asarray(b, float)
-        a = np.asarray(a, float).reshape(len(b), len(b))
-        scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-        inverse = np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
-        beta = inverse @ b
-        rss = max(float(c - beta @ b), 0.0)
-        out.append((beta, (inverse * rss / max(m - len(b), 1)).ravel(), rss))
-    return pd.DataFrame(out, columns=["beta", "cov", "rss"])
+    if not len(xx):
+        return pd.DataFrame({"beta": [], "cov": [], "rss": []})
+    b = np.stack([np.asarray(x, float) for x in xy])
+    a = np.stack([np.asarray(x, float) for x in xx]).reshape(len(b), b.shape[1], b.shape[1])
+    whole = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
+    a[~whole] = 0.0
+    diagonal = np.einsum("kii->ki", a)
+    scale = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    outer = scale[:, :, None] * scale[:, None, :]
+    inverse = np.linalg.pinv(a / outer, rcond=1e-12, hermitian=True) / outer
+    beta = np.einsum("kij,kj->ki", inverse, b)
+    rss = np.maximum(yy.to_numpy(float) - np.einsum("ki,ki->k", beta, b), 0.0)
+    cov = inverse * (rss / np.maximum(n.to_numpy(float) - b.shape[1], 1))[:, None, None]
+    return pd.DataFrame({"beta": list(beta), "cov": list(cov.reshape(len(b), -1)), "rss": rss})
 
 
 def least_squares(rows: DataFrame, features: list[str], y: str, weight: Column | None = None, keys: tuple = ("series_id",)) -> DataFrame:
@@ -71,31 +104,43 @@ def poly_detrended(series: DataFrame, order: int, weight: Column | None = None,
     return fitted.withColumn(y, F.col(y) - F.coalesce(predicted(names), F.lit(0.0))).select(*series.columns)
 
 
-def hinge_features(series: DataFrame, columns: list[str], spacing: float = float("inf"), most: int = 16) -> tuple[DataFrame, list[str]]:
-    """1, centred columns, and max(0, t - knot) at inner knots every ``spacing`` from the first time."""
-    out = series.withColumn("one", F.lit(1.0))
-    names = ["one"]
-    for c in columns:
-        out = out.withColumn(f"{c}_c", F.col(c) - F.median(c).over(by()))
-        names.append(f"{c}_c")
-    if spacing != float("inf"):
-        first, last = F.min("t").over(by()), F.max("t").over(by())
-        for k in range(1, most + 1):
-            knot = first + spacing * k
-            out = out.withColumn(f"hinge{k}", F.when((knot < last) & (F.col("t") > knot), F.col("t") - knot).otherwise(0.0))
-            names.append(f"hinge{k}")
-    return out, names
-
-
-def extractor_features(series: DataFrame, x: str, y: str, background: str | None = None) -> tuple[DataFrame, list[str]]:
-    """1, x, y, x2, y2, xy, t, t2, t3 about medians, and the background with its square."""
-    names = [x, y, "t", *([background] if background else [])]
-    out = series.withColumns({f"{c}_c": F.col(c) - F.median(c).over(by()) for c in names}).withColumn("one", F.lit(1.0))
+def hinges(series: DataFrame, spacing: float) -> tuple[DataFrame, list[str]]:
+    """max(0, t - knot) at the inner knots every ``spacing`` from a series' first time: as many as the longest series has (a
+    shorter one's others are zero)."""
+    spans = series.groupBy("series_id").agg((F.max("t") - F.min("t")).alias("span"))
+    knots = spans.agg(F.max(F.ceil(F.col("span") / spacing) - 1)).first()[0] or 0
+    first, last = F.min("t").over(by()), F.max("t").over(by())
+    out = series.withColumns({"first_": first, "last_": last})
+    names = [f"hinge{k}" for k in range(1, int(knots) + 1)]
+    knot = {n: F.col("first_") + spacing * k for k, n in enumerate(names, 1)}
+    out = out.withColumns({n: F.when((x < F.col("last_")) & (F.col("t") > x), F.col("t") - x).otherwise(0.0) for n, x in knot.items()}) if names else out
+    return out.drop("first_", "last_"), names
+
+
+def hinge_features(series: DataFrame, columns: list[str], spacing: float = float("inf")) -> tuple[DataFrame, list[str]]:
+    """1, columns less their medians, and hinges."""
+    out = series.withColumns({f"{c}_c": F.col(c) - F.median(c).over(by()) for c in columns}).withColumn("one", F.lit(1.0))
+    out, more = hinges(out, spacing) if spacing != float("inf") else (out, [])
+    return out, ["one", *[f"{c}_c" for c in columns], *more]
+
+
+def extractor_features(series: DataFrame, x: str, y: str, background: str | None = None, width: str | None = None, spacing: float = float("inf")) -> tuple[DataFrame, list[str]]:
+    """1, x, y, x2, y2, xy, t, t2, t3 about medians; where given the width with its square, hinges (for series of more than two
+    spacings), and the background with its square."""
+    given = [c for c in (x, y, "t", width, background) if c]
+    out = series.withColumns({f"{c}_c": F.col(c) - F.median(c).over(by()) for c in given}).withColumn("one", F.lit(1.0))
     a, b, t = F.col(f"{x}_c"), F.col(f"{y}_c"), F.col("t_c")
     more = {"xx_c": a * a, "yy_c": b * b, "xy_c": a * b, "tt_c": t * t, "ttt_c": t * t * t}
-    if background:
-        more["bb_c"] = F.col(f"{background}_c") * F.col(f"{background}_c")
-    return out.withColumns(more), ["one", f"{x}_c", f"{y}_c", "xx_c", "yy_c", "xy_c", "t_c", "tt_c", "ttt_c", *([f"{background}_c", "bb_c"] if background else [])]
+    more |= {f"{c}_cc": F.col(f"{c}_c") * F.col(f"{c}_c") for c in (width, background) if c}
+    out = out.withColumns(more)
+    names = ["one", f"{x}_c", f"{y}_c", "xx_c", "yy_c", "xy_c", "t_c", "tt_c", "ttt_c", *([f"{width}_c", f"{width}_cc"] if width else [])]
+    if spacing != float("inf"):
+        out, own = hinges(out, spacing)
+        long = (F.max("t").over(by()) - F.min("t").over(by())) > 2 * spacing
+        out = out.withColumn("long_", long)
+        out = out.withColumns({n: F.when(F.col("long_"), F.col(n)).otherwise(0.0) for n in own}).drop("long_") if own else out.drop("long_")
+        names += own
+    return out, [*names, *([f"{background}_c", f"{background}_cc"] if background else [])]
 
 
 def robust_fit(rows: DataFrame, features: list[str], y: str, rounds: int = 8, keys: tuple = ("series_id",), stop: bool = False) -> DataFrame:
@@ -129,15 +174,40 @@ def decorrelated(rows: DataFrame, features: list[str], y: str, fits: DataFrame,
     return out.withColumn("decorrelated", F.col(y) - predicted(features) + F.median(y).over(by(*keys))).drop("beta")
 
 
+def split_decorrelated(rows: DataFrame, x: str, y: str, background: str, half: str, least: int = 200, whole: int = 300, rounds: int = 8) -> DataFrame:
+    """A robust fit of the extractor design on each side of ``half``; a side of fewer than ``least`` points, or a series of no more
+    than ``whole``, keeps its values as ``decorrelated``."""
+    keys = ("series_id", half)
+    sized = rows.withColumns({"side_": F.count("y").over(by(*keys)), "all_": F.count("y").over(by())})
+    enough = (F.col("side_") >= least) & (F.col("all_") > whole)
+    features, names = extractor_features(sized, x, y, background)
+    features = stored(features, "split")
+    out = decorrelated(features, names, "y", robust_fit(features.filter(enough), names, "y", rounds, keys, stop=True), keys)
+    return out.withColumn("decorrelated", F.when(enough, F.col("decorrelated")).otherwise(F.col("y"))).drop("side_", "all_")
+
+
 def background_scale(series: DataFrame, background: str, steps: int = 200, factor: float = 2.0, least: int = 100) -> DataFrame:
-    """(series_id, k): the multiple of the background whose removal leaves the least noise of first differences."""
-    meds = series.groupBy("series_id").agg(F.median("y").alias("my"), F.median(background).alias("mb"), F.count("*").alias("n"))
-    usable = meds.filter((F.col("n") >= least) & (F.col("mb") != 0))
-    ks = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i * (factor * F.col("my") / F.col("mb")) / (steps - 1))
-    grid = series.join(usable.select("series_id", F.posexplode(ks).alias("i", "k_")), "series_id")
-    left = grid.withColumn("rest_", F.col("y") - F.col("k_") * F.col(background))
-    w = by("series_id", "i")
-    left = left.withColumn("med_", F.median("rest_").over(w)).withColumn("dy_", F.col("rest_") - F.lag("rest_").over(w.orderBy("t", "k")))
-    metric = F.stddev_pop("dy_") / F.max(F.when(F.col("med_") != 0, F.abs("med_")).otherwise(1.0))
-    best = left.groupBy("series_id", "i", "k_").agg(metric.alias("m")).groupBy("series_id").agg(F.min_by("k_", F.struct("m", "i")).alias("best"))
-    return meds.join(best, "series_id", "left").select("series_id", F.coalesce("best", F.lit(0.0)).alias("k"))
+    """(series_id, k): the multiple of the background whose removal leaves the least noise of first differences over the
+    median; 0 for series of fewer than ``least`` points or without a background. The noise of a multiple follows from three
+    sums over the differences; only its median looks at the samples again, as one array a series."""
+
+    @F.pandas_udf("double")
+    def best(rows: pd.Series) -> pd.Series:
+        out = []
+        for own in rows:
+            y, b = (np.array([r[c] for r in own], float) for c in ("y", "b"))
+            my, mb = np.median(y), np.median(b)
+            if len(y) < least or mb == 0:
+                out.append(0.0)
+                continue
+            ks, dy, db = np.arange(steps) * (factor * my / mb) / (steps - 1), np.diff(y), np.diff(b)
+            (vy, vyb), (_, vb) = np.cov(dy, db, bias=True)
+            noise = np.sqrt(np.maximum(vy - 2 * ks * vyb + ks * ks * vb, 0.0))
+            medians = np.array([np.median(y - k * b) for k in ks])
+            out.append(float(ks[np.argmin(noise / np.where(medians != 0, np.abs(medians), 1.0))]))
+        return pd.Series(out, dtype=float)
+
+    sorted_rows = F.sort_array(F.collect_list(F.struct("t", "k", F.col("y").cast("double").alias("y"), F.col(background).cast("double").alias("b"))))
+    own = series.filter(F.col("y").isNotNull() & F.col(background).isNotNull()).groupBy("series_id").agg(sorted_rows.alias("rows"))
+    values = F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["b"].alias("b")))
+    return own.select("series_id", best(values).alias("k"))

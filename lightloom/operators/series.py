@@ -96,10 +96,16 @@ def robust_step_noise(series: DataFrame, y: str = "y") -> DataFrame:
     return steps.groupBy("series_id").agg(F.when(F.count(y) >= 5, sigma).alias("sigma"))
 
 
-def level(y: str = "y", *keys: str) -> Column:
-    """y over the median of its group; groups with a median of 0 or none stay."""
+def level(y: str = "y", *keys: str, zero: str = "keep") -> Column:
+    """y over the median of its group; a group whose median is 0 or missing keeps its values, or with ``zero='null'`` has none."""
     m = F.median(y).over(by(*keys))
-    return F.when(m != 0, F.col(y) / m).otherwise(F.col(y))
+    return F.when(m != 0, F.col(y) / m).otherwise(F.col(y) if zero == "keep" else F.lit(None).cast("double"))
+
+
+def with_any_flux(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of series that have a finite value in one of ``columns`` at least once."""
+    some = F.coalesce(*[finite(F.col(c)) for c in columns])
+    return rows.withColumn("some_", F.count(some).over(by())).filter("some_ > 0").drop("some_")
 
 
 def rms_ppm(x: str) -> Column:

@@ -1,18 +1,24 @@
 """Periodograms and what is read from them, for all series and frequencies in one plan.
 
-A spectrum is rows (series_id, j, f, power). Sums over samples are partial aggregates per (series, frequency): the exploded
-grid never leaves the task that makes it, only one row per task, series and frequency is shuffled.
+A spectrum is rows (series_id, j, f, power). Grids are even (``frequency_grid``, ``local_grid``), so a sample carries only its
+series' first frequency, step and size. A task turns its samples into sums of waves with a few matrix products a series
+(``wave_sums``); no row is made for a sample and a frequency, one per task, series and frequency is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .series import by, trimmed_median
@@ -42,16 +48,6 @@ def local_grid(centres: DataFrame, half: Column, df: Column, fmin: float, fmax:
     return rows.withColumn("f", F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / (F.col("n_") - 1)).drop("low_", "high_", "n_")
 
 
-def trig_sums(samples: DataFrame, *keys: str, weight: Column | None = None) -> DataFrame:
-    """Weighted sums of products of 1, y, sin, cos; samples have t, y, f."""
-    w = F.lit(1.0) if weight is None else weight
-    s, c = F.sin(TAU * F.col("f") * F.col("t")), F.cos(TAU * F.col("f") * F.col("t"))
-    x = samples.withColumns({"w_": w, "s_": s, "c_": c})
-    w, y, s, c = (F.col(n) for n in ("w_", "y", "s_", "c_"))
-    terms = {"n0": w, "sy": w * y, "ss": w * s, "sc": w * c, "sss": w * s * s, "scc": w * c * c, "ssc": w * s * c, "sys": w * y * s, "syc": w * y * c, "syy": w * y * y}
-    return x.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in terms.items()])
-
-
 def centred(sums: DataFrame, mean: bool = True) -> DataFrame:
     """Sums about the means: a, b, d, p, q, r = SS, CC, SC, YS, YC, YY."""
     n = F.col("n0")
@@ -74,45 +70,143 @@ def solved(sums: DataFrame) -> DataFrame:
     return out.withColumn("gain", F.coalesce(s * F.col("p") + c * F.col("q"), single)).withColumn("rss", F.col("r") - F.col("gain"))
 
 
-def on_grid(series: DataFrame, grid: DataFrame) -> DataFrame:
-    """Samples times the frequencies of their series. A grid is a few thousand rows a series; one array a series keeps
-    the join at one row a sample, and the explode stays in the task."""
-    packed = grid.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("j", "f"))).alias("grid_"))
-    return series.join(packed, "series_id").select("series_id", *[c for c in series.columns if c != "series_id"], F.inline("grid_"))
+_BLOCK = 256
+_HELD = 1 << 22
+
+
+def _wave_products(t: np.ndarray, weights: np.ndarray, low: float, step: float, n: int, wanted: list[tuple[int, int]]) -> np.ndarray:
+    """Sums of weight * exp(i m w t) at n even frequencies for each wanted (row of ``weights``, m).
+
+    exp(i w t) is a product of a block's first wave and of one inside a block, so sums are matrix products."""
+    inside = np.exp(1j * TAU * step * np.outer(t, np.arange(min(_BLOCK, n))))
+    starts = np.exp(1j * TAU * np.outer(t, low + step * np.arange(0, n, _BLOCK)))
+    return np.stack([((weights[k][:, None] * starts**m).T @ inside**m).ravel()[:n] for k, m in wanted])
+
+
+def wave_sums(series: DataFrame, grid: DataFrame, *keys: str, weight: Column | None = None, slope: Column | None = None) -> DataFrame:
+    """Weighted sums of products of 1, y, sin, cos (n0, sy, syy, ss, sc, sss, scc, ssc, sys, syc) by series_id, keys, j and f
+    on an even grid; with ``slope``, u, also uu, uy, us, uc. y and t must not be null."""
+    waves = {"w": (0, 1), "y": (1, 1), "d": (0, 2)} | ({"u": (2, 1)} if slope is not None else {})
+    sums = _summed(series, grid, keys, weight, slope, waves)
+    half = lambda sign: (F.col("n0") + sign * F.col("dc")) / 2
+    sums = sums.withColumns({"sss": half(-1), "scc": half(1), "ssc": F.col("ds") / 2}).drop("dc", "ds")
+    return sums.withColumnsRenamed({"ws": "ss", "wc": "sc", "ys": "sys", "yc": "syc"})
+
+
+def harmonic_sums(series: DataFrame, grid: DataFrame, harmonics: int) -> DataFrame:
+    """(series_id, j, f, xx, xy, yy, n): normal equations of an offset and ``harmonics`` sinusoids at every frequency. Products of
+    waves are waves of the sums and differences of their multiples."""
+    count = range(1, harmonics + 1)
+    waves = {f"w{m}": (0, m) for m in range(1, 2 * harmonics + 1)} | {f"y{h}": (1, h) for h in count}
+    sums = _summed(series, grid, (), None, None, waves)
+    c = lambda m: F.col(f"w{abs(m)}c") if m else F.col("n0")
+    s = lambda m: F.lit(0.0) if m == 0 else F.col(f"w{abs(m)}s") * (1 if m > 0 else -1)
+    of = [("c", 0)] + [(kind, h) for h in count for kind in "sc"]
+
+    def product(a: tuple[str, int], b: tuple[str, int]) -> Column:
+        (x, h), (y, k) = a, b
+        if x == y:
+            return (c(h - k) + (1 if x == "c" else -1) * c(h + k)) / 2
+        h, k = (h, k) if x == "s" else (k, h)
+        return (s(h + k) + s(h - k)) / 2
+
+    xx = F.array(*[product(a, b) for a in of for b in of])
+    xy = F.array(F.col("sy"), *[F.col(f"y{h}{kind}") for h in count for kind in "sc"])
+    return sums.select("series_id", "j", "f", xx.alias("xx"), xy.alias("xy"), F.col("syy").alias("yy"), F.col("n0").cast("long").alias("n"))
+
+
+def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | None, slope: Column | None, waves: dict[str, tuple[int, int]]) -> DataFrame:
+    """By series_id, keys, j and f the sums n0, sy, syy, uu, uy, and of each named wave (weight w, w y or w u as 0, 1 or 2; multiple
+    of the frequency) its cosine and sine parts, name + c and name + s."""
+    packed = grid.groupBy("series_id").agg(F.min("j").alias("j0_"), F.min("f").alias("low_"), F.max("f").alias("high_"), F.count("*").alias("n_"))
+    step = F.coalesce((F.col("high_") - F.col("low_")) / F.nullif(F.col("n_") - 1, F.lit(0)), F.lit(0.0))
+    packed = packed.select("series_id", "j0_", "low_", step.alias("step_"), "n_")
+    w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
+    rows = series.filter("t is not null and y is not null").select("series_id", *keys, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
+    rows = rows.join(packed, "series_id")
+    names, wanted = ("series_id", *keys), list(waves.values())
+
+    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+        for key, (place, scalars, sums) in held.items():
+            for a in range(0, sums.shape[1], 4096):
+                part = sums[:, a : a + 4096]
+                lists = [x for row in part for x in (row.real, row.imag)]
+                columns = [pa.array([v], t) for v, t in zip(key, kinds, strict=True)]
+                columns += [pa.array([place[0] + a], pa.int64()), pa.array([a], pa.int64()), *[pa.array([x]) for x in (*place[1:], *scalars)]]
+                columns += [pa.array([x], pa.list_(pa.float64())) for x in lists]
+                yield pa.RecordBatch.from_arrays(columns, fields)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for n in names:
+                own = pc.dictionary_encode(batch.column(n), null_encoding="encode")
+                code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            t, y, w, u, j0, low, step, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "w_", "u_", "j0_", "low_", "step_", "n_"))
+            for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []:
+                key, i = tuple(batch.column(c)[int(at[0])].as_py() for c in names), int(at[0])
+                weights = np.stack([w[at], (w * y)[at], (w * u)[at]])
+                scalars = np.array([x.sum() for x in (w[at], (w * y)[at], (w * y * y)[at], (w * u * u)[at], (w * u * y)[at])])
+                for k in range(0, len(at), 4096):  # a hot series' batch in pieces
+                    rows = slice(k, k + 4096)
+                    made = _wave_products(t[at[rows]], weights[:, rows], low[i], step[i], int(n[i]), wanted)
+                    total = made if k == 0 else total + made
+                if key in held:
+                    place, old, sums = held[key]
+                    held[key] = (place, old + scalars, sums + total)
+                else:
+                    held[key] = ((int(j0[i]), float(low[i]), float(step[i])), scalars, total)
+                    size += total.size
+            if size > _HELD:
+                yield from emit(held)
+                held, size = {}, 0
+        yield from emit(held)
+
+    parts_of = [f"{n}{x}" for n in waves for x in "cs"]
+    plain = ["n0", "sy", "syy", "uu", "uy"]
+    fields = [*names, "j0_", "off_", "low_", "step_", *plain, *parts_of]
+    schema = T.StructType([rows.schema[n] for n in names])
+    kinds = [to_arrow_type(rows.schema[n].dataType) for n in names]
+    for n in ("j0_", "off_", "low_", "step_", *plain):
+        schema = schema.add(n, "long" if n in ("j0_", "off_") else "double")
+    for n in parts_of:
+        schema = schema.add(n, T.ArrayType(T.DoubleType()))
+    parts = rows.mapInArrow(add, schema)
+    each = parts.select(*names, "j0_", "off_", "low_", "step_", *plain, F.posexplode(F.arrays_zip(*parts_of)).alias("at_", "z_"))
+    each = each.withColumn("j", F.col("j0_") + F.col("at_")).withColumn("f", F.col("low_") + F.col("step_") * (F.col("off_") + F.col("at_")))
+    return each.groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in plain], *[F.sum(F.col("z_")[n]).alias(n) for n in parts_of])
 
 
 def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """Floating-mean periodogram, psd normalisation: half the drop of the residual sum of squares."""
-    fit = solved(centred(trig_sums(on_grid(series, grid), "series_id", "j", "f", weight=weight)))
+    fit = solved(centred(wave_sums(series, grid, weight=weight)))
     return fit.select("series_id", "j", "f", (F.col("gain") / 2).alias("power"))
 
 
 def nuisance_periodogram(series: DataFrame, grid: DataFrame, night: str | None = None, slopes: bool = False) -> DataFrame:
     """Share of the residual sum of squares that a sinusoid removes beside a baseline: one offset, an offset a night, or
-    an offset and a slope a night. The baseline is block diagonal, so each night's means and slopes are projected off."""
-    samples = on_grid(series, grid)
-    keys = ("series_id", "j", "f", *([night] if night else []))
-    sums = trig_sums(samples, *keys)
+    an offset and a slope a night. The baseline is block diagonal, so each night's means and slopes are projected off.
+    A night's mean time is taken from the samples, before they meet the grid."""
+    keys, slope = (night,) if night else (), None
     if slopes:
-        x = samples.withColumn("u_", F.col("t") - F.avg("t").over(by("series_id", "j", night)))
-        s, c = F.sin(TAU * F.col("f") * F.col("t")), F.cos(TAU * F.col("f") * F.col("t"))
-        u = F.col("u_")
-        slope = x.groupBy(*keys).agg(F.sum(u * u).alias("uu"), F.sum(u * F.col("y")).alias("uy"), F.sum(u * s).alias("us"), F.sum(u * c).alias("uc"))
-        sums = sums.join(slope, list(keys))
-    parts = centred(sums)
+        series = series.withColumn("u0_", F.col("t") - F.avg("t").over(by("series_id", night)))
+        slope = F.col("u0_")
+    parts = centred(wave_sums(series, grid, *keys, slope=slope))
     if slopes:
         safe = F.when(F.col("uu") > 0, F.col("uu"))
         off = lambda x, y: F.coalesce(F.col(x) * F.col(y) / safe, F.lit(0.0))
         pairs = {"a": ("us", "us"), "b": ("uc", "uc"), "d": ("us", "uc"), "p": ("uy", "us"), "q": ("uy", "uc"), "r": ("uy", "uy")}
         parts = parts.withColumns({k: F.col(k) - off(*v) for k, v in pairs.items()})
-    total = parts.groupBy("series_id", "j", "f").agg(*[F.sum(k).alias(k) for k in "abdpqr"])
+    total = parts.groupBy("series_id", "j", "f").agg(*[F.sum(k).alias(k) for k in "abdpqr"]) if night else parts
     fit = solved(total)
     power = F.greatest(F.lit(0.0), F.col("gain") / F.nullif(F.col("r"), F.lit(0.0)))
     return fit.select("series_id", "j", "f", power.alias("power"), "s_coeff", "c_coeff", "rss")
 
 
 def spectral_window(series: DataFrame, grid: DataFrame) -> DataFrame:
-    sums = trig_sums(on_grid(series, grid), "series_id", "j", "f")
+    sums = wave_sums(series.withColumn("y", F.lit(1.0)), grid)
     z = F.col("ss") * F.col("ss") + F.col("sc") * F.col("sc")
     return sums.withColumn("z", z).select("series_id", "j", "f", (F.col("z") / F.max("z").over(by())).alias("power"))
 
@@ -154,9 +248,6 @@ def normalised(spectrum: DataFrame, value: str = "power") -> DataFrame:
 def prominences(spectrum: DataFrame, value: str = "power") -> DataFrame:
     """Local maxima with their prominence: to each side the lowest point before a higher one, or the end; the peak minus
     the higher of both. One array a series, walked by one small Python step per peak."""
-    import numpy as np
-    import pandas as pd
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("j", ignore_index=True)
         y = pdf[value].to_numpy(float)
@@ -190,45 +281,53 @@ def _stay(values: pd.Series, min_sep: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def spaced(peaks: DataFrame, order: list, min_sep: float, f: str = "f") -> DataFrame:
-    """Greedy choice in ``order``: a row stays if it is ``min_sep`` or more from all that stayed. Runs over one array of
-    candidates a series; a walk that looks at the nearest that stayed on either side."""
+def spaced(peaks: DataFrame, order: list, min_sep: float | Column, f: str = "f") -> DataFrame:
+    """Greedy choice in ``order``: a row stays if it is ``min_sep`` (a number, or a column that is one value a series) or more
+    from all that stayed. Runs over one array of candidates a series; a walk that looks at the nearest that stayed on either side."""
     names = peaks.columns
-    ranked = peaks.withColumn("rank_", F.row_number().over(by().orderBy(*order)))
+    ranked = peaks.withColumn("rank_", F.row_number().over(by().orderBy(*order))).withColumn("sep_", min_sep if isinstance(min_sep, Column) else F.lit(float(min_sep)))
     rows = F.sort_array(F.collect_list(F.struct("rank_", *names)))
-    grouped = ranked.groupBy(F.col("series_id").alias("key_")).agg(rows.alias("rows_"))
-    flagged = grouped.withColumn("stay_", _stay(F.transform("rows_", lambda r: r[f].cast("double")), F.lit(float(min_sep))))
+    grouped = ranked.groupBy(F.col("series_id").alias("key_")).agg(rows.alias("rows_"), F.max("sep_").alias("sep_"))
+    flagged = grouped.withColumn("stay_", _stay(F.transform("rows_", lambda r: r[f].cast("double")), F.col("sep_")))
     return flagged.select(F.inline(F.filter("rows_", lambda r, i: F.get("stay_", i)))).drop("rank_")
 
 
-def top_peaks(spectrum: DataFrame, k: int, min_sep: float, min_prominence: float = 1.0, value: str = "power") -> DataFrame:
+def top_peaks(spectrum: DataFrame, k: int, min_sep: float | Column, min_prominence: float = 1.0, value: str = "power", sep: DataFrame | None = None) -> DataFrame:
+    """The ``k`` highest peaks of enough prominence, ``min_sep`` apart; ``sep``: a table (series_id, sep) that ``min_sep`` names."""
     found = prominences(spectrum, value).filter(F.col("prominence") >= min_prominence)
+    found = found if sep is None else found.join(sep, "series_id")
     kept = spaced(found, [F.desc(value), "j"], min_sep)
     rank = F.row_number().over(by().orderBy(F.desc(value), F.desc("prominence"), "j"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def excluded(spectrum: DataFrame, accepted: DataFrame, half: float) -> DataFrame:
-    """Spectrum without bins within ``half`` of an accepted frequency (series_id, f)."""
+def excluded(spectrum: DataFrame, accepted: DataFrame, half: float | Column) -> DataFrame:
+    """Spectrum without bins within ``half`` (a number, or a column of ``spectrum``) of an accepted frequency (series_id, f)."""
     taken = accepted.groupBy("series_id").agg(F.collect_list("f").alias("taken_"))
     free = F.coalesce(F.forall("taken_", lambda x: F.abs(F.col("f") - x) > half), F.lit(True))
     return spectrum.join(taken, "series_id", "left").filter(free).drop("taken_")
 
 
-def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, night: str | None = None) -> DataFrame:
-    """The frequency of least residual among ``steps`` even ones around f0: series_id, f, s_coeff, c_coeff, rss."""
-    grid = local_grid(centres, half, F.lit(1e-12), fmin, fmax, steps).select("series_id", "j", "f")
+def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, night: str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """The frequency of least residual among ``steps`` even ones around f0: series_id, f, s_coeff, c_coeff, rss; ``bounds`` names
+    columns of ``centres`` that the frequency keeps within."""
+    low, high = F.greatest(F.lit(fmin), F.col("f0") - half), F.least(F.lit(fmax), F.col("f0") + half)
+    if bounds:
+        low, high = F.greatest(low, F.col(bounds[0])), F.least(high, F.col(bounds[1]))
+    points = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("j")
+    grid = centres.select("series_id", low.alias("low_"), high.alias("high_")).select("series_id", "low_", "high_", points)
+    grid = grid.select("series_id", "j", (F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / max(steps - 1, 1)).alias("f"))
     fits = nuisance_periodogram(series, grid, night)
     best = F.min_by(F.struct("f", "s_coeff", "c_coeff", "rss", "power"), F.struct("rss", "j"))
     return fits.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
 
 
-def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y") -> DataFrame:
-    """y without the fitted sinusoid and offset; series without a fit stay as they are."""
+def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y", night: str | None = None) -> DataFrame:
+    """y without the fitted sinusoid and offset (one a ``night`` where given); series without a fit stay as they are."""
     own = fits.select("series_id", F.col("f").alias("f_"), F.col("s_coeff").alias("s_"), F.col("c_coeff").alias("c_"))
     joined = series.join(own, "series_id", "left")
     angle = TAU * F.col("f_") * F.col("t")
     wave = F.coalesce(F.col("s_") * F.sin(angle) + F.col("c_") * F.cos(angle), F.lit(0.0))
     joined = joined.withColumn("rest_", F.col(y) - wave)
-    offset = F.when(F.col("f_").isNotNull(), F.avg("rest_").over(by())).otherwise(F.lit(0.0))
+    offset = F.when(F.col("f_").isNotNull(), F.avg("rest_").over(by("series_id", *([night] if night else [])))).otherwise(F.lit(0.0))
     return joined.withColumn(y, F.col("rest_") - offset).select(*series.columns)

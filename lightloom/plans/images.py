@@ -61,7 +61,10 @@ def image_local_maxima(spark: SparkSession, sf: str) -> DataFrame:
     return I.image_maxima(I.mean_image(pixels(spark, sf))).select("stamp_id", "row", "col")
 
 
-@query()
+_PICKS = f"{_MAXIMA}, r AS (SELECT stamp_id, list([{{'r': \"row\", 'c': col, 'v': value}}] ORDER BY value DESC, \"row\", col) AS rows FROM mx GROUP BY 1), k AS (SELECT stamp_id, list_reduce(rows, lambda kept, x : CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda v : (v.r - x[1].r) * (v.r - x[1].r) + (v.c - x[1].c) * (v.c - x[1].c) < 9)) = 0 THEN list_concat(kept, x) ELSE kept END) AS kept FROM r)"
+
+
+@query(f"{_PICKS} SELECT stamp_id, CAST(i - 1 AS INTEGER) AS target, kept[i].r AS \"row\", kept[i].c AS col, round(kept[i].v, 6) AS value FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS i FROM k)")
 def peak_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(I.peak_seeds(I.mean_image(pixels(spark, sf)), 3, 3.0), 6)
 
@@ -185,10 +188,27 @@ def aperture_saturated(spark: SparkSession, sf: str) -> DataFrame:
     return A.grow(*_seeded(spark, sf), "exhaustive")
 
 
+@query()
+def aperture_grow_signed(spark: SparkSession, sf: str) -> DataFrame:
+    """Fluxes on both sides of zero, as after the background is taken away."""
+    px = stored(pixels(spark, sf), "pixels")
+    seeds = stored(I.brightest_pixel(I.mean_image(px)).select("stamp_id", F.lit(0).alias("target"), "row", "col"), "seeds")
+    return A.grow(px, seeds, px.select("stamp_id", "row", "col").distinct().withColumn("owner", F.lit(0)), "single")
+
+
 @query()
 def extract_by_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stamp by its own mode; curves over the median of their segment."""
     px = stored(_positive(spark, sf), "pixels")
-    return rounded(A.extract(px, A.region_grow(px, 1)), 5)
+    masks = A.masks_by_mode(px)
+    times = px.select("stamp_id", "cadence").distinct().withColumn("t", F.col("cadence").cast("double"))
+    return rounded(A.levelled_by_segment(I.aperture_sums(px, masks), times, 50.0).select("stamp_id", "target", "cadence", "flux", "npix", "flux_rel"), 5)
+
+
+@query(f'{P} SELECT DISTINCT stamp_id, "row", col FROM im WHERE value > 0.02 OR {CIRCLE}')
+def mask_union(spark: SparkSession, sf: str) -> DataFrame:
+    px = pixels(spark, sf)
+    return I.mask_union(I.mean_image(px).filter("value > 0.02"), _circle(px))
 
 
 _SKY = "sky AS (SELECT s_suppkey AS source_id, s_suppkey % 360 + 0.25e0 AS ra, (s_suppkey * 7) % 120 - 60 + 0.5e0 AS \"dec\", s_acctbal AS mag FROM supplier), ce AS (SELECT n_nationkey AS stamp_id, n_nationkey * 3e0 AS ra0, n_nationkey - 12e0 AS dec0 FROM nation)"

@@ -21,6 +21,17 @@ PIXELS_SQL = """px AS (SELECT stamp_id, cadence, CAST(floor((pos - 1) / 8) AS IN
   FROM (SELECT label AS stamp_id, vec_id AS cadence, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
 im AS (SELECT stamp_id, "row", col, avg(flux) AS value FROM px GROUP BY ALL)"""
 
+#: PCHIP through knots kn (series_id, x, v) in SQL: the pieces iv, to be joined by ASOF on at, and the value at a place.
+PCHIP = """h AS (SELECT *, lead(x) OVER w - x AS h, (lead(v) OVER w - v) / (lead(x) OVER w - x) AS m FROM kn WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+n AS (SELECT *, lag(h) OVER w AS h0, lag(m) OVER w AS m0, lead(h) OVER w AS h2, lead(m) OVER w AS m2, lag(h, 2) OVER w AS hp, lag(m, 2) OVER w AS mp FROM h WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+ed AS (SELECT *, CASE WHEN h0 IS NULL THEN ((2 * h + h2) * m - h * m2) / (h + h2) WHEN h IS NULL THEN ((2 * h0 + hp) * m0 - h0 * mp) / (h0 + hp) END AS d0, CASE WHEN h0 IS NULL THEN m ELSE m0 END AS ma, CASE WHEN h0 IS NULL THEN m2 ELSE mp END AS mb FROM n),
+sl AS (SELECT series_id, x, v, h, CASE WHEN h0 IS NULL OR h IS NULL THEN CASE WHEN sign(d0) <> sign(ma) THEN 0 WHEN sign(ma) <> sign(mb) AND abs(d0) > 3 * abs(ma) THEN 3 * ma ELSE d0 END
+  WHEN m0 * m <= 0 THEN 0 ELSE (3 * h + 3 * h0) / ((2 * h + h0) / m0 + (h + 2 * h0) / m) END AS d FROM ed),
+pc AS (SELECT *, lead(v) OVER w AS v1, lead(d) OVER w AS d1, row_number() OVER w AS nr FROM sl WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+iv AS (SELECT series_id, x, h, v, v1, d, d1, CASE WHEN nr = 1 THEN -1e18 ELSE x END AS at FROM pc WHERE h IS NOT NULL)"""
+PCHIP_VALUE = """(1 + 2 * (({at} - iv.x) / iv.h)) * (1 - ({at} - iv.x) / iv.h) * (1 - ({at} - iv.x) / iv.h) * iv.v + (({at} - iv.x) / iv.h) * (({at} - iv.x) / iv.h) * (3 - 2 * (({at} - iv.x) / iv.h)) * iv.v1
+  + iv.h * iv.d * (({at} - iv.x) / iv.h) * (1 - ({at} - iv.x) / iv.h) * (1 - ({at} - iv.x) / iv.h) - iv.h * iv.d1 * (({at} - iv.x) / iv.h) * (({at} - iv.x) / iv.h) * (1 - ({at} - iv.x) / iv.h)"""
+
 
 def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:

@@ -13,13 +13,12 @@ from ..operators import spectrum as P
 from ..operators import spline as K
 from ..tables import stored
 from .basics import SEG
-from .registry import EVENTS_SQL, LINES_SQL, events, lines, query, rounded
+from .registry import EVENTS_SQL, LINES_SQL, PCHIP, PCHIP_VALUE, events, lines, query, rounded
 
-#: Frequencies of the standard spectra: 0.05 to 2 cycles a day, 120 points at most.
-FMIN, FMAX, POINTS = 0.05, 2.0, 120
-#: Frequencies of whole searches, as in the reference.
-FULL_MIN, FULL_MAX, FULL_POINTS = 0.01, 50.0, 60_000
-REFERENCE_KFIT = 3.0
+#: Frequencies of all spectra, in cycles a day, and the most points of a grid.
+FMIN, FMAX, POINTS = 0.01, 50.0, 60_000
+#: Steps of a local fit.
+STEPS = 1001
 
 _GRID = f"""sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1),
 st AS (SELECT series_id, t_full, floor(({FMAX}e0 - {FMIN}e0) / (1 / t_full / 3e0)) + 1 AS n, 1 / t_full / 3e0 AS df FROM sp),
@@ -42,10 +41,6 @@ def _grid(series: DataFrame) -> DataFrame:
     return P.frequency_grid(_spans(series), FMIN, FMAX, oversample=3.0, most=POINTS)
 
 
-def _full_grid(series: DataFrame, fmax: float = FULL_MAX, oversample: float = 3.0, most: int = FULL_POINTS) -> DataFrame:
-    return P.frequency_grid(_spans(series), FULL_MIN, fmax, oversample=oversample, most=most)
-
-
 def _spectrum(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     return P.lomb_scargle(e, _grid(e))
@@ -82,7 +77,15 @@ def nuisance_periodogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.nuisance_periodogram(e, _grid(e), "night").select("series_id", "j", "power"), 7)
 
 
-@query()
+_SLOPES = f"""{E}, {_GRID}, en AS (SELECT *, floor(t) AS night, t - avg(t) OVER (PARTITION BY series_id, floor(t)) AS u FROM e),
+su AS (SELECT series_id, j, f, night, count(*) AS n, sum(y) AS y1, sum(s) AS s1, sum(c) AS c1, sum(s * s) AS s2, sum(c * c) AS c2, sum(s * c) AS sc, sum(y * s) AS ys, sum(y * c) AS yc, sum(y * y) AS yy,
+  sum(u * u) AS uu, sum(u * y) AS uy, sum(u * s) AS us, sum(u * c) AS uc
+  FROM (SELECT en.*, j, f, sin(2 * pi() * f * t) AS s, cos(2 * pi() * f * t) AS c FROM en JOIN g USING (series_id)) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN uu > 0 THEN 1 / uu ELSE 0 END AS iu FROM su),
+ce AS (SELECT series_id, j, f, sum(s2 - s1 * s1 / n - us * us * iu) AS a, sum(c2 - c1 * c1 / n - uc * uc * iu) AS b, sum(sc - s1 * c1 / n - us * uc * iu) AS d, sum(ys - y1 * s1 / n - uy * us * iu) AS p, sum(yc - y1 * c1 / n - uy * uc * iu) AS q, sum(yy - y1 * y1 / n - uy * uy * iu) AS r FROM o GROUP BY ALL)"""
+
+
+@query(f"{_SLOPES} SELECT series_id, j, round(greatest(0, (p * (b * p - d * q) + q * (a * q - d * p)) / (a * b - d * d) / r), 7) AS power FROM ce")
 def nuisance_periodogram_slopes(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).withColumn("night", F.floor("t"))
     return rounded(P.nuisance_periodogram(e, _grid(e), "night", slopes=True).select("series_id", "j", "power"), 7)
@@ -131,17 +134,17 @@ def exclusion_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{E}, {SEG.format(gap=1, src='e')}, g AS (SELECT series_id, segment, min(t) AS a, max(t) AS b, count(*) AS n FROM seg GROUP BY ALL), c AS (SELECT series_id, coalesce(max(b - a) FILTER (n >= 2), max(b) - min(a)) AS t_chunk FROM g GROUP BY 1) SELECT series_id, round(CASE WHEN t_chunk > 0 THEN sqrt(t_chunk) ELSE 1 END, 6) AS weight FROM c")
 def dataset_weight(spark: SparkSession, sf: str) -> DataFrame:
     chunk = S.longest_chunk(events(spark, sf), 1.0)
-    return rounded(chunk.select("series_id", F.when(F.col("t_chunk") > 0, F.sqrt("t_chunk")).otherwise(1.0).alias("weight")), 6)
+    return rounded(chunk.select("series_id", waves.dataset_weight("sqrt", F.col("t_chunk")).alias("weight")), 6)
 
 
-_LOCAL = f"""{E}, g AS (SELECT series_id, j, 0.9e0 + j * 0.2e0 / 40 AS f FROM (SELECT DISTINCT series_id FROM e), (SELECT unnest(range(0, 41)) AS j)), {_SUMS.format(src='e', night='')}"""
+_LOCAL = f"""{E}, g AS (SELECT series_id, j, 0.9e0 + j * (1.1e0 - 0.9e0) / 1000 AS f FROM (SELECT DISTINCT series_id FROM e), (SELECT unnest(range(0, 1001)) AS j)), {_SUMS.format(src='e', night='')}"""
 
 
 @query(f"{_LOCAL}, best AS (SELECT series_id, arg_min(j, (r - gain, j)) AS j FROM spec GROUP BY 1) SELECT series_id, round(f, 6) AS f, round(s, 5) AS s_coeff, round(c, 5) AS c_coeff FROM best JOIN spec USING (series_id, j)")
 def frequency_fit(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     at = e.select("series_id").distinct().withColumn("f0", F.lit(1.0))
-    fit = P.frequency_fit(e, at, F.lit(0.1), 0.01, 50.0, steps=41)
+    fit = P.frequency_fit(e, at, F.lit(0.1), FMIN, FMAX, steps=STEPS)
     return rounded(rounded(fit.select("series_id", "f", "s_coeff", "c_coeff"), 6, "f"), 5, "s_coeff", "c_coeff")
 
 
@@ -150,20 +153,24 @@ w AS (SELECT series_id, k, y - (s * sin(2 * pi() * f * t) + c * cos(2 * pi() * f
 def prewhiten(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     at = e.select("series_id").distinct().withColumn("f0", F.lit(1.0))
-    return rounded(P.prewhitened(e, P.frequency_fit(e, at, F.lit(0.1), 0.01, 50.0, steps=41)).select("k", "y"), 5)
+    return rounded(P.prewhitened(e, P.frequency_fit(e, at, F.lit(0.1), FMIN, FMAX, steps=STEPS)).select("k", "y"), 5)
 
 
 @query()
 def sequential_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Event values are noise, so the limit is low: the loop runs its rounds."""
-    found = M.sequential_modes(events(spark, sf), FULL_MIN, FULL_MAX, rounds=20, snr_stop=1.0, most=FULL_POINTS, steps=1001, kfit=REFERENCE_KFIT)
+    found = M.sequential_modes(events(spark, sf), FMIN, FMAX, snr_stop=1.0)
     return rounded(found, 4)
 
 
-@query()
+#: Greedy choice in SQL: rows in order as a list, reduced to those that stay away from what was kept.
+_GREEDY = "list_reduce({rows}, lambda kept, x : CASE WHEN len(list_filter(kept, lambda v : abs(v.f - x[1].f) < {sep}e0)) = 0 THEN list_concat(kept, x) ELSE kept END)"
+
+
+@query(f"{SPEC}, r AS (SELECT series_id, list([{{'j': j, 'f': f}}] ORDER BY power DESC, f) AS rows FROM spec WHERE power > 1 GROUP BY 1), k AS (SELECT series_id, {_GREEDY.format(rows='rows', sep='0.15')} AS kept FROM r) SELECT series_id, x.j AS j FROM (SELECT series_id, unnest(kept) AS x FROM k)")
 def dedupe_modes(spark: SparkSession, sf: str) -> DataFrame:
     spec = _spectrum(spark, sf).filter("power > 1").withColumn("snr", F.sqrt("power")).withColumn("amp", F.lit(0.0)).withColumn("w", F.col("power"))
-    return rounded(M.deduped(spec.select("series_id", "f", "snr", "amp", "w"), 0.15), 4)
+    return M.deduped(spec.select("series_id", "j", "f", "snr", "amp", "w"), 0.15).select("series_id", "j")
 
 
 @query(f"{SPEC}, m AS (SELECT *, sqrt(s * s + c * c) AS amp FROM spec WHERE power > 3), ch AS (SELECT *, sum(CASE WHEN f - lf >= 0.03 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY f, j) AS chain FROM (SELECT *, lag(f) OVER (PARTITION BY series_id ORDER BY f, j) AS lf FROM m)) SELECT series_id, arg_max(j, (amp, -f)) AS mode FROM ch GROUP BY series_id, chain")
@@ -174,19 +181,19 @@ def collapse_modes(spark: SparkSession, sf: str) -> DataFrame:
     return M.collapsed(modes, 0.03).select("series_id", "mode")
 
 
-@query()
+@query(f"{SPEC}, e2 AS (SELECT series_id, 0 AS source, j, f, power FROM spec WHERE power > 400 UNION ALL SELECT series_id, 1, j, f, power FROM spec WHERE power > 100), r AS (SELECT series_id, list([{{'j': j, 'f': f, 'source': source}}] ORDER BY source, power DESC, f) AS rows FROM e2 GROUP BY 1), k AS (SELECT series_id, {_GREEDY.format(rows='rows', sep='0.1')} AS kept FROM r) SELECT series_id, x.j AS j, x.source AS source FROM (SELECT series_id, unnest(kept) AS x FROM k)")
 def merge_peaks(spark: SparkSession, sf: str) -> DataFrame:
-    spec = stored(_spectrum(spark, sf), "spectrum")
-    height = F.col("power").alias("height")
-    return rounded(M.merged_peaks([spec.filter("power > 4").select("series_id", "f", height), spec.filter("power > 2").select("series_id", "f", height)], 0.1), 4)
+    spec = stored(_spectrum(spark, sf), "spectrum").withColumnRenamed("power", "height")
+    return M.merged_peaks([spec.filter("height > 400"), spec.filter("height > 100")], 0.1).select("series_id", "j", "source")
 
 
 @query()
 def greedy_mode_match(spark: SparkSession, sf: str) -> DataFrame:
     spec = stored(_spectrum(spark, sf), "spectrum")
-    local = S.local_maxima(spec, "power", "j")
+    rank = F.row_number().over(S.by().orderBy(F.desc("power"), "j"))
+    local = S.local_maxima(spec, "power", "j").withColumn("rank", rank).filter("rank <= 20")  # as many modes as a search gives
     local = local.select("series_id", F.row_number().over(S.by().orderBy("f")).alias("mode"), "f")
-    parts = spec.filter("j % 7 = 0").select("series_id", (F.col("f") + 0.003).alias("f"), F.col("power").alias("amp"), F.lit(0.0).alias("phase"))
+    parts = spec.withColumn("rank", rank).filter("rank <= 25").select("series_id", (F.col("f") + 0.003).alias("f"), F.col("power").alias("amp"), F.lit(0.0).alias("phase"))
     return rounded(M.matched(local, parts), 5)
 
 
@@ -195,38 +202,38 @@ def global_refine(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     fit = stored(P.nuisance_periodogram(e, _grid(e)), "spectrum")
     rank = F.row_number().over(S.by().orderBy(F.desc("power"), "j"))
-    modes = fit.withColumn("mode", rank).filter("mode <= 2").select("series_id", "mode", "f", "s_coeff", "c_coeff")
-    return rounded(M.global_refinement(e, modes, _spans(e), rounds=2), 4)
+    modes = fit.withColumn("mode", rank).filter("mode <= 20").select("series_id", "mode", "f")  # a search gives up to 20
+    return rounded(M.global_refinement(e, modes, _spans(e)).drop("rss"), 4)
 
 
 @query()
 def guided_search(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     templates = e.select("series_id").distinct().withColumn("f_template", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(0.01)))).withColumn("mode", F.row_number().over(S.by().orderBy("f_template")))
-    return rounded(M.guided_search(e, templates, _spans(e), FMIN, FMAX, snr_min=1.0, steps=41), 4)
+    return rounded(M.guided_search(e, templates, _spans(e), snr_min=0.5), 4)
 
 
 @query()
 def multiharmonic_ls(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
-    return rounded(M.multiharmonic_power(e, _full_grid(e), 3), 6)
+    return rounded(M.multiharmonic_power(e, _grid(e)), 6)
 
 
 @query()
 def harmonic_prewhiten(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select("series_id", "t", "y", "k")
-    grid = _full_grid(e, fmax=20.0, oversample=4.0, most=100_000)
-    return rounded(M.harmonic_prewhitened(e, grid, rounds=3, harmonics=5, stop=0.5).select("k", "y"), 4)
+    grid = P.frequency_grid(_spans(e), FMIN, 20.0, oversample=4.0, most=100_000)
+    return rounded(M.harmonic_prewhitened(e, grid, stop=0.5).select("k", "y"), 4)
 
 
 @query()
 def joint_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    """The series of event type error is the second one of every other type."""
+    """The series of event type error is the second one of every other type. Both are noise, whose peaks reach an SNR of about 3."""
     e = events(spark, sf).select("series_id", "t", "y", "k")
     first = e.filter("series_id != 'error'")
     others = first.filter("series_id is not null").select("series_id").distinct()
     second = e.filter("series_id = 'error'").drop("series_id").join(F.broadcast(others)).select("series_id", "t", "y", "k")
-    out = M.joint_modes(first, second, FULL_MIN, FULL_MAX, rounds=20, snr_stop=0.5, prefilter=0.5, most=FULL_POINTS, steps=2001, kfit=REFERENCE_KFIT)
+    out = M.joint_modes(first, second, FMIN, FMAX, snr_stop=3.0)
     return rounded(out, 4)
 
 
@@ -239,7 +246,7 @@ def refine_peak(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary_modes(e: DataFrame) -> DataFrame:
-    fit = P.nuisance_periodogram(e, _full_grid(e))
+    fit = P.nuisance_periodogram(e, _grid(e))
     amp = waves.amplitude(F.col("s_coeff"), F.col("c_coeff"))
     return fit.select(
         F.lit("star").alias("series_id"), F.col("series_id").alias("channel"), "f", amp.alias("amp"), (amp / 10).alias("amp_err"), waves.phase(F.col("s_coeff"), F.col("c_coeff")).alias("phase"), F.lit(0.1).alias("phase_err"),
@@ -250,7 +257,7 @@ def _summary_modes(e: DataFrame) -> DataFrame:
 @query()
 def joint_summary(spark: SparkSession, sf: str) -> DataFrame:
     modes = stored(_summary_modes(events(spark, sf)), "modes")
-    return rounded(M.joint_summary(modes, ("view", "click", "purchase"), 0.05, 0.01), 4)
+    return rounded(M.joint_summary(modes, ("click", "error", "purchase", "signup", "view"), 0.05, 0.01), 4)
 
 
 @query(f"{SPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY power DESC, j) AS rank FROM spec), b AS (SELECT * FROM r WHERE rank <= 2) SELECT e.series_id, rank, k, round(t * f - floor(t * f), 5) AS phase, round(y + s * sin(2 * pi() * f * t) + c * cos(2 * pi() * f * t), 4) AS signal FROM e JOIN b USING (series_id)")
@@ -275,49 +282,62 @@ def ols_decorrelate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.decorrelated(rows, names, "y", R.least_squares(rows, names, "y")).select("k", "decorrelated"), 2)
 
 
-@query()
+_KNOTS = "d AS (SELECT *, min(t) OVER w AS t0, max(t) OVER w AS t1, median(x) OVER w AS mx, median(x2) OVER w AS mx2, median(b) OVER w AS mb FROM l WINDOW w AS (PARTITION BY series_id))"
+
+
+@query(f"{L}, {_KNOTS} SELECT k, round(x - mx, 6) AS x_c, round(x2 - mx2, 6) AS x2_c, round(b - mb, 6) AS b_c, round(coalesce(list_sum([CASE WHEN t0 + 100e0 * i < t1 AND t > t0 + 100e0 * i THEN t - (t0 + 100e0 * i) ELSE 0 END FOR i IN range(1, 100)]), 0), 4) AS hinge_sum FROM d")
 def design_hinge(spark: SparkSession, sf: str) -> DataFrame:
-    rows, names = R.hinge_features(lines(spark, sf), ["x", "x2", "b"], spacing=500.0, most=5)
-    return rounded(R.least_squares(rows, names, "y").select("series_id", "rss"), 0)
+    rows, names = R.hinge_features(lines(spark, sf), ["x", "x2", "b"], spacing=100.0)
+    hinge = sum((F.col(n) for n in names if n.startswith("hinge")), F.lit(0.0)).alias("hinge_sum")
+    return rounded(rounded(rows.select("k", "x_c", "x2_c", "b_c", hinge), 6, "x_c", "x2_c", "b_c"), 4, "hinge_sum")
 
 
 @query()
 def robust_decorrelate(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = R.hinge_features(lines(spark, sf), ["x", "x2", "b"])
-    return rounded(R.decorrelated(rows, names, "y", R.robust_fit(rows, names, "y", rounds=4)).select("k", "decorrelated"), 2)
+    return rounded(R.decorrelated(rows, names, "y", R.robust_fit(rows, names, "y")).select("k", "decorrelated"), 2)
 
 
 @query()
 def robust_decorrelate_conv(spark: SparkSession, sf: str) -> DataFrame:
-    rows, names = R.extractor_features(lines(spark, sf), "x", "x2", "b")
-    return rounded(R.decorrelated(rows, names, "y", R.robust_fit(rows, names, "y", rounds=4, stop=True)).select("k", "decorrelated"), 2)
+    """The whole design: positions, times, width, hinges and background."""
+    l = lines(spark, sf).withColumn("width", F.col("b") * F.col("x"))
+    rows, names = R.extractor_features(l, "x", "x2", "b", "width", 500.0)
+    return rounded(R.decorrelated(rows, names, "y", R.robust_fit(rows, names, "y", stop=True)).select("k", "decorrelated"), 2)
 
 
 @query()
 def split_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """The half before and the half after the middle; a half of fewer than 200 points stays as it is."""
     rows = lines(spark, sf).withColumn("half", F.col("t") >= F.percentile("t", F.lit(0.5)).over(S.by()))
-    rows, names = R.hinge_features(rows, ["x", "x2", "b"])
-    keys = ("series_id", "half")
-    return rounded(R.decorrelated(rows, names, "y", R.robust_fit(rows, names, "y", rounds=3, keys=keys, stop=True), keys).select("k", "decorrelated"), 2)
+    return rounded(R.split_decorrelated(rows, "x", "x2", "b", "half").select("k", "decorrelated"), 2)
 
 
-@query()
+@query(f"""{L}, m AS (SELECT series_id, median(y) AS my, median(b) AS mb, count(*) AS n FROM l GROUP BY 1),
+g AS (SELECT series_id, i, i * (2 * my / mb) / 199 AS mult FROM m, (SELECT unnest(range(0, 200)) AS i) WHERE n >= 100 AND mb <> 0),
+z AS (SELECT series_id, i, mult, y - mult * b AS rest, y - mult * b - lag(y - mult * b) OVER (PARTITION BY series_id, i ORDER BY t, k) AS dy FROM l JOIN g USING (series_id)),
+q AS (SELECT series_id, i, mult, stddev_pop(dy) / CASE WHEN median(rest) <> 0 THEN abs(median(rest)) ELSE 1 END AS noise FROM z GROUP BY ALL)
+SELECT m.series_id, round(coalesce(arg_min(mult, (noise, i)), 0), 3) AS k FROM m LEFT JOIN q USING (series_id) GROUP BY 1""")
 def background_scale(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.background_scale(lines(spark, sf), "b", steps=21), 3)
+    return rounded(R.background_scale(lines(spark, sf), "b"), 3)
 
 
-@query()
+@query(f"{L}, l0 AS (SELECT *, min(t) OVER (PARTITION BY series_id) AS t0 FROM l), kn AS (SELECT series_id, min(t0) + floor((t - t0) / 300 + 0.5e0) * 300 AS x, median(y) AS v FROM l0 GROUP BY series_id, floor((t - t0) / 300 + 0.5e0)), {PCHIP}, z AS (SELECT k, l.series_id, y, {PCHIP_VALUE.format(at='l.t')} AS trend FROM l ASOF JOIN iv ON l.series_id = iv.series_id AND l.t >= iv.at) SELECT k, round(y - trend + median(trend) OVER (PARTITION BY series_id), 2) AS highpass FROM z")
 def pchip_highpass(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.highpass(lines(spark, sf), 300.0).select("k", "highpass"), 2)
 
 
-@query()
+_TEMPLATE = "b AS (SELECT series_id, floor(ph / 0.05e0) AS bn, avg(y) AS v FROM f GROUP BY ALL), kn AS (SELECT series_id, (bn + 0.5e0) * 0.05e0 + turn AS x, v FROM b, (SELECT unnest([-1, 0, 1]) AS turn))"
+_TREND = f"z AS (SELECT k, f.series_id, y, {PCHIP_VALUE.format(at='f.ph')} AS trend FROM f ASOF JOIN iv ON f.series_id = iv.series_id AND f.ph >= iv.at)"
+
+
+@query(f"{E}, f AS (SELECT *, t * 0.7e0 - floor(t * 0.7e0) AS ph FROM e), {_TEMPLATE}, {PCHIP}, {_TREND} SELECT k, round(y - trend + median(y) OVER (PARTITION BY series_id), 4) AS detrended FROM z")
 def phase_template_detrend(spark: SparkSession, sf: str) -> DataFrame:
     folded = events(spark, sf).withColumn("phase", waves.fold(F.col("t"), F.lit(0.7)))
     return rounded(K.template_detrended(folded, "phase", 0.05).select("k", "detrended"), 4)
 
 
-@query()
+@query(f"{E}, q AS (SELECT *, t - (floor(min(t) OVER (PARTITION BY series_id)) + 0.5e0) AS d FROM e), f AS (SELECT *, d - floor(d) AS ph FROM q), {_TEMPLATE}, {PCHIP}, {_TREND} SELECT k, round(y - trend, 4) AS residual FROM z")
 def daily_template_residual(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     daily = e.withColumn("phase", F.pmod(F.col("t") - (F.floor(F.min("t").over(S.by())) + 0.5), F.lit(1.0)))

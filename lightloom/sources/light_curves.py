@@ -6,17 +6,25 @@ parse is decoded by one task per file.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.waves import finite
 
 # Names under which columns come, in order of preference.
 FLUX_COLUMNS = ("flux_detrend_rel", "flux_leveled_rel", "flux_rel", "flux_detrended_rel", "flux_medscaled")
+RAW_COLUMNS = ("flux_rel", "flux_detrended_rel")
+DETRENDED_COLUMNS = ("flux_detrend_rel", "flux_decor_only_rel", "flux_rel", "flux_detrended_rel")
+SEARCH_COLUMNS = ("flux_detrend_rel", "flux_detrended_sub", "flux_detrended_div", "flux_detrended_rel", "flux_medscaled", "flux_rel")
+FLUX_MODES = {"raw": RAW_COLUMNS, "detrended": DETRENDED_COLUMNS, "auto": DETRENDED_COLUMNS + RAW_COLUMNS + SEARCH_COLUMNS}
+#: Endings of the columns of a polarimetric product, after the channel's letter.
+PRODUCTS = {"nm": "_nm", "resid_nm_pchip": "_resid_nm_pchip", "pw_resid_nm_pchip": "_pw_resid_nm_pchip"}
 POLARIMETRY_ALIASES = {
     "jd": ("jd", "JD"), "q": ("q",), "u": ("u",), "p": ("p",), "q_err": ("q_err", "qe"), "u_err": ("u_err", "ue"), "p_err": ("p_err", "pe"),
 }
@@ -52,47 +60,65 @@ def _number(name: str) -> Column:
     return finite(F.expr(f"try_cast(`{name}` as double)"))
 
 
-def read_mixed_directory(spark: SparkSession, path: str, candidates: tuple[str, ...] = FLUX_COLUMNS, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """(series of all usable files in one union, skipped: file, reason). Files are grouped by their header line."""
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
-    headers = lines.select(F.input_file_name().alias("file"), F.trim(F.split("value", "\r?\n")[0]).alias("header"))
-    out, skipped = None, headers.filter(F.lit(False)).select("file", F.lit("").alias("reason"))
-    for row in headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect():
-        names = tuple(h.strip().strip('"') for h in row.header.split(","))
-        usable = "time_btjd" in names and any(c in names for c in candidates)
-        if not usable:
-            reason = "no time_btjd column" if "time_btjd" not in names else "no flux column"
-            skipped = skipped.unionByName(spark.createDataFrame([(f, reason) for f in row.files], "file string, reason string"))
-            continue
-        part = read_csv_series(spark, row.files, candidates)
-        out = part if out is None else out.unionByName(part)
-    return out, skipped
-
-
-def read_polarimetry(spark: SparkSession, path: str, run_label: str | None = None) -> DataFrame:
-    """Channels as rows: series_id (channel), jd, t, y, yerr, run_label, k."""
+def read_mixed_directory(spark: SparkSession, path: str, candidates: tuple[str, ...] | None = None, pattern: str = "*.csv", recursive: bool = True, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(series: series_id (the file), t, t_abs, y, k, column; skipped: file, reason) of all files of a directory, whatever columns each
+    has. ``mode`` is raw, detrended or auto, unless ``candidates`` are given. A file is read line by line by Spark; its header
+    names its columns, so neither files nor their lists pass through the driver. Values with commas are not expected."""
+    from ..operators.series import by
+
+    names = candidates or FLUX_MODES[mode]
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    clean = lambda c: F.transform(F.split(c, ","), lambda x: F.btrim(F.btrim(x), F.lit('"')))
+    first = F.struct("block", "k")
+    headers = lines.groupBy("file").agg(F.min(first).alias("at"), clean(F.min_by("value", first)).alias("header"))
+    has = [F.when(F.array_contains("header", c), F.lit(c)) for c in dict.fromkeys(names)]
+    headers = headers.withColumn("column", F.coalesce(*has)).withColumn("no_time", ~F.array_contains("header", "time_btjd"))
+    reason = F.when(F.col("no_time"), "no time_btjd column").when(F.col("column").isNull(), "no flux column")
+    headers = headers.withColumn("reason", reason)
+    rows = lines.join(headers.filter("reason is null"), "file").filter(F.col("k") != F.col("at.k"))
+    cell = lambda c: finite(F.try_element_at(clean("value"), F.array_position("header", c).cast("int")).try_cast("double"))
+    series = rows.select(F.col("file").alias("series_id"), cell(F.lit("time_btjd")).alias("t_abs"), cell(F.col("column")).alias("y"), "k", "column").filter("t_abs is not null and y is not null")
+    empty = headers.filter("reason is null").select("file").join(series.select(F.col("series_id").alias("file")).distinct(), "file", "left_anti")
+    skipped = headers.filter("reason is not null").select("file", "reason").unionByName(empty.withColumn("reason", F.lit("no finite rows after cleaning")))
+    return series.select("series_id", (F.col("t_abs") - F.min("t_abs").over(by())).alias("t"), "t_abs", "y", "k", "column"), skipped
+
+
+def read_polarimetry(spark: SparkSession, path: str, run_label: str | None = None, product: str | None = None) -> DataFrame:
+    """Channels as rows: series_id (channel), file, jd, t (from the file's first jd), y, yerr, run_label, k. With ``product`` y is that
+    product's column; a file without it must be a raw one, of which the products are built."""
     raw = spark.read.csv(path, header=True)
+    ending = PRODUCTS[product] if product else ""
+    ready = all(f"{c}{ending}" in raw.columns for c in "qup")
     named = {}
     for name, aliases in POLARIMETRY_ALIASES.items():
-        found = [a for a in aliases if a in raw.columns]
+        wanted = (f"{name}{ending}",) if name in ("q", "u", "p") and ready else aliases
+        found = [a for a in wanted if a in raw.columns]
         if found:
             named[name] = _number(found[0])
     if missing := [n for n in ("jd", "q", "u", "p") if n not in named]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     label = F.nullif(F.trim(F.col(run_label)), F.lit("")) if run_label else F.lit(None).cast("string")
-    wide = raw.select(*[c.alias(n) for n, c in named.items()], label.alias("run_label"), F.monotonically_increasing_id().alias("k"))
+    wide = raw.select(F.col("_metadata.file_path").alias("file"), *[c.alias(n) for n, c in named.items()], label.alias("run_label"), F.monotonically_increasing_id().alias("k"))
     for n in ("q_err", "u_err", "p_err"):
         if n not in named:
             wide = wide.withColumn(n, F.lit(None).cast("double"))
     channel = lambda c: F.struct(F.lit(c).alias("series_id"), F.col(c).alias("y"), F.col(f"{c}_err").alias("yerr"))
-    long = wide.select("jd", (F.col("jd") - F.min("jd").over(_everything())).alias("t"), "run_label", "k", F.inline(F.array(*map(channel, "qup"))))
-    return long.filter("jd is not null and y is not null")
+    first = F.min("jd").over(Window.partitionBy("file"))
+    long = wide.select("file", "jd", (F.col("jd") - first).alias("t"), "run_label", "k", F.inline(F.array(*map(channel, "qup"))))
+    long = long.filter("jd is not null and y is not null")
+    return long if ready or product is None else _with_product(long, product)
 
 
-def _everything():
-    from pyspark.sql.window import Window
+def _with_product(channels: DataFrame, product: str) -> DataFrame:
+    from ..operators.products import polarimetric_frame
 
-    return Window.partitionBy()
+    key = F.concat_ws("|", "series_id", "file")
+    frame = polarimetric_frame(channels.select(key.alias("series_id"), "t", "y", "k"))
+    column = {"nm": "nm", "resid_nm_pchip": "resid", "pw_resid_nm_pchip": "prewhitened"}[product]
+    made = frame.select(F.col("series_id").alias("key_"), F.col("k").alias("k_"), F.col(column).alias("made_"))
+    joined = channels.join(made, (key == F.col("key_")) & (F.col("k") == F.col("k_")))
+    return joined.withColumn("y", F.col("made_")).select(*channels.columns)
 
 
 def read_orbit_table(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +135,20 @@ def diagnostics_for(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return files.join(first, "stem", "left")
 
 
+def read_sidecars(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
+    """(file, row, values) of arrays saved by numpy, one task a file; a one-dimensional array has one value a row."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for name, raw in zip(files["path"], files["content"], strict=True):
+                rows = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
+                rows = rows.astype(float).reshape(len(rows), -1) if rows.ndim else rows.astype(float).reshape(1, 1)
+                yield pd.DataFrame({"file": name, "row": np.arange(len(rows)), "values": rows.tolist()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(decode, "file string, row long, values array<double>")
+
+
 def _cards(block: bytes) -> dict[str, str]:
     out = {}
     for i in range(0, len(block), 80):
@@ -201,6 +241,17 @@ def write_series(series: DataFrame, path: str, key: str = "series_id", time: str
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
+def write_combined(series: DataFrame, path: str, key: str = "target", time: str = "t") -> None:
+    """One CSV file a key, sorted by time: all rows of a key are written by one task, so a key must be what one file can hold."""
+    series.repartition(F.col(key)).sortWithinPartitions(key, time).write.partitionBy(key).mode("overwrite").option("header", True).csv(path)
+
+
+def write_table(table: DataFrame, path: str, kind: str = "csv") -> None:
+    """A result table (modes, peaks, summary)."""
+    writer = table.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
+
+
 def unfinished(inputs: DataFrame, done: DataFrame, key: str = "series_id") -> DataFrame:
     """Inputs whose key the sink does not hold yet."""
     return inputs.join(done.select(key).distinct(), key, "left_anti")

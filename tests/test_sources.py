@@ -42,6 +42,8 @@ def test_csv_directory(spark, tmp_path):
     (tmp_path / "c.csv").write_text("other\n1\n")
     series, skipped = L.read_mixed_directory(spark, str(tmp_path))
     got = {(r.series_id.rsplit("/", 1)[1], r.t, r.y) for r in series.collect()}
+    raw, _ = L.read_mixed_directory(spark, str(tmp_path), mode="raw")
+    assert {r.series_id.rsplit("/", 1)[1] for r in raw.collect()} == {"a.csv"}
     assert got == {("a.csv", 0.0, 1.0), ("a.csv", 2.0, 3.0), ("b.csv", 0.0, 7.0)}
     assert [(r.file.rsplit("/", 1)[1], r.reason) for r in skipped.collect()] == [("c.csv", "no time_btjd column")]
 
@@ -57,3 +59,20 @@ def test_polarimetry_orbits_and_sinks(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "out"), header=True)
     assert back.count() == 3 and set(back.columns) == {"series_id", "t"}
     assert [r.series_id for r in L.unfinished(df, back.filter("series_id = 'a'")).collect()] == ["b"]
+
+
+def test_products_sidecars_and_combined_files(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("jd,q,u,p,q_nm,u_nm,p_nm\n1,1,2,3,10,20,30\n2,1,2,3,11,21,31\n")
+    (tmp_path / "r.csv").write_text("jd,q,u,p\n5,1,2,3\n5.1,3,2,5\n")
+    ready = {(r.series_id, r.t): r.y for r in L.read_polarimetry(spark, str(tmp_path / "p.csv"), product="nm").collect()}
+    assert ready["q", 0.0] == 10 and ready["p", 1.0] == 31 and len(ready) == 6
+    made = {(r.series_id, round(r.t, 3)): round(r.y, 6) for r in L.read_polarimetry(spark, str(tmp_path / "r.csv"), product="nm").collect()}
+    assert made == {("q", 0.0): -1, ("q", 0.1): 1, ("u", 0.0): 0, ("u", 0.1): 0, ("p", 0.0): -1, ("p", 0.1): 1}
+    np.save(tmp_path / "a_x.npy", np.array([[1.0, 2.0], [3.0, 4.0]]))
+    assert [(r.row, r["values"]) for r in L.read_sidecars(spark, str(tmp_path)).orderBy("row").collect()] == [(0, [1, 2]), (1, [3, 4])]
+    df = spark.createDataFrame([("a", 2.0, 1), ("b", 1.0, 2), ("a", 1.0, 3)], "target string, t double, v int")
+    L.write_combined(df, str(tmp_path / "all"))
+    files = list((tmp_path / "all").glob("target=a/*.csv"))
+    assert len(files) == 1 and files[0].read_text().split() == ["t,v", "1.0,3", "2.0,1"]
+    L.write_table(df, str(tmp_path / "table"))
+    assert spark.read.csv(str(tmp_path / "table"), header=True).count() == 3
