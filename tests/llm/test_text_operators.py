@@ -205,6 +205,41 @@ def test_licenses(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+def _brute_licenses(text):
+    """All hits of all rules in a text, then those that no rule as good covers, in plain Python."""
+    norm = f" {' '.join(ALNUM.findall(lower(text)))} "
+    hits = []
+    for k, rule in enumerate([license_rules.Rule(*b) for b in license_rules.BASE] + license_rules.rules()):
+        for m in re.finditer(f"(?<= )(?:{rule.regex})(?= )", norm):
+            start = norm[: m.start()].count(" ") - 1
+            hits.append((start, start + m.group().count(" ") + 1, rule.priority, k, rule.label))
+    kept = []
+    for h in hits:
+        before = lambda o, h=h: (o[0], -o[1], o[2], o[3]) < (h[0], -h[1], h[2], h[3])
+        if h[2] == 0 or not any(0 < o[2] <= h[2] and o[1] >= h[1] and before(o) for o in hits):
+            kept.append(h)
+    score = max((license_rules.CONFIDENCE[h[2]] for h in kept), default=0.0)
+    return ",".join(sorted({h[4] for h in kept})), score
+
+
+def test_licenses_against_brute_force(spark):
+    """Labels and scores of mixed, overlapping and very many hits."""
+    rng = np.random.default_rng(6)
+    pieces = [" ".join(_examples(_parse(r.regex))[0].split()) for r in license_rules.rules() if r.priority != 2]
+    pieces += ["licensed under the MIT license", "Apache License, Version 2.0", "GNU Lesser General Public License v3", "some plain words", "\u00c4 under \u0130"]
+    texts = [" ".join(rng.choice(pieces, int(rng.integers(1, 6)))) for _ in range(150)]
+    texts += ["mit license, " * 3000, "licensed under the mit license " * 500]
+    got = licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert (r.labels, r.score) == _brute_licenses(texts[r.doc_id]), texts[r.doc_id][:300]
+
+
+def _parse(regex):
+    from re import _parser
+
+    return _parser.parse(regex)
+
+
 def _examples(tree):
     """For every way through a parsed regex, a text that it matches; repeats as few times as they may, or once."""
     out = [""]
@@ -252,6 +287,21 @@ def test_language_of_a_run_without_spaces():
     assert [r[0] for r in rated] == ["y", "x"] and min(r[1] for r in rated) > 0.9
 
 
+def test_language_held_out(spark):
+    """Held-out texts of three made languages, of which nine in ten or more must be right; no held-out row is learnt from."""
+    rng = np.random.default_rng(8)
+    letters = {"aa": "aeioulnt", "bb": "aekrszcy", "cc": "uoghmbdp"}
+    words = {k: ["".join(rng.choice(list(v), int(rng.integers(2, 8)))) for _ in range(400)] for k, v in letters.items()}
+    rows = [(i, " ".join(rng.choice(words[k], int(rng.integers(4, 40)))), k) for i in range(300) for k in [("aa", "bb", "cc")[i % 3]]]
+    truth = {r[0]: r[2] for r in rows}
+    got = language.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 60 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    spoilt = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else k) for i, t, k in rows]
+    again = language.language_report(spark.createDataFrame(spoilt, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in again} == {r.doc_id: (r.lang_pred, r.score) for r in got}
+
+
 def test_language(spark):
     got = language.language_report(frame(spark)).collect()
     truth = {r[0]: r[2] for r in documents()}
