@@ -138,10 +138,11 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, side: Callable[[str], DataFrame]) -> DataFrame:
-    """Pairs with what ``side`` has for a and for b; the centre of a large star is in very many of them."""
+    """Stored pairs with what ``side`` has for a and for b; the centre of a large star is in very many of them."""
+    out = pairs
     for n, other in (("a", "b"), ("b", "a")):
-        pairs = salted_join(pairs, side(n).join(pairs.groupBy(n).agg(F.count("*").alias("n")), n), n, other)
-    return pairs
+        out = salted_join(out, side(n).join(pairs.groupBy(n).agg(F.count("*").alias("n")), n), n, other)
+    return out
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -240,7 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), k -> xxhash64(k, substring(sig, k * {4 * ROWS} + 1, {4 * ROWS})))")
     keyed = reps.select("rep", F.explode(bands).alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = stored(keyed.join(shared, "key"), "buckets")
+    shared = stored(shared, "shared-keys")
+    held = salted_join(keyed, shared.withColumn("size", F.col("n")), "key", "rep").withColumnRenamed("size", "n")
+    sized = stored(held.select("key", "rep", "n"), "buckets")
     fullness = sized.groupBy("rep").agg(F.sum("n").alias("full"))
     centres = (
         sized.filter(F.col("n") > SMALL)
@@ -248,8 +251,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .groupBy("key")
         .agg((-F.max(F.struct("full", (-F.col("rep")).alias("by")))["by"]).alias("centre"))
     )
-    members = stored(sized.join(centres, "key", "left"), "members")
-    pairs = _agreeing(_candidates(members), reps, percent / 100 - MARGIN)
+    large = salted_join(sized.filter(F.col("n") > SMALL), shared.join(centres, "key"), "key", "rep")
+    small = sized.filter(F.col("n") <= SMALL).withColumn("centre", F.lit(None).cast("long"))
+    members = stored(small.unionByName(large.select(*small.columns)), "members")
+    pairs = _agreeing(stored(_candidates(members), "candidates"), reps, percent / 100 - MARGIN)
     links = stored(_confirmed(stored(pairs, "pairs"), docs, width, percent), "links")
     several = usable.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("kinds")).filter("kinds > 1").select("doc_id")
     one_document = usable.join(several, "doc_id").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
