@@ -201,26 +201,28 @@ class Shard:
 
     def __init__(self, parts: list[tuple[int, int, bytes]], window: int):
         self.window, self.tile = window, max(1, 2 * window // 5)
-        self.names: dict[bytes, str] = {}
         split = [words.split() for _, _, words in parts]
         numbers = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         base = max(1, int(len(numbers) ** 0.5) + 1)
         self.names = {w: chr(_FIRST + k // base) + chr(_FIRST + base + 1 + k % base) for w, k in numbers.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        codes, firsts, rows, begin = [], [], [], 0
-        for (o, start, _), words in zip(parts, split, strict=True):
-            text = "".join([self.names[w] for w in words])
-            for k in range(0, len(words) - self.tile + 1, window - self.tile + 1):
+        text = "".join([self.names[w] for w in chain.from_iterable(split)])
+        sizes = np.array([len(words) for words in split])
+        begins = np.cumsum(sizes) - sizes
+        for begin, size in zip(begins.tolist(), sizes.tolist(), strict=True):
+            for k in range(begin, begin + size - self.tile + 1, window - self.tile + 1):
                 self.automaton.add_word(text[2 * k : 2 * (k + self.tile)])
-            rows.append(self._row(text))
-            codes.append(_rolling(rows[-1], window, 0xA24BAED4963EE407))
-            n = len(codes[-1])
-            firsts.append(np.stack([np.full(n, o), start + np.arange(n), begin + np.arange(n)]))
-            begin += len(words)
         self.automaton.make_automaton()
-        self.flat, codes = np.concatenate(rows), np.concatenate(codes)
+        self.flat = self._row(text)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        inside = np.arange(len(self.flat)) - begins[part]
+        at = np.flatnonzero(inside + window <= sizes[part])
+        codes = _rolling(self.flat, window, 0xA24BAED4963EE407)[at]
         order = np.argsort(codes, kind="stable")
-        self.codes, (self.first_o, self.first_start, self.at) = codes[order], np.concatenate(firsts, axis=1)[:, order]
+        self.codes, self.at = codes[order], at[order]
+        own = part[self.at]
+        self.first_o = np.array([o for o, _, _ in parts])[own]
+        self.first_start = np.array([start for _, start, _ in parts])[own] + inside[self.at]
 
     @staticmethod
     def _row(text: str) -> np.ndarray:
@@ -228,41 +230,51 @@ class Shard:
         letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         return letters[::2] << np.uint64(32) | letters[1::2]
 
-    def removed(self, o: int, words: list[bytes], offset: int = 0) -> list[tuple[int, int]]:
-        """Word spans [from, to) of the windows of a region, which stands at ``offset`` in document ``o``, that are passages' and
-        not first places."""
-        window, tile = self.window, self.tile
-        get, n = self.names.get, len(words) - self.window + 1
-        text = "".join([get(w, "\0\1") for w in words])
-        ends = [end for end, _ in self.automaton.iter(text)] if n > 0 else []
+    def removed(self, rows: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]:
+        """(o, from, to) of windows of regions (o, start, words, number of words) that are passages' and not first places.
+
+        The regions are streamed one after another; a window that lies in two of them is none.
+        """
+        window, tile, get = self.window, self.tile, self.names.get
+        text = "".join([get(w, "\0\1") for w in b" ".join([words for _, _, words, _ in rows]).split()])
+        ends = [end for end, _ in self.automaton.iter(text)]
         if not ends:
             return []
+        o, start, sizes = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        begins, n = np.cumsum(sizes) - sizes, len(text) // 2 - window + 1
         begin = np.array(ends) // 2 - tile + 1
-        low, high = np.clip(begin - (window - tile), 0, n), np.clip(begin + 1, 0, n)
-        starts = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1] > 0)
-        row = self._row(text)
-        codes = _rolling(row, window, 0xA24BAED4963EE407)[starts]
+        low, high = np.clip(begin - (window - tile), 0, max(n, 0)), np.clip(begin + 1, 0, max(n, 0))
+        at = np.flatnonzero(np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1] > 0) if n > 0 else np.zeros(0, int)
+        row, region = self._row(text), np.searchsorted(begins, at, "right") - 1
+        whole = at - begins[region] + window <= sizes[region]
+        at, region = at[whole], region[whole]
+        if not len(at):
+            return []
+        codes = _rolling(row, window, 0xA24BAED4963EE407)[at]
         place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         known = self.codes[place] == codes
-        starts, place = starts[known], place[known]
+        at, region, place = at[known], region[known], place[known]
         within = np.arange(window)
-        same = (row[starts[:, None] + within] == self.flat[self.at[place][:, None] + within]).all(1)
-        starts = starts[same & ((self.first_o[place] != o) | (self.first_start[place] != starts + offset))] + offset
+        same = (row[at[:, None] + within] == self.flat[self.at[place][:, None] + within]).all(1)
+        starts = start[region] + at - begins[region]
+        gone = same & ((self.first_o[place] != o[region]) | (self.first_start[place] != starts))
+        starts, region = starts[gone], region[gone]
         if not len(starts):
             return []
-        split = np.flatnonzero(np.diff(starts) > window)
-        return list(zip(starts[np.r_[0, split + 1]].tolist(), (starts[np.r_[split, len(starts) - 1]] + window).tolist(), strict=True))
+        split = np.flatnonzero((np.diff(starts) > window) | (np.diff(region) != 0))
+        first, last = np.r_[0, split + 1], np.r_[split, len(starts) - 1]
+        return list(zip(o[region[first]].tolist(), starts[first].tolist(), (starts[last] + window).tolist(), strict=True))
 
 
 def _streamed(documents: DataFrame, parts: DataFrame, window: int) -> DataFrame:
-    """(o, low, high): spans to remove, from regions and passages, both (shard, chunk, o, start, words)."""
+    """(o, low, high): spans to remove, from regions (shard, chunk, o, start, words, n) and passages (shard, chunk, o, start, words)."""
 
     def stream(texts: pa.Table, own: pa.Table) -> pa.Table:
         spans: list[tuple[int, int, int]] = []
         if texts.num_rows and own.num_rows:
             shard = Shard(list(zip(*(own.column(c).to_pylist() for c in ("o", "start", "words")), strict=True)), window)
-            for o, start, words in zip(texts.column("o").to_pylist(), texts.column("start").to_pylist(), texts.column("words"), strict=True):
-                spans += [(o, a, b) for a, b in shard.removed(o, words.as_py().split(), start)]
+            for batch in texts.select(["o", "start", "words", "n"]).to_batches(max_chunksize=2000):
+                spans += shard.removed(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
         return pa.table([pa.array([x[k] for x in spans], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["o", "low", "high"])
 
     keys = ["shard", "chunk"]
@@ -308,7 +320,7 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     sizes = found.select("o", "start", "n").join(routes, ["o", "start"]).select("n", F.explode("shards").alias("shard"))
     sizes = stored(sizes.groupBy("shard").agg(F.ceil(F.sum("n") / CHUNK_WORDS).cast("int").alias("chunks")), "shard-sizes")
     chunk = F.pmod(F.xxhash64("o", "start"), F.col("chunks")).cast("int").alias("chunk")
-    sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "start", "words")
+    sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "start", "words", "n")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     spans = _streamed(sent, dealt.join(sizes, "shard").select("shard", every, "o", "start", "words"), window)
     spans = stored(spans.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
