@@ -145,10 +145,12 @@ def test_substrings_come_from_the_automaton(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_WORDS", 200)
     monkeypatch.setattr(substrings, "_PART", 7)
     assert sorted(map(tuple, substrings.substring_report(docs).collect()), key=str) == whole
-    spans = substrings.Shard([(1, 0, b"a b c d e f"), (2, 4, b"x b c d e y")], 4)
-    assert spans.removed(9, b"q b c d e r a b c d".split()) == [(1, 5), (6, 10)]
-    assert spans.removed(1, b"a b c d e f".split()) == []
-    assert spans.removed(1, b"z a b c d e f".split(), 5) == [(6, 12)]
+    shard = substrings.Shard([(1, 0, b"a b c d e f"), (2, 4, b"x b c d e y")], 4)
+    rows = lambda *texts: [(o, start, words, len(words.split())) for o, start, words in texts]
+    assert shard.removed(rows((9, 0, b"q b c d e r a b c d"))) == [(9, 1, 5), (9, 6, 10)]
+    assert shard.removed(rows((1, 0, b"a b c d e f"))) == []
+    assert shard.removed(rows((1, 5, b"z a b c d e f"), (3, 2, b"a b c d"))) == [(1, 6, 12), (3, 2, 6)]
+    assert shard.removed(rows((4, 0, b"q q a b"), (5, 0, b"c d q q"))) == []  # a window in two regions is none
     nothing = lambda documents, parts, window: documents.select("o", F.lit(0).alias("low"), F.lit(0).alias("high")).limit(0)
     monkeypatch.setattr(substrings, "_streamed", nothing)
     assert sum(r.n_removed for r in substrings.substring_report(docs).collect()) < sum(r.n_removed for r in got)
