@@ -91,7 +91,14 @@ class Vocabulary(NamedTuple):
 
 def vocabulary(counts: DataFrame, documents: int, max_words: int = MAX_WORDS) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    level = F.floor(F.log2("n") * 64).cast("int")  # words of a level are numbered all or not at all
+    least, held = None, 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        held += row.words
+        if held > max_words:
+            break
+        least = row.level
+    top = [] if least is None else sorted(counts.filter(level >= least).collect(), key=lambda r: (-r[1], bytes(r[0])))
     numbers = {bytes(r[0]): k for k, r in enumerate(top, 2)}
     known = np.array([documents, 0, *(r[1] for r in top)], np.int64)
     in_top = int(known[2:].sum())
@@ -297,15 +304,19 @@ def _logits(weights: np.ndarray, slots: np.ndarray, bias: np.ndarray) -> np.ndar
 
 
 def descend(weights: np.ndarray, slots: np.ndarray, bias: np.ndarray, target: np.ndarray) -> None:
-    """One mini-batch step of a factor; a feature's step is its mean residual."""
-    residual = np.exp(_log_softmax(_logits(weights, slots, bias)))
+    """One mini-batch step of a factor; a feature's step is its mean residual. Steps add up to zero over a row, so no row of
+    logits is small as a whole, and none is let grow beyond what exp bears."""
+    residual = _logits(weights, slots, bias)
+    np.minimum(residual, np.float32(60), out=residual)
+    np.exp(residual, out=residual)
+    residual /= residual.sum(1, keepdims=True)
     residual[np.arange(len(target)), target] -= 1
     for own in slots:
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16), kind="stable")
         sorted_slots = own[order]
         first = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]])
         size = np.diff(np.r_[first, len(own)])
-        weights[sorted_slots[first]] -= np.float32(RATE) * np.add.reduceat(residual[order], first) / (size + 5.0).astype(np.float32)[:, None]
+        weights[sorted_slots[first]] -= np.add.reduceat(residual[order], first) * (RATE / (size + 5.0)).astype(np.float32)[:, None]
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, blocks: int = 16) -> Model:
