@@ -9,7 +9,7 @@ from ..functions.waves import fold
 from ..tables import stored
 from . import apertures, catalog, pixels
 from .modes import harmonic_prewhitened
-from .regress import background_scale, least_squares, decorrelated, extractor_features, robust_fit, split_decorrelated
+from .regress import background_scale, decorrelated, extractor_features, least_squares, split_decorrelated
 from .series import by, gap_segments, level, longest_chunk, ordered
 from .spectrum import local_grid, lomb_scargle, nuisance_periodogram
 from .spline import template, template_detrended

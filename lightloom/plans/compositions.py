@@ -20,7 +20,7 @@ from ..sources import light_curves as L_
 from ..tables import scratch_root, stored
 from .images import _positive
 from .registry import EVENTS_SQL, LINES_SQL, PCHIP, PCHIP_VALUE, events, lines, query, rounded, table
-from .spectra import _NOISE, FMAX, FMIN, SPEC, _grid, _spans, _spectrum
+from .spectra import _NOISE, FMAX, FMIN, SPEC, _spans, _spectrum
 
 E, L = f"WITH {EVENTS_SQL}", f"WITH {LINES_SQL}"
 
