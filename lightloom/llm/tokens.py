@@ -42,12 +42,14 @@ def _separable(piece: str) -> bool:
 
 
 def _byte_letters() -> dict[int, str]:
-    """Latin letters beyond ASCII to the letters that stand for their bytes in a byte-level vocabulary."""
-    return {c: "".join(chr(b) if 161 <= b <= 172 or b >= 174 else chr(256 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+    """Letters beyond ASCII and below ``_BEYOND`` to the letters that stand for their bytes in a byte-level vocabulary."""
+    return {c: "".join(chr(b) if 161 <= b <= 172 or b >= 174 else chr(256 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0x80, ord(_BEYOND))}
 
 
 #: Bytes that a byte-level vocabulary shows as letters from U+0100 on, since they have no visible form of their own.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+#: Words with letters from here on go to the whole tokenizer.
+_BEYOND = "\u0250"
 _SPACE = chr(256 + _HIDDEN.index(32))
 _PUNCTUATION = ".,;:!?"
 
@@ -123,7 +125,7 @@ class PieceEncoder:
         if not word.isalpha():
             return None
         if not word.isascii():
-            if max(word) >= "\u0250":
+            if max(word) >= _BEYOND:
                 return None
             word = word.translate(self.letters)
         ids = [t.id for t in self.model.tokenize(lead + word)]

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -118,6 +119,27 @@ def test_pieces_equal_whole_texts():
         assert list(ids[a:b]) == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def _same_ids(encoder, texts):
+    ids, lengths = encoder.encode(texts)
+    ends = np.cumsum(lengths)
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w, a, b in zip(texts, whole, ends - lengths, ends, strict=True) if [*w.ids, 0] != ids[a:b].tolist()] == []
+
+
+def test_every_letter_below_the_limit():
+    """Every code point up to U+024F and a few beyond: alone, in a word, after a space, before each mark and line end."""
+    forms = ["{}", "a{}b", "x {} y", "the width is 5 {}m wide", "n{} 5", "{0}{0}", *[f"w{{}}{m} z {{}}{m}" for m in ".,;:!?\n"], "{}\nq", "q\n{}\nq", "'{}s", "{}'s"]
+    _same_ids(tokens.PieceEncoder(BPE), [f.format(chr(c)) for c in range(0x260) for f in forms])
+
+
+def test_random_texts_of_all_letters():
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x80, 0x260)] + list("ªºµß'abcxyz ") * 12 + list(" .,;:!?\n") * 8 + ["  ", "\u00a0", "\u2028", "中", "😀"]
+    encoder = tokens.PieceEncoder(BPE, remembered=3000)
+    for _ in range(40):
+        _same_ids(encoder, ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(500)])
+
+
 def test_token_files(spark, tmp_path):
     encoder = tokens.PieceEncoder(BPE)
     rows = sorted(documents(), key=lambda r: r[0])
