@@ -1,5 +1,7 @@
 """Operators against numpy on synthetic series and small stamps."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,8 +104,15 @@ def test_joint_extraction_has_every_type(spark, monkeypatch):
     monkeypatch.setattr(spectra, "events", lambda spark, sf: rows)
     seen = []
     told = []
-    monkeypatch.setattr(modes, "joint_modes", lambda first, second, *a, **k: (seen.append((first, second)), told.append(k), first)[-1])
-    monkeypatch.setattr(modes, "sequential_modes", lambda first, *a, **k: (told.append(k), first)[-1])
+    whole = {name: inspect.signature(getattr(modes, name)) for name in ("sequential_modes", "joint_modes")}
+
+    def tell(name, *a, **k):
+        bound = whole[name].bind(*a, **k)
+        bound.apply_defaults()
+        told.append(bound.arguments)
+
+    monkeypatch.setattr(modes, "joint_modes", lambda *a, **k: (seen.append(a[:2]), tell("joint_modes", *a, **k), a[0])[-1])
+    monkeypatch.setattr(modes, "sequential_modes", lambda *a, **k: (tell("sequential_modes", *a, **k), a[0])[-1])
     spectra.sequential_modes(spark, "")
     spectra.joint_extraction(spark, "")
     first, second = ({r.series_id for r in s.collect()} for s in seen[0])
