@@ -79,4 +79,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7}
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOLD = "coalesce(concat(octet_length(encode(CAST({x} AS VARCHAR))), ':', {x}), '-')"
+_LEAF = "sha256(concat(" + ", ".join(_TOLD.format(x=x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+#: crc32 (unsigned, reflected) of the decimal digits of doc_id, bit by bit.
+_CRC = """list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c : CAST(ascii(c) AS UBIGINT))), lambda s, b :
+  list_reduce(list_concat([xor(s, b)], [CAST(0 AS UBIGINT) for z in range(8)]), lambda v, z : CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS UBIGINT)) ELSE v // 2 END))"""
+
+_OP11 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+         CASE WHEN xor({_CRC}, CAST(4294967295 AS UBIGINT)) % 3 = 0 THEN {_LEAF.format(text=_LOWER.format(x="text"))} ELSE {_LEAF.format(text="text")} END AS told FROM documents),
+placed AS (SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT tree, level, pos // 8 * 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM low WHERE m > 1 GROUP BY tree, level, pos // 8 * 8)),
+subroots AS (SELECT tree, h AS subroot, level AS height FROM low WHERE m = 1),
+high AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, subroot AS h, count(*) OVER () AS m FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, h, count(*) OVER () FROM (SELECT level, pos // 8 * 8 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM high WHERE m > 1 GROUP BY level, pos // 8 * 8)),
+top AS (SELECT h AS root FROM high WHERE m = 1),
+tops AS (SELECT tree, subroot, height, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM subroots),
+nodes AS (SELECT tree, level, pos, h FROM low WHERE m > 1 UNION ALL SELECT t.tree, t.height + h.level, h.pos, h.h FROM tops t, high h WHERE h.m > 1 AND h.pos // 8 = t.pos // CAST(pow(8, h.level + 1) AS BIGINT)),
+sided AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 GROUP BY ALL),
+ways AS (
+  SELECT p.tree, p.pos, list(s.l ORDER BY s.level) AS ls, list(s.r ORDER BY s.level) AS rs
+  FROM placed p JOIN tops t USING (tree) JOIN sided s ON s.tree = p.tree
+    AND s.pos = CASE WHEN s.level < t.height THEN p.pos // CAST(pow(8, s.level) AS BIGINT) ELSE t.pos // CAST(pow(8, s.level - t.height) AS BIGINT) END GROUP BY ALL),
+told AS (
+  SELECT p.*, t.subroot, coalesce(ls, []) AS ls, coalesce(rs, []) AS rs FROM placed p JOIN tops t USING (tree) LEFT JOIN ways w ON w.tree = p.tree AND w.pos = p.pos),
+folds AS (SELECT *, list_reduce(list_concat([told], list_zip_text), lambda a, b : sha256(concat(split_part(b, '|', 1), a, split_part(b, '|', 2)))) AS folded_root
+  FROM (SELECT *, list_transform(range(1, len(ls) + 1), lambda i : concat(ls[i], '|', rs[i])) AS list_zip_text FROM told))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(range(1, len(ls) + 1), lambda i : concat(ls[i], rs[i])), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folds, top
+"""
+
+ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7, "op11_merkle_manifest": _OP11}

@@ -13,6 +13,7 @@ from .language import language_report
 from .licenses import license_report
 from .lines import line_report
 from .lm import lm_report
+from .merkle import merkle_report
 from .minhash import minhash_report
 from .mixing import plan_mixture
 from .substrings import substring_report
@@ -64,4 +65,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores, op11_merkle_manifest)}
