@@ -119,4 +119,12 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(range(
 FROM folds, top
 """
 
-ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7, "op11_merkle_manifest": _OP11}
+_OP12 = """
+WITH facts AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, coalesce(html, '') AS payload FROM pages),
+kept AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS last FROM facts)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN last IS NOT NULL AND (page_id IS NULL OR page_id < last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to
+FROM kept
+"""
+
+ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7, "op11_merkle_manifest": _OP11, "op12_warc": _OP12}

@@ -18,6 +18,7 @@ from .minhash import minhash_report
 from .mixing import plan_mixture
 from .substrings import substring_report
 from .tokens import token_report
+from .warc import warc_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +70,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores, op11_merkle_manifest)}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores, op11_merkle_manifest, op12_warc)}
