@@ -8,7 +8,7 @@ Where a leaf stands needs no sort of leaves. It follows from bitmaps of the doc_
 3. A rank query (``ranked``) looks its word up: the directory's number plus the bits below its own. Ids of several rows
    have more than one place; only words that have more rows than bits are looked at for those.
 4. Leaves go into arrays of 8^3 keyed slots. An array reduces by three levels at once and is one slot of the next array
-   (``climbed``); siblings come back down along the same arrays, so a leaf meets its whole path in one join.
+   (``raised``); siblings come back down along the same arrays (``descended``), so a leaf meets its whole path in its array.
 
 Only ids and digests are shuffled, texts never. A digest H is the lower-case hex SHA-256 of what it covers, joined; digests
 enter as hex text. Every 8 consecutive nodes (the last run may have fewer, even one) have one parent.
@@ -179,29 +179,37 @@ def _siblings(k: int, slot: Column) -> Column:
 _PATH = "array<struct<left:string,right:string>>"
 
 
-def climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (tree, pos, size, hash, own: a struct): own with ``path``, the siblings of the node level by level up to the
-    tree's top, and ``top``; and (tree, top). ``nodes`` of a tree have the places 0 to size - 1, each once."""
+def raised(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """From (tree, pos, size, hash, own: a struct) the levels of slot arrays up to each tree's top, and (tree, top). Nodes of a
+    tree have the places 0 to size - 1, each once; ``own`` goes along with its node."""
     slots = F.sort_array(F.collect_list(F.struct((F.col("pos") % SLOTS).cast("int").alias("slot"), "hash", "own"))).alias("slots")
     arrays = nodes.groupBy("tree", "size", _shift(F.col("pos"), SLOT_BITS).alias("block")).agg(slots)
-    levels = _levels(F.col("size"))
     arrays = arrays.withColumn("h0", F.col("slots.hash"))
     for k in range(LEVELS):
-        arrays = arrays.withColumn(f"h{k + 1}", F.when(levels > k, _parents(F.col(f"h{k}"))).otherwise(F.col(f"h{k}")))
+        arrays = arrays.withColumn(f"h{k + 1}", F.when(_levels(F.col("size")) > k, _parents(F.col(f"h{k}"))).otherwise(F.col(f"h{k}")))
     arrays = stored(arrays, "merkle-arrays")
     above = arrays.select("tree", F.col("block").alias("pos"), _shift(F.col("size") + SLOTS - 1, SLOT_BITS).alias("size"), F.get(f"h{LEVELS}", F.lit(0)).alias("hash"), F.struct("tree", "block").alias("own"))
     most = above.agg(F.max("size")).first()[0]
-    if most is not None and most > 1:
-        way, tops = climbed(above)
-        way = way.select("own.tree", "own.block", F.col("path").alias("way"), "top")
-    else:
-        tops = above.select("tree", F.col("hash").alias("top"))
-        way = above.select("tree", F.col("pos").alias("block"), F.array().cast(_PATH).alias("way"), F.col("hash").alias("top"))
-    met = arrays.join(way, ["tree", "block"])
-    each = met.select("size", "way", "top", *[f"h{k}" for k in range(LEVELS)], F.explode("slots").alias("s"))
-    own = F.array(*[F.when(levels > k, _siblings(k, F.col("s.slot"))) for k in range(LEVELS)])
-    path = F.concat(F.filter(own, lambda x: x.isNotNull()).cast(_PATH), F.col("way"))
-    return each.select("s.own", path.alias("path"), "top"), tops
+    if most is None or most <= 1:
+        return [arrays], above.select("tree", F.col("hash").alias("top"))
+    levels, tops = raised(above)
+    return [arrays, *levels], tops
+
+
+def descended(levels: list[DataFrame], way: DataFrame) -> DataFrame:
+    """The lowest level's ``own``, with ``path``, the siblings of the node level by level, and the other columns of ``way``: (tree,
+    way: the path from the tree's top on, more). A path comes down to whole arrays, so nodes and paths are never shuffled."""
+    more = [c for c in way.columns if c not in ("tree", "way")]
+    way = way.withColumn("block", F.lit(0).cast("long"))
+    for arrays in reversed(levels):
+        met = arrays.join(way, ["tree", "block"])
+        each = met.select("size", "way", *more, *[f"h{k}" for k in range(LEVELS)], F.explode("slots").alias("s"))
+        own = F.array(*[F.when(_levels(F.col("size")) > k, _siblings(k, F.col("s.slot"))) for k in range(LEVELS)])
+        path = F.concat(F.filter(own, lambda x: x.isNotNull()).cast(_PATH), F.col("way"))
+        each = each.select("s.own", path.alias("path"), *more)
+        if arrays is not levels[0]:
+            way = each.select("own.tree", "own.block", F.col("path").alias("way"), *more)
+    return each
 
 
 def _dense(keys: DataFrame, column: str) -> DataFrame:
@@ -218,13 +226,12 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """``leaves`` (doc_id, tree, leaf, more) with subroot, root and ``path``: array of (left, right) from leaf to root."""
     leaves = stored(leaves, "merkle-leaves")
     placed = ranked(leaves).select("tree", "pos", "size", F.col("leaf").alias("hash"), F.struct(*leaves.columns).alias("own"))
-    low, tops = climbed(placed)
-    subroots = stored(tops, "merkle-subroots")
-    nodes = subroots.join(_dense(subroots, "tree"), "tree").select(F.lit("root").alias("tree"), "pos", F.lit(subroots.count()).cast("long").alias("size"), F.col("top").alias("hash"), F.struct(F.col("tree").alias("lang")).alias("own"))
-    high, _ = climbed(nodes)
-    high = high.select(F.col("own.lang").alias("tree"), F.col("path").alias("high"), F.col("top").alias("root"))
-    low = low.select("own.*", F.col("path").alias("low"), F.col("top").alias("subroot"))
-    return low.join(high, "tree").withColumn("path", F.concat("low", "high")).drop("low", "high")
+    levels, tops = raised(placed)
+    subroots = stored(tops.withColumnRenamed("top", "subroot"), "merkle-subroots")
+    nodes = subroots.join(_dense(subroots, "tree"), "tree").select(F.lit("").alias("tree"), "pos", F.lit(subroots.count()).cast("long").alias("size"), F.col("subroot").alias("hash"), F.struct("tree", "subroot").alias("own"))
+    high, root = raised(nodes)
+    told = descended(high, root.select("tree", F.array().cast(_PATH).alias("way"), F.col("top").alias("root")))
+    return descended(levels, told.select("own.*", F.col("path").alias("way"), "root")).select("own.*", "subroot", "root", "path")
 
 
 def proof(path: Column) -> Column:
