@@ -127,4 +127,28 @@ SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN last I
 FROM kept
 """
 
-ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7, "op11_merkle_manifest": _OP11, "op12_warc": _OP12}
+_OP13 = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format(x="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (
+  SELECT lang, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (
+    SELECT lang, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS n) WHERE len(w) >= n)),
+f AS (SELECT lang, n, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+words AS (SELECT lang, count(*) AS total FROM grams WHERE n = 1 GROUP BY 1),
+cuts AS (
+  SELECT lang, phrase, n, c AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, n)) AS k FROM f WHERE n > 1)),
+scored AS (
+  SELECT lang, cuts.phrase, a, l.c AS l, r.c AS r, total, k, CAST((CAST(1000 AS HUGEINT) * a * total) // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+  FROM cuts JOIN f l USING (lang) JOIN f r USING (lang) JOIN words USING (lang) WHERE l.phrase = head AND r.phrase = tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(c) AS most FROM (
+    SELECT lang, c, m, w, unnest(range(1, n - m + 2)) AS i FROM (SELECT lang, n, c, string_split(phrase, ' ') AS w, unnest(range(2, n)) AS m FROM f WHERE n > 2)) GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.most IS NULL OR 100 * i.most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, total AS n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op2_mix_sources": _OP2, "op3_line_dedup": _OP3, "op6_embedding_dedup": _OP6, "op7_decontaminate": _OP7, "op11_merkle_manifest": _OP11, "op12_warc": _OP12, "op13_collocations": _OP13}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import short_batches
 from .common import table as stored_table
+from .collocations import collocations
 from .decontaminate import contamination_report
 from .embeddings import embedding_report
 from .language import language_report
@@ -74,4 +75,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_report(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores, op11_merkle_manifest, op12_warc)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_line_dedup, op4_minhash_dedup, op5_substring_dedup, op6_embedding_dedup, op7_decontaminate, op8_license_scan, op9_token_files, op10_lm_scores, op11_merkle_manifest, op12_warc, op13_collocations)}
