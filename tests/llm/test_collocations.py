@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from lightloom.llm import collocations as C
 
@@ -66,37 +68,44 @@ def test_phrases_first_found_in_the_last_scan(spark):
     assert sorted(map(tuple, C.collocations(frame(spark, rows), least=10, shards=3).collect())) == brute(rows, 10)
 
 
-def test_blocks_of_long_texts(monkeypatch):
-    """A text that is cut into slices and blocks, counts that are given out in parts, and a bitmap that is nearly full."""
+def test_blocks_of_long_texts(spark, monkeypatch):
+    """Texts that are cut into slices and blocks, counted behind a full bitmap and behind none."""
     rng = random.Random(3)
-    text = " ".join(rng.choice("abcdefg") + rng.choice(["", "", "", "."]) for _ in range(20_000))
-    rows = [row(text), row("a" * 300_000 + " b"), row(None), row(""), row(" .,\n"), row("a b c", None)]
-    long = C._slices
-    monkeypatch.setattr(C, "BLOCK_WORDS", 700)
-    monkeypatch.setattr(C, "HELD", 50)
-    monkeypatch.setattr(C, "_slices", lambda t: long(t, 500))
-    counted = {}
-    counter = C._Counter("en", True, None, 5)
-
-    def take():
-        for out in counter.rows():
-            for p, c in zip(out["phrase"].to_pylist(), out["count"].to_pylist(), strict=True):
-                counted[p] = counted.get(p, 0) + c
-
-    for r in rows:
-        if r[1] is not None:
-            counter.add(r[1])
-            take()
-    counter.count(last=True)
-    take()
-    want = Counter(p[0] for r in rows for p in phrases(r[1]) if len(p) == 1)
-    assert counted == want
-    every = C.np.full(1 << 13, 255, C.np.uint8)
-    own = C._Counter("en", False, C.Found(16, every, every, [1, 2, 3, 4]), 5)
-    own.add(text)
-    own.count(last=True)
-    got = {tuple(p.split(" ")): c for out in own.rows() for p, c in zip(out["phrase"].to_pylist(), out["count"].to_pylist(), strict=True)}
-    assert got == Counter(p for p in phrases(text) if len(p) > 1)
+    text = " ".join(rng.choice("abcdefg") + rng.choice(["", "", "", "."]) for _ in range(9000))
+    texts = [text, "a" * 300_000 + " b", None, "", " .,\n", "a b c", "x y. z"]
+    assert b"".join(C._slices(text.encode(), 50)) == text.encode() and len(list(C._slices(text.encode(), 50))) > 100
+    blocks = C.coded(spark.createDataFrame([("en", t, 0) for t in texts], "lang string, text string, shard int"), block_words=40).collect()
+    assert sum(r.words or 0 for r in blocks if r.shard == 0) > 100
+    names = {xxhash.xxh64_intdigest(r.word.encode(), C._Codes("en", 0).seed): r.word for r in blocks if r.word}
+    assert sum(r.words for r in blocks if r.shard == C._NAMES) == sum(len(p) == 1 for t in texts for p in phrases(t))
+    every = np.full(1 << 13, 255, np.uint8)
+    monkeypatch.setattr(C, "HELD", 100)
+    counter, got = C._Counter(True, C.Found(16, every, every, [1, 2, 3, 4]), 5), Counter()
+    for k, r in enumerate(r for r in blocks if r.shard == 0):
+        counter.add(np.frombuffer(r.codes, np.uint64), r.words)
+        if k % 50 == 0 or k + 1 == sum(r.shard == 0 for r in blocks):
+            for out in counter.rows():
+                for row in zip(*(out[c].to_pylist() for c in [*C.WORDS, "count"]), strict=True):
+                    got[tuple(names[w % 2**64] for w in row[:-1] if w)] += row[-1]
+    assert got == Counter(p for t in texts for p in phrases(t))
+    none = np.zeros(1 << 13, np.uint8)
+    assert not C.Found(16, every, none, [1]).both(np.arange(9, dtype=np.uint64)).size
+
+
+def test_two_phrases_of_one_hash(monkeypatch):
+    monkeypatch.setattr(C, "_mixed", lambda codes, first, n, size: np.zeros(size, np.uint64))
+    words = np.array([[1, 2], [3, 4], [1, 2], [5, 6]], np.uint64)
+    own, counts = C._summed(words, np.array([1, 1, 4, 1]))
+    assert {tuple(w): c for w, c in zip(own.tolist(), counts.tolist(), strict=True)} == {(1, 2): 5, (3, 4): 1, (5, 6): 1}
+
+
+def test_two_words_of_one_code(spark, monkeypatch):
+    """All is done again with other codes."""
+    rows = spark.createDataFrame([(C._NAMES, None, "en", w, 0) for w in "ab"], C._CODED)
+    final = spark.createDataFrame([(7, 0, 0, 0, 0, 1, 9)], ", ".join(f"{w} long" for w in C.WORDS) + ", n int, count long")
+    monkeypatch.setattr(C, "word_code", lambda lang, word, salt: C.F.lit(7).cast("long"))
+    monkeypatch.setattr(C, "frequent_phrases", lambda *a: a)
+    assert C._named(None, final, rows, 9, 5, 2, 0)[1:] == (9, 5, 2, 1)
 
 
 def test_top_ties_and_repeats(spark):
