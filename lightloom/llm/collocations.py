@@ -42,8 +42,8 @@ SHARDS = 2
 TOP = 2000
 MOST_BITS = 28
 #: Words of a block of codes; phrases that a task holds before it gives them out; words whose codes it remembers.
-BLOCK_WORDS = 250_000
-HELD = 1_500_000
+BLOCK_WORDS = 120_000
+HELD = 600_000
 REMEMBERED = 250_000
 SALTS = 32
 #: A-Z to a-z, what ends a piece to ``.``, a tab to a space.
