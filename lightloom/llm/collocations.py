@@ -24,7 +24,6 @@ rows; repeated rows count again; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, gives_back, scratch_root, stored
+from .common import discard, gives_back, stored
 
 LEAST = 100
 LONGEST = 5
@@ -300,11 +299,9 @@ def _told(run: DataFrame, found: DataFrame | None, step: int, shards: int, least
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """(lang, n, phrase, count) of all phrases of at least ``least`` places, and (lang, words): how many words there are."""
     spark = docs.sparkSession
-    path = f"{scratch_root(spark)}/lightloom/phrase-codes-{uuid.uuid4().hex}"
     shard = F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).cast("int")
-    coded(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", shard.alias("shard")), salt).write.partitionBy("shard").parquet(path)
-    rows = spark.read.schema(_CODED).parquet(path)
-    rows.stored_path = path
+    dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", shard.alias("shard"))
+    rows = stored(coded(dealt, salt).sortWithinPartitions("shard"), "phrase-codes")  # a scan skips other shards' pages
     run, found, final, step = None, None, None, 0
     while True:
         known, lengths = None, []
