@@ -56,7 +56,7 @@ def wrapped(phi: Column) -> Column:
     return F.atan2(F.sin(phi), F.cos(phi))
 
 
-def combined_power(p1: Column, p2: Column, w1: float = 1.0, w2: float = 1.0, eps: float = 1e-30) -> Column:
+def combined_power(p1: Column, p2: Column, w1: float | Column = 1.0, w2: float | Column = 1.0, eps: float = 1e-30) -> Column:
     """Weighted geometric mean; what is no positive number counts as ``eps``."""
     safe = lambda p: F.greatest(F.coalesce(finite(p), F.lit(eps)), F.lit(eps))
     return F.exp((w1 * F.ln(safe(p1)) + w2 * F.ln(safe(p2))) / (w1 + w2))

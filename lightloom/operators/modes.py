@@ -6,27 +6,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.waves import amplitude, combined_power, period, phase, sinusoid
+from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
 from .regress import least_squares, predicted, solve
 from .series import by, longest_chunk
-from .spectrum import TAU, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
-#: Fit windows and noise guards reach this many times 2 / T.
-KFIT = 3.0
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
+#: Sides of noise windows of nightly series, in 1 / T; of guided searches, in 1 / T and bins.
+NIGHT_SIDES = 10.0
+GUIDED_SIDES, GUIDED_SIDE_BINS = 3.0, 6
+
+
+def _span(t: str | Column) -> Column:
+    return F.greatest(F.col(t) if isinstance(t, str) else t, F.lit(1e-8))
+
+
+def _bins(grid: DataFrame) -> DataFrame:
+    """(series_id, bin_): the step of each series' even grid."""
+    return grid.groupBy("series_id").agg(((F.max("f") - F.min("f")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("bin_"))
 
 
 def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> DataFrame:
     """(series_id, snr, w): power of the nearest bin over the trimmed median of sidebands (else of all outside the guard,
     else of all); at: series_id, f0 and what guard and side need."""
     rows = spectrum.join(at, "series_id").withColumn("away", F.abs(F.col("f") - F.col("f0")))
-    kinds = F.array(
-        F.when((F.col("away") >= guard) & (F.col("away") <= guard + side), F.lit(0)),
-        F.when(F.col("away") >= guard, F.lit(1)), F.lit(2),
-    )
-    ranked = rows.withColumn("kind", F.explode(kinds)).filter("kind is not null")
+    f, f0 = F.col("f"), F.col("f0")
+    beside = ((f >= f0 - (guard + side)) & (f <= f0 - guard)) | ((f >= f0 + guard) & (f <= f0 + (guard + side)))
+    kinds = F.array(F.when(beside, F.lit(0)), F.when(F.col("away") >= guard, F.lit(1)), F.lit(2))
+    ranked = rows.filter("power is not null").withColumn("kind", F.explode(kinds)).filter("kind is not null")
     w = by("series_id", "kind")
     ranked = ranked.withColumn("r_", F.row_number().over(w.orderBy("power"))).withColumn("n_", F.greatest(F.lit(1), F.floor(0.9 * F.count("*").over(w))))
     noise = ranked.filter("r_ <= n_").groupBy("series_id", "kind").agg(F.median("power").alias("noise")).filter("noise > 0")
@@ -36,29 +45,54 @@ def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> D
     return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
 
 
-def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int = 20, snr_stop: float = 4.0, most: int = 60_000, steps: int = 1001, kfit: float = KFIT) -> DataFrame:
+def snr_after_fit(series: DataFrame, fits: DataFrame, spans: DataFrame, fmin: float, fmax: float, span: str = "t_full", nightly: bool = False, ks: float | None = None, baseline: Baseline | str | None = None) -> DataFrame:
+    """(series_id, snr, w) from a local spectrum around f, in steps of 1 / (5 T): the largest power inside the guard over the noise
+    of the annulus. The guard is ``KFIT`` 2 / T, 2 / T (``nightly``: 3 / T) at least; sides are ``ks`` / T, 4 / T (6 / T) at least."""
+    guard_bins, side_bins, most = (3.0, 6.0, 1601) if nightly else (2.0, 4.0, 1201)
+    ks = (NIGHT_SIDES if nightly else SIDES) if ks is None else ks
+    t = _span(span)
+    at = fits.select("series_id", F.col("f").alias("f0")).join(spans.select("series_id", (1.0 / t).alias("res_"), F.greatest(KFIT * (2.0 / t), guard_bins * (1.0 / t)).alias("guard_")), "series_id")
+    side = F.greatest(F.lit(ks) * F.col("res_"), F.lit(side_bins) * F.col("res_"))
+    grid = local_grid(at, F.col("guard_") + side, F.greatest(F.col("res_") / 5, F.lit(1e-8)), fmin, fmax, most).select("series_id", "j", "f")
+    b = Baseline.of(baseline)
+    power = nuisance_periodogram(series, grid, b).select("series_id", "j", "f", "power") if nightly else lomb_scargle(series, grid, b.w)
+    power = stored(power, "local")
+    rows = power.join(at, "series_id").withColumn("away", F.abs(F.col("f") - F.col("f0")))
+    peak = rows.groupBy("series_id").agg(F.coalesce(F.max(F.when(F.col("away") <= F.col("guard_"), F.col("power"))), F.min_by("power", F.struct("away", "j"))).alias("p0"))
+    out = peak.join(annulus_noise(power, at, F.col("guard_"), side), "series_id", "left").withColumn("w", F.col("p0") / F.col("noise"))
+    return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
+
+
+def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int = 20, snr_stop: float = 4.0, most: int = 60_000, steps: int = 1001, kfit: float = KFIT, weight: str | None = None) -> DataFrame:
     """(series_id, mode, f, amp, phase, snr, w): strongest peak, fit, test, prewhiten, until a series' peak is too weak.
-    No peak is taken within max(``SEPARATION`` / T, a grid step) of a mode that was found before."""
+    No peak is taken within max(``SEPARATION`` / T, a grid step) of a mode that was found before. ``weight`` names the column of
+    the points' weights."""
     spans = stored(longest_chunk(series), "spans")
     grid = stored(frequency_grid(spans, fmin, fmax, most=most), "grid")
-    left, found = stored(series.select("series_id", "t", "y", "k"), "left"), None
+    spans = stored(spans.join(_bins(grid), "series_id"), "spans")
+    b = Baseline(weight=weight)
+    left, found = stored(series.select("series_id", "t", "y", "k", *b.columns), "left"), None
+    chunk = _span("t_chunk")
+    guard, side = kfit * (2.0 / chunk), F.greatest(SIDES * (1.0 / chunk), SIDE_BINS * F.col("bin_"))
     for mode in range(1, rounds + 1):
-        spectrum = stored(lomb_scargle(left, grid), "spectrum")
+        spectrum = stored(lomb_scargle(left, grid, b.w), "spectrum")
         free = spectrum
         if found is not None:
-            bins = grid.groupBy("series_id").agg(((F.max("f") - F.min("f")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("bin_"))
-            reach = spans.join(bins, "series_id").select("series_id", F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), "bin_").alias("reach_"))
+            reach = spans.select("series_id", F.greatest(SEPARATION / _span("t_full"), "bin_").alias("reach_"))
             free = excluded(spectrum.join(reach, "series_id"), found.select("series_id", "f"), F.col("reach_")).drop("reach_")
         start = strongest(free).select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
-        fits = stored(frequency_fit(left, start, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fits")
+        fits = stored(frequency_fit(left, start, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps, b), "fits")
         at = fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
-        tested = fits.join(snr_at(spectrum, at, kfit * 2.0 / F.col("t_chunk"), 5.0 / F.col("t_chunk")), "series_id", "left")
+        tested = fits.join(snr_at(spectrum, at, guard, side), "series_id", "left")
         amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
         kept = stored(tested.filter(F.col("snr") >= snr_stop).select("series_id", F.lit(mode).alias("mode"), "f", "s_coeff", "c_coeff", amp.alias("amp"), phi.alias("phase"), "snr", "w"), "modes")
         if kept.isEmpty():
             break
+        former = left
         found = kept if found is None else stored(found.unionByName(kept), "modes")
-        left = stored(prewhitened(left.join(kept.select("series_id"), "series_id", "left_semi"), kept), "left")
+        left = stored(prewhitened(left.join(kept.select("series_id"), "series_id", "left_semi"), kept, baseline=b), "left")
+        for done in (former, spectrum, fits):
+            discard(done)
     return kept if found is None else found
 
 
@@ -104,8 +138,8 @@ def matched(local: DataFrame, components: DataFrame) -> DataFrame:
     return both.select("series_id", F.inline(F.aggregate("own_", zero, step)["done"]))
 
 
-def _multi_features(series: DataFrame, modes: DataFrame, most: int, slopes: bool, night: str | None) -> tuple[DataFrame, list[str]]:
-    """Waves of each mode (and their slopes in frequency), less their means of the series or night."""
+def _multi_features(series: DataFrame, modes: DataFrame, most: int, slopes: bool, b: Baseline) -> tuple[DataFrame, list[str]]:
+    """Waves of each mode (and their slopes in frequency) and y, less the baseline of each, by the square roots of the weights."""
     own = F.struct("f", *(["s_coeff", "c_coeff"] if slopes else []))
     packed = modes.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("mode", own))).alias("m_"))
     rows, made = series.join(packed, "series_id"), {}
@@ -115,14 +149,22 @@ def _multi_features(series: DataFrame, modes: DataFrame, most: int, slopes: bool
         made |= {f"s{m}": F.coalesce(F.sin(angle), F.lit(0.0)), f"c{m}": F.coalesce(F.cos(angle), F.lit(0.0))}
         if slopes:
             made[f"d{m}"] = F.coalesce(TAU * F.col("t") * (own["s_coeff"] * F.cos(angle) - own["c_coeff"] * F.sin(angle)), F.lit(0.0))
-    group = by("series_id", *([night] if night else []))
-    rows = rows.withColumns(made)
-    return rows.withColumns({n: F.col(n) - F.avg(n).over(group) for n in made} | {"yc_": F.col("y") - F.avg("y").over(group)}), list(made)
-
-
-def _linear(series: DataFrame, modes: DataFrame, most: int, night: str | None) -> DataFrame:
+    group = by("series_id", *([b.night] if b.night else []))
+    rows = rows.withColumns(made).withColumn("yc_", F.col("y"))
+    every = [*made, "yc_"]
+    if b.offsets:
+        total = F.nullif(F.sum(b.w).over(group), F.lit(0.0))
+        rows = rows.withColumns({n: F.col(n) - F.coalesce(F.sum(b.w * F.col(n)).over(group) / total, F.lit(0.0)) for n in every})
+    if b.slopes:
+        rows = rows.withColumn("u_", _night_slopes(series, b))
+        steep = F.nullif(F.sum(b.w * F.col("u_") * F.col("u_")).over(group), F.lit(0.0))
+        rows = rows.withColumns({n: F.col(n) - F.col("u_") * F.coalesce(F.sum(b.w * F.col("u_") * F.col(n)).over(group) / steep, F.lit(0.0)) for n in every})
+    return rows.withColumns({n: F.sqrt(b.w) * F.col(n) for n in every}), list(made)
+
+
+def _linear(series: DataFrame, modes: DataFrame, most: int, b: Baseline) -> DataFrame:
     """modes with s_coeff, c_coeff and the fit's rss, all waves of a series at once."""
-    rows, names = _multi_features(series, modes, most, False, night)
+    rows, names = _multi_features(series, modes, most, False, b)
     beta = least_squares(rows, names, "yc_").select("series_id", "beta", "rss")
     at = (F.col("mode") - 1) * 2
     return modes.drop("s_coeff", "c_coeff", "rss").join(beta, "series_id").withColumns({"s_coeff": F.get("beta", at), "c_coeff": F.get("beta", at + 1)}).drop("beta")
@@ -132,11 +174,12 @@ def _numbered(modes: DataFrame) -> DataFrame:
     return modes.withColumn("mode", F.row_number().over(by().orderBy("f")).cast("int"))
 
 
-def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rounds: int = 12, night: str | None = None, bound: float = 3.0, fmin: float = 0.01, fmax: float = 50.0) -> DataFrame:
-    """All modes of a series at once, beside an offset (one a night): seeds (series_id, f, in order of ``mode``) closer than
+def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rounds: int = 12, baseline: Baseline | str | None = None, bound: float = 3.0, fmin: float = 0.01, fmax: float = 50.0) -> DataFrame:
+    """All modes of a series at once, beside a baseline: seeds (series_id, f, in order of ``mode``) closer than
     ``SEPARATION`` / T to a better one go; frequencies move within ``bound`` / T by Gauss-Newton steps, of which the half, a
     quarter and so on are tried until the fit gets better; close modes collapse and the waves are fitted again.
     (series_id, mode, f, s_coeff, c_coeff, rss), modes numbered by frequency."""
+    b = Baseline.of(baseline)
     reach = spans.select("series_id", F.greatest(bound / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("reach"), F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("sep"))
     seeds = spaced(modes.join(reach, "series_id").select("series_id", "mode", "f", "reach", "sep"), ["mode", "f"], F.col("sep"))
     limits = {"low": F.greatest(F.lit(fmin), F.col("f") - F.col("reach")), "high": F.least(F.lit(fmax), F.col("f") + F.col("reach"))}
@@ -144,13 +187,13 @@ def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rou
     most = start.agg(F.max("mode")).first()[0] or 0
     if not most:
         return start.select("series_id", "mode", "f", *[F.lit(None).cast("double").alias(c) for c in ("s_coeff", "c_coeff", "rss")])
-    best = stored(_linear(series, start, most, night).withColumn("damp", F.lit(1.0)), "refined")
+    best = stored(_linear(series, start, most, b).withColumn("damp", F.lit(1.0)), "refined")
     for _ in range(rounds):
-        rows, names = _multi_features(series, best, most, True, night)
+        rows, names = _multi_features(series, best, most, True, b)
         beta = least_squares(rows, names, "yc_").select("series_id", "beta")
         step = F.coalesce(F.get("beta", (F.col("mode") - 1) * 3 + 2), F.lit(0.0)) * F.col("damp")
         moved = best.join(beta, "series_id").withColumn("f", F.least(F.greatest(F.col("f") + step, F.col("low")), F.col("high")))
-        tried = _linear(series, moved.drop("beta"), most, night)
+        tried = _linear(series, moved.drop("beta"), most, b)
         new = tried.select("series_id", "mode", *[F.col(c).alias(f"new_{c}") for c in ("f", "s_coeff", "c_coeff", "rss")])
         better = F.col("new_rss") <= F.col("rss")
         both = best.join(new, ["series_id", "mode"])
@@ -160,25 +203,28 @@ def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rou
         discard(former)
     amp = amplitude(F.col("s_coeff"), F.col("c_coeff"))
     merged = collapsed(best.select("series_id", "mode", "f", amp.alias("amp")).join(reach, "series_id"), F.col("sep"))
-    return stored(_linear(series, stored(_numbered(merged.select("series_id", "f")), "refined"), most, night).select("series_id", "mode", "f", "s_coeff", "c_coeff", "rss"), "refined")
+    return stored(_linear(series, stored(_numbered(merged.select("series_id", "f")), "refined"), most, b).select("series_id", "mode", "f", "s_coeff", "c_coeff", "rss"), "refined")
 
 
-def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin: float = 0.2, fmax: float = 50.0, half_bins: float = 10.0, snr_min: float = 2.0, night: str | None = None, steps: int = 1001, most: int = 1201, oversample: float = 2.0, side: float = 3.0) -> tuple[DataFrame, DataFrame]:
+def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin: float = 0.2, fmax: float = 50.0, half_bins: float = 10.0, snr_min: float = 2.0, baseline: Baseline | str | None = None, steps: int = 1001, most: int = 1201, oversample: float = 2.0, side: float = GUIDED_SIDES) -> tuple[DataFrame, DataFrame]:
     """(search table, series without the modes found). Each template frequency (series_id, mode, f_template) in order: local
-    spectrum in +-``half_bins`` resolution elements, fit within it, test, prewhiten where it is detected. Columns series_id,
-    mode, f_template, detected, f, amp, phase, snr, w, skip_reason."""
-    left, out = stored(series, "guided"), None
-    t = F.greatest(F.col("t_full"), F.lit(1e-8))
-    for mode in range(1, (templates.agg(F.max("mode")).first()[0] or 0) + 1):
-        at = stored(templates.filter(F.col("mode") == mode).join(spans, "series_id"), "templates")
+    spectrum, fit within it, test, prewhiten where it is detected. With ``resolution`` in ``templates``, that of the series they
+    come from, the search reaches ``half_bins`` times the coarser of both and steps by the finer one over ``oversample``.
+    Columns series_id, mode, f_template, detected, f, amp, phase, snr, w, skip_reason."""
+    b, left, out, t = Baseline.of(baseline), stored(series, "guided"), None, _span("t_full")
+    told = templates if "resolution" in templates.columns else templates.withColumn("resolution", F.lit(None).cast("double"))
+    coarse, fine = F.greatest("resolution", 1.0 / t), F.least("resolution", 1.0 / t)
+    for mode in range(1, (told.agg(F.max("mode")).first()[0] or 0) + 1):
+        at = stored(told.filter(F.col("mode") == mode).join(spans, "series_id"), "templates")
         skipped = at.filter(F.col("f_template") < fmin)
         centres = at.filter(F.col("f_template") >= fmin).withColumnRenamed("f_template", "f0")
-        grid = stored(local_grid(centres, half_bins / t, 1.0 / t / oversample, fmin, fmax, most).select("series_id", "j", "f"), "local-grid")
-        spectrum = stored(nuisance_periodogram(left, grid, night).select("series_id", "j", "f", "power"), "local")
+        grid = stored(local_grid(centres, half_bins * coarse, F.greatest(fine / oversample, F.lit(1e-8)), fmin, fmax, most).select("series_id", "j", "f"), "local-grid")
+        spectrum = stored(nuisance_periodogram(left, grid, b).select("series_id", "j", "f", "power"), "local")
         peak = strongest(spectrum.filter("power is not null")).select("series_id", F.col("f").alias("f0")).join(spans, "series_id")
         edges = grid.groupBy("series_id").agg(F.min("f").alias("low"), F.max("f").alias("high"))
-        fits = stored(frequency_fit(left, peak.join(edges, "series_id"), KFIT * 2.0 / t, fmin, fmax, steps, night, ("low", "high")), "fits")
-        noise = snr_at(spectrum, fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), 1.0 / t, side / t)
+        fits = stored(frequency_fit(left, peak.join(edges, "series_id"), KFIT * 2.0 / t, fmin, fmax, steps, b, ("low", "high")), "fits")
+        place = fits.select("series_id", F.col("f").alias("f0")).join(spans, "series_id").join(_bins(grid), "series_id")
+        noise = snr_at(spectrum, place, KFIT * (2.0 / t), F.greatest(side * (1.0 / t), GUIDED_SIDE_BINS * F.col("bin_")))
         tested = centres.select("series_id", "mode", F.col("f0").alias("f_template")).join(fits, "series_id", "left").join(noise, "series_id", "left")
         ok = F.coalesce(F.col("snr") >= snr_min, F.lit(False))
         amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
@@ -187,7 +233,7 @@ def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin:
         found = tested.withColumn("detected", ok).withColumn("skip_reason", why)
         rows = stored(found.select("series_id", "mode", "f_template", "detected", only(F.col("f")).alias("f"), only(amp).alias("amp"), only(phi).alias("phase"), "snr", "w", "skip_reason", "s_coeff", "c_coeff"), "guided-rows")
         former = left
-        left = stored(prewhitened(left, rows.filter("detected"), night=night), "guided")
+        left = stored(prewhitened(left, rows.filter("detected"), baseline=b), "guided")
         for done in (former, spectrum, fits, grid):
             discard(done)
         rows = rows.drop("s_coeff", "c_coeff").unionByName(skipped.select("series_id", "mode", "f_template", F.lit(False).alias("detected"), F.lit("below_minimum_frequency").alias("skip_reason")), allowMissingColumns=True)
@@ -195,19 +241,51 @@ def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin:
     return (out if out is None else stored(out, "guided-result")), left
 
 
-def guided_search(series: DataFrame, templates: DataFrame, spans: DataFrame, night: str | None = None, **options: object) -> DataFrame:
-    """The whole search: ``guided_rows``; of detections within ``SEPARATION`` / T the best stay; all are refined together on the
-    series as it came; each takes the closest refined mode that is left. (series_id, mode, f_template, f_local, amp_local,
-    phase_local, snr, w, f, amp, phase) of accepted templates."""
-    rows, _ = guided_rows(series, templates, spans, night=night, **options)
-    sep = spans.select("series_id", F.greatest(SEPARATION / F.greatest("t_full", F.lit(1e-8)), F.lit(1e-8)).alias("sep"))
+def guided_search(series: DataFrame, templates: DataFrame, spans: DataFrame, baseline: Baseline | str | None = None, **options: object) -> DataFrame:
+    """The whole search: ``guided_rows``; of detections within ``SEPARATION`` resolution elements (of the coarser series) the best
+    stay; all are refined together on the series as it came; each takes the closest refined mode that is left. (series_id, mode,
+    f_template, f_local, amp_local, phase_local, snr, w, f, amp, phase, s_coeff, c_coeff) of accepted templates."""
+    rows, _ = guided_rows(series, templates, spans, baseline=baseline, **options)
+    if rows is None:
+        rows = templates.select("series_id", "mode", "f_template", F.lit(False).alias("detected"), *[F.lit(None).cast("double").alias(c) for c in ("f", "amp", "phase", "snr", "w")])
+    coarse = templates.groupBy("series_id").agg((F.max("resolution") if "resolution" in templates.columns else F.lit(None).cast("double")).alias("r_"))
+    sep = spans.join(coarse, "series_id").select("series_id", F.greatest(SEPARATION / _span("t_full"), SEPARATION * F.col("r_"), F.lit(1e-8)).alias("sep"))
     accepted = stored(deduped(rows.filter("detected").join(sep, "series_id"), F.col("sep")).drop("sep"), "accepted")
     score = F.row_number().over(by().orderBy(F.desc("snr"), "f")).alias("rank")
-    refined = global_refinement(series, accepted.select("series_id", F.col("f"), score).withColumnRenamed("rank", "mode"), spans, night=night)
+    refined = global_refinement(series, accepted.select("series_id", F.col("f"), score).withColumnRenamed("rank", "mode"), spans, baseline=baseline)
     amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
     pairs = matched(accepted.select("series_id", "mode", "f"), refined.select("series_id", "f", amp.alias("amp"), phi.alias("phase")))
     own = accepted.select("series_id", "mode", "f_template", F.col("f").alias("f_local"), F.col("amp").alias("amp_local"), F.col("phase").alias("phase_local"), "snr", "w")
-    return own.join(pairs.select("series_id", "mode", "f", "amp", "phase"), ["series_id", "mode"])
+    out = own.join(pairs.select("series_id", "mode", "f", "amp", "phase"), ["series_id", "mode"])
+    return out.withColumns({"s_coeff": F.col("amp") * F.cos("phase"), "c_coeff": F.col("amp") * F.sin("phase")})
+
+
+def photometric_modes(series: DataFrame, fmin: float, fmax: float, weight: str | None = None, **options: object) -> DataFrame:
+    """All modes of photometric series: found one after another, near-duplicates merged, refined together, each with its refined
+    mode. (series_id, mode, f_local, amp_local, phase_local, snr, w, f, amp, phase, resolution)."""
+    found = sequential_modes(series, fmin, fmax, weight=weight, **options)
+    spans = stored(longest_chunk(series), "spans")
+    sep = spans.select("series_id", F.greatest(SEPARATION / _span("t_full"), F.lit(1e-8)).alias("sep"))
+    local = stored(deduped(found.join(sep, "series_id"), F.col("sep")).drop("sep"), "local-modes")
+    refined = global_refinement(series, local.select("series_id", "mode", "f"), spans, baseline=Baseline(weight=weight), fmin=fmin, fmax=fmax)
+    amp, phi = amplitude(F.col("s_coeff"), F.col("c_coeff")), phase(F.col("s_coeff"), F.col("c_coeff"))
+    pairs = matched(local.select("series_id", "mode", "f"), refined.select("series_id", "f", amp.alias("amp"), phi.alias("phase")))
+    own = local.select("series_id", "mode", F.col("f").alias("f_local"), F.col("amp").alias("amp_local"), F.col("phase").alias("phase_local"), "snr", "w")
+    res = spans.select("series_id", (1.0 / _span("t_full")).alias("resolution"))
+    return own.join(pairs.select("series_id", "mode", "f", "amp", "phase"), ["series_id", "mode"]).join(res, "series_id")
+
+
+def guided_channels(channels: DataFrame, photometric: DataFrame, baseline: Baseline | str | None = None, **options: object) -> DataFrame:
+    """The guided search of all channels (target, channel, t, y, k and what the baseline needs) of all targets at once, by their
+    photometric modes (``photometric_modes``; series_id is the target, unrefined modes stay local): target, channel and the
+    columns of ``guided_search``."""
+    keyed = channels.withColumn("series_id", F.concat_ws("|", F.col("target").cast("string"), F.col("channel").cast("string")))
+    names = stored(keyed.select("series_id", "target", "channel").distinct(), "channels")
+    series = stored(keyed.select("series_id", "t", "y", "k", *Baseline.of(baseline).columns), "channels")
+    wanted = photometric.select(F.col("series_id").alias("target"), "mode", F.coalesce("f", "f_local").alias("f_template"), "resolution")
+    templates = stored(names.join(wanted, "target").select("series_id", "mode", "f_template", "resolution"), "templates")
+    found = guided_search(series, templates, stored(longest_chunk(series), "spans"), baseline, **options)
+    return names.join(found, "series_id").drop("series_id")
 
 
 def batch_search(series: DataFrame, templates: DataFrame, least: int = 60, **options: object) -> DataFrame:
@@ -284,60 +362,93 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
     return left
 
 
-def fine_peaks(series: DataFrame, other: DataFrame, peaks: DataFrame, fmin: float, fmax: float, night: str | None = None) -> DataFrame:
+def _both_whitened(first: DataFrame, second: DataFrame, grid: DataFrame, spans: DataFrame, weights: DataFrame, one: Baseline, two: Baseline) -> DataFrame:
+    """(series_id, j, f, power, white, white2, score) on a grid: both series' whitened spectra (noise windows by t_full and t2) and
+    their mean by ``weights`` (series_id, w1, w2)."""
+    a = whitened(stored(lomb_scargle(first, grid, one.w), "spec"), spans.select("series_id", "t_full"), ks=SIDES).select("series_id", "j", "f", "power", "white")
+    night = stored(nuisance_periodogram(second, grid, two).select("series_id", "j", "f", "power"), "spec")
+    b = whitened(night, spans.select("series_id", "t2"), "t2", ks=NIGHT_SIDES)
+    both = a.join(b.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"]).join(weights, "series_id")
+    return both.withColumn("score", combined_power(F.col("white"), F.col("white2"), F.col("w1"), F.col("w2"))).drop("w1", "w2")
+
+
+def fine_peaks(series: DataFrame, other: DataFrame, peaks: DataFrame, spans: DataFrame, weights: DataFrame, fmin: float, fmax: float, one: Baseline, two: Baseline) -> DataFrame:
     """(series_id, f0, f, score, white, white2): of each peak (series_id, f0, sep) the largest combined whitened power on a grid
     of sep / 10 within 3 sep; all peaks of all series in one plan."""
     key = F.concat_ws("|", F.col("f0").cast("string"), F.col("series_id").cast("string"))
-    keyed = stored(peaks.withColumn("key_", key), "fine-peaks")
-    grid = stored(local_grid(keyed.select(F.col("key_").alias("series_id"), "f0", "sep"), 3 * F.col("sep"), F.col("sep") / 10, fmin, fmax).select("series_id", "j", "f"), "fine")
+    keyed = stored(peaks.select("series_id", "f0", "sep", key.alias("key_")), "fine-peaks")
+    reach = 3 * F.col("sep")
+    size = F.floor((F.least(F.lit(fmax), F.col("f0") + reach) - F.greatest(F.lit(fmin), F.col("f0") - reach)) / (F.col("sep") / 10)) + 1
+    points = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(size, F.lit(1)).cast("long") - 1))
+    grid = keyed.select(F.col("key_").alias("series_id"), "f0", "sep", points.alias("j"))
+    grid = stored(grid.select("series_id", "j", (F.greatest(F.lit(fmin), F.col("f0") - reach) + F.col("j") * (F.col("sep") / 10)).alias("f")), "fine")
     own = lambda s: s.join(keyed.select("series_id", "key_"), "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
-    a = whitened(lomb_scargle(own(series), grid), 6, 12).select("series_id", "j", "f", "white")
-    b = whitened(nuisance_periodogram(own(other), grid, night).select("series_id", "j", "f", "power"), 6, 12)
-    both = a.join(b.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"]).withColumn("score", combined_power(F.col("white"), F.col("white2")))
+    both = _both_whitened(own(series), own(other), grid, own(spans), own(weights), one, two)
     best = F.max_by(F.struct("f", "score", "white", "white2"), F.struct("score", -F.col("j"))).alias("b")
     return both.filter("score is not null").groupBy(F.col("series_id").alias("key_")).agg(best).join(keyed.select("key_", "series_id", "f0"), "key_").select("series_id", "f0", "b.*")
 
 
+def _spans_of_both(first: DataFrame, second: DataFrame) -> DataFrame:
+    other = longest_chunk(second).select("series_id", F.col("t_full").alias("t2"), F.col("t_chunk").alias("t2_chunk"))
+    return longest_chunk(first).join(other, "series_id")
+
+
 def refined_peak(series: DataFrame, other: DataFrame, peaks: DataFrame, df: Column, fmin: float, fmax: float) -> DataFrame:
     """(series_id, f, score): the largest combined whitened power on a grid of df / 10 within 3 df of f0."""
-    grid = stored(local_grid(peaks, 3 * df, df / 10, fmin, fmax).select("series_id", "j", "f"), "fine")
-    a, b = (whitened(lomb_scargle(s, grid), 6, 12).select("series_id", "j", "f", "white") for s in (series, other))
-    both = a.join(b.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"])
-    return strongest(both.withColumn("score", combined_power(F.col("white"), F.col("white2"))), "score").select("series_id", "f", "score")
+    spans = stored(_spans_of_both(series, other), "spans")
+    weights = spans.select("series_id", F.lit(1.0).alias("w1"), F.lit(1.0).alias("w2"))
+    fine = fine_peaks(series, other, peaks.withColumn("sep", df), spans, weights, fmin, fmax, Baseline(), Baseline())
+    return fine.select("series_id", "f", "score")
 
 
-def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, night: str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 60_000, steps: int = 2001, kfit: float = KFIT, prominence: float = 1.0) -> DataFrame:
-    """Modes that two series of one target share. A round: the 10 highest peaks of the combined whitened spectrum and the 3
+def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, baseline: Baseline | str | None = None, rounds: int = 20, snr_stop: float = 2.0, prefilter: float = 1.5, most: int = 60_000, steps: int = 2001, kfit: float = KFIT, prominence: float = 1.0, weight: str | None = None, mode: str = "equal", given: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Modes that two series of one target share, the second with a ``baseline`` (nights, weights), the first with ``weight``. A
+    round: the 10 highest peaks of the combined whitened spectrum (data sets weighted by ``mode``: see ``dataset_weight``) and the 3
     highest of the first series', merged, refined on fine grids, the best whose two whitened powers pass ``prefilter``; fits
-    and tests on both series; stop where both are weak; prewhiten both."""
-    spans = stored(longest_chunk(first).join(longest_chunk(second).select("series_id", F.col("t_full").alias("t2"), F.col("t_chunk").alias("t2_chunk")), "series_id"), "spans")
-    grid = stored(frequency_grid(spans, fmin, fmax, span="t_chunk", most=most), "grid")
-    sep = stored(spans.select("series_id", (1.0 / F.greatest("t_chunk", "t2_chunk", F.lit(1e-8))).alias("sep")), "separation")
-    a, b, out, n = stored(first, "joint"), stored(second, "joint"), None, 0
-    while n < rounds:
-        n += 1
-        sa, sb = stored(whitened(lomb_scargle(a, grid), 6, 12), "spec"), stored(whitened(nuisance_periodogram(b, grid, night).select("series_id", "j", "f", "power"), 6, 12), "spec")
-        both = stored(sa.select("series_id", "j", "f", F.col("power").alias("power1"), "white").join(sb.select("series_id", "j", F.col("white").alias("white2")), ["series_id", "j"]).withColumn("score", combined_power(F.col("white"), F.col("white2"))), "both")
-        peaks = [top_peaks(both.filter(F.col(v).isNotNull()), k, F.col("sep"), prominence, v, sep).select("series_id", "f", F.col(v).alias("height"), "sep") for v, k in (("score", 10), ("power1", 3))]
+    with errors and tests on local spectra of both series; stop where both are weak; prewhiten both."""
+    one, two = Baseline(weight=weight), Baseline.of(baseline)
+    spans = stored(_spans_of_both(first, second), "spans")
+    longest = _span(F.greatest("t_chunk", "t2_chunk"))
+    weights = stored(spans.select("series_id", dataset_weight(mode, F.col("t_chunk"), given[0]).alias("w1"), dataset_weight(mode, F.col("t2_chunk"), given[1]).alias("w2")), "weights")
+    sep = stored(spans.select("series_id", (1.0 / longest).alias("sep")), "separation")
+    grid = stored(frequency_grid(spans.select("series_id", longest.alias("longest")), fmin, fmax, span="longest", most=most), "grid")
+    groups = second.groupBy("series_id").agg(F.count_distinct(two.night).cast("int").alias("n_groups")) if two.night else spans.select("series_id", F.lit(0).alias("n_groups"))
+    groups = stored(groups, "groups")
+    a, b, out = stored(first, "joint"), stored(second, "joint"), None
+    for n in range(1, rounds + 1):
+        both = stored(_both_whitened(a, b, grid, spans, weights, one, two), "both")
+        peaks = [top_peaks(both, k, F.col("sep"), prominence, v, sep).select("series_id", "f", F.col(v).alias("height"), "sep") for v, k in (("score", 10), ("power", 3))]
         candidates = merged_peaks(peaks, F.col("sep")).select("series_id", F.col("f").alias("f0"))
-        fine = fine_peaks(a, b, candidates.join(sep, "series_id"), fmin, fmax, night)
+        fine = fine_peaks(a, b, candidates.join(sep, "series_id"), spans, weights, fmin, fmax, one, two)
         good = fine.filter((F.col("white") > prefilter) & (F.col("white2") > prefilter))
-        at = stored(strongest(good.withColumn("j", F.col("f")), "score").select("series_id", F.col("f").alias("f0"), "score").join(spans, "series_id"), "joint-at")
+        best = F.max_by(F.struct(F.col("f").alias("f0"), "score", "white", "white2"), F.struct("score", -F.col("f")))
+        at = stored(good.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*").join(spans, "series_id"), "joint-at")
         if at.isEmpty():
             break
-        fa = stored(frequency_fit(a, at, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps), "fit")
-        fb = stored(frequency_fit(b, at, kfit * 2.0 / F.col("t2"), fmin, fmax, steps, night), "fit")
-        named = lambda fit, s, spec, tag: fit.join(snr_at(spec, fit.select("series_id", F.col("f").alias("f0")).join(spans, "series_id"), kfit * 2.0 / F.col(s), 5.0 / F.col(s)), "series_id", "left").select(
-            "series_id", F.col("f").alias(f"f_{tag}"), amplitude(F.col("s_coeff"), F.col("c_coeff")).alias(f"amp_{tag}"), phase(F.col("s_coeff"), F.col("c_coeff")).alias(f"phase_{tag}"), F.col("snr").alias(f"snr_{tag}"), F.col("w").alias(f"w_{tag}"))
-        rows = at.select("series_id", F.lit(n).alias("n"), F.col("f0").alias("f_comb"), F.col("score").alias("score_comb")).join(named(fa, "t_chunk", sa, "first"), "series_id").join(named(fb, "t2", sb, "second"), "series_id")
+        fa = stored(with_errors(frequency_fit(a, at, kfit * 2.0 / F.col("t_full"), fmin, fmax, steps, one)), "fit")
+        fb = stored(with_errors(frequency_fit(b, at, kfit * 2.0 / F.col("t2"), fmin, fmax, steps, two)), "fit")
+        named = lambda fit, snr, tag: fit.join(snr, "series_id", "left").select("series_id", *[F.col(c).alias(f"{c}_{tag}") for c in ("f", "amp", "amp_err", "phase", "phase_err", "snr", "w")])
+        first_part = named(fa, snr_after_fit(a, fa, spans, fmin, fmax, baseline=one), "first")
+        second_part = named(fb, snr_after_fit(b, fb, spans, fmin, fmax, "t2", True, baseline=two), "second")
+        rows = at.select("series_id", F.lit(n).alias("n"), F.col("f0").alias("f_comb"), F.col("score").alias("score_comb"), F.col("white").alias("w_first_at_pick"), F.col("white2").alias("w_second_at_pick"))
+        rows = rows.join(first_part, "series_id").join(second_part, "series_id").join(groups, "series_id", "left")
+        rows = rows.withColumns({"offsets": F.lit(bool(two.night and two.offsets)), "slopes": F.lit(bool(two.night and two.slopes))})
         weak = F.coalesce((F.col("snr_first") < snr_stop) & (F.col("snr_second") < snr_stop), F.lit(False))
         rows = stored(rows.filter(~weak), "joint-rows")
         if rows.isEmpty():
             break
         out = rows if out is None else stored(out.unionByName(rows), "joint-all")
-        go = rows.select("series_id")
-        a, b = stored(prewhitened(a.join(go, "series_id", "left_semi"), fa), "joint"), stored(prewhitened(b.join(go, "series_id", "left_semi"), fb), "joint")
-    return rows if out is None else out
+        go, former = rows.select("series_id"), (a, b, both)
+        a = stored(prewhitened(a.join(go, "series_id", "left_semi"), fa, baseline=one), "joint")
+        b = stored(prewhitened(b.join(go, "series_id", "left_semi"), fb, baseline=two), "joint")
+        for done in former:
+            discard(done)
+    if out is None:
+        double = [f"{c}_{tag}" for tag in ("first", "second") for c in ("f", "amp", "amp_err", "phase", "phase_err", "snr", "w")]
+        kinds = {"n": "int", "n_groups": "int", "offsets": "boolean", "slopes": "boolean"}
+        names = ["n", "f_comb", "score_comb", "w_first_at_pick", "w_second_at_pick", *double, "n_groups", "offsets", "slopes"]
+        out = spans.limit(0).select("series_id", *[F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in names])
+    return out
 
 
 def with_periods(modes: DataFrame, *frequencies: str) -> DataFrame:
@@ -350,20 +461,24 @@ def with_periods(modes: DataFrame, *frequencies: str) -> DataFrame:
     return modes.select(*names)
 
 
-def joint_summary(modes: DataFrame, channels: tuple, min_sep: float, snr_min: float = 2.0) -> DataFrame:
-    """Modes of all channels (series_id, channel, f, amp, amp_err, phase, phase_err, snr, f2, amp2, phase2, snr2): greedy by
-    (snr, amp), numbered by frequency, each with every channel's nearest second-series mode (higher snr2 among equals)."""
-    strong = modes.filter(F.col("snr") >= snr_min).select("series_id", "f", "amp", "amp_err", "phase", "phase_err", "snr")
-    kept = spaced(strong, [F.desc("snr"), F.desc("amp"), "f"], min_sep)
-    kept = kept.withColumn("mode", F.row_number().over(by().orderBy("f")))
+def joint_summary(modes: DataFrame, channels: tuple, min_sep: float | Column, snr_min: float = 2.0) -> DataFrame:
+    """One row a mode and target of joint modes of all channels (series_id: the target, channel, the columns f, amp, amp_err, phase,
+    phase_err, snr of the first series and f2, amp2, amp_err2, phase2, phase_err2, snr2 of the second): greedy by (snr, amp),
+    numbered by frequency, each with every channel's nearest mode (higher snr2 among equals): six columns a channel.
+    ``min_sep`` may be a column of ``modes`` that is one value a target."""
+    sep = {"sep_of": min_sep} if isinstance(min_sep, Column) else {"sep_of": F.lit(float(min_sep))}
+    strong = modes.withColumns(sep).filter(F.col("snr") >= snr_min).select("series_id", "f", "amp", "amp_err", "phase", "phase_err", "snr", "sep_of")
+    kept = spaced(strong, [F.desc("snr"), F.desc("amp"), "f"], F.col("sep_of")).drop("sep_of")
+    kept = stored(kept.withColumn("mode", F.row_number().over(by().orderBy("f"))), "summary")
     out = kept.select("series_id", "mode", "f", period(F.col("f")).alias("period"), (1000 * F.col("amp")).alias("amp_ppt"), (1000 * F.col("amp_err")).alias("amp_err_ppt"), "phase", "phase_err")
+    own = modes.filter(F.col("channel").isin(*channels)).select("series_id", "channel", F.col("f").alias("f_"), "f2", "amp2", "amp_err2", "phase2", "phase_err2", "snr2")
+    near = F.min_by(F.struct("f2", "amp2", "amp_err2", "phase2", "phase_err2"), F.struct(F.abs(F.col("f_") - F.col("f")), -F.coalesce("snr2", F.lit(-1.0))))
+    best = kept.select("series_id", "mode", "f").join(own, "series_id").groupBy("series_id", "mode").pivot("channel", list(channels)).agg(near)
+    told = []
     for ch in channels:
-        own = modes.filter(F.col("channel") == ch).select("series_id", F.col("f").alias("f_"), "f2", "amp2", "phase2", "snr2")
-        near = F.min_by(F.struct("f2", "amp2", "phase2"), F.struct(F.abs(F.col("f_") - F.col("f")), -F.col("snr2")))
-        best = kept.select("series_id", "mode", "f").join(own, "series_id").groupBy("series_id", "mode").agg(near.alias("b"))
-        named = best.select("series_id", "mode", F.col("b.f2").alias(f"{ch}_f"), period(F.col("b.f2")).alias(f"{ch}_period"), F.col("b.amp2").alias(f"{ch}_amp"), F.col("b.phase2").alias(f"{ch}_phase"))
-        out = out.join(named, ["series_id", "mode"], "left")
-    return out
+        b = F.col(f"`{ch}`")
+        told += [b["f2"].alias(f"{ch}_f"), period(b["f2"]).alias(f"{ch}_period"), b["amp2"].alias(f"{ch}_amp"), b["amp_err2"].alias(f"{ch}_amp_err"), b["phase2"].alias(f"{ch}_phase"), b["phase_err2"].alias(f"{ch}_phase_err")]
+    return out.join(best.select("series_id", "mode", *told), ["series_id", "mode"], "left")
 
 
 def isolated_modes(residual: DataFrame, modes: DataFrame, top: int, t0: float = 0.0) -> DataFrame:

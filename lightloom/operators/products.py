@@ -11,7 +11,7 @@ from . import apertures, catalog, pixels
 from .modes import harmonic_prewhitened
 from .regress import background_scale, decorrelated, extractor_features, least_squares, split_decorrelated
 from .series import by, gap_segments, level, longest_chunk, ordered
-from .spectrum import local_grid, lomb_scargle, nuisance_periodogram
+from .spectrum import Baseline, local_grid, nuisance_periodogram
 from .spline import template, template_detrended
 
 
@@ -30,35 +30,7 @@ def nyquist_grid(series: DataFrame, oversample: int = 5, gap: float = 1.0, highe
     return s.select("series_id", "low", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("j")).select("series_id", "j", (F.col("low") + F.col("j") * F.col("step")).alias("f"))
 
 
-def annulus_noise(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column, least: int = 12, trim: float = 0.1) -> DataFrame:
-    """(series_id, noise, n): trimmed median between guard and guard + width of f0, the width 1.5 times wider up to five
-    times until ``least`` points give a positive value. All widths in one pass."""
-    rows = spectrum.join(at, "series_id").withColumn("away", F.abs(F.col("f") - F.col("f0")))
-    widths = F.array(*[F.when((F.col("away") >= guard) & (F.col("away") <= guard + 1.5**k * side), F.lit(k)) for k in range(6)])
-    rows = rows.filter("power is not null").withColumn("k_", F.explode(F.filter(widths, lambda k: k.isNotNull())))
-    w = by("series_id", "k_")
-    ranked = rows.withColumn("r_", F.row_number().over(w.orderBy("power"))).withColumn("n_", F.count("*").over(w))
-    kept = ranked.filter(F.col("r_") <= F.greatest(F.lit(1), F.floor((1 - trim) * F.col("n_"))))
-    per = kept.groupBy("series_id", "k_").agg(F.median("power").alias("noise"), F.max("n_").alias("n")).filter((F.col("noise") > 0) & (F.col("n") >= least))
-    return per.groupBy("series_id").agg(F.min_by(F.struct("noise", "n"), "k_").alias("b")).select("series_id", "b.*")
-
-
-def snr_after_fit(series: DataFrame, fits: DataFrame, spans: DataFrame, fmin: float, fmax: float, ks: float = 5.0, night: str | None = None) -> DataFrame:
-    """(series_id, snr, w) from a local spectrum around f: the largest power inside the guard over the annulus noise.
-    Guards are 2 resolutions wide for photometry and 3 for nightly series, sides at least 4 and 6."""
-    guard_bins, side_bins = (3.0, 6.0) if night else (2.0, 4.0)
-    at = fits.select("series_id", F.col("f").alias("f0")).join(spans.select("series_id", (1.0 / F.greatest("t_chunk", F.lit(1e-8))).alias("res")), "series_id")
-    guard, side = guard_bins * F.col("res"), max(ks, side_bins) * F.col("res")
-    grid = local_grid(at, guard + side, F.col("res") / 5, fmin, fmax, 1601 if night else 1201).select("series_id", "j", "f")
-    power = nuisance_periodogram(series, grid, night).select("series_id", "j", "f", "power") if night else lomb_scargle(series, grid)
-    power = stored(power, "local")
-    rows = power.join(at, "series_id").withColumn("away", F.abs(F.col("f") - F.col("f0")))
-    peak = rows.groupBy("series_id").agg(F.coalesce(F.max(F.when(F.col("away") <= guard, F.col("power"))), F.min_by("power", "away")).alias("p0"))
-    out = peak.join(annulus_noise(power, at, guard, side), "series_id", "left").withColumn("w", F.col("p0") / F.col("noise"))
-    return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
-
-
-def local_diagnostics(first: DataFrame, last: DataFrame, templates: DataFrame, half: float | Column, df: float | Column, fmin: float, fmax: float, night: str | None = None) -> DataFrame:
+def local_diagnostics(first: DataFrame, last: DataFrame, templates: DataFrame, half: float | Column, df: float | Column, fmin: float, fmax: float, baseline: Baseline | str | None = None) -> DataFrame:
     """Spectra before and after a guided search around each template: series_id, mode, j, f, before, after."""
     centres = templates.filter(F.col("f_template") >= fmin).withColumnRenamed("f_template", "f0")
     column = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -69,7 +41,7 @@ def local_diagnostics(first: DataFrame, last: DataFrame, templates: DataFrame, h
     powers = []
     for s, n in ((first, "before"), (last, "after")):
         rows = s.join(names.select("series_id", "key_"), "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
-        powers.append(nuisance_periodogram(rows, own, night).select(F.col("series_id").alias("key_"), "j", "f", F.col("power").alias(n)))
+        powers.append(nuisance_periodogram(rows, own, baseline).select(F.col("series_id").alias("key_"), "j", "f", F.col("power").alias(n)))
     both = powers[0].join(powers[1].drop("f"), ["key_", "j"])
     return both.join(names, "key_").select("series_id", "mode", "j", "f", "before", "after")
 

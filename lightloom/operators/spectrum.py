@@ -8,8 +8,9 @@ series' first frequency, step and size. A task turns its samples into sums of wa
 from __future__ import annotations
 
 import math
-from bisect import bisect
+from bisect import bisect, bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.waves import amplitude, amplitude_error, phase, phase_error, signal_weight
 from .series import by, trimmed_median
 
 TAU = 2 * math.pi
+#: Fit windows and noise guards reach this many times 2 / T.
+KFIT = 3.0
+#: Sides of a noise window, in 1 / T and in bins at least; the highest share of a window that is left out.
+SIDES, SIDE_BINS, TRIM = 15.0, 30, 0.1
+
+
+class Baseline(NamedTuple):
+    """What stands beside a sinusoid in a fit: one offset, or an offset and a slope (or either) for each ``night``; ``weight``
+    names the column of the points' weights."""
+
+    night: str | None = None
+    offsets: bool = True
+    slopes: bool = False
+    weight: str | None = None
+
+    @classmethod
+    def of(cls, given: Baseline | str | None, slopes: bool = False) -> Baseline:
+        """A baseline, also from a night column alone. Nights of neither offset nor slope have one offset in all."""
+        out = given if isinstance(given, Baseline) else cls(given, slopes=slopes)
+        return out if out.night and (out.offsets or out.slopes) else cls(weight=out.weight)
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in (self.night, self.weight) if c]
+
+    @property
+    def w(self) -> Column:
+        return F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+
+
+def with_weights(series: DataFrame, err: str = "yerr", weight: str = "weight") -> DataFrame:
+    """Adds 1 / err^2, 0 where err is no positive number; a series without any error has equal weights."""
+    some = F.count(F.when(~F.isnan(err), F.col(err))).over(by()) > 0
+    return series.withColumn(weight, F.when(some, signal_weight(F.col(err))).otherwise(F.lit(1.0)))
 
 
 def grid_size(fmin: float | Column, fmax: float | Column, df: Column, most: int) -> Column:
@@ -44,7 +80,7 @@ def local_grid(centres: DataFrame, half: Column, df: Column, fmin: float, fmax:
     n = F.least(F.greatest(F.floor((high - low) / df) + 1, F.lit(11)), F.lit(most))
     rows = centres.withColumn("low_", low).withColumn("high_", high).withColumn("n_", n.cast("long"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)))
-    return rows.withColumn("f", F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / (F.col("n_") - 1)).drop("low_", "high_", "n_")
+    return rows.withColumn("f", F.col("low_") + F.col("j") * ((F.col("high_") - F.col("low_")) / (F.col("n_") - 1))).drop("low_", "high_", "n_")
 
 
 def centred(sums: DataFrame, mean: bool = True) -> DataFrame:
@@ -84,7 +120,8 @@ def _wave_products(t: np.ndarray, weights: np.ndarray, low: float, step: float,
 
 def wave_sums(series: DataFrame, grid: DataFrame, *keys: str, weight: Column | None = None, slope: Column | None = None) -> DataFrame:
     """Weighted sums of products of 1, y, sin, cos (n0, sy, syy, ss, sc, sss, scc, ssc, sys, syc) by series_id, keys, j and f
-    on an even grid; with ``slope``, u, also uu, uy, us, uc. y and t must not be null."""
+    on an even grid, and the number of points; with ``slope``, u, also uu, uy, us, uc. Points without t, y or a positive
+    weight are left out."""
     waves = {"w": (0, 1), "y": (1, 1), "d": (0, 2)} | ({"u": (2, 1)} if slope is not None else {})
     sums = _summed(series, grid, keys, weight, slope, waves)
     half = lambda sign: (F.col("n0") + sign * F.col("dc")) / 2
@@ -122,7 +159,7 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
     packed = packed.select("series_id", "j0_", "low_", step.alias("step_"), "n_")
     w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
     rows = series.filter("t is not null and y is not null").select("series_id", *keys, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
-    rows = rows.join(packed, "series_id")
+    rows = rows.filter("w_ > 0").join(packed, "series_id")
     names, wanted = ("series_id", *keys), list(waves.values())
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
@@ -147,7 +184,7 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
             for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []:
                 key, i = tuple(batch.column(c)[int(at[0])].as_py() for c in names), int(at[0])
                 weights = np.stack([w[at], (w * y)[at], (w * u)[at]])
-                scalars = np.array([x.sum() for x in (w[at], (w * y)[at], (w * y * y)[at], (w * u * u)[at], (w * u * y)[at])])
+                scalars = np.array([*[x.sum() for x in (w[at], (w * y)[at], (w * y * y)[at], (w * u * u)[at], (w * u * y)[at])], float(len(at))])
                 for k in range(0, len(at), 4096):  # a hot series' batch in pieces
                     rows = slice(k, k + 4096)
                     made = _wave_products(t[at[rows]], weights[:, rows], low[i], step[i], int(n[i]), wanted)
@@ -164,7 +201,7 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         yield from emit(held)
 
     parts_of = [f"{n}{x}" for n in waves for x in "cs"]
-    plain = ["n0", "sy", "syy", "uu", "uy"]
+    plain = ["n0", "sy", "syy", "uu", "uy", "points"]
     fields = [*names, "j0_", "off_", "low_", "step_", *plain, *parts_of]
     schema = T.StructType([rows.schema[n] for n in names])
     kinds = [to_arrow_type(rows.schema[n].dataType) for n in names]
@@ -184,24 +221,48 @@ def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = Non
     return fit.select("series_id", "j", "f", (F.col("gain") / 2).alias("power"))
 
 
-def nuisance_periodogram(series: DataFrame, grid: DataFrame, night: str | None = None, slopes: bool = False) -> DataFrame:
-    """Share of the residual sum of squares that a sinusoid removes beside a baseline: one offset, an offset a night, or
-    an offset and a slope a night. The baseline is block diagonal, so each night's means and slopes are projected off.
-    A night's mean time is taken from the samples, before they meet the grid."""
-    keys, slope = (night,) if night else (), None
-    if slopes:
-        series = series.withColumn("u0_", F.col("t") - F.avg("t").over(by("series_id", night)))
-        slope = F.col("u0_")
-    parts = centred(wave_sums(series, grid, *keys, slope=slope))
-    if slopes:
+def _night_slopes(series: DataFrame, b: Baseline) -> Column:
+    """Time from the night's mean: the weighted one beside offsets, so that both are orthogonal."""
+    w, night = b.w, by("series_id", b.night)
+    mean = F.sum(w * F.col("t")).over(night) / F.nullif(F.sum(w).over(night), F.lit(0.0)) if b.offsets else F.avg("t").over(night)
+    return F.coalesce(F.col("t") - mean, F.lit(0.0))
+
+
+def nuisance_periodogram(series: DataFrame, grid: DataFrame, baseline: Baseline | str | None = None, slopes: bool = False) -> DataFrame:
+    """Share of the weighted residual sum of squares that a sinusoid removes beside a baseline, with the fit (s_coeff, c_coeff,
+    rss) and the covariance of both coefficients (cov_ss, cov_sc, cov_cc).
+
+    The baseline is block diagonal, so each night's weighted means and slopes are projected off its own sums, and the nights'
+    rests are added: the normal equations of two coefficients for each frequency, whatever the number of nights. The covariance
+    is their inverse times rss over the degrees of freedom (points less all columns, one at least). A night's mean time is
+    taken from the samples, before they meet the grid."""
+    b = Baseline.of(baseline, slopes)
+    keys = (b.night,) if b.night else ()
+    if b.slopes:
+        series = series.withColumn("u0_", _night_slopes(series, b))
+    parts = centred(wave_sums(series, grid, *keys, weight=b.w, slope=F.col("u0_") if b.slopes else None), b.offsets)
+    if b.slopes:
         safe = F.when(F.col("uu") > 0, F.col("uu"))
         off = lambda x, y: F.coalesce(F.col(x) * F.col(y) / safe, F.lit(0.0))
         pairs = {"a": ("us", "us"), "b": ("uc", "uc"), "d": ("us", "uc"), "p": ("uy", "us"), "q": ("uy", "uc"), "r": ("uy", "uy")}
         parts = parts.withColumns({k: F.col(k) - off(*v) for k, v in pairs.items()})
-    total = parts.groupBy("series_id", "j", "f").agg(*[F.sum(k).alias(k) for k in "abdpqr"]) if night else parts
+    total = parts.withColumn("nights_", F.lit(1))
+    if b.night:
+        total = total.groupBy("series_id", "j", "f").agg(*[F.sum(k).alias(k) for k in "abdpqr"], F.sum("points").alias("points"), F.sum("nights_").alias("nights_"))
     fit = solved(total)
-    power = F.greatest(F.lit(0.0), F.col("gain") / F.nullif(F.col("r"), F.lit(0.0)))
-    return fit.select("series_id", "j", "f", power.alias("power"), "s_coeff", "c_coeff", "rss")
+    power = F.greatest(F.lit(0.0), F.col("gain") / F.greatest(F.col("r"), F.lit(1e-30)))
+    columns = 2 + F.col("nights_") * ((int(b.offsets) + int(b.slopes)) if b.night else 1)
+    variance = F.greatest(F.col("rss"), F.lit(0.0)) / F.greatest(F.col("points") - columns, F.lit(1.0))
+    det = F.nullif(F.col("a") * F.col("b") - F.col("d") * F.col("d"), F.lit(0.0))
+    cov = {"cov_ss": F.col("b"), "cov_sc": -F.col("d"), "cov_cc": F.col("a")}
+    told = [F.when(F.col("s_coeff").isNotNull(), x / det * variance).alias(n) for n, x in cov.items()]
+    return fit.select("series_id", "j", "f", power.alias("power"), "s_coeff", "c_coeff", "rss", *told)
+
+
+def with_errors(fits: DataFrame) -> DataFrame:
+    """Adds amp, amp_err, phase and phase_err of fits with their covariance."""
+    s, c, cov = F.col("s_coeff"), F.col("c_coeff"), [F.col(x) for x in ("cov_ss", "cov_sc", "cov_cc")]
+    return fits.withColumns({"amp": amplitude(s, c), "amp_err": amplitude_error(s, c, *cov), "phase": phase(s, c), "phase_err": phase_error(s, c, *cov)})
 
 
 def spectral_window(series: DataFrame, grid: DataFrame) -> DataFrame:
@@ -210,24 +271,83 @@ def spectral_window(series: DataFrame, grid: DataFrame) -> DataFrame:
     return sums.withColumn("z", z).select("series_id", "j", "f", (F.col("z") / F.max("z").over(by())).alias("power"))
 
 
-def sideband_noise(spectrum: DataFrame, guard_bins: int, side_bins: int, trim: float = 0.1) -> DataFrame:
-    """For every bin the trimmed median of the power in two sidebands outside a guard; without one, that of the whole
-    spectrum. Bins meet by equality on a block number, so the range join has no nested loop."""
-    reach = guard_bins + side_bins
-    block = lambda x: F.floor(x / (reach + 1))
-    around = spectrum.select("series_id", F.col("j").alias("j2"), F.col("power").alias("p2"))
-    around = around.withColumn("block", F.explode(F.array(*[block(F.col("j2")) + k for k in (-1, 0, 1)])))
-    away = F.abs(F.col("j2") - F.col("j"))
-    pairs = spectrum.withColumn("block", block(F.col("j"))).join(around, ["series_id", "block"])
-    pairs = pairs.filter((away >= guard_bins) & (away <= reach))
-    local = trimmed_median(pairs, "p2", trim, "series_id", "j").withColumnRenamed("trimmed", "local")
-    whole = trimmed_median(spectrum, "power", trim).withColumnRenamed("trimmed", "whole")
-    out = spectrum.join(local, ["series_id", "j"], "left").join(whole, "series_id")
+def noise_floor(spectrum: DataFrame, spans: DataFrame, span: str = "t_full", ks: float = SIDES, kfit: float = KFIT, side_bins: int = SIDE_BINS, trim: float = TRIM, value: str = "power") -> DataFrame:
+    """``spectrum`` with ``noise``: for every bin the trimmed median of the bins on both sides, beyond a guard of ``kfit`` 2 / T and up to
+    max(``ks`` / T, ``side_bins`` steps) from it; where that is no positive number, that of the whole spectrum. Null for
+    a spectrum of fewer than 5 bins or without a span.
+
+    A task has a block of bins with a halo as wide as the windows, so about one row a bin is shuffled, and moves a sorted
+    window along: each bin enters and leaves it twice."""
+    ends = spectrum.groupBy("series_id").agg(F.count("*").alias("bins_"), F.min("f").alias("fa_"), F.max("f").alias("fb_"), F.min("j").alias("ja_"), F.max("j").alias("jb_"))
+    t = F.when(F.col(span) > 0, F.col(span))
+    step = (F.col("fb_") - F.col("fa_")) / F.nullif(F.col("jb_") - F.col("ja_"), F.lit(0))
+    guard = F.lit(kfit) * (F.lit(2.0) / t)
+    told = ends.join(spans.select("series_id", span), "series_id").filter((F.col("bins_") >= 5) & t.isNotNull()).withColumns({"step_": step, "guard_": guard})
+    told = told.withColumn("side_", F.greatest(F.lit(ks) * (F.lit(1.0) / t), F.lit(float(side_bins)) * F.col("step_")))
+    told = told.withColumn("reach_", F.ceil((F.col("guard_") + F.col("side_")) / F.col("step_")) + 1).select("series_id", "guard_", "side_", "reach_")
+    size = _NOISE_BLOCK
+    block = lambda x: F.floor(x / F.lit(size)).cast("long")
+    rows = spectrum.select("series_id", "j", "f", F.col(value).cast("double").alias("p_")).join(told, "series_id")
+    rows = rows.withColumn("block", F.explode(F.sequence(block(F.col("j") - F.col("reach_")), block(F.col("j") + F.col("reach_"))))).drop("reach_")
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j", ignore_index=True)
+        own = np.flatnonzero(pdf["j"].to_numpy() // size == pdf["block"].iloc[0])
+        out = pdf.iloc[own][["series_id", "j"]].copy()
+        out["local"] = _sliding_medians(pdf["f"].to_numpy(), pdf["p_"].to_numpy(float), own, pdf["guard_"].iloc[0], pdf["side_"].iloc[0], trim)
+        return out
+
+    kind = spectrum.schema["series_id"].dataType.simpleString()
+    local = rows.groupBy("series_id", "block").applyInPandas(slide, f"series_id {kind}, j long, local double")
+    whole = trimmed_median(spectrum, value, trim).withColumnRenamed("trimmed", "whole")
+    out = spectrum.join(local, ["series_id", "j"], "left").join(whole.join(told.select("series_id"), "series_id"), "series_id", "left")
     return out.withColumn("noise", F.when(F.col("local") > 0, F.col("local")).otherwise(F.col("whole"))).drop("local", "whole")
 
 
-def whitened(spectrum: DataFrame, guard_bins: int, side_bins: int) -> DataFrame:
-    noisy = sideband_noise(spectrum, guard_bins, side_bins)
+#: Bins of a block of ``noise_floor``.
+_NOISE_BLOCK = 8192
+
+
+def _sliding_medians(f: np.ndarray, p: np.ndarray, own: np.ndarray, guard: float, side: float, trim: float) -> np.ndarray:
+    """Trimmed medians of p in [f0 - guard - side, f0 - guard] and [f0 + guard, f0 + guard + side] for the bins ``own``."""
+    at, ok, held = f[own], np.isfinite(p), []
+    left, low = np.searchsorted(f, at - (guard + side), "left"), np.searchsorted(f, at - guard, "right")
+    high, right = np.searchsorted(f, at + guard, "left"), np.searchsorted(f, at + (guard + side), "right")
+    high = np.maximum(high, low)
+    now, out = (0, 0, 0, 0), np.full(len(own), np.nan)
+    for i, new in enumerate(zip(left.tolist(), low.tolist(), high.tolist(), right.tolist(), strict=True)):
+        if i == 0:
+            held = sorted(p[k] for k in [*range(new[0], new[1]), *range(new[2], new[3])] if ok[k])
+        else:
+            for k in [*range(now[1], new[1]), *range(now[3], new[3])]:
+                if ok[k]:
+                    insort(held, p[k])
+            for k in [*range(now[0], new[0]), *range(now[2], new[2])]:
+                if ok[k]:
+                    del held[bisect_left(held, p[k])]
+        now = new
+        if held:
+            k = min(max(math.floor((1.0 - trim) * len(held)), 1), len(held))
+            out[i] = (held[(k - 1) // 2] + held[k // 2]) / 2
+    return out
+
+
+def annulus_noise(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column, least: int = 12, trim: float = 0.1) -> DataFrame:
+    """(series_id, noise, n): trimmed median between guard and guard + width of f0, the width 1.5 times wider up to five
+    times until ``least`` points give a positive value. All widths in one pass."""
+    rows = spectrum.join(at, "series_id").withColumn("away", F.abs(F.col("f") - F.col("f0")))
+    widths = F.array(*[F.when((F.col("away") >= guard) & (F.col("away") <= guard + 1.5**k * side), F.lit(k)) for k in range(6)])
+    rows = rows.filter("power is not null").withColumn("k_", F.explode(F.filter(widths, lambda k: k.isNotNull())))
+    w = by("series_id", "k_")
+    ranked = rows.withColumn("r_", F.row_number().over(w.orderBy("power"))).withColumn("n_", F.count("*").over(w))
+    kept = ranked.filter(F.col("r_") <= F.greatest(F.lit(1), F.floor((1 - trim) * F.col("n_"))))
+    per = kept.groupBy("series_id", "k_").agg(F.median("power").alias("noise"), F.max("n_").alias("n")).filter((F.col("noise") > 0) & (F.col("n") >= least))
+    return per.groupBy("series_id").agg(F.min_by(F.struct("noise", "n"), "k_").alias("b")).select("series_id", "b.*")
+
+
+def whitened(spectrum: DataFrame, spans: DataFrame, span: str = "t_full", ks: float = SIDES, kfit: float = KFIT, side_bins: int = SIDE_BINS) -> DataFrame:
+    """``spectrum`` with noise and ``white``, the power over the noise."""
+    noisy = noise_floor(spectrum, spans, span, ks, kfit, side_bins)
     return noisy.withColumn("white", F.when(F.col("noise") > 0, F.col("power") / F.nullif(F.col("noise"), F.lit(0.0))))
 
 
@@ -244,26 +364,45 @@ def normalised(spectrum: DataFrame, value: str = "power") -> DataFrame:
     return spectrum.withColumn("norm", F.col(value) / F.when(p > 0, p).when(m > 0, m).otherwise(F.lit(1.0)))
 
 
+def _peaks(y: np.ndarray) -> np.ndarray:
+    """Local maxima; of a flat one, with lower points on both sides, the middle (the earlier of two)."""
+    if len(y) < 3:
+        return np.zeros(0, np.int64)
+    first = np.r_[0, np.flatnonzero(y[1:] != y[:-1]) + 1]  # where runs of equal values begin
+    last, top = np.r_[first[1:] - 1, len(y) - 1], y[first]
+    inner = np.flatnonzero((top[1:-1] > top[:-2]) & (top[1:-1] > top[2:])) + 1 if len(first) > 2 else np.zeros(0, np.int64)
+    return (first[inner] + last[inner]) // 2
+
+
+def _lowest_before_higher(y: list[float]) -> list[float]:
+    """For each point the lowest one from itself back to the last higher one: a stack of ever lower points, each with the lowest
+    since the one under it, so every point is put on and taken off once."""
+    stack, out = [], []
+    for v in y:
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out.append(low)
+    return out
+
+
 def prominences(spectrum: DataFrame, value: str = "power") -> DataFrame:
     """Local maxima with their prominence: to each side the lowest point before a higher one, or the end; the peak minus
-    the higher of both. One array a series, walked by one small Python step per peak."""
+    the higher of both. Nulls are lower than everything. One pass over a series' bins in each direction."""
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("j", ignore_index=True)
         y = pdf[value].to_numpy(float)
-        peaks = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] > y[2:])) + 1
-        out = []
-        for k in peaks:
-            higher = np.flatnonzero(y[:k] > y[k])
-            left = y[higher[-1] + 1 if len(higher) else 0 : k + 1].min()
-            higher = np.flatnonzero(y[k + 1 :] > y[k])
-            right = y[k : k + 1 + higher[0] if len(higher) else None].min()
-            out.append(y[k] - max(left, right))
+        y = np.where(np.isnan(y), -np.inf, y)
+        peaks = _peaks(y)
+        left, right = np.array(_lowest_before_higher(y.tolist())), np.array(_lowest_before_higher(y[::-1].tolist()))[::-1]
         found = pdf.iloc[peaks][["series_id", "j", "f", value]].copy()
-        found["prominence"] = out
+        found["prominence"] = y[peaks] - np.maximum(left[peaks], right[peaks]) if len(peaks) else np.zeros(0)
         return found
 
     kind = spectrum.schema["series_id"].dataType.simpleString()
-    return spectrum.groupBy("series_id").applyInPandas(walk, f"series_id {kind}, j long, f double, {value} double, prominence double")
+    return spectrum.select("series_id", "j", "f", value).groupBy("series_id").applyInPandas(walk, f"series_id {kind}, j long, f double, {value} double, prominence double")
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -292,10 +431,11 @@ def spaced(peaks: DataFrame, order: list, min_sep: float | Column, f: str = "f")
 
 
 def top_peaks(spectrum: DataFrame, k: int, min_sep: float | Column, min_prominence: float = 1.0, value: str = "power", sep: DataFrame | None = None) -> DataFrame:
-    """The ``k`` highest peaks of enough prominence, ``min_sep`` apart; ``sep``: a table (series_id, sep) that ``min_sep`` names."""
-    found = prominences(spectrum, value).filter(F.col("prominence") >= min_prominence)
+    """The ``k`` highest peaks that are ``min_sep`` apart (higher ones first) and of enough prominence; ``sep``: a table (series_id,
+    sep) that ``min_sep`` names."""
+    found = prominences(spectrum, value)
     found = found if sep is None else found.join(sep, "series_id")
-    kept = spaced(found, [F.desc(value), "j"], min_sep)
+    kept = spaced(found, [F.desc(value), "j"], min_sep).filter(F.col("prominence") >= min_prominence)
     rank = F.row_number().over(by().orderBy(F.desc(value), F.desc("prominence"), "j"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -307,26 +447,39 @@ def excluded(spectrum: DataFrame, accepted: DataFrame, half: float | Column) ->
     return spectrum.join(taken, "series_id", "left").filter(free).drop("taken_")
 
 
-def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, night: str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
-    """The frequency of least residual among ``steps`` even ones around f0: series_id, f, s_coeff, c_coeff, rss; ``bounds`` names
-    columns of ``centres`` that the frequency keeps within."""
-    low, high = F.greatest(F.lit(fmin), F.col("f0") - half), F.least(F.lit(fmax), F.col("f0") + half)
-    if bounds:
-        low, high = F.greatest(low, F.col(bounds[0])), F.least(high, F.col(bounds[1]))
+def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, baseline: Baseline | str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """The frequency of least residual among ``steps`` even ones (11 at least) around f0: series_id, f, s_coeff, c_coeff, rss, power
+    and the covariance; ``bounds`` names columns of ``centres`` that the frequency keeps within. Where no range is left, half of
+    it around f0 is tried."""
+    steps = max(11, steps)
+
+    def within(reach: Column) -> tuple[Column, Column]:
+        low, high = F.greatest(F.lit(fmin), F.col("f0") - reach), F.least(F.lit(fmax), F.col("f0") + reach)
+        return (F.greatest(low, F.col(bounds[0])), F.least(high, F.col(bounds[1]))) if bounds else (low, high)
+
+    (low, high), (near, far) = within(half), within(0.5 * half)
+    none = high <= low
     points = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("j")
-    grid = centres.select("series_id", low.alias("low_"), high.alias("high_")).select("series_id", "low_", "high_", points)
-    grid = grid.select("series_id", "j", (F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / max(steps - 1, 1)).alias("f"))
-    fits = nuisance_periodogram(series, grid, night)
-    best = F.min_by(F.struct("f", "s_coeff", "c_coeff", "rss", "power"), F.struct("rss", "j"))
+    grid = centres.select("series_id", F.when(none, near).otherwise(low).alias("low_"), F.when(none, far).otherwise(high).alias("high_")).select("series_id", "low_", "high_", points)
+    grid = grid.select("series_id", "j", (F.col("low_") + F.col("j") * ((F.col("high_") - F.col("low_")) / (steps - 1))).alias("f"))
+    fits = nuisance_periodogram(series, grid, baseline)
+    best = F.min_by(F.struct(*[c for c in fits.columns if c not in ("series_id", "j")]), F.struct("rss", "j"))
     return fits.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
 
 
-def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y", night: str | None = None) -> DataFrame:
-    """y without the fitted sinusoid and offset (one a ``night`` where given); series without a fit stay as they are."""
+def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y", baseline: Baseline | str | None = None) -> DataFrame:
+    """y without the fitted sinusoid and baseline; series without a fit stay as they are."""
+    b = Baseline.of(baseline)
     own = fits.select("series_id", F.col("f").alias("f_"), F.col("s_coeff").alias("s_"), F.col("c_coeff").alias("c_"))
     joined = series.join(own, "series_id", "left")
     angle = TAU * F.col("f_") * F.col("t")
     wave = F.coalesce(F.col("s_") * F.sin(angle) + F.col("c_") * F.cos(angle), F.lit(0.0))
     joined = joined.withColumn("rest_", F.col(y) - wave)
-    offset = F.when(F.col("f_").isNotNull(), F.avg("rest_").over(by("series_id", *([night] if night else [])))).otherwise(F.lit(0.0))
-    return joined.withColumn(y, F.col("rest_") - offset).select(*series.columns)
+    group, rest = by("series_id", *([b.night] if b.night else [])), F.col("rest_")
+    mean = lambda x: F.coalesce(F.sum(b.w * x).over(group) / F.nullif(F.sum(F.when(x.isNotNull(), b.w)).over(group), F.lit(0.0)), F.lit(0.0))
+    fitted = mean(rest) if b.offsets else F.lit(0.0)
+    if b.slopes:
+        joined = joined.withColumn("u0_", _night_slopes(series, b))
+        ratio = F.sum(b.w * F.col("u0_") * rest).over(group) / F.nullif(F.sum(b.w * F.col("u0_") * F.col("u0_")).over(group), F.lit(0.0))
+        fitted = fitted + F.coalesce(ratio, F.lit(0.0)) * F.col("u0_")
+    return joined.withColumn(y, rest - F.when(F.col("f_").isNotNull(), fitted).otherwise(F.lit(0.0))).select(*series.columns)

@@ -20,12 +20,12 @@ from ..sources import light_curves as L_
 from ..tables import scratch_root, stored
 from .images import _positive
 from .registry import EVENTS_SQL, LINES_SQL, PCHIP, PCHIP_VALUE, events, lines, query, rounded, table
-from .spectra import _NOISE, FMAX, FMIN, SPEC, _spans, _spectrum
+from .spectra import _NOISE, _SUMS, FMAX, FMIN, SPEC, _named, _spans, _spectrum
 
 E, L = f"WITH {EVENTS_SQL}", f"WITH {LINES_SQL}"
 
 
-@query(f"{E}, sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1), n AS (SELECT series_id, t_full, CAST(least(greatest(floor(0.2e0 / (1 / t_full / 5)) + 1, 11), 1201) AS BIGINT) AS n FROM sp) SELECT series_id, j, round(0.9e0 + j * (1.1e0 - 0.9e0) / (n - 1), 8) AS f FROM (SELECT *, unnest(range(0, n)) AS j FROM n)")
+@query(f"{E}, sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1), n AS (SELECT series_id, t_full, CAST(least(greatest(floor(0.2e0 / (1 / t_full / 5)) + 1, 11), 1201) AS BIGINT) AS n FROM sp) SELECT series_id, j, round(0.9e0 + j * ((1.1e0 - 0.9e0) / (n - 1)), 8) AS f FROM (SELECT *, unnest(range(0, n)) AS j FROM n)")
 def local_grid(spark: SparkSession, sf: str) -> DataFrame:
     centres = _spans(events(spark, sf)).withColumn("f0", F.lit(1.0))
     return rounded(P.local_grid(centres, F.lit(0.1), 1.0 / F.col("t_full") / 5, FMIN, 50.0).select("series_id", "j", "f"), 8)
@@ -43,7 +43,7 @@ def prewhiten_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{SPEC}, {_NOISE} SELECT series_id, j, round(noise, 3) AS noise FROM nz")
 def noise_floor(spark: SparkSession, sf: str) -> DataFrame:
-    noisy = P.sideband_noise(stored(_spectrum(spark, sf), "spectrum"), 3, 12)
+    noisy = P.noise_floor(stored(_spectrum(spark, sf), "spectrum"), _spans(events(spark, sf)))
     return rounded(noisy.select("series_id", "j", "noise"), 3)
 
 
@@ -51,14 +51,20 @@ def noise_floor(spark: SparkSession, sf: str) -> DataFrame:
 def local_noise(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     at = e.select("series_id").distinct().withColumn("f0", F.lit(1.0))
-    return rounded(X.annulus_noise(_spectrum(spark, sf), at, F.lit(0.1), F.lit(0.4)), 3)
+    return rounded(P.annulus_noise(_spectrum(spark, sf), at, F.lit(0.1), F.lit(0.4)), 3)
 
 
-@query()
+@query(f"""{SPEC}, at_ AS (SELECT series_id, arg_max(f, (power, -j)) AS f0, 1e0 / t_full AS res, greatest(3e0 * (2e0 / t_full), 2e0 * (1e0 / t_full)) AS gd, 15e0 * (1e0 / t_full) AS sd FROM spec JOIN sp USING (series_id) GROUP BY series_id, t_full),
+le AS (SELECT *, greatest({FMIN}e0, f0 - (gd + sd)) AS lo, least({FMAX}e0, f0 + (gd + sd)) AS hi FROM at_), ln_ AS (SELECT *, CAST(least(greatest(floor((hi - lo) / (res / 5)) + 1, 11), 1201) AS BIGINT) AS n FROM le),
+g2 AS (SELECT series_id, j, lo + j * ((hi - lo) / (n - 1)) AS f FROM (SELECT *, unnest(range(0, n)) AS j FROM ln_)), {_named(_SUMS.format(src="e", night=""), "2")},
+aw AS (SELECT spec2.*, f0, gd, sd, abs(f - f0) AS away FROM spec2 JOIN at_ USING (series_id)), pk AS (SELECT series_id, max(power) FILTER (away <= gd) AS p0 FROM aw GROUP BY 1),
+an AS (SELECT *, row_number() OVER (PARTITION BY series_id, x ORDER BY power) AS r_, count(*) OVER (PARTITION BY series_id, x) AS m_ FROM (SELECT *, unnest(range(0, 6)) AS x FROM aw) WHERE away >= gd AND away <= gd + pow(1.5e0, x) * sd),
+fl AS (SELECT series_id, x, median(power) AS noise, max(m_) AS m FROM an WHERE r_ <= greatest(1, floor(0.9e0 * m_)) GROUP BY ALL), ok AS (SELECT series_id, arg_min(noise, x) AS noise FROM fl WHERE noise > 0 AND m >= 12 GROUP BY 1)
+SELECT series_id, round(sqrt(p0 / noise), 4) AS snr, round(p0 / noise, 3) AS w FROM pk JOIN ok USING (series_id)""")
 def fit_snr(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     at = stored(P.strongest(_spectrum(spark, sf)), "peaks")
-    return rounded(X.snr_after_fit(e, at, S.longest_chunk(e), FMIN, 50.0), 4)
+    return rounded(rounded(M.snr_after_fit(e, at, _spans(e), FMIN, FMAX), 4, "snr"), 3, "w")
 
 
 @query(f"{SPEC}, b AS (SELECT series_id, arg_max(j, (power, -j)) AS j0, arg_max(f, (power, -j)) AS f0, max(power) AS peak, max(f) - min(f) AS span FROM spec GROUP BY 1), n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS near FROM spec JOIN b USING (series_id) WHERE abs(f - f0) <= 0.2 * span), k AS (SELECT *, median(power) OVER (PARTITION BY series_id) AS m FROM n WHERE abs(j - j0) > 2) SELECT series_id, round(CASE WHEN max(near) >= 20 AND count(*) >= 10 THEN (max(peak) - max(m)) / median(abs(power - m)) END, 4) AS snr FROM k GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,28 +93,71 @@ def nuisance_periodogram_slopes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.nuisance_periodogram(e, _grid(e), "night", slopes=True).select("series_id", "j", "power"), 7)
 
 
+#: Events with an error a point (by the user) and nights; the weighted sums by night about their weighted means and slopes.
+_WEIGHTED = """ew AS (SELECT *, floor(t) AS night, 1e0 / ((1 + user_id % 5) * (1 + user_id % 5)) AS w FROM e),
+en AS (SELECT *, t - sum(w * t) OVER (PARTITION BY series_id, night) / sum(w) OVER (PARTITION BY series_id, night) AS u FROM ew),
+su AS (SELECT series_id, j, f, night, count(*) AS m, sum(w) AS n, sum(w * y) AS y1, sum(w * s) AS s1, sum(w * c) AS c1, sum(w * s * s) AS s2, sum(w * c * c) AS c2, sum(w * s * c) AS sc, sum(w * y * s) AS ys, sum(w * y * c) AS yc, sum(w * y * y) AS yy,
+  sum(w * u * u) AS uu, sum(w * u * y) AS uy, sum(w * u * s) AS us, sum(w * u * c) AS uc
+  FROM (SELECT en.*, j, f, sin(2 * pi() * f * t) AS s, cos(2 * pi() * f * t) AS c FROM en JOIN g USING (series_id)) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN uu > 0 THEN 1 / uu ELSE 0 END AS iu FROM su),
+ce AS (SELECT series_id, j, f, sum(m) AS m, count(*) AS nights, sum(s2 - s1 * s1 / n - us * us * iu) AS a, sum(c2 - c1 * c1 / n - uc * uc * iu) AS b, sum(sc - s1 * c1 / n - us * uc * iu) AS d, sum(ys - y1 * s1 / n - uy * us * iu) AS p, sum(yc - y1 * c1 / n - uy * uc * iu) AS q, sum(yy - y1 * y1 / n - uy * uy * iu) AS r FROM o GROUP BY ALL),
+fit AS (SELECT *, (b * p - d * q) / (a * b - d * d) AS s, (a * q - d * p) / (a * b - d * d) AS c FROM ce),
+sg AS (SELECT *, (r - s * p - c * q) / greatest(m - 2 - 2 * nights, 1) / (a * b - d * d) AS v FROM fit)"""
+
+
+def _weighted(spark: SparkSession, sf: str) -> DataFrame:
+    e = events(spark, sf).withColumns({"night": F.floor("t"), "yerr": (1 + F.col("user_id") % 5).cast("double")})
+    return P.with_weights(e, "yerr")
+
+
+_NIGHTLY = P.Baseline("night", slopes=True, weight="weight")
+
+
+@query(f"{E}, {_GRID}, {_WEIGHTED} SELECT series_id, j, round(greatest(0, (s * p + c * q) / r), 7) AS power FROM fit")
+def weighted_periodogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with errors; an offset and a slope a night."""
+    e = _weighted(spark, sf)
+    return rounded(P.nuisance_periodogram(e, _grid(e), _NIGHTLY).select("series_id", "j", "power"), 7)
+
+
+_LOCAL_GRID = "g AS (SELECT series_id, j, 0.9e0 + j * ((1.1e0 - 0.9e0) / 1000) AS f FROM (SELECT DISTINCT series_id FROM e), (SELECT unnest(range(0, 1001)) AS j))"
+
+
+@query(f"""{E}, {_LOCAL_GRID}, {_WEIGHTED}, best AS (SELECT series_id, arg_min(j, (r - s * p - c * q, j)) AS j FROM sg GROUP BY 1)
+SELECT series_id, round(f, 6) AS f, round(sqrt(s * s + c * c), 5) AS amp, round(atan2(c, s), 5) AS phase, round(sqrt((s * s * b - 2 * s * c * d + c * c * a) * v / (s * s + c * c)), 5) AS amp_err,
+  round(sqrt((c * c * b + 2 * s * c * d + s * s * a) * v) / (s * s + c * c), 5) AS phase_err FROM best JOIN sg USING (series_id, j)""")
+def fit_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A frequency fit to points with errors beside nightly offsets and slopes, with the errors of amplitude and phase."""
+    e = _weighted(spark, sf)
+    at = e.select("series_id").distinct().withColumn("f0", F.lit(1.0))
+    fit = P.with_errors(P.frequency_fit(e, at, F.lit(0.1), FMIN, FMAX, STEPS, _NIGHTLY))
+    return rounded(rounded(fit.select("series_id", "f", "amp", "phase", "amp_err", "phase_err"), 6, "f"), 5, "amp", "phase", "amp_err", "phase_err")
+
+
 @query(f"{SPEC}, z AS (SELECT series_id, j, s1 * s1 + c1 * c1 AS z FROM su) SELECT series_id, j, round(z / max(z) OVER (PARTITION BY series_id), 6) AS power FROM z")
 def spectral_window(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     return rounded(P.spectral_window(e, _grid(e)).select("series_id", "j", "power"), 6)
 
 
-_NOISE = """pairs AS (SELECT a.series_id, a.j, b.power AS p2, row_number() OVER w AS r, count(*) OVER (PARTITION BY a.series_id, a.j) AS m
-  FROM spec a JOIN spec b ON a.series_id = b.series_id AND abs(a.j - b.j) BETWEEN 3 AND 15 WINDOW w AS (PARTITION BY a.series_id, a.j ORDER BY b.power)),
+_NOISE = f"""wd AS (SELECT series_id, 3e0 * (2e0 / t_full) AS gd, greatest(15e0 * (1e0 / t_full), 30e0 * (fb - fa) / (n - 1)) AS sd FROM sp JOIN (SELECT series_id, min(f) AS fa, max(f) AS fb, count(*) AS n FROM g GROUP BY 1) USING (series_id)),
+pairs AS (SELECT a.series_id, a.j, b.power AS p2, row_number() OVER w AS r, count(*) OVER (PARTITION BY a.series_id, a.j) AS m
+  FROM spec a JOIN wd ON a.series_id = wd.series_id JOIN spec b ON a.series_id = b.series_id AND ((b.f >= a.f - (gd + sd) AND b.f <= a.f - gd) OR (b.f >= a.f + gd AND b.f <= a.f + (gd + sd))) WINDOW w AS (PARTITION BY a.series_id, a.j ORDER BY b.power)),
 nz AS (SELECT series_id, j, median(p2) AS noise FROM pairs WHERE r <= greatest(1, floor(0.9e0 * m)) GROUP BY ALL)"""
 
 
 @query(f"{SPEC}, {_NOISE} SELECT series_id, j, round(noise, 3) AS noise, round(power / noise, 4) AS white FROM spec JOIN nz USING (series_id, j)")
 def whitened_power(spark: SparkSession, sf: str) -> DataFrame:
-    w = P.whitened(stored(_spectrum(spark, sf), "spectrum"), 3, 12)
+    w = P.whitened(stored(_spectrum(spark, sf), "spectrum"), _spans(events(spark, sf)))
     return rounded(rounded(w.select("series_id", "j", "noise", "white"), 3, "noise"), 4, "white")
 
 
-@query(f"{SPEC}, {_NOISE}, best AS (SELECT series_id, arg_max(j, (power, -j)) AS j FROM spec GROUP BY 1) SELECT series_id, j, round(sqrt(power / noise), 4) AS snr FROM best JOIN spec USING (series_id, j) JOIN nz USING (series_id, j)")
+@query(f"{SPEC}, {_NOISE}, best AS (SELECT series_id, arg_max(j, (power, -j)) AS j FROM spec GROUP BY 1) SELECT series_id, round(sqrt(power / noise), 4) AS snr FROM best JOIN spec USING (series_id, j) JOIN nz USING (series_id, j)")
 def local_snr(spark: SparkSession, sf: str) -> DataFrame:
-    spec = stored(_spectrum(spark, sf), "spectrum")
-    noisy = P.sideband_noise(spec, 3, 12).join(P.strongest(spec).select("series_id", "j"), ["series_id", "j"], "left_semi")
-    return rounded(noisy.select("series_id", "j", F.sqrt(F.col("power") / F.col("noise")).alias("snr")), 4)
+    spec, spans = stored(_spectrum(spark, sf), "spectrum"), _spans(events(spark, sf))
+    at = P.strongest(spec).select("series_id", F.col("f").alias("f0")).join(spans, "series_id").join(M._bins(spec), "series_id")
+    guard, side = P.KFIT * (2.0 / F.col("t_full")), F.greatest(P.SIDES * (1.0 / F.col("t_full")), P.SIDE_BINS * F.col("bin_"))
+    return rounded(M.snr_at(spec, at, guard, side).select("series_id", "snr"), 4)
 
 
 @query(f"{SPEC}, n AS (SELECT *, quantile_cont(power, 0.99) OVER (PARTITION BY series_id) AS p FROM spec) SELECT series_id, j, round(power / p, 5) AS norm FROM n")
@@ -137,7 +182,7 @@ def dataset_weight(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(chunk.select("series_id", waves.dataset_weight("sqrt", F.col("t_chunk")).alias("weight")), 6)
 
 
-_LOCAL = f"""{E}, g AS (SELECT series_id, j, 0.9e0 + j * (1.1e0 - 0.9e0) / 1000 AS f FROM (SELECT DISTINCT series_id FROM e), (SELECT unnest(range(0, 1001)) AS j)), {_SUMS.format(src='e', night='')}"""
+_LOCAL = f"{E}, {_LOCAL_GRID}, {_SUMS.format(src='e', night='')}"
 
 
 @query(f"{_LOCAL}, best AS (SELECT series_id, arg_min(j, (r - gain, j)) AS j FROM spec GROUP BY 1) SELECT series_id, round(f, 6) AS f, round(s, 5) AS s_coeff, round(c, 5) AS c_coeff FROM best JOIN spec USING (series_id, j)")
@@ -228,36 +273,66 @@ def harmonic_prewhiten(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def joint_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    """The series of event type error is the second one of every other type. Both are noise, whose peaks reach an SNR of about 3."""
-    e = events(spark, sf).select("series_id", "t", "y", "k")
-    first = e.filter("series_id != 'error'")
-    others = first.filter("series_id is not null").select("series_id").distinct()
-    second = e.filter("series_id = 'error'").drop("series_id").join(F.broadcast(others)).select("series_id", "t", "y", "k")
-    out = M.joint_modes(first, second, FMIN, FMAX, snr_stop=3.0)
+    """A target's photometry are its events of even number, its polarimetry, with nights and errors, those of odd number. Both are
+    noise, whose peaks reach an SNR of about 3."""
+    e = _weighted(spark, sf).select("series_id", "t", "y", "k", "night", "weight").filter("series_id is not null")
+    even = F.col("k") % 2 == 0
+    out = M.joint_modes(e.filter(even).drop("night", "weight"), e.filter(~even), FMIN, FMAX, P.Baseline("night", weight="weight"), snr_stop=3.0)
     return rounded(out, 4)
 
 
-@query()
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, sf).select("series_id", "t", "y", "k")
+    return e.filter("k % 2 = 0"), e.filter("k % 2 = 1")
+
+
+def _named(ctes: str, tag: str) -> str:
+    """CTEs under names of their own."""
+    return re.sub(r"\b(su|ce|fit|spec|g|nz|pairs|wd|sp)\b", lambda m: m[1] + tag, ctes)
+
+
+@query(f"""{E}, h AS (SELECT *, k % 2 AS half FROM e), sp AS (SELECT series_id, max(t) - min(t) AS t_full FROM h WHERE half = 0 GROUP BY 1), sp1 AS (SELECT series_id, max(t) - min(t) AS t_full FROM h WHERE half = 1 GROUP BY 1),
+{_GRID.partition("st AS")[1] + _GRID.partition("st AS")[2].replace("FROM sp)", "FROM (SELECT series_id, max(t) - min(t) AS t_full FROM e GROUP BY 1))")}, h0 AS (SELECT * FROM h WHERE half = 0), h1 AS (SELECT * FROM h WHERE half = 1),
+{_SUMS.format(src="e", night="")}, best AS (SELECT series_id, arg_max(f, (power, -j)) AS f0 FROM spec GROUP BY 1),
+g0 AS (SELECT series_id, j, greatest({FMIN}e0, f0 - 3 * 0.03e0) + j * (0.03e0 / 10) AS f FROM (SELECT *, unnest(range(0, CAST(floor((least({FMAX}e0, f0 + 3 * 0.03e0) - greatest({FMIN}e0, f0 - 3 * 0.03e0)) / (0.03e0 / 10)) + 1 AS BIGINT))) AS j FROM best)), g1 AS (SELECT * FROM g0),
+{_named(_SUMS.format(src="h0", night=""), "0")}, sp0 AS (SELECT * FROM sp), {_named(_NOISE, "0")},
+{_named(_SUMS.format(src="h1", night=""), "1").replace("(s * p + c * q) / 2 AS power", "greatest(0, (s * p + c * q) / r) AS power")}, {_named(_NOISE, "1").replace("15e0", "10e0")},
+f0_ AS (SELECT series_id, median(power) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY power) AS r_, count(*) OVER (PARTITION BY series_id) AS m_ FROM spec0) WHERE r_ <= greatest(1, floor(0.9e0 * m_)) GROUP BY 1),
+f1_ AS (SELECT series_id, median(power) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY power) AS r_, count(*) OVER (PARTITION BY series_id) AS m_ FROM spec1) WHERE r_ <= greatest(1, floor(0.9e0 * m_)) GROUP BY 1),
+sc AS (SELECT a.series_id, a.j, a.f, exp((ln(greatest(a.power / CASE WHEN n0.noise > 0 THEN n0.noise ELSE f0_.whole END, 1e-30)) + ln(greatest(b.power / CASE WHEN n1.noise > 0 THEN n1.noise ELSE f1_.whole END, 1e-30))) / 2) AS score
+  FROM spec0 a JOIN spec1 b ON a.series_id = b.series_id AND a.j = b.j JOIN f0_ ON f0_.series_id = a.series_id JOIN f1_ ON f1_.series_id = a.series_id LEFT JOIN nz0 n0 ON n0.series_id = a.series_id AND n0.j = a.j LEFT JOIN nz1 n1 ON n1.series_id = a.series_id AND n1.j = a.j)
+SELECT series_id, round(arg_max(f, (score, -j)), 4) AS f, round(max(score), 3) AS score FROM sc GROUP BY 1""")
 def refine_peak(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select("series_id", "t", "y", "k")
     start = stored(P.strongest(P.lomb_scargle(e, _grid(e))).select("series_id", F.col("f").alias("f0")), "start")
-    half = F.floor(F.col("k") / 2) * 2 == F.col("k")
-    return rounded(M.refined_peak(e.filter(half), e.filter(~half), start, F.lit(0.03), FMIN, FMAX), 4)
+    out = M.refined_peak(*_halves(spark, sf), start, F.lit(0.03), FMIN, FMAX)
+    return rounded(rounded(out, 4, "f"), 3, "score")
 
 
-def _summary_modes(e: DataFrame) -> DataFrame:
-    fit = P.nuisance_periodogram(e, _grid(e))
-    amp = waves.amplitude(F.col("s_coeff"), F.col("c_coeff"))
-    return fit.select(
-        F.lit("star").alias("series_id"), F.col("series_id").alias("channel"), "f", amp.alias("amp"), (amp / 10).alias("amp_err"), waves.phase(F.col("s_coeff"), F.col("c_coeff")).alias("phase"), F.lit(0.1).alias("phase_err"),
-        (100 * F.col("power")).alias("snr"), (F.col("f") + 0.001).alias("f2"), (amp / 2).alias("amp2"), F.lit(0.0).alias("phase2"), F.col("power").alias("snr2"),
-    )
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_ABOUT = """us AS (SELECT user_id, event_type, CAST(epoch_us(ts) AS DOUBLE) / 8.64e10 AS t, value AS y FROM events WHERE user_id IS NOT NULL),
+md AS (SELECT CAST(user_id AS VARCHAR) AS series_id, event_type AS channel, 10e0 / (2 + count(*) % 37) AS f, avg(y) AS amp, stddev_pop(y) AS amp_err, 0.001e0 * sum(y) / 7 AS phase, 0.01e0 * count(*) AS phase_err,
+  1e0 * count(*) AS snr, 10e0 / (2 + count(*) % 37) + 0.001e0 AS f2, max(y) AS amp2, min(y) AS amp_err2, 0.002e0 * sum(y) / 7 AS phase2, 0.02e0 * count(*) AS phase_err2, max(y) - min(y) AS snr2 FROM us GROUP BY user_id, event_type)"""
 
 
-@query()
+def _summary_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """A mode for each user (the target) and event type (the channel), with figures of their events."""
+    e = events(spark, sf).filter("user_id is not null")
+    n, y = F.count("*"), F.col("y")
+    f = F.lit(10.0) / (2 + n % 37)
+    told = {"f": f, "amp": F.avg(y), "amp_err": F.stddev_pop(y), "phase": 0.001 * F.sum(y) / 7, "phase_err": 0.01 * n, "snr": 1.0 * n, "f2": f + 0.001, "amp2": F.max(y), "amp_err2": F.min(y), "phase2": 0.002 * F.sum(y) / 7, "phase_err2": 0.02 * n, "snr2": F.max(y) - F.min(y)}
+    return e.groupBy(F.col("user_id").cast("string").alias("series_id"), F.col("series_id").alias("channel")).agg(*[c.alias(k) for k, c in told.items()])
+
+
+@query(f"""WITH {_ABOUT}, st AS (SELECT series_id, list([{{'f': f, 'amp': amp, 'amp_err': amp_err, 'phase': phase, 'phase_err': phase_err}}] ORDER BY snr DESC, amp DESC, f) AS rows FROM md WHERE snr >= 2 GROUP BY 1),
+kp AS (SELECT series_id, unnest(list_reduce(rows, lambda kept, x : CASE WHEN len(list_filter(kept, lambda v : abs(v.f - x[1].f) < 0.05e0)) = 0 THEN list_concat(kept, x) ELSE kept END)) AS m FROM st),
+nr AS (SELECT series_id, m, row_number() OVER (PARTITION BY series_id ORDER BY m.f) AS mode FROM kp),
+ne AS (SELECT nr.series_id, nr.mode, channel, arg_min({{'f': f2, 'a': amp2, 'e': amp_err2, 'p': phase2, 'q': phase_err2}}, (abs(md.f - m.f), -snr2)) AS b FROM nr JOIN md USING (series_id) GROUP BY ALL)
+SELECT nr.series_id, nr.mode, round(m.f, 4) AS f, round(1 / m.f, 4) AS period, round(1000 * m.amp, 4) AS amp_ppt, round(1000 * m.amp_err, 4) AS amp_err_ppt, round(m.phase, 4) AS phase, round(m.phase_err, 4) AS phase_err, """ + ", ".join(
+    f"round({c}.b.f, 4) AS {c}_f, round(1 / {c}.b.f, 4) AS {c}_period, round({c}.b.a, 4) AS {c}_amp, round({c}.b.e, 4) AS {c}_amp_err, round({c}.b.p, 4) AS {c}_phase, round({c}.b.q, 4) AS {c}_phase_err" for c in _TYPES
+) + " FROM nr " + " ".join(f"LEFT JOIN ne {c} ON {c}.series_id = nr.series_id AND {c}.mode = nr.mode AND {c}.channel = '{c}'" for c in _TYPES))
 def joint_summary(spark: SparkSession, sf: str) -> DataFrame:
-    modes = stored(_summary_modes(events(spark, sf)), "modes")
-    return rounded(M.joint_summary(modes, ("click", "error", "purchase", "signup", "view"), 0.05, 0.01), 4)
+    return rounded(M.joint_summary(stored(_summary_modes(spark, sf), "modes"), _TYPES, 0.05), 4)
 
 
 @query(f"{SPEC}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY power DESC, j) AS rank FROM spec), b AS (SELECT * FROM r WHERE rank <= 2) SELECT e.series_id, rank, k, round(t * f - floor(t * f), 5) AS phase, round(y + s * sin(2 * pi() * f * t) + c * cos(2 * pi() * f * t), 4) AS signal FROM e JOIN b USING (series_id)")

@@ -100,7 +100,8 @@ def test_fit_window_is_three_resolutions_twice(spark, waves, monkeypatch):
 
 
 def test_joint_extraction_has_every_type(spark, monkeypatch):
-    rows = make_series(spark, error=([0.0, 1.0], [1.0, 2.0]), signup=([0.0], [1.0]), view=([0.0], [1.0]), other=([0.0], [1.0]))
+    """Both series have every event type; searches keep the reference rounds and steps."""
+    rows = make_series(spark, error=([0.0, 1.0], [1.0, 2.0]), signup=([0.0, 2.0], [1.0, 2.0]), other=([0.0, 2.0], [1.0, 1.0])).withColumn("user_id", F.lit(3).cast("long"))
     monkeypatch.setattr(spectra, "events", lambda spark, sf: rows)
     seen = []
     told = []
@@ -117,7 +118,7 @@ def test_joint_extraction_has_every_type(spark, monkeypatch):
     spectra.joint_extraction(spark, "")
     first, second = ({r.series_id for r in s.collect()} for s in seen[0])
     assert [(k["kfit"], k["rounds"], k["steps"]) for k in told] == [(3.0, 20, 1001), (3.0, 20, 2001)]
-    assert first == second == {"signup", "view", "other"} and seen[0][1].count() == 6
+    assert first == second == {"error", "signup", "other"} and seen[0][0].count() + seen[0][1].count() == rows.count()
 
 
 def test_one_series_alone_equals_a_batch(spark, waves):
