@@ -41,10 +41,12 @@ SHARDS = 2
 TOP = 2000
 MOST_BITS = 28
 #: Words of a block of codes; phrases that a task holds before it gives them out; words whose codes it remembers.
-BLOCK_WORDS = 120_000
-HELD = 600_000
-REMEMBERED = 250_000
+BLOCK_WORDS = 60_000
+HELD = 400_000
+REMEMBERED = 150_000
 SALTS = 32
+#: Blocks of codes are long rows: about so many bytes go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 #: A-Z to a-z, what ends a piece to ``.``, a tab to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else (46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b) for b in range(256))
 #: Bits of a block that Spark's bitmap functions build.
@@ -299,6 +301,7 @@ def _told(run: DataFrame, found: DataFrame | None, step: int, shards: int, least
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """(lang, n, phrase, count) of all phrases of at least ``least`` places, and (lang, words): how many words there are."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shard = F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).cast("int")
     dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", shard.alias("shard"))
     rows = stored(coded(dealt, salt).sortWithinPartitions("shard"), "phrase-codes")  # a scan skips other shards' pages
