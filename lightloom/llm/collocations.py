@@ -42,9 +42,11 @@ TOP = 2000
 MOST_BITS = 28
 #: Words of a block of codes; phrases that a task holds before it gives them out; words whose codes it remembers.
 BLOCK_WORDS = 60_000
-HELD = 400_000
-REMEMBERED = 150_000
+HELD = 250_000
+REMEMBERED = 100_000
 SALTS = 32
+#: Words in one row, between line ends, which no word has.
+NAMES = 20_000
 #: Blocks of codes are long rows: about so many bytes go to a Python worker at a time.
 BATCH_BYTES = 4 << 20
 #: A-Z to a-z, what ends a piece to ``.``, a tab to a space.
@@ -88,7 +90,7 @@ def _slices(text: bytes, most: int) -> Iterator[bytes]:
 def coded(texts: DataFrame, salt: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """From (lang, text, shard) the rows of ``_CODED``: blocks of codes of each shard, in which a text stays whole unless it is
     longer than a block (then the next block begins with the last words of the one before, marked by its ``words``), and in
-    shard ``_NAMES`` the words, and how many there were of a language."""
+    shard ``_NAMES`` the words, many in a row, and how many there were of a language."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, sizes, totals = {}, {}, {}, {}
@@ -109,9 +111,8 @@ def coded(texts: DataFrame, salt: int = 0, block_words: int = BLOCK_WORDS) -> Da
         def names() -> Iterator[pa.RecordBatch]:
             for lang, own in codes.items():
                 words = [w for w in own if w != b"."]
-                for a in range(0, len(words), 50_000):
-                    part = words[a : a + 50_000]
-                    yield rows(_NAMES, [None] * len(part), [lang] * len(part), part, [0] * len(part))
+                for a in range(0, len(words), NAMES):
+                    yield rows(_NAMES, [None], [lang], [b"\n".join(words[a : a + NAMES])], [0])
                 yield rows(_NAMES, [None], [lang], [None], [totals.pop(lang, 0)])
             codes.clear()
 
@@ -343,7 +344,8 @@ def _named(docs: DataFrame, final: DataFrame, rows: DataFrame, least: int, longe
     words = rows.filter(F.col("shard") == _NAMES)
     totals = stored(words.filter("word is null").groupBy("lang").agg(F.sum("words").alias("words")), "phrase-totals")
     wanted = final.filter("n = 1").select(F.col("w1").alias("code"))
-    every = words.filter("word is not null").select(word_code(F.col("lang"), F.col("word"), salt).alias("code"), "lang", "word")
+    words = words.filter("word is not null").select("lang", F.explode(F.split("word", "\n", -1)).alias("word"))
+    every = words.select(word_code(F.col("lang"), F.col("word"), salt).alias("code"), "lang", "word")
     names = stored(every.join(wanted, "code").distinct(), "phrase-words")
     discard(rows)
     if not names.groupBy("code").count().filter("count > 1").isEmpty():
