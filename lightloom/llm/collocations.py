@@ -41,14 +41,16 @@ SHARDS = 2
 TOP = 2000
 MOST_BITS = 28
 #: Words of a block of codes; phrases that a task holds before it gives them out; words whose codes it remembers.
-BLOCK_WORDS = 60_000
-HELD = 250_000
+BLOCK_WORDS = 30_000
+HELD = 150_000
 REMEMBERED = 100_000
 SALTS = 32
+#: Phrases in one batch that a task gives out.
+GIVEN = 20_000
 #: Words in one row, between line ends, which no word has.
-NAMES = 20_000
+NAMES = 10_000
 #: Blocks of codes are long rows: about so many bytes go to a Python worker at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: A-Z to a-z, what ends a piece to ``.``, a tab to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else (46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b) for b in range(256))
 #: Bits of a block that Spark's bitmap functions build.
@@ -222,11 +224,11 @@ class _Counter:
         for n, parts in self.held.items():
             if parts:
                 words, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                for a in range(0, len(counts), 100_000):
-                    own = np.zeros((min(100_000, len(counts) - a), LONGEST), np.uint64)
-                    own[:, :n] = words[a : a + 100_000]
+                for a in range(0, len(counts), GIVEN):
+                    own = np.zeros((min(GIVEN, len(counts) - a), LONGEST), np.uint64)
+                    own[:, :n] = words[a : a + GIVEN]
                     columns = [pa.array(np.ascontiguousarray(own[:, k]).view(np.int64)) for k in range(LONGEST)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[a : a + 100_000])], [*WORDS, "count"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[a : a + GIVEN])], [*WORDS, "count"])
         self.held, self.size = {n: [] for n in self.lengths}, 0
 
 
