@@ -3,13 +3,15 @@ driver sees only how many series go on."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
 from .regress import least_squares, predicted, solve
-from .series import by, longest_chunk
+from .series import by, clean, longest_chunk
 from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
@@ -288,19 +290,54 @@ def guided_channels(channels: DataFrame, photometric: DataFrame, baseline: Basel
     return names.join(found, "series_id").drop("series_id")
 
 
-def batch_search(series: DataFrame, templates: DataFrame, least: int = 60, **options: object) -> DataFrame:
-    """The guided search for all series at once: (series_id, n, status, detected, best_snr); status is too_short (fewer than ``least``
-    points), no_span, or ok. A series that cannot be searched leaves the others alone."""
-    spans = stored(longest_chunk(series).join(series.groupBy("series_id").agg(F.count("*").alias("n")), "series_id"), "batch-spans")
-    status = F.when(F.col("n") < least, "too_short").when(F.col("t_full") <= 0, "no_span").otherwise("ok")
-    named = spans.withColumn("status", status)
-    able = stored(named.filter("status = 'ok'").drop("status", "n"), "batch-able")
-    rows, _ = guided_rows(series.join(able.select("series_id"), "series_id", "left_semi"), templates.join(able.select("series_id"), "series_id", "left_semi"), able, **options)
-    out = named.select("series_id", "n", "status")
-    if rows is None:
-        return out.select("*", F.lit(0).cast("long").alias("detected"), F.lit(None).cast("double").alias("best_snr"))
-    found = rows.groupBy("series_id").agg(F.count_if("detected").alias("detected"), F.max("snr").alias("best_snr"))
-    return out.join(found, "series_id", "left").select("series_id", "n", "status", F.coalesce("detected", F.lit(0)).cast("long").alias("detected"), "best_snr")
+def isolated(series: DataFrame, run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame]:
+    """(what ``run`` gives for all series, failures: series_id, reason). Series are run together; should that fail, each half of them
+    (by a hash of their names) on its own, and so on, so a series that cannot be run stops no other, whatever the reason. Results
+    are stored as they come; only how many series a part has, and the name of one that failed, reach the driver."""
+    spark = series.sparkSession
+    kind = series.schema["series_id"].dataType.simpleString()
+    done, failed, parts = None, [], [(0, 0)]
+    hashed = F.xxhash64(F.coalesce(F.col("series_id").cast("string"), F.lit("")))
+    while parts:
+        depth, number = parts.pop()
+        own = series.filter(F.pmod(hashed, F.lit(1 << depth)) == number) if depth else series
+        try:
+            out = stored(run(own), "isolated")
+        except Exception as error:  # any failure of a part is told apart by its halves
+            names = own.select("series_id").distinct().limit(2).collect()
+            if len(names) > 1 and depth < 40:
+                parts += [(depth + 1, number), (depth + 1, number + (1 << depth))]
+            else:
+                failed += [(r.series_id, f"{type(error).__name__}: {str(error).strip().splitlines()[0][:300]}") for r in names]
+            continue
+        done = out if done is None else done.unionByName(out)
+    return done, spark.createDataFrame(failed, f"series_id {kind}, reason string")
+
+
+def batch_search(series: DataFrame, templates: DataFrame, least: int = 60, baseline: Baseline | str | None = None, **options: object) -> DataFrame:
+    """The whole guided search (``guided_search``: search, duplicates, refinement, matching) for all series at once: series_id, n,
+    status, reason, detected, best_snr, best_f. status is no_values, too_short (fewer than ``least`` good points), no_span, ok or
+    failed (with its reason); points without finite t and y are left out. A series that cannot be searched leaves the others
+    alone (``isolated``)."""
+    good = stored(clean(series), "batch-good")
+    counts = series.groupBy("series_id").agg(F.count("*").alias("rows_")).join(good.groupBy("series_id").agg(F.count("*").alias("n")), "series_id", "left")
+    spans = longest_chunk(good)
+    named = counts.join(spans, "series_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when(F.col("n") == 0, "no_values").when(F.col("n") < least, "too_short").when(F.col("t_full") <= 0, "no_span").otherwise("ok")
+    named = stored(named.withColumn("status", status), "batch-spans")
+    able = stored(named.filter("status = 'ok'").select("series_id", "t_full", "t_chunk"), "batch-able")
+
+    def search(part: DataFrame) -> DataFrame:
+        here = part.select("series_id").distinct()
+        own = [x.join(here, "series_id", "left_semi") for x in (templates, able)]
+        return guided_search(part, *own, baseline, **options)
+
+    found, failed = isolated(good.join(able.select("series_id"), "series_id", "left_semi"), search)
+    out = named.join(failed, "series_id", "left").withColumn("status", F.when(F.col("reason").isNotNull(), "failed").otherwise(F.col("status")))
+    if found is None:
+        return out.select("series_id", "n", "status", "reason", F.lit(0).cast("long").alias("detected"), *[F.lit(None).cast("double").alias(c) for c in ("best_snr", "best_f")])
+    best = found.groupBy("series_id").agg(F.count("*").alias("detected"), F.max("snr").alias("best_snr"), F.max_by(F.coalesce("f", "f_local"), F.struct("snr", -F.col("f_local"))).alias("best_f"))
+    return out.join(best, "series_id", "left").select("series_id", "n", "status", "reason", F.coalesce("detected", F.lit(0)).cast("long").alias("detected"), "best_snr", "best_f")
 
 
 def harmonic_features(series: DataFrame, harmonics: int, f: str = "f") -> tuple[DataFrame, list[str]]:

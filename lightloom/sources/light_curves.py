@@ -7,7 +7,8 @@ parse is decoded by one task per file.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,15 +46,54 @@ def first_column(df: DataFrame, names: tuple[str, ...], forced: str | None = Non
     raise ValueError(f"none of the columns {', '.join(names)} in {', '.join(df.columns)}")
 
 
+def _file_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lines: file, k, cells; headers: file, header) of CSV files, each with its own header line: columns are found by their name in
+    the file they stand in, so files may order or choose them as they like. Neither files nor their lists pass through the driver;
+    files are split like any text. Values with commas or line ends are not expected."""
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    lines = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
+    clean = lambda c: F.transform(F.split(c, ","), lambda x: F.btrim(F.btrim(x), F.lit('"')))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
+    first = F.struct("block", "k")
+    headers = lines.groupBy("file").agg(F.min(first)["k"].alias("at"), clean(F.min_by("value", first)).alias("header"))
+    rows = lines.join(headers, "file").filter(F.col("k") != F.col("at")).filter(F.btrim("value") != "")
+    return rows.select("file", "header", "k", clean(F.col("value")).alias("cells")), headers.drop("at")
+
+
+def _text_cell(name: str | Column) -> Column:
+    """A line's value under a name of its file's header; null without such a column."""
+    at = F.array_position("header", name if isinstance(name, Column) else F.lit(name)).cast("int")
+    return F.when(at > 0, F.try_element_at("cells", F.nullif(at, F.lit(0))))
+
+
+def _cell(name: str | Column) -> Column:
+    return finite(_text_cell(name).try_cast("double"))
+
+
+def _first_named(names: tuple[str, ...]) -> Column:
+    """The first of ``names`` that a file's header has."""
+    return F.coalesce(*[F.when(F.array_contains("header", n), F.lit(n)) for n in dict.fromkeys(names)])
+
+
+def _demand(headers: DataFrame, missing: Column, what: str) -> None:
+    """An error that names a file without what is needed; one row comes to the driver."""
+    bad = headers.filter(missing).agg(F.min(F.struct("file", "header")).alias("m"), F.count("*").alias("n")).first()
+    if bad.n:
+        raise ValueError(f"{what} in {bad.n} file(s), {bad.m.file} for one, which has {', '.join(bad.m.header)}")
+
+
 def read_csv_series(spark: SparkSession, path: str | list[str], candidates: tuple[str, ...] = FLUX_COLUMNS, forced: str | None = None, time: str = "time_btjd") -> DataFrame:
-    """(series_id: file, t, t_abs, y, k) of all files at once; time relative to each file's first."""
-    raw = spark.read.csv(path, header=True)
-    flux = first_column(raw, candidates, forced)
-    rows = raw.select(F.input_file_name().alias("series_id"), _number(time).alias("t_abs"), _number(flux).alias("y"), F.monotonically_increasing_id().alias("k"))
-    rows = rows.filter("t_abs is not null and y is not null")
+    """(series_id: file, t, t_abs, y, k, column) of all files at once; time relative to each file's first. Each file's flux is the
+    forced column or the first candidate of its own header; a file without one, or without times, is an error."""
     from ..operators.series import by
 
-    return rows.select("series_id", (F.col("t_abs") - F.min("t_abs").over(by())).alias("t"), "t_abs", "y", "k")
+    rows, headers = _file_lines(spark, path)
+    column = _first_named((forced,) if forced else candidates)
+    _demand(headers, ~F.array_contains("header", time), f"no column {time}")
+    _demand(headers, column.isNull(), f"none of the columns {', '.join((forced,) if forced else candidates)}")
+    told = rows.select(F.col("file").alias("series_id"), _cell(time).alias("t_abs"), _cell(column).alias("y"), "k", column.alias("column"))
+    told = told.filter("t_abs is not null and y is not null")
+    return told.select("series_id", (F.col("t_abs") - F.min("t_abs").over(by())).alias("t"), "t_abs", "y", "k", "column")
 
 
 def _number(name: str) -> Column:
@@ -62,52 +102,44 @@ def _number(name: str) -> Column:
 
 def read_mixed_directory(spark: SparkSession, path: str, candidates: tuple[str, ...] | None = None, pattern: str = "*.csv", recursive: bool = True, mode: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(series: series_id (the file), t, t_abs, y, k, column; skipped: file, reason) of all files of a directory, whatever columns each
-    has. ``mode`` is raw, detrended or auto, unless ``candidates`` are given. A file is read line by line by Spark; its header
-    names its columns, so neither files nor their lists pass through the driver. Values with commas are not expected."""
+    has. ``mode`` is raw, detrended or auto, unless ``candidates`` are given."""
     from ..operators.series import by
 
-    names = candidates or FLUX_MODES[mode]
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
-    clean = lambda c: F.transform(F.split(c, ","), lambda x: F.btrim(F.btrim(x), F.lit('"')))
-    first = F.struct("block", "k")
-    headers = lines.groupBy("file").agg(F.min(first).alias("at"), clean(F.min_by("value", first)).alias("header"))
-    has = [F.when(F.array_contains("header", c), F.lit(c)) for c in dict.fromkeys(names)]
-    headers = headers.withColumn("column", F.coalesce(*has)).withColumn("no_time", ~F.array_contains("header", "time_btjd"))
-    reason = F.when(F.col("no_time"), "no time_btjd column").when(F.col("column").isNull(), "no flux column")
+    rows, headers = _file_lines(spark, path, pattern, recursive)
+    column = _first_named(candidates or FLUX_MODES[mode])
+    reason = F.when(~F.array_contains("header", "time_btjd"), "no time_btjd column").when(column.isNull(), "no flux column")
+    told = rows.filter(reason.isNull()).select(F.col("file").alias("series_id"), _cell("time_btjd").alias("t_abs"), _cell(column).alias("y"), "k", column.alias("column"))
+    series = told.filter("t_abs is not null and y is not null")
     headers = headers.withColumn("reason", reason)
-    rows = lines.join(headers.filter("reason is null"), "file").filter(F.col("k") != F.col("at.k"))
-    cell = lambda c: finite(F.try_element_at(clean("value"), F.array_position("header", c).cast("int")).try_cast("double"))
-    series = rows.select(F.col("file").alias("series_id"), cell(F.lit("time_btjd")).alias("t_abs"), cell(F.col("column")).alias("y"), "k", "column").filter("t_abs is not null and y is not null")
     empty = headers.filter("reason is null").select("file").join(series.select(F.col("series_id").alias("file")).distinct(), "file", "left_anti")
     skipped = headers.filter("reason is not null").select("file", "reason").unionByName(empty.withColumn("reason", F.lit("no finite rows after cleaning")))
     return series.select("series_id", (F.col("t_abs") - F.min("t_abs").over(by())).alias("t"), "t_abs", "y", "k", "column"), skipped
 
 
 def read_polarimetry(spark: SparkSession, path: str, run_label: str | None = None, product: str | None = None) -> DataFrame:
-    """Channels as rows: series_id (channel), file, jd, t (from the file's first jd), y, yerr, run_label, k. With ``product`` y is that
-    product's column; a file without it must be a raw one, of which the products are built."""
-    raw = spark.read.csv(path, header=True)
+    """Channels as rows: series_id (channel), file, jd, t (from the file's first jd), y, yerr, run_label, k. Each file's own header
+    says what it has: with ``product`` y is that product's column where a file has it, and files without it must be raw ones, of
+    which the product is built; both kinds may stand in one directory."""
+    rows, headers = _file_lines(spark, path)
     ending = PRODUCTS[product] if product else ""
-    ready = all(f"{c}{ending}" in raw.columns for c in "qup")
-    named = {}
-    for name, aliases in POLARIMETRY_ALIASES.items():
-        wanted = (f"{name}{ending}",) if name in ("q", "u", "p") and ready else aliases
-        found = [a for a in wanted if a in raw.columns]
-        if found:
-            named[name] = _number(found[0])
-    if missing := [n for n in ("jd", "q", "u", "p") if n not in named]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    label = F.nullif(F.trim(F.col(run_label)), F.lit("")) if run_label else F.lit(None).cast("string")
-    wide = raw.select(F.col("_metadata.file_path").alias("file"), *[c.alias(n) for n, c in named.items()], label.alias("run_label"), F.monotonically_increasing_id().alias("k"))
-    for n in ("q_err", "u_err", "p_err"):
-        if n not in named:
-            wide = wide.withColumn(n, F.lit(None).cast("double"))
-    channel = lambda c: F.struct(F.lit(c).alias("series_id"), F.col(c).alias("y"), F.col(f"{c}_err").alias("yerr"))
+    ready = F.lit(True)
+    for c in "qup":
+        ready = ready & F.array_contains("header", f"{c}{ending}")
+    for n in ("jd", "q", "u", "p"):
+        wanted = _first_named(POLARIMETRY_ALIASES[n])
+        _demand(headers, (wanted.isNull() if n == "jd" else ~ready & wanted.isNull()), f"missing columns: {n}")
+    label = F.nullif(F.trim(_text_cell(run_label)), F.lit("")) if run_label else F.lit(None).cast("string")
+    number = lambda n: _cell(_first_named(POLARIMETRY_ALIASES[n]))
+    value = lambda c: F.when(ready, _cell(f"{c}{ending}")).otherwise(number(c))
+    channel = lambda c: F.struct(F.lit(c).alias("series_id"), value(c).alias("y"), number(f"{c}_err").alias("yerr"))
+    wide = rows.select("file", number("jd").alias("jd"), label.alias("run_label"), "k", ready.alias("ready"), F.array(*map(channel, "qup")).alias("channels"))
     first = F.min("jd").over(Window.partitionBy("file"))
-    long = wide.select("file", "jd", (F.col("jd") - first).alias("t"), "run_label", "k", F.inline(F.array(*map(channel, "qup"))))
+    long = wide.select("file", "jd", (F.col("jd") - first).alias("t"), "run_label", "k", "ready", F.inline("channels"))
     long = long.filter("jd is not null and y is not null")
-    return long if ready or product is None else _with_product(long, product)
+    if product is None or headers.filter(~ready).isEmpty():
+        return long.drop("ready")
+    made = _with_product(long.filter(~F.col("ready")).drop("ready"), product)
+    return long.filter("ready").drop("ready").unionByName(made)
 
 
 def _with_product(channels: DataFrame, product: str) -> DataFrame:
@@ -255,3 +287,49 @@ def write_table(table: DataFrame, path: str, kind: str = "csv") -> None:
 def unfinished(inputs: DataFrame, done: DataFrame, key: str = "series_id") -> DataFrame:
     """Inputs whose key the sink does not hold yet."""
     return inputs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """The batches whose marker is complete."""
+    if not _exists(spark, f"{path}/done"):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    names = [x.getPath().getName() for x in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)]
+    return sorted(n for n in names if _exists(spark, f"{path}/done/{n}/_SUCCESS"))
+
+
+def finished(spark: SparkSession, path: str, kind: str, key: str = "series_id") -> DataFrame:
+    """(key, rows) of the keys that ``write_batch`` has finished under ``path``; kind: the key's type."""
+    schema = f"{key} {kind}, rows long"
+    paths = [f"{path}/done/{n}" for n in _batches(spark, path)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def write_batch(inputs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str = "series_id") -> DataFrame:
+    """Does ``work`` for the keys of ``inputs`` that are not finished under ``path``, and tells which are now: (key, rows).
+
+    Results go to a folder of their own first; the marker, one row for each key that gave rows, is written after them and names
+    the folder. Readers (``read_batches``) see marked folders only, so a run that is stopped between both, or in either, leaves
+    nothing that counts, and the next one does its keys again. A key without rows is never marked."""
+    spark, name = inputs.sparkSession, f"batch-{uuid.uuid4().hex}"
+    done = finished(spark, path, inputs.schema[key].dataType.simpleString(), key)
+    left = unfinished(inputs, done, key)
+    if left.isEmpty():
+        return done
+    work(left).write.parquet(f"{path}/data/{name}")
+    rows = spark.read.parquet(f"{path}/data/{name}").groupBy(key).agg(F.count("*").alias("rows"))
+    rows.write.parquet(f"{path}/done/{name}")
+    return finished(spark, path, inputs.schema[key].dataType.simpleString(), key)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The results of all finished batches under ``path``."""
+    names = _batches(spark, path)
+    if not names:
+        raise FileNotFoundError(f"nothing is finished under {path}")
+    return spark.read.parquet(*[f"{path}/data/{n}" for n in names])

@@ -111,8 +111,50 @@ def test_growth_with_a_negative_pixel(spark):
 
 
 def test_joint_modes(spark, curves):
+    """With nights and errors; what it tells at the pick, errors of both fits, and weights of the data sets."""
     t, y = curves["two"]
     rng = np.random.default_rng(9)
-    second = frame(spark, {"two": (t, 0.7 * np.cos(2 * np.pi * 2.2 * t) + 0.1 * rng.normal(size=len(t)))})
-    rows = modes.joint_modes(frame(spark, {"two": (t, y)}), second, 0.5, 5.0, rounds=1).collect()
-    assert len(rows) == 1 and abs(rows[0].f_first - 2.2) < 0.01 and abs(rows[0].f_second - 2.2) < 0.01 and abs(rows[0].amp_second - 0.7) < 0.05
+    err = rng.uniform(0.05, 0.2, len(t))
+    other = 0.7 * np.cos(2 * np.pi * 2.2 * t) + 0.5 * np.floor(t) + err * rng.normal(size=len(t))
+    rows = [("two", float(a), float(b), float(e), int(a), k) for k, (a, b, e) in enumerate(zip(t, other, err, strict=True))]
+    second = spectrum.with_weights(spark.createDataFrame(rows, "series_id string, t double, y double, yerr double, night int, k long"))
+    b = spectrum.Baseline("night", weight="weight")
+    rows = modes.joint_modes(frame(spark, {"two": (t, y)}), second, 0.5, 5.0, b, rounds=2, mode="sqrt").collect()
+    r = min(rows, key=lambda r: r.n)
+    assert abs(r.f_first - 2.2) < 0.01 and abs(r.f_second - 2.2) < 0.01 and abs(r.amp_second - 0.7) < 4 * r.amp_err_second
+    assert 0 < r.amp_err_first < 0.05 and 0 < r.phase_err_second < 0.1 and min(r.w_first_at_pick, r.w_second_at_pick) > 1.5
+    assert (r.n_groups, r.offsets, r.slopes) == (len(np.unique(np.floor(t))), True, False) and r.snr_second > 2
+    none = modes.joint_modes(frame(spark, {"two": (t, y)}), second, 0.5, 5.0, b, rounds=1, prefilter=1e9)
+    assert none.count() == 0 and none.columns == list(r.__fields__)
+
+
+def test_guided_channels_from_photometric_modes(spark, curves):
+    """From the photometry's own modes to three channels of each target, whose resolution is another."""
+    photo = modes.photometric_modes(frame(spark, curves), 0.2, 6.0, rounds=4, steps=201)
+    own = {(r.series_id, round(r.f, 1)): r.resolution for r in photo.collect()}
+    t = curves["one"][0]
+    assert {("one", 1.3), ("one", 1.6), ("two", 2.2)} <= set(own) and np.allclose(list(own.values()), 1 / (t[-1] - t[0]))
+    rng = np.random.default_rng(12)
+    late = np.sort(rng.uniform(0, 10, 400))
+    wave = lambda f: np.sin(2 * np.pi * f * late)
+    made = {("one", "q"): wave(1.31), ("one", "u"): wave(1.59), ("one", "p"): 0 * late, ("two", "q"): 0 * late, ("two", "u"): 2 * wave(2.2), ("two", "p"): wave(2.2)}
+    rows = [(a, c, float(x), float(v + 0.3 * np.floor(x) + 0.1 * rng.normal()), int(x), k) for (a, c), y in made.items() for k, (x, v) in enumerate(zip(late, y, strict=True))]
+    channels = spark.createDataFrame(rows, "target string, channel string, t double, y double, night int, k long")
+    out = modes.guided_channels(channels, photo, "night", snr_min=6.0, steps=201).collect()
+    got = {(r.target, r.channel): (r.f, np.hypot(r.s_coeff, r.c_coeff), r.amp) for r in out}
+    assert set(got) == {("one", "q"), ("one", "u"), ("two", "u"), ("two", "p")} and len(out) == 4
+    for key, (f, amp) in {("one", "q"): (1.31, 1), ("one", "u"): (1.59, 1), ("two", "u"): (2.2, 2), ("two", "p"): (2.2, 1)}.items():
+        assert abs(got[key][0] - f) < 0.02 and abs(got[key][2] - amp) < 0.1 and np.isclose(got[key][1], got[key][2])
+
+
+def test_a_poisoned_series_stops_no_other(spark, curves):
+    """Points that are no numbers, too few points, no span, and a series on which the search itself fails."""
+    t, y = curves["two"]
+    many = {f"s{k}": (t[:200], y[:200]) for k in range(3)} | {"nan": (t[:100], np.full(100, np.nan)), "few": (t[:9], y[:9]), "once": (np.zeros(70), y[:70]), "some": (np.r_[t[:200], np.inf], np.r_[y[:200], 1.0])}
+    s = frame(spark, many)
+    templates = s.select("series_id").distinct().withColumns({"mode": F.lit(1), "f_template": F.lit(2.2)})
+    poisoned = templates.withColumn("f_template", F.when(F.col("series_id") == "s1", F.raise_error(F.lit("poison")).cast("double")).otherwise(F.col("f_template")))
+    got = {r.series_id: r for r in modes.batch_search(s, poisoned, half_bins=3.0, snr_min=3.0, steps=51).collect()}
+    assert {n: r.status for n, r in got.items()} == {"s0": "ok", "s1": "failed", "s2": "ok", "nan": "no_values", "few": "too_short", "once": "no_span", "some": "ok"}
+    assert "poison" in got["s1"].reason or "Exception" in got["s1"].reason
+    assert all(got[n].detected == 1 and abs(got[n].best_f - 2.2) < 0.05 for n in ("s0", "s2", "some")) and got["s1"].detected == 0

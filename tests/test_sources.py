@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lightloom.sources import light_curves as L
 
@@ -76,3 +77,75 @@ def test_products_sidecars_and_combined_files(spark, tmp_path):
     assert len(files) == 1 and files[0].read_text().split() == ["t,v", "1.0,3", "2.0,1"]
     L.write_table(df, str(tmp_path / "table"))
     assert spark.read.csv(str(tmp_path / "table"), header=True).count() == 3
+
+
+def test_columns_by_each_files_own_header(spark, tmp_path):
+    """Files that order their columns otherwise, or have other ones, give the values under their own names."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir()
+    b.mkdir()
+    (a / "1.csv").write_text("jd,q,u,p\n1,10,20,30\n")
+    (a / "2.csv").write_text("jd,p,u,q,q_err\n1,30,20,10,0.5\n")
+    got = {(r.series_id, r.file.rsplit("/", 1)[1]): (r.y, r.yerr) for r in L.read_polarimetry(spark, str(a)).collect()}
+    assert got == {(c, f): (v, 0.5 if (c, f) == ("q", "2.csv") else None) for c, v in (("q", 10), ("u", 20), ("p", 30)) for f in ("1.csv", "2.csv")}
+    (b / "1.csv").write_text("time_btjd,flux_rel\n10,1\n11,2\n")
+    (b / "2.csv").write_text('﻿"flux_rel", time_btjd\r\n1,10\r\n2,11\r\n\r\n')
+    (b / "3.csv").write_text("time_btjd,flux_medscaled,flux_leveled_rel\n10,8,1\n11,9,2\n")
+    got = {(r.series_id.rsplit("/", 1)[1], r.t, r.t_abs, r.y) for r in L.read_csv_series(spark, str(b)).collect()}
+    assert got == {(f"{k}.csv", t, t + 10, t + 1) for k in (1, 2, 3) for t in (0.0, 1.0)}
+    got = L.read_csv_series(spark, [str(b / "3.csv")], forced="flux_medscaled").collect()
+    assert {(r.y, r.column) for r in got} == {(8, "flux_medscaled"), (9, "flux_medscaled")}
+    with pytest.raises(ValueError, match="flux_medscaled.*1.csv|flux_medscaled.*2.csv"):
+        L.read_csv_series(spark, str(b), forced="flux_medscaled")
+    (a / "3.csv").write_text("jd,q,u\n1,10,20\n")
+    with pytest.raises(ValueError, match="missing columns: p in 1 file.*3.csv"):
+        L.read_polarimetry(spark, str(a))
+
+
+def test_raw_and_product_files_in_one_directory(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text("p,u,q,jd\n3,1,1,5\n5,3,3,5.1\n")
+    (tmp_path / "made.csv").write_text("jd,q,u,p,u_nm,q_nm,p_nm\n1,1,2,3,20,10,30\n")
+    got = {(r.file.rsplit("/", 1)[1], r.series_id, round(r.t, 3)): round(r.y, 6) for r in L.read_polarimetry(spark, str(tmp_path), product="nm").collect()}
+    made = {("made.csv", c, 0.0): v for c, v in (("q", 10), ("u", 20), ("p", 30))}
+    assert got == made | {("raw.csv", c, t): v for c in "qup" for t, v in ((0.0, -1), (0.1, 1))}
+
+
+def test_sidecars_go_with_their_file(spark):
+    files = spark.createDataFrame([("x",), ("y",)], "stem string")
+    sidecars = spark.createDataFrame([("bkg", "x", "b/x_2.npy"), ("bkg", "x", "a/x_1.npy"), ("cen", "x", "c.npy")], "prefix string, stem string, path string")
+    got = {(r.stem, r.prefix, r.path) for r in L.diagnostics_for(files, sidecars).collect()}
+    assert got == {("x", "bkg", "a/x_1.npy"), ("x", "cen", "c.npy"), ("y", None, None)}
+
+
+def test_batches_survive_a_kill_between_data_and_marker(spark, tmp_path, monkeypatch):
+    """A run that stops between its data and its marker leaves nothing that counts; the next one writes every key once."""
+    path = str(tmp_path / "out")
+    inputs = spark.createDataFrame([(s, float(k)) for k, s in enumerate("aabbcd")], "series_id string, y double")
+    seen = []
+
+    def work(part):
+        seen.append({r.series_id for r in part.collect()})
+        return part.filter("series_id != 'd'").withColumn("z", part.y * 2)
+
+    with pytest.raises(FileNotFoundError):
+        L.read_batches(spark, path)
+    first = inputs.filter("series_id = 'a'")
+    assert {tuple(r) for r in L.write_batch(first, work, path).collect()} == {("a", 2)}
+    writer = type(inputs.write)
+    real = writer.parquet
+
+    def killed(self, to, *a, **k):
+        if "/done/" in to:
+            raise KeyboardInterrupt
+        return real(self, to, *a, **k)
+
+    monkeypatch.setattr(writer, "parquet", killed)
+    with pytest.raises(KeyboardInterrupt):
+        L.write_batch(inputs, work, path)
+    monkeypatch.setattr(writer, "parquet", real)
+    assert {r.series_id for r in L.read_batches(spark, path).collect()} == {"a"}
+    done = {tuple(r) for r in L.write_batch(inputs, work, path).collect()}
+    assert done == {("a", 2), ("b", 2), ("c", 1)} and seen == [{"a"}, {"b", "c", "d"}, {"b", "c", "d"}]
+    assert sorted(r.y for r in L.read_batches(spark, path).collect()) == [0, 1, 2, 3, 4]
+    L.write_batch(inputs, work, path)
+    assert seen[-1] == {"d"}  # a key without rows is not marked
