@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, discard, gives_back, stored
+from .common import SPACES, ascii_lower, discard, gives_back, salted_join, stored
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -75,7 +75,7 @@ class LineRuns:
             level += 1
 
     def frequent(self) -> DataFrame:
-        return stored(_merged(self.runs()).filter(F.col("n") >= self.min_docs).select("h", "g"), "line-frequent")
+        return stored(_merged(self.runs()).filter(F.col("n") >= self.min_docs).select("h", "g", "n"), "line-frequent")
 
 
 def dedup_lines(
@@ -94,7 +94,8 @@ def dedup_lines(
         discard(run)
 
     lines = path.select("doc_id", "t", F.posexplode("lines").alias("at", "k")).filter("k is not null")
-    hits = lines.select("doc_id", "t", "at", "k.h", "k.g").join(frequent, ["h", "g"])
+    keyed_lines = lines.select("doc_id", "t", "at", F.struct("k.h", "k.g").alias("key"))
+    hits = salted_join(keyed_lines, frequent.select(F.struct("h", "g").alias("key"), "n"), "key", "doc_id")  # a line may be in every document
     drops = hits.groupBy(F.col("doc_id").alias("i"), F.col("t").alias("u")).agg(F.collect_set("at").alias("drops"))
     whole = docs.select(F.struct("*").alias("d"))
     same = F.col("d.doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("d.text") == F.col("u"))
