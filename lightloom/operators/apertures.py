@@ -94,14 +94,21 @@ def _path(image: dict, seed: tuple, allowed: set[tuple], most: int = 45, share:
     return out
 
 
-def _exhaustive(curves: dict, image: dict, threshold: float = 3000.0) -> list[tuple]:
-    """From the pixels over the threshold add, one after another, the pixel with the least sum of absolute steps per flux;
-    the prefix with the least noise per mean flux is the aperture."""
+def _old_frame(row: int, col: int, nrow: int, ncol: int) -> bool:
+    """Where the older geometry rule lets a pixel join, by its number from 1 along the rows."""
+    k = row * ncol + col + 1
+    return k % nrow > 1 and k % ncol < 20 and k != 19
+
+
+def _exhaustive(curves: dict, image: dict, threshold: float = 3000.0, joins: Callable[[tuple], bool] = lambda p: True) -> tuple[list[tuple], int, float]:
+    """From the pixels over the threshold (else the brightest) add, one after another, the pixel with the least sum of absolute
+    steps per flux; the prefix with the least noise per mean flux is the aperture. Candidates are positive on average, are let in
+    by ``joins`` and are not the stamp's first pixel. (aperture, pixels at first, merit)."""
     pixels = sorted(image)
-    chosen = [p for p in pixels if image[p] > threshold] or [max(pixels, key=lambda p: image[p])]
+    chosen = [p for p in pixels if image[p] > threshold] or [max(pixels, key=lambda p: (image[p], -p[0], -p[1]))]
     curve, first = sum(curves[p] for p in chosen), len(chosen)
     merit = lambda x: np.std(np.diff(x)) / x.mean() if x.mean() != 0 else np.inf
-    merits, rest = [merit(curve)], [p for p in pixels if p not in chosen and image[p] > 0]
+    merits, rest = [merit(curve)], [p for p in pixels if p not in chosen and image[p] > 0 and p != (0, 0) and joins(p)]
     while rest:
         steps = [np.abs(np.diff(curve + curves[p])).sum() / (curve + curves[p]).sum() if (curve + curves[p]).sum() else np.inf for p in rest]
         k = int(np.argmin(steps))
@@ -110,7 +117,32 @@ def _exhaustive(curves: dict, image: dict, threshold: float = 3000.0) -> list[tu
         curve = curve + curves[rest[k]]
         chosen.append(rest.pop(k))
         merits.append(merit(curve))
-    return chosen[: first + int(np.argmin(merits))]
+    best = int(np.argmin(merits))
+    return chosen[: first + best], first, float(merits[best])
+
+
+def exhaustive_aperture(pixels: DataFrame, threshold: float = 3000.0, nback: int = 20, legacy: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The exhaustive aperture of whole stamps, with or without the older geometry rule: (stamp_id, target, row, col, step), and a
+    row of figures a stamp: nrow, ncol, npix, n_cadences_used, n_initial_pixels, n_pixels_in_best_curve, best_fom, threshold,
+    nback, legacy_geometry. Frames begin at row and column 0; a stamp of fewer than 3 cadences has neither."""
+    curves = F.transform(F.sort_array(F.collect_list(F.struct("cadence", "flux"))), lambda x: x["flux"]).alias("curve")
+    cubes = pixels.groupBy("stamp_id", "row", "col").agg(curves)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {(r, c): np.nan_to_num(np.asarray(x, float)) for r, c, x in zip(pdf["row"], pdf["col"], pdf["curve"], strict=True)}
+        nrow, ncol, n = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1, len(next(iter(own.values())))
+        if n < 3:
+            return pd.DataFrame(columns=names)
+        image = {p: float(x.mean()) for p, x in own.items()}
+        chosen, first, fom = _exhaustive(own, image, threshold, (lambda p: _old_frame(*p, nrow, ncol)) if legacy else (lambda p: True))
+        figures = {"nrow": nrow, "ncol": ncol, "npix": nrow * ncol, "n_cadences_used": n, "n_initial_pixels": first, "n_pixels_in_best_curve": len(chosen), "best_fom": fom, "threshold": threshold, "nback": min(nback, nrow * ncol), "legacy_geometry": legacy}
+        return pd.DataFrame({"stamp_id": pdf["stamp_id"].iat[0], "target": 0, "row": [p[0] for p in chosen], "col": [p[1] for p in chosen], "step": range(len(chosen)), **figures})
+
+    figures = "nrow int, ncol int, npix int, n_cadences_used int, n_initial_pixels int, n_pixels_in_best_curve int, best_fom double, threshold double, nback int, legacy_geometry boolean"
+    kind = pixels.schema["stamp_id"].dataType.simpleString()
+    names = [f.split()[0] for f in f"{MASK}, {figures}".split(", ")]
+    out = stored(cubes.groupBy("stamp_id").applyInPandas(run, f"{MASK.format(kind=kind)}, {figures}"), "exhaustive")
+    return out.select(*names[:5]), out.filter("step = 0").select("stamp_id", *names[5:])
 
 
 def _flood(image: dict, seeds: list[tuple], mask: set[tuple]) -> dict[tuple, int]:
@@ -178,7 +210,7 @@ def grow(pixels: DataFrame, seeds: DataFrame, regions: DataFrame, method: str =
         "single": lambda curves, image, seed, allowed: _grow(curves, [seed], allowed, least),
         "multi": lambda curves, image, seed, allowed: _components(curves, image, seed, allowed, least),
         "core": lambda curves, image, seed, allowed: _grow(curves, _core(image, seed, allowed), allowed, least),
-        "exhaustive": lambda curves, image, seed, allowed: _exhaustive(curves, image),
+        "exhaustive": lambda curves, image, seed, allowed: _exhaustive(curves, image)[0],
     }
     return _grouped(pixels, regions, seeds, ways[method])
 

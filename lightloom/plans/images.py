@@ -185,7 +185,15 @@ def aperture_core(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def aperture_saturated(spark: SparkSession, sf: str) -> DataFrame:
-    return A.grow(*_seeded(spark, sf), "exhaustive")
+    return A.exhaustive_aperture(stored(_positive(spark, sf), "pixels"))[0]
+
+
+@query()
+def aperture_saturated_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """What the exhaustive aperture of each stamp is made of, with and without the older geometry rule."""
+    px = stored(_positive(spark, sf), "pixels")
+    old, new = (A.exhaustive_aperture(px, legacy=x)[1] for x in (True, False))
+    return rounded(old.unionByName(new), 8)
 
 
 @query()

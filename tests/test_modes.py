@@ -158,3 +158,41 @@ def test_a_poisoned_series_stops_no_other(spark, curves):
     assert {n: r.status for n, r in got.items()} == {"s0": "ok", "s1": "failed", "s2": "ok", "nan": "no_values", "few": "too_short", "once": "no_span", "some": "ok"}
     assert "poison" in got["s1"].reason or "Exception" in got["s1"].reason
     assert all(got[n].detected == 1 and abs(got[n].best_f - 2.2) < 0.05 for n in ("s0", "s2", "some")) and got["s1"].detected == 0
+
+
+@pytest.mark.parametrize("legacy", [True, False])
+def test_exhaustive_aperture(spark, legacy):
+    """Against a walk over the flattened frames, with and without the older geometry rule."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for stamp, (nrow, ncol, top) in {"a": (5, 4, 4000.0), "b": (4, 6, 50.0), "c": (3, 3, 10.0)}.items():
+        level = rng.uniform(-2, top, nrow * ncol)
+        cube = level + rng.normal(size=(30, nrow * ncol)) * rng.uniform(0.5, 9, nrow * ncol)
+        rows += [(stamp, c, r // ncol, r % ncol, float(cube[c, r])) for c in range(30) for r in range(nrow * ncol)]
+        mean = cube.mean(0)
+        inside = list(np.flatnonzero(mean > 3000.0)) or [int(mean.argmax())]
+        first, best = len(inside), None
+        while True:
+            total = cube[:, inside].sum(1)
+            fom = np.diff(total).std() / total.mean()
+            if best is None or fom < best[0]:
+                best = (fom, list(inside))
+            free = [k for k in range(1, nrow * ncol) if k not in inside and mean[k] > 0]
+            if legacy:
+                free = [k for k in free if (k + 1) % nrow > 1 and (k + 1) % ncol < 20 and k != 18]
+            if not free:
+                break
+            trial = {k: np.abs(np.diff(total + cube[:, k])).sum() / (total + cube[:, k]).sum() for k in free}
+            inside.append(min(free, key=trial.get))
+        want[stamp] = (best[0], {(k // ncol, k % ncol) for k in best[1]}, (nrow, ncol, nrow * ncol, 30, first, len(best[1])))
+    rows += [("short", c, 0, 0, 1.0) for c in range(2)]
+    px = spark.createDataFrame(rows, "stamp_id string, cadence long, row int, col int, flux double")
+    mask, figures = apertures.exhaustive_aperture(px, legacy=legacy)
+    got = {}
+    for r in mask.collect():
+        got.setdefault(r.stamp_id, set()).add((r.row, r.col))
+    assert got == {s: w[1] for s, w in want.items()}
+    for r in figures.collect():
+        fom, _, told = want[r.stamp_id]
+        assert np.isclose(r.best_fom, fom) and tuple(r)[1:7] == told and tuple(r)[8:] == (3000.0, min(20, told[2]), legacy)
+    assert figures.count() == 3
