@@ -9,7 +9,7 @@ from ..functions.waves import fold
 from ..tables import stored
 from . import apertures, catalog, pixels
 from .modes import harmonic_prewhitened
-from .regress import background_scale, decorrelated, extractor_features, least_squares, split_decorrelated
+from .regress import background_scale, decorrelated, extractor_features, robust_fit, split_decorrelated
 from .series import by, gap_segments, level, longest_chunk, ordered
 from .spectrum import Baseline, local_grid, nuisance_periodogram
 from .spline import template, template_detrended
@@ -59,11 +59,14 @@ def polarimetric_frame(channels: DataFrame, gap: float = 0.4, rounds: int = 3, h
     return resid.join(clean.select("series_id", "k", F.col("y").alias("prewhitened")), ["series_id", "k"])
 
 
-def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targets: int = 2, method: str = "multi") -> DataFrame:
+def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targets: int = 2, method: str = "multi", least: int = 1000) -> DataFrame:
     """Brightest sources of each stamp -> nearest pixels -> watershed regions -> growth -> light curve, centroid and width, level,
-    and the levelled curve less its regression on position, width and time (``decorrelated``). sky: stamp_id, row, col, ra, dec; sources: stamp_id, source_id, ra, dec, mag."""
+    and the levelled curve less its robust regression on position, width and time (``decorrelated``), where a curve has more than
+    ``least`` good points. Sources outside their stamp's frame are left out. sky: stamp_id, row, col, ra, dec; sources: stamp_id, source_id, ra, dec, mag."""
     rank = F.row_number().over(by("stamp_id").orderBy("mag", "source_id"))
-    best = sources.withColumn("target", rank - 1).filter(F.col("target") < targets)
+    frame = sky.groupBy("stamp_id").agg(*[f(c).alias(f"{c}_{n}") for c in ("ra", "dec") for n, f in (("low", F.min), ("high", F.max))])
+    held = sources.join(frame, "stamp_id").filter("ra between ra_low and ra_high and dec between dec_low and dec_high")  # the frame's box on the sky
+    best = held.withColumn("target", rank - 1).filter(F.col("target") < targets)
     at = catalog.nearest_pixel(sky, best).join(best.select("stamp_id", "source_id", "target"), ["stamp_id", "source_id"])
     one = F.row_number().over(by("stamp_id", "row", "col").orderBy("target"))  # two sources in one pixel are the brighter
     seeds = stored(at.withColumn("one_", one).filter("one_ = 1").select("stamp_id", "target", "row", "col").withColumn("target", (F.row_number().over(by("stamp_id").orderBy("target")) - 1).cast("int")), "seeds")
@@ -74,7 +77,8 @@ def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targ
     curve = stored(curve.withColumns({"series_id": F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), "t": F.col("cadence").cast("double"), "k": F.col("cadence")}), "curves")
     whole = curve.filter("crow is not null and ccol is not null and width is not null and flux_rel is not null")
     rows, names = extractor_features(whole, "crow", "ccol", width="width")
-    flat = decorrelated(rows, names, "flux_rel", least_squares(rows, names, "flux_rel")).select("series_id", "cadence", "decorrelated")
+    rows = stored(rows, "design")
+    flat = decorrelated(rows, names, "flux_rel", robust_fit(rows, names, "flux_rel", stop=True), least=least).select("series_id", "cadence", "decorrelated")
     return curve.join(flat, ["series_id", "cadence"], "left").drop("series_id", "t", "k")
 
 

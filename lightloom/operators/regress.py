@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,10 +170,13 @@ def robust_fit(rows: DataFrame, features: list[str], y: str, rounds: int = 8, ke
     return fits.select(*keys, "beta")
 
 
-def decorrelated(rows: DataFrame, features: list[str], y: str, fits: DataFrame, keys: tuple = ("series_id",)) -> DataFrame:
-    """y - fit + median(y), as ``decorrelated``."""
+def decorrelated(rows: DataFrame, features: list[str], y: str, fits: DataFrame, keys: tuple = ("series_id",), least: int = 0) -> DataFrame:
+    """y - fit + median(y), as ``decorrelated``; a series of no more than ``least`` rows that have y and all features, or without a
+    fit, keeps its values."""
     out = rows.join(fits.select(*keys, "beta"), list(keys), "left")
-    return out.withColumn("decorrelated", F.col(y) - predicted(features) + F.median(y).over(by(*keys))).drop("beta")
+    whole = F.count(F.when(F.col(y).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in features]), 1)).over(by(*keys))
+    fitted = F.col(y) - predicted(features) + F.median(y).over(by(*keys))
+    return out.withColumn("decorrelated", F.when((whole > least) & F.col("beta").isNotNull(), fitted).otherwise(F.col(y))).drop("beta")
 
 
 def split_decorrelated(rows: DataFrame, x: str, y: str, background: str, half: str, least: int = 200, whole: int = 300, rounds: int = 8) -> DataFrame:

@@ -103,7 +103,7 @@ def extract_catalog(spark: SparkSession, sf: str) -> DataFrame:
     sky = image.select("stamp_id", "row", "col", (F.col("col") * 0.01).alias("ra"), (F.col("row") * 0.01).alias("dec"))
     rank = F.row_number().over(S.by("stamp_id").orderBy(F.desc("value"), "row", "col"))
     sources = image.withColumn("source_id", rank).filter("source_id <= 3").select("stamp_id", "source_id", (F.col("col") * 0.01).alias("ra"), (F.col("row") * 0.01).alias("dec"), F.col("source_id").alias("mag"))
-    return rounded(X.catalogue_extraction(px, sky, sources, 2, "single"), 5)
+    return rounded(X.catalogue_extraction(px, sky, sources, 2, "multi", least=30), 5)
 
 
 @query()
