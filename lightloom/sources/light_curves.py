@@ -29,6 +29,8 @@ PRODUCTS = {"nm": "_nm", "resid_nm_pchip": "_resid_nm_pchip", "pw_resid_nm_pchip
 POLARIMETRY_ALIASES = {
     "jd": ("jd", "JD"), "q": ("q",), "u": ("u",), "p": ("p",), "q_err": ("q_err", "qe"), "u_err": ("u_err", "ue"), "p_err": ("p_err", "pe"),
 }
+DETREND_COLUMNS = ("flux_rel", "flux_detrended_rel", "flux_medscaled")
+CUBE_NAMES = ("*tp.fits", "*tpf.fits", "*tp.fits.gz", "*tpf.fits.gz", "*_astrocut.fits", "*_astrocut.fits.gz")
 CUBE_PATTERNS = "{*.fits,*.fits.gz,*.fit,*.fit.gz,*.fts,*.fts.gz}"
 LIGHT_CURVE = (
     "file string, ticid string, sector int, time_btjd double, sap_flux double, sap_flux_err double, pdcsap_flux double, "
@@ -82,6 +84,25 @@ def _demand(headers: DataFrame, missing: Column, what: str) -> None:
         raise ValueError(f"{what} in {bad.n} file(s), {bad.m.file} for one, which has {', '.join(bad.m.header)}")
 
 
+def find_files(spark: SparkSession, path: str | list[str], patterns: tuple[str, ...] = CUBE_NAMES, recursive: bool = False, single: str | None = None) -> DataFrame:
+    """(path) of the files of any of the patterns, each once, whatever patterns or folders name it twice; ``single``, one file, is
+    taken instead. Files are listed by Spark, none is read."""
+    reader = spark.read.format("binaryFile")
+    if single is None:
+        reader = reader.option("pathGlobFilter", "{" + ",".join(patterns) + "}").option("recursiveFileLookup", recursive)
+    return reader.load(single if single is not None else path).select("path").distinct()
+
+
+def read_for_detrending(spark: SparkSession, path: str, prefix: str = "detrended_", pattern: str = "*.csv", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(series, skipped) as ``read_mixed_directory`` gives them, by the columns that a detrending starts from. Files that are results of
+    one already, by their name (``prefix`` at the beginning, or _detrend in it), are skipped."""
+    rows, skipped = read_mixed_directory(spark, path, DETREND_COLUMNS, pattern, recursive)
+    stem = lambda c: F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]*$", "")
+    done = lambda c: stem(F.col(c)).startswith(prefix) | stem(F.col(c)).contains("_detrend")
+    again = rows.filter(done("series_id")).select(F.col("series_id").alias("file")).distinct().withColumn("reason", F.lit("already detrended"))
+    return rows.filter(~done("series_id")), skipped.unionByName(again)
+
+
 def read_csv_series(spark: SparkSession, path: str | list[str], candidates: tuple[str, ...] = FLUX_COLUMNS, forced: str | None = None, time: str = "time_btjd") -> DataFrame:
     """(series_id: file, t, t_abs, y, k, column) of all files at once; time relative to each file's first. Each file's flux is the
     forced column or the first candidate of its own header; a file without one, or without times, is an error."""

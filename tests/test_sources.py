@@ -149,3 +149,20 @@ def test_batches_survive_a_kill_between_data_and_marker(spark, tmp_path, monkeyp
     assert sorted(r.y for r in L.read_batches(spark, path).collect()) == [0, 1, 2, 3, 4]
     L.write_batch(inputs, work, path)
     assert seen[-1] == {"d"}  # a key without rows is not marked
+
+
+def test_files_are_found_once_and_results_are_skipped(spark, tmp_path):
+    below = tmp_path / "below"
+    below.mkdir()
+    for n in ("a_tp.fits", "b_tpf.fits.gz", "c_astrocut.fits", "d.fits", "e_tp.txt", "below/f_tp.fits"):
+        (tmp_path / n).write_text("x")
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    assert names(L.find_files(spark, str(tmp_path))) == ["a_tp.fits", "b_tpf.fits.gz", "c_astrocut.fits"]
+    assert names(L.find_files(spark, [str(tmp_path), str(below)], recursive=True)) == ["a_tp.fits", "b_tpf.fits.gz", "c_astrocut.fits", "f_tp.fits"]
+    assert names(L.find_files(spark, str(tmp_path), single=str(tmp_path / "d.fits"))) == ["d.fits"]
+    for n in ("one", "detrended_two", "three_detrend", "four"):
+        (below / f"{n}.csv").write_text("flux_medscaled,flux_rel,time_btjd\n7,1,10\n" if n != "four" else "flux_rel\n1\n")
+    rows, skipped = L.read_for_detrending(spark, str(below))
+    assert [(r.series_id.rsplit("/", 1)[1], r.y, r.column) for r in rows.collect()] == [("one.csv", 1, "flux_rel")]
+    got = {r.file.rsplit("/", 1)[1]: r.reason for r in skipped.collect()}
+    assert got == {"detrended_two.csv": "already detrended", "three_detrend.csv": "already detrended", "four.csv": "no time_btjd column"}
