@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined results: documents without letters (null and empty texts among them) have no language and go in the first stage, as do
+those of a doubtful one; rows that share a doc_id are one document in near-dedup, of which one row stays; of equal texts the
+smallest doc_id stays; a null doc_id is kept by near-dedup and comes first in the token files; a null source is a source of its
+own in the mix; a benchmark without words removes nothing; an empty table gives no rows; extra columns of documents go along
+up to the last stage.
 """
 
 from __future__ import annotations
