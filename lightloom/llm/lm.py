@@ -195,14 +195,17 @@ def features(run: _Run, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _summed(rows: DataFrame, blocks: int) -> list[np.ndarray]:
     """Vectors of float16 (block int, weight double, data binary) of all tasks to their sums by weight, one a block."""
 
-    def add(group: pa.Table) -> pa.Table:
-        total = 0.0
-        for data, weight in zip(group.column("data"), group.column("weight").to_pylist(), strict=True):
-            total = total + np.frombuffer(data.as_buffer(), np.float16).astype(np.float64) * weight
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One batch at a time: a block of all tasks, however many they are, is never in memory at once."""
+        total, block = 0.0, None
+        for batch in batches:
+            block = batch.column(0).slice(0, 1)
+            for data, weight in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
+                total = total + np.frombuffer(data.as_buffer(), np.float16).astype(np.float64) * weight
         data = np.asarray(total, np.float32).tobytes()
-        return pa.table({"block": group.column("block").slice(0, 1), "data": pa.array([data], pa.binary())})
+        yield pa.RecordBatch.from_arrays([block, pa.array([data], pa.binary())], ["block", "data"])
 
-    got = {r.block: np.frombuffer(r.data, np.float32) for r in rows.groupBy("block").applyInArrow(add, "block int, data binary").collect()}
+    got = {r.block: np.frombuffer(r.data, np.float32) for r in rows.select("block", "weight", "data").groupBy("block").applyInArrow(add, "block int, data binary").collect()}
     return [got[k] for k in range(blocks)] if got else []
 
 
