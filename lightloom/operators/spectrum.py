@@ -1,8 +1,9 @@
 """Periodograms and what is read from them, for all series and frequencies in one plan.
 
 A spectrum is rows (series_id, j, f, power). Grids are even (``frequency_grid``, ``local_grid``), so a sample carries only its
-series' first frequency, step and size. A task turns its samples into sums of waves with a few matrix products a series
-(``wave_sums``); no row is made for a sample and a frequency, one per task, series and frequency is shuffled.
+series' first frequency, step and size. A task turns its samples into sums of waves with a few matrix products a series, or FFTs
+where it has many (``wave_sums``); no row is made for a sample and a frequency. One per task, frequency and series of more than
+``WHOLE`` points is shuffled; smaller series are summed whole, their samples are shuffled instead.
 """
 
 from __future__ import annotations
@@ -107,6 +108,12 @@ def solved(sums: DataFrame) -> DataFrame:
 
 _BLOCK = 256
 _HELD = 1 << 22
+#: Samples that a task gathers before they become sums; those of a key, from which on they are transformed.
+_GATHERED, _MANY = 1 << 20, 4096
+#: Places a frequency and terms of ``_wave_transform``.
+_PLACES, _TERMS = 16, 9
+#: A series of so many points at most is summed whole by one task.
+WHOLE = 50_000
 
 
 def _wave_products(t: np.ndarray, weights: np.ndarray, low: float, step: float, n: int, wanted: list[tuple[int, int]]) -> np.ndarray:
@@ -115,7 +122,35 @@ def _wave_products(t: np.ndarray, weights: np.ndarray, low: float, step: float,
     exp(i w t) is a product of a block's first wave and of one inside a block, so sums are matrix products."""
     inside = np.exp(1j * TAU * step * np.outer(t, np.arange(min(_BLOCK, n))))
     starts = np.exp(1j * TAU * np.outer(t, low + step * np.arange(0, n, _BLOCK)))
-    return np.stack([((weights[k][:, None] * starts**m).T @ inside**m).ravel()[:n] for k, m in wanted])
+    powers = {1: (starts, inside)}
+    for m in range(2, max(m for _, m in wanted) + 1):
+        powers[m] = (powers[m - 1][0] * starts, powers[m - 1][1] * inside)
+    return np.stack([((weights[k][:, None] * powers[m][0]).T @ powers[m][1]).ravel()[:n] for k, m in wanted])
+
+
+def _wave_transform(t: np.ndarray, weights: np.ndarray, low: float, step: float, n: int, wanted: list[tuple[int, int]]) -> np.ndarray:
+    """As ``_wave_products``, in a time that hardly depends on n for a sample.
+
+    About the middle frequency a wave is exp(i TAU q u / size), q from -n / 2 to n / 2, u the sample's place among ``size`` even ones.
+    u is a whole number and a rest of 1 / 2 at most, so the angle of the rest is pi / (2 ``_PLACES``) at most, and ``_TERMS`` terms
+    of its power series leave 2e-15. Sums of a term by whole places are one FFT."""
+    size, middle = 1 << math.ceil(math.log2(_PLACES * n)), n // 2
+    q = np.arange(n) - middle
+    angle, out = 1j * TAU * q / size, np.zeros((len(wanted), n), complex)
+    for m in sorted({m for _, m in wanted}):
+        u = t * (m * step * size)
+        whole = np.rint(u)
+        rest, at = u - whole, np.mod(whole, size).astype(np.int64)
+        wave = np.exp(1j * TAU * (m * (low + middle * step)) * t)
+        for row, (k, own) in enumerate(wanted):
+            if own != m:
+                continue
+            z, factor = weights[k] * wave, np.ones(n, complex)
+            for term in range(_TERMS):
+                sums = np.bincount(at, z.real, size) + 1j * np.bincount(at, z.imag, size)
+                out[row] += factor * (np.fft.ifft(sums, norm="forward")[q])
+                z, factor = z * rest, factor * angle / (term + 1)
+    return out
 
 
 def wave_sums(series: DataFrame, grid: DataFrame, *keys: str, weight: Column | None = None, slope: Column | None = None) -> DataFrame:
@@ -159,7 +194,9 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
     packed = packed.select("series_id", "j0_", "low_", step.alias("step_"), "n_")
     w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
     rows = series.filter("t is not null and y is not null").select("series_id", *keys, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
-    rows = rows.filter("w_ > 0").join(packed, "series_id")
+    rows = rows.filter("w_ > 0")
+    packed = packed.join(rows.groupBy("series_id").agg(F.count("*").alias("size_")), "series_id")
+    rows = rows.join(packed, "series_id")
     names, wanted = ("series_id", *keys), list(waves.values())
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
@@ -172,29 +209,47 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
                 columns += [pa.array([x], pa.list_(pa.float64())) for x in lists]
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+    def gathered(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[tuple, tuple, np.ndarray]]:
+        """(key, place, samples) of many samples each; once only of a key if series are ``whole`` and sorted."""
+        waiting, count = {}, 0
         for batch in batches:
             code = np.zeros(batch.num_rows, np.int64)
             for n in names:
                 own = pc.dictionary_encode(batch.column(n), null_encoding="encode")
                 code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(code, kind="stable")
-            t, y, w, u, j0, low, step, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "w_", "u_", "j0_", "low_", "step_", "n_"))
-            for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []:
+            samples = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "w_", "u_")])
+            groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+            for at in sorted(groups, key=lambda at: at[0]):
                 key, i = tuple(batch.column(c)[int(at[0])].as_py() for c in names), int(at[0])
-                weights = np.stack([w[at], (w * y)[at], (w * u)[at]])
-                scalars = np.array([*[x.sum() for x in (w[at], (w * y)[at], (w * y * y)[at], (w * u * u)[at], (w * u * y)[at])], float(len(at))])
-                for k in range(0, len(at), 4096):  # a hot series' batch in pieces
-                    rows = slice(k, k + 4096)
-                    made = _wave_products(t[at[rows]], weights[:, rows], low[i], step[i], int(n[i]), wanted)
-                    total = made if k == 0 else total + made
-                if key in held:
-                    place, old, sums = held[key]
-                    held[key] = (place, old + scalars, sums + total)
-                else:
-                    held[key] = ((int(j0[i]), float(low[i]), float(step[i])), scalars, total)
-                    size += total.size
+                if key not in waiting:
+                    j0, low, step, n = (batch.column(c)[i].as_py() for c in ("j0_", "low_", "step_", "n_"))
+                    waiting[key] = ((j0, low, step, n), [])
+                waiting[key][1].append(samples[:, at])
+            count += batch.num_rows
+            if count > _GATHERED:
+                for key in list(waiting)[: -1 if whole else None]:
+                    place, pieces = waiting.pop(key)
+                    yield key, place, np.concatenate(pieces, 1)
+                count = sum(x.shape[1] for _, pieces in waiting.values() for x in pieces)
+        for key, (place, pieces) in waiting.items():
+            yield key, place, np.concatenate(pieces, 1)
+
+    def add(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for key, (j0, low, step, n), (t, y, w, u) in gathered(batches, whole):
+            weights = np.stack([w, w * y, w * u])
+            scalars = np.array([*[x.sum() for x in (w, w * y, w * y * y, w * u * u, w * u * y)], float(len(t))])
+            if len(t) >= _MANY:
+                total = _wave_transform(t, weights, low, step, n, wanted)
+            else:
+                total = _wave_products(t, weights, low, step, n, wanted)
+            if key in held:
+                place, old, sums = held[key]
+                held[key] = (place, old + scalars, sums + total)
+            else:
+                held[key] = ((j0, low, step), scalars, total)
+                size += total.size
             if size > _HELD:
                 yield from emit(held)
                 held, size = {}, 0
@@ -209,10 +264,16 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         schema = schema.add(n, "long" if n in ("j0_", "off_") else "double")
     for n in parts_of:
         schema = schema.add(n, T.ArrayType(T.DoubleType()))
-    parts = rows.mapInArrow(add, schema)
-    each = parts.select(*names, "j0_", "off_", "low_", "step_", *plain, F.posexplode(F.arrays_zip(*parts_of)).alias("at_", "z_"))
-    each = each.withColumn("j", F.col("j0_") + F.col("at_")).withColumn("f", F.col("low_") + F.col("step_") * (F.col("off_") + F.col("at_")))
-    return each.groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in plain], *[F.sum(F.col("z_")[n]).alias(n) for n in parts_of])
+    def sums(rows: DataFrame, whole: bool) -> DataFrame:
+        parts = rows.mapInArrow(lambda batches: add(batches, whole), schema)
+        each = parts.select(*names, "j0_", "off_", "low_", "step_", *plain, F.posexplode(F.arrays_zip(*parts_of)).alias("at_", "z_"))
+        each = each.withColumn("j", F.col("j0_") + F.col("at_") + F.lit(0).cast("long")).withColumn("f", F.col("low_") + F.col("step_") * (F.col("off_") + F.col("at_")))
+        return each.select(*names, "j", "f", *plain, *[F.col("z_")[n].alias(n) for n in parts_of])
+
+    # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points
+    small = rows.filter(F.col("size_") <= WHOLE).repartition("series_id").sortWithinPartitions(*names)
+    large = sums(rows.filter(F.col("size_") > WHOLE), False)
+    return sums(small, True).unionByName(large.groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in (*plain, *parts_of)]))
 
 
 def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -475,9 +536,14 @@ def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y", baseline: Base
     angle = TAU * F.col("f_") * F.col("t")
     wave = F.coalesce(F.col("s_") * F.sin(angle) + F.col("c_") * F.cos(angle), F.lit(0.0))
     joined = joined.withColumn("rest_", F.col(y) - wave)
-    group, rest = by("series_id", *([b.night] if b.night else [])), F.col("rest_")
-    mean = lambda x: F.coalesce(F.sum(b.w * x).over(group) / F.nullif(F.sum(F.when(x.isNotNull(), b.w)).over(group), F.lit(0.0)), F.lit(0.0))
-    fitted = mean(rest) if b.offsets else F.lit(0.0)
+    keys, rest = ["series_id", *([b.night] if b.night else [])], F.col("rest_")
+    group = by(*keys)
+    if b.offsets:  # one mean a series or night, from an aggregate: no window has to hold a long series
+        mean = F.sum(b.w * rest) / F.nullif(F.sum(F.when(rest.isNotNull(), b.w)), F.lit(0.0))
+        means = joined.filter("f_ is not null").groupBy(*[F.col(k).alias(f"{k}_m") for k in keys]).agg(mean.alias("mean_"))
+        same = [F.col(k).eqNullSafe(F.col(f"{k}_m")) for k in keys]
+        joined = joined.join(F.broadcast(means), same, "left").drop(*[f"{k}_m" for k in keys])
+    fitted = F.coalesce("mean_", F.lit(0.0)) if b.offsets else F.lit(0.0)
     if b.slopes:
         joined = joined.withColumn("u0_", _night_slopes(series, b))
         ratio = F.sum(b.w * F.col("u0_") * rest).over(group) / F.nullif(F.sum(b.w * F.col("u0_") * F.col("u0_")).over(group), F.lit(0.0))
