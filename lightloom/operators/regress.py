@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..tables import stored
 from .series import ROBUST, by
@@ -145,12 +148,79 @@ def extractor_features(series: DataFrame, x: str, y: str, background: str | None
     return out, [*names, *([f"{background}_c", f"{background}_cc"] if background else [])]
 
 
-def robust_fit(rows: DataFrame, features: list[str], y: str, rounds: int = 8, keys: tuple = ("series_id",), stop: bool = False) -> DataFrame:
-    """Huber weights by reweighted least squares, all series in step; (keys, beta).
+#: A series of so many points at most is fitted whole by one task, all rounds at once.
+WHOLE = 50_000
+
+
+def pseudo_solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least-norm solution of one system of normal equations, as ``solve`` finds it; zeros where a sum is not finite."""
+    if not (np.isfinite(a).all() and np.isfinite(b).all()):
+        a = np.zeros_like(a)
+    diagonal = np.diagonal(a)
+    scale = np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    outer = np.outer(scale, scale)
+    return (np.linalg.pinv(a / outer, rcond=1e-12, hermitian=True) / outer) @ b
+
 
-    A round joins the last coefficients (one row a series), scales residuals by 1.4826 MAD (the standard deviation where
+def _huber(x: np.ndarray, y: np.ndarray, rounds: int, stop: bool) -> np.ndarray:
+    """The coefficients of ``robust_fit`` for one series."""
+    beta = pseudo_solved(x.T @ x, x.T @ y)
+    for _ in range(rounds):
+        rest = y - x @ beta
+        mad = ROBUST * np.median(np.abs(rest - np.median(rest)))
+        if stop and mad == 0:
+            break
+        sigma = mad if mad > 0 else rest.std()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = np.abs(rest) / (1.5 * sigma)
+            weight = np.where(u > 1, 1 / u, 1.0) if sigma > 0 else np.ones(len(y))
+        former, beta = beta, pseudo_solved((x * weight[:, None]).T @ x, x.T @ (weight * y))
+        if stop and (np.abs(former - beta) <= 1e-9 + 1e-6 * np.abs(former)).all():
+            break
+    return beta
+
+
+def robust_fit(rows: DataFrame, features: list[str], y: str, rounds: int = 8, keys: tuple = ("series_id",), stop: bool = False) -> DataFrame:
+    """Huber weights by reweighted least squares; (keys, beta). A round scales residuals by 1.4826 MAD (the standard deviation where
     that is 0) and refits. With ``stop`` a series keeps its coefficients once its MAD is 0 or they have settled.
-    """
+
+    Series of ``WHOLE`` complete points at most meet once in one task each, which does their rounds; longer ones, and those with
+    gaps in y or a feature, go through the rounds in step (``_robust_rounds``)."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *features)])
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size_"), F.count_if(whole).alias("complete_"))
+    large = stored(sizes.filter((F.col("size_") > WHOLE) | (F.col("size_") > F.col("complete_"))).select(*keys), "large")
+    small = rows.join(F.broadcast(large), list(keys), "left_anti").filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    named = small.select(*keys, F.array(*[F.col(f).cast("double") for f in features], F.col(y).cast("double")).alias("x_"))
+    schema, p = T.StructType([named.schema[k] for k in keys]).add("beta", _VECTOR), len(features)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, points, out = {}, 0, []
+        for batch in itertools.chain(batches, [None]):  # rows come sorted by key: only the last one may go on
+            if batch is not None:
+                code = np.zeros(batch.num_rows, np.int64)
+                for k in keys:
+                    own = pc.dictionary_encode(batch.column(k), null_encoding="encode")
+                    code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
+                values = batch.column("x_").flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 1)
+                edges = np.r_[0, np.flatnonzero(np.diff(code)) + 1, batch.num_rows] if batch.num_rows else [0]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    held.setdefault(tuple(batch.column(k)[int(a)].as_py() for k in keys), []).append(values[a:b])
+            for key in list(held)[: -1 if batch is not None else None]:
+                x = np.concatenate(held.pop(key))
+                out.append((*key, _huber(x[:, :p], x[:, p], rounds, stop)))
+            if out and (batch is None or len(out) > 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
+                out = []
+
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    fits = named.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fit, schema)
+    if large.isEmpty():
+        return fits
+    return fits.unionByName(_robust_rounds(rows.join(large, list(keys), "left_semi"), features, y, rounds, keys, stop))
+
+
+def _robust_rounds(rows: DataFrame, features: list[str], y: str, rounds: int, keys: tuple, stop: bool) -> DataFrame:
+    """``robust_fit`` by Spark's own sums: all series in step, a round joins the last coefficients (one row a series)."""
     w = by(*keys)
     fits = least_squares(rows, features, y, keys=keys).select(*keys, "beta", F.lit(False).alias("done"))
     for _ in range(rounds):
@@ -194,25 +264,26 @@ def split_decorrelated(rows: DataFrame, x: str, y: str, background: str, half: s
 def background_scale(series: DataFrame, background: str, steps: int = 200, factor: float = 2.0, least: int = 100) -> DataFrame:
     """(series_id, k): the multiple of the background whose removal leaves the least noise of first differences over the
     median; 0 for series of fewer than ``least`` points or without a background. The noise of a multiple follows from three
-    sums over the differences; only its median looks at the samples again, as one array a series."""
-
-    @F.pandas_udf("double")
-    def best(rows: pd.Series) -> pd.Series:
-        out = []
-        for own in rows:
-            y, b = (np.array([r[c] for r in own], float) for c in ("y", "b"))
-            my, mb = np.median(y), np.median(b)
-            if len(y) < least or mb == 0:
-                out.append(0.0)
-                continue
-            ks, dy, db = np.arange(steps) * (factor * my / mb) / (steps - 1), np.diff(y), np.diff(b)
-            (vy, vyb), (_, vb) = np.cov(dy, db, bias=True)
-            noise = np.sqrt(np.maximum(vy - 2 * ks * vyb + ks * ks * vb, 0.0))
-            medians = np.array([np.median(y - k * b) for k in ks])
-            out.append(float(ks[np.argmin(noise / np.where(medians != 0, np.abs(medians), 1.0))]))
-        return pd.Series(out, dtype=float)
+    sums over the differences; only its median looks at the samples again, as two arrays a series."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for y, b in zip(batch.column("y"), batch.column("b"), strict=True):
+                y, b = (c.values.to_numpy(zero_copy_only=False) for c in (y, b))  # noqa: PLW2901
+                my, mb = np.median(y), np.median(b)
+                if len(y) < least or mb == 0:
+                    out.append(0.0)
+                    continue
+                ks, dy, db = np.arange(steps) * (factor * my / mb) / (steps - 1), np.diff(y), np.diff(b)
+                (vy, vyb), (_, vb) = np.cov(dy, db, bias=True)
+                noise = np.sqrt(np.maximum(vy - 2 * ks * vyb + ks * ks * vb, 0.0))
+                medians = np.array([np.median(y - k * b) for k in ks])
+                out.append(float(ks[np.argmin(noise / np.where(medians != 0, np.abs(medians), 1.0))]))
+            yield pa.RecordBatch.from_arrays([batch.column("series_id"), pa.array(out, pa.float64())], ["series_id", "k"])
 
     sorted_rows = F.sort_array(F.collect_list(F.struct("t", "k", F.col("y").cast("double").alias("y"), F.col(background).cast("double").alias("b"))))
     own = series.filter(F.col("y").isNotNull() & F.col(background).isNotNull()).groupBy("series_id").agg(sorted_rows.alias("rows"))
-    values = F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["b"].alias("b")))
-    return own.select("series_id", best(values).alias("k"))
+    part = lambda c: F.transform("rows", lambda r: r[c]).alias(c)
+    # two plain arrays a series: a task's Python looks at the numbers in Arrow's own memory and makes no object of a point
+    return own.select("series_id", part("y"), part("b")).mapInArrow(best, T.StructType([series.schema["series_id"]]).add("k", "double"))
