@@ -72,7 +72,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_cubes(cubes, 8)
 
 
+def _half_away(x: F.Column, digits: int) -> F.Column:
+    """As SQL's round of a double: its multiple, to the nearest whole number, halves away from zero. (Spark's own rounds the shortest
+    decimal that stands for the double, so 0.06445 goes up though the double's multiple is under 644.5.)"""
+    scale = 10.0**digits
+    scaled = F.abs(x) * scale
+    whole = F.rint(scaled)
+    near = F.when(scaled - whole == 0.5, whole + 1).otherwise(whole)
+    return F.when(scaled == float("inf"), x).otherwise(F.signum(x) * near / scale)
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Columns (all doubles, if none are named) rounded; minus zero becomes zero."""
-    names = columns or tuple(n for n, kind in df.dtypes if kind == "double")
-    return df.withColumns({c: F.round(c, digits) + 0.0 for c in names})
+    kinds = dict(df.dtypes)
+    names = columns or tuple(n for n, kind in kinds.items() if kind == "double")
+    return df.withColumns({c: (_half_away(F.col(c), digits) if kinds[c] == "double" else F.round(c, digits)) + 0.0 for c in names})

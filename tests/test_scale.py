@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lightloom.operators import modes as M
 from lightloom.operators import regress as R
 from lightloom.operators import spectrum as P
+from lightloom.plans.registry import rounded
 
 
 def _plan(df):
@@ -72,3 +73,12 @@ def test_global_refinement_shuffles_no_waves(spark, monkeypatch):
         monkeypatch.setattr(M, "WHOLE", limit)
         got = M._mode_fits(df, modes, 2, False, b).collect()
         assert len(got) == 1 and np.allclose(got[0].beta, want, atol=1e-8)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [0.06445, -0.06445, 0.00005, 1.00005, 2.5, 0.12345, 1e305, -0.00001, 0.0, None, 1.005, 64.45 * 0.001]
+    got = [r.x for r in rounded(spark.createDataFrame([(v,) for v in values], "x double"), 4).collect()]
+    want = [r[0] for r in duckdb.sql("SELECT round(x, 4) + 0.0 FROM (SELECT unnest([" + ", ".join("NULL" if v is None else f"{v!r}::DOUBLE" for v in values) + "]) AS x)").fetchall()]
+    assert got == want and got[0] == 0.0644
