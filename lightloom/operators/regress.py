@@ -278,7 +278,8 @@ def background_scale(series: DataFrame, background: str, steps: int = 200, facto
                 ks, dy, db = np.arange(steps) * (factor * my / mb) / (steps - 1), np.diff(y), np.diff(b)
                 (vy, vyb), (_, vb) = np.cov(dy, db, bias=True)
                 noise = np.sqrt(np.maximum(vy - 2 * ks * vyb + ks * ks * vb, 0.0))
-                medians = np.array([np.median(y - k * b) for k in ks])
+                block = max(1, (1 << 20) // len(y))
+                medians = np.concatenate([np.median(y - ks[a : a + block, None] * b, axis=1) for a in range(0, steps, block)])
                 out.append(float(ks[np.argmin(noise / np.where(medians != 0, np.abs(medians), 1.0))]))
             yield pa.RecordBatch.from_arrays([batch.column("series_id"), pa.array(out, pa.float64())], ["series_id", "k"])
 
