@@ -3,16 +3,22 @@ driver sees only how many series go on."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
-from .regress import least_squares, predicted, solve
+from .regress import least_squares, predicted, pseudo_solved, solve
 from .series import by, clean, longest_chunk
-from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
@@ -140,34 +146,108 @@ def matched(local: DataFrame, components: DataFrame) -> DataFrame:
     return both.select("series_id", F.inline(F.aggregate("own_", zero, step)["done"]))
 
 
-def _multi_features(series: DataFrame, modes: DataFrame, most: int, slopes: bool, b: Baseline) -> tuple[DataFrame, list[str]]:
-    """Waves of each mode (and their slopes in frequency) and y, less the baseline of each, by the square roots of the weights."""
-    own = F.struct("f", *(["s_coeff", "c_coeff"] if slopes else []))
-    packed = modes.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("mode", own))).alias("m_"))
-    rows, made = series.join(packed, "series_id"), {}
-    for m in range(1, most + 1):
-        own = F.try_element_at("m_", F.lit(m))
-        angle = TAU * own["f"] * F.col("t")
-        made |= {f"s{m}": F.coalesce(F.sin(angle), F.lit(0.0)), f"c{m}": F.coalesce(F.cos(angle), F.lit(0.0))}
+def _mode_fits(series: DataFrame, modes: DataFrame, most: int, slopes: bool, b: Baseline) -> DataFrame:
+    """(series_id, beta, rss): all waves of a series at once (with ``slopes`` also their slopes in frequency), beside the baseline.
+
+    Tasks turn samples into one matrix of sums of products a series and night, of the baseline's columns too, and the baseline is
+    projected off the sums; no sample is shuffled with its waves. Series of ``WHOLE`` points at most meet in one task each, of
+    longer ones each task gives its own sums."""
+    own = F.struct("mode", F.col("f").cast("double").alias("f"), *([F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s_coeff", "c_coeff")] if slopes else []))
+    packed = modes.groupBy("series_id").agg(F.sort_array(F.collect_list(own)).alias("m_"))
+    part = lambda c: F.transform("m_", lambda m: m[c]).alias(f"{c}_")
+    packed = packed.select("series_id", *[part(c) for c in ("f", *(("s_coeff", "c_coeff") if slopes else ()))])
+    rows = series.withColumn("u_", _night_slopes(series, b) if b.slopes else F.lit(0.0)).withColumn("w_", b.w)
+    keys = ("series_id", *([b.night] if b.night else []))
+    rows = rows.select(*keys, F.col("t").cast("double"), F.col("y").cast("double"), "u_", "w_").filter("t is not null and y is not null and w_ > 0")
+    sizes = rows.groupBy("series_id").agg(F.count("*").alias("size_"))
+    rows = rows.join(packed.join(sizes, "series_id"), "series_id")
+    first = int(b.offsets) + int(b.slopes)
+    wide = first + (3 if slopes else 2) * most + 1
+
+    def products(own: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+        t, y, u, w = (own.column(c).to_numpy(zero_copy_only=False)[at] for c in ("t", "y", "u_", "w_"))
+        f, *coeff = (np.array(own.column(c)[int(at[0])].as_py(), float) for c in (["f_", "s_coeff_", "c_coeff_"] if slopes else ["f_"]))
+        angle = TAU * np.outer(t, f)
+        sin, cos = np.sin(angle), np.cos(angle)
+        x, each = np.zeros((len(t), wide)), 3 if slopes else 2
+        if b.offsets:
+            x[:, 0] = 1.0
+        if b.slopes:
+            x[:, first - 1] = u
+        end = first + each * len(f)
+        x[:, first:end:each], x[:, first + 1 : end : each] = sin, cos
         if slopes:
-            made[f"d{m}"] = F.coalesce(TAU * F.col("t") * (own["s_coeff"] * F.cos(angle) - own["c_coeff"] * F.sin(angle)), F.lit(0.0))
-    group = by("series_id", *([b.night] if b.night else []))
-    rows = rows.withColumns(made).withColumn("yc_", F.col("y"))
-    every = [*made, "yc_"]
-    if b.offsets:
-        total = F.nullif(F.sum(b.w).over(group), F.lit(0.0))
-        rows = rows.withColumns({n: F.col(n) - F.coalesce(F.sum(b.w * F.col(n)).over(group) / total, F.lit(0.0)) for n in every})
-    if b.slopes:
-        rows = rows.withColumn("u_", _night_slopes(series, b))
-        steep = F.nullif(F.sum(b.w * F.col("u_") * F.col("u_")).over(group), F.lit(0.0))
-        rows = rows.withColumns({n: F.col(n) - F.col("u_") * F.coalesce(F.sum(b.w * F.col("u_") * F.col(n)).over(group) / steep, F.lit(0.0)) for n in every})
-    return rows.withColumns({n: F.sqrt(b.w) * F.col(n) for n in every}), list(made)
+            x[:, first + 2 : end : each] = TAU * t[:, None] * (coeff[0] * cos - coeff[1] * sin)
+        x[:, -1] = y
+        return (x * w[:, None]).T @ x
+
+    def parts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[tuple, np.ndarray]]:
+        held = {}
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for n in keys:
+                of = pc.dictionary_encode(batch.column(n), null_encoding="encode")
+                code = code * (len(of.dictionary) + 1) + of.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+            for at in sorted(groups, key=lambda at: at[0]):
+                key, total = tuple(batch.column(n)[int(at[0])].as_py() for n in keys), products(batch, at)
+                held[key] = held[key] + total if key in held else total
+            last = next(reversed(held))[0] if held else None
+            if whole or len(held) * wide * wide > 1 << 22:
+                for key in [k for k in held if not (whole and k[0] == last)]:
+                    yield key, held.pop(key)
+        yield from held.items()
+
+    def solved(sums: Iterator[tuple[tuple, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Of consecutive matrices of each series."""
+        out = []
+        for name, nights in itertools.groupby(sums, lambda x: x[0][0]):
+            total = np.zeros((wide - first, wide - first))
+            for _, m in nights:
+                for i in range(first):
+                    if m[i, i] > 0:
+                        m = m - np.outer(m[i], m[i]) / m[i, i]  # noqa: PLW2901
+                total = total + m[first:, first:]
+            xx, xy, yy = total[:-1, :-1], total[:-1, -1], total[-1, -1]
+            beta = pseudo_solved(xx, xy)
+            out.append((name, beta, max(float(yy - beta @ xy), 0.0)))
+            if len(out) >= 1000:
+                yield told(out)
+                out = []
+        if out:
+            yield told(out)
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from solved(parts(batches, True))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, m in parts(batches, False):
+            columns = [pa.array([v], kind) for v, kind in zip(key, key_kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([m.ravel()], pa.list_(pa.float64()))], [*keys, "sums"])
+
+    def united(table: pa.Table) -> pa.Table:
+        """One long series: the matrices of all tasks, night by night."""
+        sums = {}
+        for i in range(table.num_rows):
+            key = tuple(table.column(n)[i].as_py() for n in keys)
+            own = np.array(table.column("sums")[i].as_py(), float).reshape(wide, wide)
+            sums[key] = sums[key] + own if key in sums else own
+        return pa.Table.from_batches(list(solved(iter(sums.items()))))
+
+    schema = T.StructType([rows.schema["series_id"]]).add("beta", T.ArrayType(T.DoubleType())).add("rss", "double")
+    kinds, key_kinds = [to_arrow_type(x.dataType) for x in schema], [to_arrow_type(rows.schema[n].dataType) for n in keys]
+    small = rows.filter(F.col("size_") <= WHOLE).repartition("series_id").sortWithinPartitions(*keys).mapInArrow(whole, schema)
+    sums = rows.filter(F.col("size_") > WHOLE).mapInArrow(partial, T.StructType([rows.schema[n] for n in keys]).add("sums", T.ArrayType(T.DoubleType())))
+    return small.unionByName(sums.groupBy("series_id").applyInArrow(united, schema))
 
 
 def _linear(series: DataFrame, modes: DataFrame, most: int, b: Baseline) -> DataFrame:
     """modes with s_coeff, c_coeff and the fit's rss, all waves of a series at once."""
-    rows, names = _multi_features(series, modes, most, False, b)
-    beta = least_squares(rows, names, "yc_").select("series_id", "beta", "rss")
+    beta = _mode_fits(series, modes, most, False, b)
     at = (F.col("mode") - 1) * 2
     return modes.drop("s_coeff", "c_coeff", "rss").join(beta, "series_id").withColumns({"s_coeff": F.get("beta", at), "c_coeff": F.get("beta", at + 1)}).drop("beta")
 
@@ -191,8 +271,7 @@ def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rou
         return start.select("series_id", "mode", "f", *[F.lit(None).cast("double").alias(c) for c in ("s_coeff", "c_coeff", "rss")])
     best = stored(_linear(series, start, most, b).withColumn("damp", F.lit(1.0)), "refined")
     for _ in range(rounds):
-        rows, names = _multi_features(series, best, most, True, b)
-        beta = least_squares(rows, names, "yc_").select("series_id", "beta")
+        beta = _mode_fits(series, best, most, True, b).select("series_id", "beta")
         step = F.coalesce(F.get("beta", (F.col("mode") - 1) * 3 + 2), F.lit(0.0)) * F.col("damp")
         moved = best.join(beta, "series_id").withColumn("f", F.least(F.greatest(F.col("f") + step, F.col("low")), F.col("high")))
         tried = _linear(series, moved.drop("beta"), most, b)
