@@ -16,9 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
-from .regress import least_squares, predicted, pseudo_solved, solve
+from .regress import least_squares, predicted, pseudo_solved
 from .series import by, clean, longest_chunk
-from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_sums, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
@@ -430,9 +430,7 @@ def harmonic_features(series: DataFrame, harmonics: int, f: str = "f") -> tuple[
 
 def multiharmonic_power(series: DataFrame, grid: DataFrame, harmonics: int = 5) -> DataFrame:
     """Share of the variance that an offset and ``harmonics`` sinusoids remove, for each frequency of an even grid."""
-    sums = harmonic_sums(series, grid, harmonics)
-    fits = sums.withColumn("fit_", solve("xx", "xy", "yy", "n")).select("series_id", "j", "f", F.col("fit_.rss").alias("rss"), (F.col("yy") - F.get("xy", F.lit(0)) * F.get("xy", F.lit(0)) / F.col("n")).alias("total"))
-    return fits.select("series_id", "j", "f", F.greatest(F.lit(0.0), 1 - F.col("rss") / F.nullif(F.col("total"), F.lit(0.0))).alias("power"))
+    return harmonic_power(series, grid, harmonics)
 
 
 def harmonic_snr(spectrum: DataFrame, at: DataFrame, share: float = 0.02, guard: int = 5) -> DataFrame:
@@ -462,9 +460,8 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
         low, high = F.greatest("first_", F.col("f") * (1 - reach)), F.least("last_", F.col("f") * (1 + reach))
         window = go.join(ends, "series_id").select("series_id", F.col("f").alias("at_"), low.alias("low_"), high.alias("high_"))
         for _ in range(3):
-            points = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("j")
-            fine = window.select("series_id", "low_", "high_", points).select("series_id", "j", (F.col("low_") + F.col("j") * (F.col("high_") - F.col("low_")) / (steps - 1)).alias("f"))
-            finest = strongest(multiharmonic_power(left, fine, harmonics)).select("series_id", "f").join(window, "series_id")
+            fine = window.select("series_id", F.lit(0).cast("long").alias("j0_"), "low_", "high_", F.lit(steps).cast("long").alias("n_"))
+            finest = harmonic_power(left, fine, harmonics, best=True).select("series_id", "f").join(window, "series_id")
             step = (F.col("high_") - F.col("low_")) / (steps - 1)
             window = stored(finest.select("series_id", F.col("f").alias("at_"), F.greatest("low_", F.col("f") - step).alias("low_"), F.least("high_", F.col("f") + step).alias("high_")), "harmonic-window")
         rows, names = harmonic_features(left.join(window.select("series_id", F.col("at_").alias("f")), "series_id", "left"), harmonics)

@@ -60,13 +60,8 @@ def normal_sums(rows: DataFrame, features: list[str], y: str, weight: Column | N
     return sums.select(*keys, xx.alias("xx"), F.array(*[F.col(f"xy{i}") for i in p]).alias("xy"), "yy", "n")
 
 
-@F.pandas_udf(T.StructType().add("beta", _VECTOR).add("cov", _VECTOR).add("rss", T.DoubleType()))
-def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Least-norm solution, covariance (pseudo-inverse times rss / max(n - p, 1)) and residual sum of squares."""
-    if not len(xx):
-        return pd.DataFrame({"beta": [], "cov": [], "rss": []})
-    b = np.stack([np.asarray(x, float) for x in xy])
-    a = np.stack([np.asarray(x, float) for x in xx]).reshape(len(b), b.shape[1], b.shape[1])
+def least_norm(a: np.ndarray, b: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pseudo-inverses, least-norm solutions, residual sums of squares) of many normal equations; ``a`` is overwritten."""
     whole = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
     a[~whole] = 0.0
     diagonal = np.einsum("kii->ki", a)
@@ -74,7 +69,17 @@ def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataF
     outer = scale[:, :, None] * scale[:, None, :]
     inverse = np.linalg.pinv(a / outer, rcond=1e-12, hermitian=True) / outer
     beta = np.einsum("kij,kj->ki", inverse, b)
-    rss = np.maximum(yy.to_numpy(float) - np.einsum("ki,ki->k", beta, b), 0.0)
+    return inverse, beta, np.maximum(yy - np.einsum("ki,ki->k", beta, b), 0.0)
+
+
+@F.pandas_udf(T.StructType().add("beta", _VECTOR).add("cov", _VECTOR).add("rss", T.DoubleType()))
+def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Least-norm solution, covariance (pseudo-inverse times rss / max(n - p, 1)) and residual sum of squares."""
+    if not len(xx):
+        return pd.DataFrame({"beta": [], "cov": [], "rss": []})
+    b = np.stack([np.asarray(x, float) for x in xy])
+    a = np.stack([np.asarray(x, float) for x in xx]).reshape(len(b), b.shape[1], b.shape[1])
+    inverse, beta, rss = least_norm(a, b, yy.to_numpy(float))
     cov = inverse * (rss / np.maximum(n.to_numpy(float) - b.shape[1], 1))[:, None, None]
     return pd.DataFrame({"beta": list(beta), "cov": list(cov.reshape(len(b), -1)), "rss": rss})
 

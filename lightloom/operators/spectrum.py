@@ -8,9 +8,10 @@ where it has many (``wave_sums``); no row is made for a sample and a frequency.
 
 from __future__ import annotations
 
+import itertools
 import math
 from bisect import bisect, bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, amplitude_error, phase, phase_error, signal_weight
+from .regress import least_norm
 from .series import by, trimmed_median
 
 TAU = 2 * math.pi
@@ -32,6 +34,16 @@ KFIT = 3.0
 SIDES, SIDE_BINS, TRIM = 15.0, 30, 0.1
 
 
+class Fit(NamedTuple):
+    """What a task makes of one series' sums: ``of`` takes the sums without waves of each of its keys (keys by n0, sy, syy, uu, uy,
+    points) and those of waves (keys by waves by frequencies) and gives ``columns``, each an array with nulls or NaN. With ``least``
+    only the frequency of the smallest value of that column stays."""
+
+    columns: tuple[str, ...]
+    of: Callable[[np.ndarray, np.ndarray], list[pa.Array]]
+    least: str | None = None
+
+
 class Baseline(NamedTuple):
     """What stands beside a sinusoid in a fit: one offset, or an offset and a slope (or either) for each ``night``; ``weight``
     names the column of the points' weights."""
@@ -110,8 +122,8 @@ _BLOCK = 256
 _HELD = 1 << 22
 #: Samples that a task gathers before they become sums; those of a key, from which on they are transformed.
 _GATHERED, _MANY = 1 << 20, 4096
-#: Places a frequency and terms of ``_wave_transform``.
-_PLACES, _TERMS = 16, 9
+#: Places a frequency and terms of ``_wave_transform`` that leave 2e-15: many places and few terms for many samples.
+_PLACES = ((2, 17), (4, 13), (8, 11), (16, 9), (64, 7))
 #: A series of so many points at most is summed whole by one task.
 WHOLE = 50_000
 
@@ -132,9 +144,10 @@ def _wave_transform(t: np.ndarray, weights: np.ndarray, low: float, step: float,
     """As ``_wave_products``, in a time that hardly depends on n for a sample.
 
     About the middle frequency a wave is exp(i TAU q u / size), q from -n / 2 to n / 2, u the sample's place among ``size`` even ones.
-    u is a whole number and a rest of 1 / 2 at most, so the angle of the rest is pi / (2 ``_PLACES``) at most, and ``_TERMS`` terms
+    u is a whole number and a rest of 1 / 2 at most, so the angle of the rest is pi / (2 places) at most, and some terms
     of its power series leave 2e-15. Sums of a term by whole places are one FFT."""
-    size, middle = 1 << math.ceil(math.log2(_PLACES * n)), n // 2
+    places, terms = min(_PLACES, key=lambda x: x[1] * (10 * len(t) + x[0] * n * math.log2(2 * x[0] * n)))
+    size, middle = 1 << math.ceil(math.log2(places * n)), n // 2
     q = np.arange(n) - middle
     angle, out = 1j * TAU * q / size, np.zeros((len(wanted), n), complex)
     for m in sorted({m for _, m in wanted}):
@@ -146,7 +159,7 @@ def _wave_transform(t: np.ndarray, weights: np.ndarray, low: float, step: float,
             if own != m:
                 continue
             z, factor = weights[k] * wave, np.ones(n, complex)
-            for term in range(_TERMS):
+            for term in range(terms):
                 sums = np.bincount(at, z.real, size) + 1j * np.bincount(at, z.imag, size)
                 out[row] += factor * (np.fft.ifft(sums, norm="forward")[q])
                 z, factor = z * rest, factor * angle / (term + 1)
@@ -186,17 +199,50 @@ def harmonic_sums(series: DataFrame, grid: DataFrame, harmonics: int) -> DataFra
     return sums.select("series_id", "j", "f", xx.alias("xx"), xy.alias("xy"), F.col("syy").alias("yy"), F.col("n0").cast("long").alias("n"))
 
 
-def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | None, slope: Column | None, waves: dict[str, tuple[int, int]]) -> DataFrame:
+def harmonic_power(series: DataFrame, grid: DataFrame, harmonics: int, best: bool = False) -> DataFrame:
+    """(series_id, j, f, power): share of the variance that an offset and ``harmonics`` sinusoids remove, solved where the sums are; with
+    ``best`` only the frequency of the largest."""
+    count = range(1, harmonics + 1)
+    waves = {f"w{m}": (0, m) for m in range(1, 2 * harmonics + 1)} | {f"y{h}": (1, h) for h in count}
+    of = [("c", 0)] + [(kind, h) for h in count for kind in "sc"]
+
+    def powers(plain: np.ndarray, sums: np.ndarray) -> list[pa.Array]:
+        (n0, sy, syy, *_), own = plain[0], sums[0]
+        size = own.shape[1]
+        cos = lambda m: own[abs(m) - 1].real if m else np.full(size, n0)
+        sin = lambda m: own[abs(m) - 1].imag * (1 if m > 0 else -1) if m else np.zeros(size)
+        xx = np.empty((size, len(of), len(of)))
+        for i, (x, h) in enumerate(of):
+            for k, (y, g) in enumerate(of):
+                if x == y:
+                    xx[:, i, k] = (cos(h - g) + (1 if x == "c" else -1) * cos(h + g)) / 2
+                else:
+                    a, b = (h, g) if x == "s" else (g, h)
+                    xx[:, i, k] = (sin(a + b) + sin(a - b)) / 2
+        xy = np.stack([np.full(size, sy), *[z for h in own[2 * harmonics :] for z in (h.imag, h.real)]], 1)
+        rss, total = least_norm(xx, xy, np.full(size, syy))[2], syy - sy * sy / n0
+        power = np.maximum(1 - rss / total, 0.0) if total != 0 else np.zeros(size)
+        return [pa.array(power), *([pa.array(-power)] if best else [])]
+
+    fit = Fit(("power", "less_"), powers, "less_") if best else Fit(("power",), powers)
+    return _summed(series, grid, (), None, None, waves, fit).select("series_id", "j", "f", "power")
+
+
+def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | None, slope: Column | None, waves: dict[str, tuple[int, int]], fit: Fit | None = None) -> DataFrame:
     """By series_id, keys, j and f the sums n0, sy, syy, uu, uy, and of each named wave (weight w, w y or w u as 0, 1 or 2; multiple
-    of the frequency) its cosine and sine parts, name + c and name + s."""
-    packed = grid.groupBy("series_id").agg(F.min("j").alias("j0_"), F.min("f").alias("low_"), F.max("f").alias("high_"), F.count("*").alias("n_"))
+    of the frequency) its cosine and sine parts, name + c and name + s. With ``fit`` a task makes its columns of a series' sums,
+    by series_id, j and f. ``grid`` may also be packed: series_id, j0_, low_, high_, n_."""
+    packed = grid if "low_" in grid.columns else grid.groupBy("series_id").agg(F.min("j").alias("j0_"), F.min("f").alias("low_"), F.max("f").alias("high_"), F.count("*").alias("n_"))
     step = F.coalesce((F.col("high_") - F.col("low_")) / F.nullif(F.col("n_") - 1, F.lit(0)), F.lit(0.0))
     packed = packed.select("series_id", "j0_", "low_", step.alias("step_"), "n_")
     w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
     rows = series.filter("t is not null and y is not null").select("series_id", *keys, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
     rows = rows.filter("w_ > 0")
     packed = packed.join(rows.groupBy("series_id").agg(F.count("*").alias("size_")), "series_id")
-    rows = rows.join(packed, "series_id")
+    # one series of WHOLE points at least is long, so the table of these is small: their rows stay where they are
+    long_ = F.broadcast(packed.filter(F.col("size_") > WHOLE))
+    small = rows.join(long_.select("series_id"), "series_id", "left_anti").join(packed.filter(F.col("size_") <= WHOLE), "series_id")
+    long = rows.join(long_, "series_id")
     names, wanted = ("series_id", *keys), list(waves.values())
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
@@ -235,15 +281,15 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         for key, (place, pieces) in waiting.items():
             yield key, place, np.concatenate(pieces, 1)
 
+    def summed(t: np.ndarray, y: np.ndarray, w: np.ndarray, u: np.ndarray, low: float, step: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+        weights = np.stack([w, w * y, w * u])
+        scalars = np.array([*[x.sum() for x in (w, w * y, w * y * y, w * u * u, w * u * y)], float(len(t))])
+        return scalars, (_wave_transform if len(t) >= _MANY else _wave_products)(t, weights, low, step, n, wanted)
+
     def add(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
-        for key, (j0, low, step, n), (t, y, w, u) in gathered(batches, whole):
-            weights = np.stack([w, w * y, w * u])
-            scalars = np.array([*[x.sum() for x in (w, w * y, w * y * y, w * u * u, w * u * y)], float(len(t))])
-            if len(t) >= _MANY:
-                total = _wave_transform(t, weights, low, step, n, wanted)
-            else:
-                total = _wave_products(t, weights, low, step, n, wanted)
+        for key, (j0, low, step, n), samples in gathered(batches, whole):
+            scalars, total = summed(*samples, low, step, n)
             if key in held:
                 place, old, sums = held[key]
                 held[key] = (place, old + scalars, sums + total)
@@ -255,6 +301,45 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
                 held, size = {}, 0
         yield from emit(held)
 
+    def made(name: object, place: tuple, off: int, scalars: list, sums: list) -> list[pa.Array]:
+        """A fit's rows of one series: series_id, j, f and its columns."""
+        (j0, low, step), columns = place, fit.of(np.stack(scalars), np.stack(sums))
+        at = off + np.arange(sums[0].shape[1])
+        out = [pa.array([name] * len(at), kinds[0]), pa.array(j0 + at), pa.array(low + step * at), *columns]
+        if fit.least:
+            value = columns[fit.columns.index(fit.least)].to_numpy(zero_copy_only=False)
+            best = int(np.argmin(np.where(np.isnan(value), np.inf, value)))
+            out = [x.slice(best, 1) for x in out]
+        return out
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fits of whole series, which come one after another."""
+        ready, count = [], 0
+        for name, parts in itertools.groupby(gathered(batches, True), lambda x: x[0][0]):
+            scalars, sums = [], []
+            for _, (j0, low, step, n), samples in parts:
+                one, total = summed(*samples, low, step, n)
+                scalars.append(one)
+                sums.append(total)
+            ready.append(made(name, (j0, low, step), 0, scalars, sums))
+            count += len(ready[-1][0])
+            if count > 1 << 16 or len(ready) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*ready, strict=True)], told.names)
+                ready, count = [], 0
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*ready, strict=True)], told.names)
+
+    def united(table: pa.Table) -> pa.Table:
+        """Fits of some frequencies of a long series, from the sums of all tasks."""
+        held = {}
+        for i in range(table.num_rows):
+            key = tuple(table.column(n)[i].as_py() for n in names)
+            own = np.array([table.column(n)[i].as_py() for n in plain]), np.stack([table.column(f"{n}c")[i].values.to_numpy() + 1j * table.column(f"{n}s")[i].values.to_numpy() for n in waves])
+            held[key] = tuple(a + b for a, b in zip(held[key], own, strict=True)) if key in held else own
+        first = {n: table.column(n)[0].as_py() for n in ("series_id", "j0_", "off_", "low_", "step_")}
+        place = (first["j0_"] - first["off_"], first["low_"], first["step_"])
+        return pa.Table.from_arrays(made(first["series_id"], place, first["off_"], *zip(*held.values(), strict=True)), told.names)
+
     parts_of = [f"{n}{x}" for n in waves for x in "cs"]
     plain = ["n0", "sy", "syy", "uu", "uy", "points"]
     fields = [*names, "j0_", "off_", "low_", "step_", *plain, *parts_of]
@@ -270,16 +355,65 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         each = each.withColumn("j", F.col("j0_") + F.col("at_") + F.lit(0).cast("long")).withColumn("f", F.col("low_") + F.col("step_") * (F.col("off_") + F.col("at_")))
         return each.select(*names, "j", "f", *plain, *[F.col("z_")[n].alias(n) for n in parts_of])
 
-    # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points
-    small = rows.filter(F.col("size_") <= WHOLE).repartition("series_id").sortWithinPartitions(*names)
-    large = sums(rows.filter(F.col("size_") > WHOLE), False)
-    return sums(small, True).unionByName(large.groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in (*plain, *parts_of)]))
+    # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points; a
+    # number of tasks is given, or few rows would be taken for little work
+    tasks = 2 * series.sparkSession.sparkContext.defaultParallelism
+    small = small.repartition(tasks, "series_id").sortWithinPartitions(*names)
+    if keys:  # nights have sums of their own: a task gets few of them
+        long = long.repartition(tasks, *names, F.pmod(F.xxhash64("t"), F.ceil(F.col("size_") / (1 << 20))))
+    if fit is None:
+        return sums(small, True).unionByName(sums(long, False).groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in (*plain, *parts_of)]))
+    told = T.StructType([rows.schema["series_id"]]).add("j", "long").add("f", "double")
+    for n in fit.columns:
+        told = told.add(n, "double")
+    large = long.mapInArrow(lambda batches: add(batches, False), schema).groupBy("series_id", "off_").applyInArrow(united, told)
+    if fit.least:
+        best = F.min_by(F.struct(*told.names[1:]), F.struct(fit.least, "j"))
+        large = large.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
+    return small.mapInArrow(fitted, told).unionByName(large)
+
+
+def _spectrum(series: DataFrame, grid: DataFrame, b: Baseline, columns: tuple[str, ...], least: str | None = None) -> DataFrame:
+    """By series_id, j and f the named columns of ``_sinusoid`` beside a baseline."""
+    keys, waves = ((b.night,) if b.night else ()), {"w": (0, 1), "y": (1, 1), "d": (0, 2)}
+    if b.slopes:
+        series, waves = series.withColumn("u0_", _night_slopes(series, b)), waves | {"u": (2, 1)}
+    fit = Fit(columns, lambda plain, sums: _sinusoid(plain, sums, b, columns), least)
+    return _summed(series, grid, keys, b.w, F.col("u0_") if b.slopes else None, waves, fit)
+
+
+def _sinusoid(plain: np.ndarray, sums: np.ndarray, b: Baseline, wanted: tuple[str, ...]) -> list[pa.Array]:
+    """Fits of a sinusoid beside a baseline at each frequency, from sums by night: psd (half the gain), power, s_coeff, c_coeff, rss and the
+    covariance, as ``centred`` and ``solved`` have them."""
+    n0, sy, syy, uu, uy, points = plain.T[:, :, None]
+    w, y, d = sums[:, 0], sums[:, 1], sums[:, 2]
+    own = {"s": w.imag, "c": w.real, "y": sy}
+    both = {"ss": (n0 - d.real) / 2, "cc": (n0 + d.real) / 2, "sc": d.imag / 2, "ys": y.imag, "yc": y.real, "yy": syy}
+    with np.errstate(all="ignore"):
+        if b.offsets:
+            both = {k: v - own[k[0]] * own[k[1]] / n0 for k, v in both.items()}
+        if b.slopes:
+            tilt = {"s": sums[:, 3].imag, "c": sums[:, 3].real, "y": uy}
+            both = {k: v - np.where(uu > 0, tilt[k[0]] * tilt[k[1]] / uu, 0.0) for k, v in both.items()}
+        a, e, x, p, q, r = (both[k].sum(0) for k in ("ss", "cc", "sc", "ys", "yc", "yy"))
+        det = a * e - x * x
+        ok = det > 1e-12 * np.maximum(a * e, 1e-300)
+        s, c = (e * p - x * q) / det, (a * q - x * p) / det
+        # one of the two columns is all there is when they are proportional
+        single = np.maximum(np.maximum(np.where(a != 0, p * p / a, 0.0), np.where(e != 0, q * q / e, 0.0)), 0.0)
+        gain = np.where(ok, s * p + c * q, single)
+        rss = r - gain
+        columns = 2 + len(plain) * ((int(b.offsets) + int(b.slopes)) if b.night else 1)
+        variance = np.maximum(rss, 0.0) / max(points.sum() - columns, 1.0)
+        values = {"psd": gain / 2, "power": np.maximum(gain / np.maximum(r, 1e-30), 0.0), "rss": rss, "s_coeff": s, "c_coeff": c, "cov_ss": e / det * variance, "cov_sc": -x / det * variance, "cov_cc": a / det * variance}
+    return [pa.array(values[n], mask=None if n in ("psd", "power", "rss") else ~ok) for n in wanted]
 
 
 def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """Floating-mean periodogram, psd normalisation: half the drop of the residual sum of squares."""
-    fit = solved(centred(wave_sums(series, grid, weight=weight)))
-    return fit.select("series_id", "j", "f", (F.col("gain") / 2).alias("power"))
+    if weight is not None:
+        series = series.withColumn("w0_", weight)
+    return _spectrum(series, grid, Baseline(weight=None if weight is None else "w0_"), ("psd",)).withColumnRenamed("psd", "power")
 
 
 def _night_slopes(series: DataFrame, b: Baseline) -> Column:
@@ -298,26 +432,11 @@ def nuisance_periodogram(series: DataFrame, grid: DataFrame, baseline: Baseline
     is their inverse times rss over the degrees of freedom (points less all columns, one at least). A night's mean time is
     taken from the samples, before they meet the grid."""
     b = Baseline.of(baseline, slopes)
-    keys = (b.night,) if b.night else ()
-    if b.slopes:
-        series = series.withColumn("u0_", _night_slopes(series, b))
-    parts = centred(wave_sums(series, grid, *keys, weight=b.w, slope=F.col("u0_") if b.slopes else None), b.offsets)
-    if b.slopes:
-        safe = F.when(F.col("uu") > 0, F.col("uu"))
-        off = lambda x, y: F.coalesce(F.col(x) * F.col(y) / safe, F.lit(0.0))
-        pairs = {"a": ("us", "us"), "b": ("uc", "uc"), "d": ("us", "uc"), "p": ("uy", "us"), "q": ("uy", "uc"), "r": ("uy", "uy")}
-        parts = parts.withColumns({k: F.col(k) - off(*v) for k, v in pairs.items()})
-    total = parts.withColumn("nights_", F.lit(1))
-    if b.night:
-        total = total.groupBy("series_id", "j", "f").agg(*[F.sum(k).alias(k) for k in "abdpqr"], F.sum("points").alias("points"), F.sum("nights_").alias("nights_"))
-    fit = solved(total)
-    power = F.greatest(F.lit(0.0), F.col("gain") / F.greatest(F.col("r"), F.lit(1e-30)))
-    columns = 2 + F.col("nights_") * ((int(b.offsets) + int(b.slopes)) if b.night else 1)
-    variance = F.greatest(F.col("rss"), F.lit(0.0)) / F.greatest(F.col("points") - columns, F.lit(1.0))
-    det = F.nullif(F.col("a") * F.col("b") - F.col("d") * F.col("d"), F.lit(0.0))
-    cov = {"cov_ss": F.col("b"), "cov_sc": -F.col("d"), "cov_cc": F.col("a")}
-    told = [F.when(F.col("s_coeff").isNotNull(), x / det * variance).alias(n) for n, x in cov.items()]
-    return fit.select("series_id", "j", "f", power.alias("power"), "s_coeff", "c_coeff", "rss", *told)
+    return _spectrum(series, grid, b, _FIT)
+
+
+#: Columns of a fit.
+_FIT = ("power", "s_coeff", "c_coeff", "rss", "cov_ss", "cov_sc", "cov_cc")
 
 
 def with_errors(fits: DataFrame) -> DataFrame:
@@ -520,12 +639,8 @@ def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: flo
 
     (low, high), (near, far) = within(half), within(0.5 * half)
     none = high <= low
-    points = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("j")
-    grid = centres.select("series_id", F.when(none, near).otherwise(low).alias("low_"), F.when(none, far).otherwise(high).alias("high_")).select("series_id", "low_", "high_", points)
-    grid = grid.select("series_id", "j", (F.col("low_") + F.col("j") * ((F.col("high_") - F.col("low_")) / (steps - 1))).alias("f"))
-    fits = nuisance_periodogram(series, grid, baseline)
-    best = F.min_by(F.struct(*[c for c in fits.columns if c not in ("series_id", "j")]), F.struct("rss", "j"))
-    return fits.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
+    own = centres.select("series_id", F.lit(0).cast("long").alias("j0_"), F.when(none, near).otherwise(low).alias("low_"), F.when(none, far).otherwise(high).alias("high_"), F.lit(steps).cast("long").alias("n_"))
+    return _spectrum(series, own, Baseline.of(baseline), _FIT, "rss").drop("j")
 
 
 def prewhitened(series: DataFrame, fits: DataFrame, y: str = "y", baseline: Baseline | str | None = None) -> DataFrame:

@@ -82,3 +82,24 @@ def test_rounding_is_that_of_the_sql(spark):
     got = [r.x for r in rounded(spark.createDataFrame([(v,) for v in values], "x double"), 4).collect()]
     want = [r[0] for r in duckdb.sql("SELECT round(x, 4) + 0.0 FROM (SELECT unnest([" + ", ".join("NULL" if v is None else f"{v!r}::DOUBLE" for v in values) + "]) AS x)").fetchall()]
     assert got == want and got[0] == 0.0644
+
+
+def test_spectra_are_solved_where_the_sums_are(spark, monkeypatch):
+    """A fit of many frequencies gives its task's best row, and a row of a sum is never made; long series, by parts, give the same."""
+    rng = np.random.default_rng(2)
+    rows = [(s, float(t), float(np.sin(2 * np.pi * (0.7 + 0.1 * s) * t) + rng.normal()), i, int(t)) for s in range(3) for i, t in enumerate(rng.uniform(0, 9, 150))]
+    df = spark.createDataFrame(rows, "series_id long, t double, y double, k long, night long")
+    at = df.select("series_id").distinct().withColumn("f0", 0.7 + 0.1 * F.col("series_id"))
+    grid = P.local_grid(at, F.lit(0.3), F.lit(0.01), 0.1, 5.0).select("series_id", "j", "f")
+    runs = {}
+    for limit in (50_000, 0):
+        monkeypatch.setattr(P, "WHOLE", limit)
+        fits, power = P.frequency_fit(df, at, F.lit(0.2), 0.1, 5.0, 101, P.Baseline("night", slopes=True)), M.multiharmonic_power(df, grid, 2)
+        if limit:
+            assert all("posexplode" not in _plan(x) for x in (fits, power, P.lomb_scargle(df, grid)))
+        runs[limit] = [sorted(tuple(r) for r in x.collect()) for x in (fits, power, P.lomb_scargle(df, grid), P.harmonic_power(df, grid, 2, best=True))]
+    assert [len(x) for x in runs[0]] == [3, grid.count(), grid.count(), 3]
+    for a, b in zip(runs[0], runs[50_000], strict=True):
+        assert np.allclose(np.array(a, float), np.array(b, float), atol=1e-9)
+    best = {r[0]: r for r in runs[0][3]}
+    assert all(best[s][3] == max(r[3] for r in runs[0][1] if r[0] == s) for s in range(3))
