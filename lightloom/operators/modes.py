@@ -18,7 +18,7 @@ from ..functions.waves import amplitude, combined_power, dataset_weight, period,
 from ..tables import discard, stored
 from .regress import least_squares, predicted, pseudo_solved
 from .series import by, clean, longest_chunk
-from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, excluded, frequency_fit, frequency_grid, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, by_series, excluded, frequency_fit, frequency_grid, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
@@ -240,7 +240,7 @@ def _mode_fits(series: DataFrame, modes: DataFrame, most: int, slopes: bool, b:
 
     schema = T.StructType([rows.schema["series_id"]]).add("beta", T.ArrayType(T.DoubleType())).add("rss", "double")
     kinds, key_kinds = [to_arrow_type(x.dataType) for x in schema], [to_arrow_type(rows.schema[n].dataType) for n in keys]
-    small = rows.filter(F.col("size_") <= WHOLE).repartition("series_id").sortWithinPartitions(*keys).mapInArrow(whole, schema)
+    small = by_series(rows.filter(F.col("size_") <= WHOLE)).sortWithinPartitions(*keys).mapInArrow(whole, schema)
     sums = rows.filter(F.col("size_") > WHOLE).mapInArrow(partial, T.StructType([rows.schema[n] for n in keys]).add("sums", T.ArrayType(T.DoubleType())))
     return small.unionByName(sums.groupBy("series_id").applyInArrow(united, schema))
 
@@ -252,6 +252,93 @@ def _linear(series: DataFrame, modes: DataFrame, most: int, b: Baseline) -> Data
     return modes.drop("s_coeff", "c_coeff", "rss").join(beta, "series_id").withColumns({"s_coeff": F.get("beta", at), "c_coeff": F.get("beta", at + 1)}).drop("beta")
 
 
+def _refined_whole(series: DataFrame, start: DataFrame, b: Baseline, rounds: int) -> DataFrame:
+    """``start`` (series_id, mode, f, low, high) with f, s_coeff, c_coeff and rss after all rounds of ``global_refinement``: a series' points
+    meet once in one task, which does its rounds."""
+    packed = start.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("mode", "f", "low", "high"))).alias("m_"))
+    part = lambda c: F.transform("m_", lambda m: m[c].cast("double")).alias(f"{c}_")
+    packed = packed.select("series_id", *[part(c) for c in ("mode", "f", "low", "high")])
+    rows = series.withColumn("u_", _night_slopes(series, b) if b.slopes else F.lit(0.0)).withColumn("w_", b.w)
+    keys = ("series_id", *([b.night] if b.night else []))
+    rows = rows.select(*keys, F.col("t").cast("double"), F.col("y").cast("double"), "u_", "w_").filter("t is not null and y is not null and w_ > 0").join(packed, "series_id")
+    first = int(b.offsets) + int(b.slopes)
+
+    def fitted(x: np.ndarray, points: np.ndarray, night: np.ndarray) -> tuple[np.ndarray, float]:
+        """beta and rss beside the baseline of each night."""
+        t, y, u, w = points
+        x = np.column_stack([*([np.ones(len(t))] if b.offsets else []), *([u] if b.slopes else []), x, y])
+        total = np.zeros((x.shape[1] - first,) * 2)
+        for n in range(night.max() + 1):
+            own = night == n
+            m = (x[own] * w[own][:, None]).T @ x[own]
+            for i in range(first):
+                if m[i, i] > 0:
+                    m = m - np.outer(m[i], m[i]) / m[i, i]
+            total = total + m[first:, first:]
+        beta = pseudo_solved(total[:-1, :-1], total[:-1, -1])
+        return beta, max(float(total[-1, -1] - beta @ total[:-1, -1]), 0.0)
+
+    def waves(t: np.ndarray, f: np.ndarray, coeff: np.ndarray | None = None) -> np.ndarray:
+        angle = TAU * np.outer(t, f)
+        sin, cos = np.sin(angle), np.cos(angle)
+        parts = [sin, cos] if coeff is None else [sin, cos, TAU * t[:, None] * (coeff[0::2] * cos - coeff[1::2] * sin)]
+        return np.stack(parts, 2).reshape(len(t), -1)
+
+    def refined(points: np.ndarray, night: np.ndarray, f: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        t, damp = points[0], 1.0
+        beta, rss = fitted(waves(t, f), points, night)
+        for _ in range(rounds):
+            step = fitted(waves(t, f, beta), points, night)[0][2::3]
+            moved = f + step * damp
+            moved = np.where(np.isnan(moved), high, np.minimum(np.maximum(moved, low), high))
+            new, new_rss = fitted(waves(t, moved), points, night)
+            if new_rss <= rss or np.isnan(rss):
+                f, beta, rss, damp = moved, new, new_rss, min(damp * 2, 1.0)
+            else:
+                damp /= 4
+        return f, beta, rss
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Series come one after another, maybe over several batches."""
+        waiting, ready = [], []
+
+        def told() -> list[pa.Array]:
+            own = pa.Table.from_batches(waiting).combine_chunks()
+            mode, f, low, high = (np.array(own.column(f"{c}_")[0].as_py(), float) for c in ("mode", "f", "low", "high"))
+            points = np.stack([own.column(c).to_numpy() for c in ("t", "y", "u_", "w_")])
+            night = pc.dictionary_encode(own.column(b.night).combine_chunks(), null_encoding="encode").indices.to_numpy() if b.night else np.zeros(len(points[0]), np.int64)
+            f, beta, rss = refined(points, night, f, low, high)
+            name = pa.array([own.column("series_id")[0].as_py()] * len(f), kind)
+            return [name, pa.array(mode.astype(np.int32)), *[pa.array(x) for x in (f, low, high, np.full(len(f), rss), beta[0::2].copy(), beta[1::2].copy())]]
+
+        def given() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*ready, strict=True)], schema.names)
+            ready.clear()
+            return out
+
+        for batch in batches:
+            of = pc.dictionary_encode(batch.column("series_id")).indices.to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+            for a, z in itertools.pairwise(starts):
+                if z > a:
+                    if waiting and waiting[0].column("series_id")[0] != batch.column("series_id")[a]:
+                        ready.append(told())
+                        waiting.clear()
+                    waiting.append(batch.slice(a, z - a))
+            if len(ready) > 1000:
+                yield given()
+        if waiting:
+            ready.append(told())
+        if ready:
+            yield given()
+
+    schema = T.StructType([rows.schema["series_id"]]).add("mode", T.IntegerType())
+    for n in ("f", "low", "high", "rss", "s_coeff", "c_coeff"):
+        schema = schema.add(n, "double")
+    kind = to_arrow_type(rows.schema["series_id"].dataType)
+    return by_series(rows).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
 def _numbered(modes: DataFrame) -> DataFrame:
     return modes.withColumn("mode", F.row_number().over(by().orderBy("f")).cast("int"))
 
@@ -269,7 +356,16 @@ def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rou
     most = start.agg(F.max("mode")).first()[0] or 0
     if not most:
         return start.select("series_id", "mode", "f", *[F.lit(None).cast("double").alias(c) for c in ("s_coeff", "c_coeff", "rss")])
-    best = stored(_linear(series, start, most, b).withColumn("damp", F.lit(1.0)), "refined")
+    few = series.filter("t is not null and y is not null").groupBy("series_id").agg((F.count("*") * (3 * most + 4) <= 64 * WHOLE).alias("few_"))  # the columns of a fit with slopes
+    few = stored(few.join(start.select("series_id").distinct(), "series_id"), "sizes")
+    whole, long = (few.filter(c).select("series_id") for c in ("few_", "not few_"))
+    done = stored(_refined_whole(series.join(whole, "series_id", "left_semi"), start.join(whole, "series_id", "left_semi"), b, rounds), "refined")
+    every, start = series, start.join(long, "series_id", "left_semi")
+    if long.isEmpty():
+        rounds, best = 0, done
+    else:
+        series = series.join(long, "series_id", "left_semi")
+        best = stored(_linear(series, start, most, b).withColumn("damp", F.lit(1.0)), "refined")
     for _ in range(rounds):
         beta = _mode_fits(series, best, most, True, b).select("series_id", "beta")
         step = F.coalesce(F.get("beta", (F.col("mode") - 1) * 3 + 2), F.lit(0.0)) * F.col("damp")
@@ -283,8 +379,9 @@ def global_refinement(series: DataFrame, modes: DataFrame, spans: DataFrame, rou
         best = stored(both.select("series_id", "mode", pick("f"), "low", "high", pick("rss"), pick("s_coeff"), pick("c_coeff"), F.when(better, F.least(F.col("damp") * 2, F.lit(1.0))).otherwise(F.col("damp") / 4).alias("damp")), "refined")
         discard(former)
     amp = amplitude(F.col("s_coeff"), F.col("c_coeff"))
-    merged = collapsed(best.select("series_id", "mode", "f", amp.alias("amp")).join(reach, "series_id"), F.col("sep"))
-    return stored(_linear(series, stored(_numbered(merged.select("series_id", "f")), "refined"), most, b).select("series_id", "mode", "f", "s_coeff", "c_coeff", "rss"), "refined")
+    both = best if rounds == 0 else best.drop("damp").unionByName(done)
+    merged = collapsed(both.select("series_id", "mode", "f", amp.alias("amp")).join(reach, "series_id"), F.col("sep"))
+    return stored(_linear(every, stored(_numbered(merged.select("series_id", "f")), "refined"), most, b).select("series_id", "mode", "f", "s_coeff", "c_coeff", "rss"), "refined")
 
 
 def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin: float = 0.2, fmax: float = 50.0, half_bins: float = 10.0, snr_min: float = 2.0, baseline: Baseline | str | None = None, steps: int = 1001, most: int = 1201, oversample: float = 2.0, side: float = GUIDED_SIDES) -> tuple[DataFrame, DataFrame]:

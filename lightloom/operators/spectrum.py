@@ -166,6 +166,12 @@ def _wave_transform(t: np.ndarray, weights: np.ndarray, low: float, step: float,
     return out
 
 
+def by_series(rows: DataFrame) -> DataFrame:
+    """A series' rows in one of a given number of tasks. Without a number, few rows would be taken for little work; without the
+    constant, a join's partitions by series, which are coalesced by their bytes, would do."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "series_id", F.lit(0))
+
+
 def wave_sums(series: DataFrame, grid: DataFrame, *keys: str, weight: Column | None = None, slope: Column | None = None) -> DataFrame:
     """Weighted sums of products of 1, y, sin, cos (n0, sy, syy, ss, sc, sss, scc, ssc, sys, syc) by series_id, keys, j and f
     on an even grid, and the number of points; with ``slope``, u, also uu, uy, us, uc. Points without t, y or a positive
@@ -355,10 +361,9 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         each = each.withColumn("j", F.col("j0_") + F.col("at_") + F.lit(0).cast("long")).withColumn("f", F.col("low_") + F.col("step_") * (F.col("off_") + F.col("at_")))
         return each.select(*names, "j", "f", *plain, *[F.col("z_")[n].alias(n) for n in parts_of])
 
-    # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points; a
-    # number of tasks is given, or few rows would be taken for little work
+    # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points
     tasks = 2 * series.sparkSession.sparkContext.defaultParallelism
-    small = small.repartition(tasks, "series_id").sortWithinPartitions(*names)
+    small = by_series(small).sortWithinPartitions(*names)
     if keys:  # nights have sums of their own: a task gets few of them
         long = long.repartition(tasks, *names, F.pmod(F.xxhash64("t"), F.ceil(F.col("size_") / (1 << 20))))
     if fit is None:

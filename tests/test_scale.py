@@ -103,3 +103,20 @@ def test_spectra_are_solved_where_the_sums_are(spark, monkeypatch):
         assert np.allclose(np.array(a, float), np.array(b, float), atol=1e-9)
     best = {r[0]: r for r in runs[0][3]}
     assert all(best[s][3] == max(r[3] for r in runs[0][1] if r[0] == s) for s in range(3))
+
+
+def test_small_series_are_refined_whole_in_one_task(spark, monkeypatch):
+    """All rounds of a refinement in one task a series: the same modes as by rounds of jobs, beside nights with slopes too."""
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.uniform(0, 8, 200))
+    rows = [(s, float(x), float((2 + s) * np.sin(2 * np.pi * 1.3 * x) + np.cos(2 * np.pi * (2.6 + 0.1 * s) * x) + 0.3 * rng.normal()), i, int(x)) for s in range(3) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "series_id long, t double, y double, k long, night long")
+    modes = spark.createDataFrame([(s, m, f) for s in range(3) for m, f in ((1, 1.33), (2, 2.6 + 0.1 * s + 0.03))], "series_id long, mode int, f double")
+    spans, b = df.groupBy("series_id").agg((F.max("t") - F.min("t")).alias("t_full")), P.Baseline("night", slopes=True)
+    monkeypatch.setattr(M, "SEPARATION", 0.5)
+    whole = sorted(tuple(r) for r in M.global_refinement(df, modes, spans, 3, b).collect())
+    assert len(whole) == 6 and all(abs(r[2] - f) < 0.02 for r, f in zip(whole, (1.3, 2.6, 1.3, 2.7, 1.3, 2.8), strict=True))
+    monkeypatch.setattr(M, "WHOLE", 0)
+    assert np.allclose(np.array(sorted(tuple(r) for r in M.global_refinement(df, modes, spans, 3, b).collect())), np.array(whole), atol=1e-8)
+    start = modes.withColumns({"low": F.col("f") - 0.2, "high": F.col("f") + 0.2})
+    assert "MapInArrow" in _plan(M._refined_whole(df, start, b, 3))
