@@ -16,9 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
-from .regress import least_squares, predicted, pseudo_solved
+from .regress import predicted, pseudo_solved
 from .series import by, clean, longest_chunk
-from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, _night_slopes, annulus_noise, by_series, excluded, frequency_fit, frequency_grid, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, Samples, _night_slopes, annulus_noise, by_series, excluded, frequency_fit, frequency_grid, harmonic_fit, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, packed_samples, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
@@ -79,7 +79,7 @@ def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int =
     grid = stored(frequency_grid(spans, fmin, fmax, most=most), "grid")
     spans = stored(spans.join(_bins(grid), "series_id"), "spans")
     b = Baseline(weight=weight)
-    left, found = stored(series.select("series_id", "t", "y", "k", *b.columns), "left"), None
+    left, found = packed_samples(series, b), None
     chunk = _span("t_chunk")
     guard, side = kfit * (2.0 / chunk), F.greatest(SIDES * (1.0 / chunk), SIDE_BINS * F.col("bin_"))
     for mode in range(1, rounds + 1):
@@ -98,8 +98,9 @@ def sequential_modes(series: DataFrame, fmin: float, fmax: float, rounds: int =
             break
         former = left
         found = kept if found is None else stored(found.unionByName(kept), "modes")
-        left = stored(prewhitened(left.join(kept.select("series_id"), "series_id", "left_semi"), kept, baseline=b), "left")
-        for done in (former, spectrum, fits):
+        left = left.less(kept, only=True)
+        former.discard()
+        for done in (spectrum, fits):
             discard(done)
     return kept if found is None else found
 
@@ -389,7 +390,8 @@ def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin:
     spectrum, fit within it, test, prewhiten where it is detected. With ``resolution`` in ``templates``, that of the series they
     come from, the search reaches ``half_bins`` times the coarser of both and steps by the finer one over ``oversample``.
     Columns series_id, mode, f_template, detected, f, amp, phase, snr, w, skip_reason."""
-    b, left, out, t = Baseline.of(baseline), stored(series, "guided"), None, _span("t_full")
+    b, without, out, t = Baseline.of(baseline), series, None, _span("t_full")
+    left = packed_samples(series, b)
     told = templates if "resolution" in templates.columns else templates.withColumn("resolution", F.lit(None).cast("double"))
     coarse, fine = F.greatest("resolution", 1.0 / t), F.least("resolution", 1.0 / t)
     for mode in range(1, (told.agg(F.max("mode")).first()[0] or 0) + 1):
@@ -410,13 +412,14 @@ def guided_rows(series: DataFrame, templates: DataFrame, spans: DataFrame, fmin:
         why = F.when(F.col("f").isNull(), "no_finite_power").when(~F.col("detected"), "snr_below_threshold")
         found = tested.withColumn("detected", ok).withColumn("skip_reason", why)
         rows = stored(found.select("series_id", "mode", "f_template", "detected", only(F.col("f")).alias("f"), only(amp).alias("amp"), only(phi).alias("phase"), "snr", "w", "skip_reason", "s_coeff", "c_coeff"), "guided-rows")
-        former = left
-        left = stored(prewhitened(left, rows.filter("detected"), baseline=b), "guided")
-        for done in (former, spectrum, fits, grid):
+        former, fitted = left, rows.filter("detected")
+        left, without = left.less(fitted), prewhitened(without, fitted, baseline=b)
+        former.discard()
+        for done in (spectrum, fits, grid):
             discard(done)
         rows = rows.drop("s_coeff", "c_coeff").unionByName(skipped.select("series_id", "mode", "f_template", F.lit(False).alias("detected"), F.lit("below_minimum_frequency").alias("skip_reason")), allowMissingColumns=True)
         out = rows if out is None else out.unionByName(rows)
-    return (out if out is None else stored(out, "guided-result")), left
+    return (out if out is None else stored(out, "guided-result")), without
 
 
 def guided_search(series: DataFrame, templates: DataFrame, spans: DataFrame, baseline: Baseline | str | None = None, **options: object) -> DataFrame:
@@ -525,7 +528,7 @@ def harmonic_features(series: DataFrame, harmonics: int, f: str = "f") -> tuple[
     return out, names
 
 
-def multiharmonic_power(series: DataFrame, grid: DataFrame, harmonics: int = 5) -> DataFrame:
+def multiharmonic_power(series: DataFrame | Samples, grid: DataFrame, harmonics: int = 5) -> DataFrame:
     """Share of the variance that an offset and ``harmonics`` sinusoids remove, for each frequency of an even grid."""
     return harmonic_power(series, grid, harmonics)
 
@@ -546,7 +549,7 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
     """series with ``y`` free of up to ``rounds`` periodic signals of ``harmonics`` terms. A signal's frequency is the one of least
     residual within ``reach`` of the peak's and inside the grid: ``steps`` even points over that range, and as many again over
     two steps around the best, twice."""
-    left = stored(series, "harmonic")
+    left, whole = packed_samples(series), series
     ends = stored(grid.groupBy("series_id").agg(F.min("f").alias("first_"), F.max("f").alias("last_")), "ends")
     for _ in range(rounds):
         spectrum = stored(multiharmonic_power(left, grid, harmonics), "spectrum")
@@ -556,20 +559,21 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
             break
         low, high = F.greatest("first_", F.col("f") * (1 - reach)), F.least("last_", F.col("f") * (1 + reach))
         window = go.join(ends, "series_id").select("series_id", F.col("f").alias("at_"), low.alias("low_"), high.alias("high_"))
-        for _ in range(3):
+        for n in range(3):
             fine = window.select("series_id", F.lit(0).cast("long").alias("j0_"), "low_", "high_", F.lit(steps).cast("long").alias("n_"))
+            if n == 2:
+                fits = stored(harmonic_fit(left, fine, harmonics), "harmonic-fit")
+                break
             finest = harmonic_power(left, fine, harmonics, best=True).select("series_id", "f").join(window, "series_id")
             step = (F.col("high_") - F.col("low_")) / (steps - 1)
             window = stored(finest.select("series_id", F.col("f").alias("at_"), F.greatest("low_", F.col("f") - step).alias("low_"), F.least("high_", F.col("f") + step).alias("high_")), "harmonic-window")
-        rows, names = harmonic_features(left.join(window.select("series_id", F.col("at_").alias("f")), "series_id", "left"), harmonics)
-        beta = least_squares(rows.filter("f is not null"), names, "y").select("series_id", "beta")
-        fitted = rows.join(beta, "series_id", "left")
+        rows, names = harmonic_features(whole.join(F.broadcast(fits), "series_id", "left"), harmonics)
         wave = F.when(F.col("f").isNotNull(), predicted(names)).otherwise(0.0)
-        former = left
-        left = stored(fitted.withColumn("y", F.col("y") - wave).select(*series.columns), "harmonic")
-        for done in (former, spectrum):
-            discard(done)
-    return left
+        whole = rows.withColumn("y", F.col("y") - wave).select(*series.columns)
+        former, left = left, left.less_harmonics(fits)
+        former.discard()
+        discard(spectrum)
+    return whole
 
 
 def _both_whitened(first: DataFrame, second: DataFrame, grid: DataFrame, spans: DataFrame, weights: DataFrame, one: Baseline, two: Baseline) -> DataFrame:

@@ -8,6 +8,7 @@ where it has many (``wave_sums``); no row is made for a sample and a frequency.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from bisect import bisect, bisect_left, insort
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, amplitude_error, phase, phase_error, signal_weight
+from ..tables import discard, stored
 from .regress import least_norm
 from .series import by, trimmed_median
 
@@ -68,6 +70,141 @@ class Baseline(NamedTuple):
         return F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
 
 
+class Samples(NamedTuple):
+    """Points that many passes read (``packed_samples``): ``rows`` are those of series of ``WHOLE`` points at most, ``packed`` arrays of points
+    of longer ones, by series and night; None where there are none."""
+
+    rows: DataFrame | None
+    packed: DataFrame | None
+
+    def less(self, fits: DataFrame, only: bool = False) -> Samples:
+        """Without the fitted sinusoids (series_id, f, s_coeff, c_coeff); series without a fit stay as they are, or go (``only``).
+        The baseline stays: every fit beside it projects it off."""
+        own = fits.select("series_id", F.struct("f", "s_coeff", "c_coeff").alias("wave_"))
+        return self._less(own, lambda t, w: w["s_coeff"] * np.sin(TAU * w["f"] * t) + w["c_coeff"] * np.cos(TAU * w["f"] * t), only)
+
+    def less_harmonics(self, fits: DataFrame) -> Samples:
+        """Without the fits of an offset and harmonics (series_id, f, beta: offset, then a sine and a cosine each)."""
+
+        def wave(t: np.ndarray, w: dict) -> np.ndarray:
+            out = np.full(len(t), w["beta"][0])
+            for h, (s, c) in enumerate(zip(w["beta"][1::2], w["beta"][2::2], strict=True), 1):
+                angle = TAU * h * w["f"] * t
+                out += s * np.sin(angle) + c * np.cos(angle)
+            return out
+
+        return self._less(fits.select("series_id", F.struct("f", "beta").alias("wave_")), wave, False)
+
+    def _less(self, fits: DataFrame, wave: Callable[[np.ndarray, dict], np.ndarray], only: bool) -> Samples:
+        how = "inner" if only else "left"
+
+        def rest(t: np.ndarray, y: np.ndarray, waves: pa.Array) -> np.ndarray:
+            own = pc.dictionary_encode(waves.field("name_"), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            y, order = y.copy(), np.argsort(own, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                w = waves[int(at[0])].as_py()
+                if None not in w.values():
+                    y[at] -= wave(t[at], w)
+            return y
+
+        def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    t, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y"))
+                    yield _replaced(batch, pa.array(rest(t, y, batch.column("wave_"))))
+
+        def of_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one, w = batch.slice(i, 1), batch.column("wave_")[i].as_py()
+                    if None not in w.values():
+                        t, y = (np.frombuffer(one.column(c)[0].as_buffer()) for c in ("t", "y"))
+                        one = _replaced(one, pa.array([(y - wave(t, w)).tobytes()], pa.binary()))
+                    else:
+                        one = _replaced(one, one.column("y"))
+                    yield one
+
+        def joined(points: DataFrame) -> DataFrame:
+            both = points.join(fits if points is self.rows else F.broadcast(fits), "series_id", how)
+            return both.withColumn("wave_", F.struct(F.col("series_id").alias("name_"), "wave_.*"))
+
+        done = [None if points is None else stored(joined(points).mapInArrow(f, points.schema), "samples") for points, f in ((self.rows, of_rows), (self.packed, of_packed))]
+        return Samples(*done)
+
+    def discard(self) -> None:
+        for points in self:
+            if points is not None:
+                discard(points)
+
+
+def _replaced(batch: pa.RecordBatch, y: pa.Array) -> pa.RecordBatch:
+    """The batch with another y and without its wave."""
+    names = [n for n in batch.schema.names if n != "wave_"]
+    return pa.RecordBatch.from_arrays([y if n == "y" else batch.column(n) for n in names], names)
+
+
+def _groups(batch: pa.RecordBatch, names: tuple) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, its rows) of a batch, by first appearance."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for n in names:
+        own = pc.dictionary_encode(batch.column(n), null_encoding="encode")
+        code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+    for at in sorted(groups, key=lambda at: at[0]):
+        yield tuple(batch.column(c)[int(at[0])].as_py() for c in names), at
+
+
+def packed_samples(series: DataFrame, baseline: Baseline | str | None = None) -> Samples:
+    """``series`` for many passes: which series are long is counted once, and their points are packed in the tasks that have them (beside
+    nights: dealt by night and time), so that a pass moves no rows. Points without t, y or a positive weight are left out."""
+    b = Baseline.of(baseline)
+    names = ("series_id", *([b.night] if b.night else []))
+    rows = series.withColumn("u_", _night_slopes(series, b) if b.slopes else F.lit(0.0))
+    rows = rows.select(*names, F.col("t").cast("double"), F.col("y").cast("double"), b.w.alias("w_"), "u_").filter("t is not null and y is not null and w_ > 0 and series_id is not null")
+    sizes = stored(rows.groupBy("series_id").agg(F.count("*").alias("size_")), "sizes")
+    ends = sizes.agg(F.min("size_").alias("a"), F.max("size_").alias("z")).first()
+    short, long = (sizes.filter(c) for c in (F.col("size_") <= WHOLE, F.col("size_") > WHOLE))
+    small = large = None
+    if ends.a is None or ends.a <= WHOLE:
+        small = stored(rows.join(short.select("series_id"), "series_id", "left_semi"), "samples")
+    if ends.z is not None and ends.z > WHOLE:
+        kept = ("t", "y", *(["w_"] if b.weight else []), *(["u_"] if b.slopes else []))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {}
+
+            def told(key: tuple) -> pa.RecordBatch:
+                points = np.concatenate(held.pop(key), 1)
+                columns = [pa.array([v], kind) for v, kind in zip(key, kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([*columns, *[pa.array([x.tobytes()], pa.binary()) for x in points]], [*names, *kept])
+
+            for batch in batches:
+                points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in kept])
+                for key, at in _groups(batch, names):
+                    held.setdefault(key, []).append(points[:, at])
+                    if sum(x.shape[1] for x in held[key]) >= _CHUNK:
+                        yield told(key)
+            for key in list(held):
+                yield told(key)
+
+        kinds = [to_arrow_type(rows.schema[n].dataType) for n in names]
+        schema = T.StructType([rows.schema[n] for n in names])
+        for c in kept:
+            schema = schema.add(c, T.BinaryType())
+        points = rows.join(F.broadcast(long), "series_id")
+        if b.night:
+            points = _dealt(points, names)
+        large = stored(points.mapInArrow(pack, schema), "samples")
+    return Samples(small, large)
+
+
+def _dealt(long: DataFrame, names: tuple) -> DataFrame:
+    """Nights have sums of their own: a task gets few of them."""
+    tasks = 2 * long.sparkSession.sparkContext.defaultParallelism
+    return long.repartition(tasks, *names, F.pmod(F.xxhash64("t"), F.ceil(F.col("size_") / (1 << 20))))
+
+
 def with_weights(series: DataFrame, err: str = "yerr", weight: str = "weight") -> DataFrame:
     """Adds 1 / err^2, 0 where err is no positive number; a series without any error has equal weights."""
     some = F.count(F.when(~F.isnan(err), F.col(err))).over(by()) > 0
@@ -122,6 +259,8 @@ _BLOCK = 256
 _HELD = 1 << 22
 #: Samples that a task gathers before they become sums; those of a key, from which on they are transformed.
 _GATHERED, _MANY = 1 << 20, 4096
+#: Points of an array of ``Samples``.
+_CHUNK = 1 << 16
 #: Places a frequency and terms of ``_wave_transform`` that leave 2e-15: many places and few terms for many samples.
 _PLACES = ((2, 17), (4, 13), (8, 11), (16, 9), (64, 7))
 #: A series of so many points at most is summed whole by one task.
@@ -205,9 +344,19 @@ def harmonic_sums(series: DataFrame, grid: DataFrame, harmonics: int) -> DataFra
     return sums.select("series_id", "j", "f", xx.alias("xx"), xy.alias("xy"), F.col("syy").alias("yy"), F.col("n0").cast("long").alias("n"))
 
 
-def harmonic_power(series: DataFrame, grid: DataFrame, harmonics: int, best: bool = False) -> DataFrame:
+def harmonic_power(series: DataFrame | Samples, grid: DataFrame, harmonics: int, best: bool = False) -> DataFrame:
     """(series_id, j, f, power): share of the variance that an offset and ``harmonics`` sinusoids remove, solved where the sums are; with
     ``best`` only the frequency of the largest."""
+    return _harmonic(series, grid, harmonics, best).select("series_id", "j", "f", "power")
+
+
+def harmonic_fit(series: DataFrame | Samples, grid: DataFrame, harmonics: int) -> DataFrame:
+    """(series_id, f, beta) of the frequency of the largest ``harmonic_power``: the offset, then a sine and a cosine for each harmonic."""
+    beta = F.array(*[F.col(f"b{k}_") for k in range(2 * harmonics + 1)])
+    return _harmonic(series, grid, harmonics, True).select("series_id", "f", beta.alias("beta"))
+
+
+def _harmonic(series: DataFrame | Samples, grid: DataFrame, harmonics: int, best: bool) -> DataFrame:
     count = range(1, harmonics + 1)
     waves = {f"w{m}": (0, m) for m in range(1, 2 * harmonics + 1)} | {f"y{h}": (1, h) for h in count}
     of = [("c", 0)] + [(kind, h) for h in count for kind in "sc"]
@@ -226,30 +375,40 @@ def harmonic_power(series: DataFrame, grid: DataFrame, harmonics: int, best: boo
                     a, b = (h, g) if x == "s" else (g, h)
                     xx[:, i, k] = (sin(a + b) + sin(a - b)) / 2
         xy = np.stack([np.full(size, sy), *[z for h in own[2 * harmonics :] for z in (h.imag, h.real)]], 1)
-        rss, total = least_norm(xx, xy, np.full(size, syy))[2], syy - sy * sy / n0
+        (_, beta, rss), total = least_norm(xx, xy, np.full(size, syy)), syy - sy * sy / n0
         power = np.maximum(1 - rss / total, 0.0) if total != 0 else np.zeros(size)
-        return [pa.array(power), *([pa.array(-power)] if best else [])]
+        return [pa.array(power), *([pa.array(-power), *map(pa.array, beta.T.copy())] if best else [])]
 
-    fit = Fit(("power", "less_"), powers, "less_") if best else Fit(("power",), powers)
-    return _summed(series, grid, (), None, None, waves, fit).select("series_id", "j", "f", "power")
+    fit = Fit(("power", "less_", *[f"b{k}_" for k in range(len(of))]), powers, "less_") if best else Fit(("power",), powers)
+    return _summed(series, grid, (), None, None, waves, fit)
 
 
-def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | None, slope: Column | None, waves: dict[str, tuple[int, int]], fit: Fit | None = None) -> DataFrame:
+def _summed(series: DataFrame | Samples, grid: DataFrame, keys: tuple, weight: Column | None, slope: Column | None, waves: dict[str, tuple[int, int]], fit: Fit | None = None) -> DataFrame:
     """By series_id, keys, j and f the sums n0, sy, syy, uu, uy, and of each named wave (weight w, w y or w u as 0, 1 or 2; multiple
     of the frequency) its cosine and sine parts, name + c and name + s. With ``fit`` a task makes its columns of a series' sums,
     by series_id, j and f. ``grid`` may also be packed: series_id, j0_, low_, high_, n_."""
     packed = grid if "low_" in grid.columns else grid.groupBy("series_id").agg(F.min("j").alias("j0_"), F.min("f").alias("low_"), F.max("f").alias("high_"), F.count("*").alias("n_"))
     step = F.coalesce((F.col("high_") - F.col("low_")) / F.nullif(F.col("n_") - 1, F.lit(0)), F.lit(0.0))
     packed = packed.select("series_id", "j0_", "low_", step.alias("step_"), "n_")
-    w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
-    rows = series.filter("t is not null and y is not null").select("series_id", *keys, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
-    rows = rows.filter("w_ > 0")
-    packed = packed.join(rows.groupBy("series_id").agg(F.count("*").alias("size_")), "series_id")
-    # one series of WHOLE points at least is long, so the table of these is small: their rows stay where they are
-    long_ = F.broadcast(packed.filter(F.col("size_") > WHOLE))
-    small = rows.join(long_.select("series_id"), "series_id", "left_anti").join(packed.filter(F.col("size_") <= WHOLE), "series_id")
-    long = rows.join(long_, "series_id")
-    names, wanted = ("series_id", *keys), list(waves.values())
+    names = ("series_id", *keys)
+    if isinstance(series, Samples):
+        first = series.rows if series.packed is None else series.packed
+        name_types = first.schema
+        small = None if series.rows is None else series.rows.join(packed, "series_id")
+        long = None if series.packed is None else series.packed.join(F.broadcast(packed), "series_id")
+    else:
+        w, u = F.lit(1.0) if weight is None else weight, F.lit(0.0) if slope is None else slope
+        rows = series.filter("t is not null and y is not null").select(*names, F.col("t").cast("double"), F.col("y").cast("double"), w.cast("double").alias("w_"), u.cast("double").alias("u_"))
+        rows = rows.filter("w_ > 0")
+        name_types = rows.schema
+        packed = packed.join(rows.groupBy("series_id").agg(F.count("*").alias("size_")), "series_id")
+        # one series of WHOLE points at least is long, so the table of these is small: their rows stay where they are
+        long_ = F.broadcast(packed.filter(F.col("size_") > WHOLE))
+        small = rows.join(long_.select("series_id"), "series_id", "left_anti").join(packed.filter(F.col("size_") <= WHOLE), "series_id")
+        long = rows.join(long_, "series_id")
+        if keys:
+            long = _dealt(long, names)
+    wanted = list(waves.values())
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
         for key, (place, scalars, sums) in held.items():
@@ -261,31 +420,35 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
                 columns += [pa.array([x], pa.list_(pa.float64())) for x in lists]
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, np.ndarray]]:
+        """(key, one of its rows, samples) of rows or of packed arrays."""
+        if not pa.types.is_binary(batch.schema.field("t").type):
+            samples = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "w_", "u_")])
+            yield from ((key, int(at[0]), samples[:, at]) for key, at in _groups(batch, names))
+            return
+        for i in range(batch.num_rows):
+            own = {c: np.frombuffer(batch.column(c)[i].as_buffer()) for c in batch.schema.names if c in ("t", "y", "w_", "u_")}
+            size = len(own["t"])
+            points = [own["t"], own["y"], own.get("w_", np.ones(size)), own.get("u_", np.zeros(size))]
+            yield tuple(batch.column(c)[i].as_py() for c in names), i, np.stack(points)
+
     def gathered(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[tuple, tuple, np.ndarray]]:
         """(key, place, samples) of many samples each; once only of a key if series are ``whole`` and sorted."""
         waiting, count = {}, 0
         for batch in batches:
-            code = np.zeros(batch.num_rows, np.int64)
-            for n in names:
-                own = pc.dictionary_encode(batch.column(n), null_encoding="encode")
-                code = code * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            samples = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "w_", "u_")])
-            groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
-            for at in sorted(groups, key=lambda at: at[0]):
-                key, i = tuple(batch.column(c)[int(at[0])].as_py() for c in names), int(at[0])
+            for key, i, points in pieces(batch):
                 if key not in waiting:
                     j0, low, step, n = (batch.column(c)[i].as_py() for c in ("j0_", "low_", "step_", "n_"))
                     waiting[key] = ((j0, low, step, n), [])
-                waiting[key][1].append(samples[:, at])
-            count += batch.num_rows
+                waiting[key][1].append(points)
+                count += points.shape[1]
             if count > _GATHERED:
                 for key in list(waiting)[: -1 if whole else None]:
-                    place, pieces = waiting.pop(key)
-                    yield key, place, np.concatenate(pieces, 1)
-                count = sum(x.shape[1] for _, pieces in waiting.values() for x in pieces)
-        for key, (place, pieces) in waiting.items():
-            yield key, place, np.concatenate(pieces, 1)
+                    place, held = waiting.pop(key)
+                    yield key, place, np.concatenate(held, 1)
+                count = sum(x.shape[1] for _, held in waiting.values() for x in held)
+        for key, (place, held) in waiting.items():
+            yield key, place, np.concatenate(held, 1)
 
     def summed(t: np.ndarray, y: np.ndarray, w: np.ndarray, u: np.ndarray, low: float, step: float, n: int) -> tuple[np.ndarray, np.ndarray]:
         weights = np.stack([w, w * y, w * u])
@@ -349,8 +512,8 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
     parts_of = [f"{n}{x}" for n in waves for x in "cs"]
     plain = ["n0", "sy", "syy", "uu", "uy", "points"]
     fields = [*names, "j0_", "off_", "low_", "step_", *plain, *parts_of]
-    schema = T.StructType([rows.schema[n] for n in names])
-    kinds = [to_arrow_type(rows.schema[n].dataType) for n in names]
+    schema = T.StructType([name_types[n] for n in names])
+    kinds = [to_arrow_type(name_types[n].dataType) for n in names]
     for n in ("j0_", "off_", "low_", "step_", *plain):
         schema = schema.add(n, "long" if n in ("j0_", "off_") else "double")
     for n in parts_of:
@@ -362,27 +525,35 @@ def _summed(series: DataFrame, grid: DataFrame, keys: tuple, weight: Column | No
         return each.select(*names, "j", "f", *plain, *[F.col("z_")[n].alias(n) for n in parts_of])
 
     # small series meet in one task each, so that no sums are shuffled, whose number is that of their frequencies, not points
-    tasks = 2 * series.sparkSession.sparkContext.defaultParallelism
-    small = by_series(small).sortWithinPartitions(*names)
-    if keys:  # nights have sums of their own: a task gets few of them
-        long = long.repartition(tasks, *names, F.pmod(F.xxhash64("t"), F.ceil(F.col("size_") / (1 << 20))))
+    done = []
+    if small is not None:
+        small = by_series(small).sortWithinPartitions(*names)
     if fit is None:
-        return sums(small, True).unionByName(sums(long, False).groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in (*plain, *parts_of)]))
-    told = T.StructType([rows.schema["series_id"]]).add("j", "long").add("f", "double")
+        if small is not None:
+            done.append(sums(small, True))
+        if long is not None:
+            done.append(sums(long, False).groupBy(*names, "j", "f").agg(*[F.sum(n).alias(n) for n in (*plain, *parts_of)]))
+        return functools.reduce(DataFrame.unionByName, done)
+    told = T.StructType([name_types["series_id"]]).add("j", "long").add("f", "double")
     for n in fit.columns:
         told = told.add(n, "double")
-    large = long.mapInArrow(lambda batches: add(batches, False), schema).groupBy("series_id", "off_").applyInArrow(united, told)
-    if fit.least:
-        best = F.min_by(F.struct(*told.names[1:]), F.struct(fit.least, "j"))
-        large = large.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
-    return small.mapInArrow(fitted, told).unionByName(large)
+    if small is not None:
+        done.append(small.mapInArrow(fitted, told))
+    if long is not None:
+        large = long.mapInArrow(lambda batches: add(batches, False), schema).groupBy("series_id", "off_").applyInArrow(united, told)
+        if fit.least:
+            best = F.min_by(F.struct(*told.names[1:]), F.struct(fit.least, "j"))
+            large = large.groupBy("series_id").agg(best.alias("b")).select("series_id", "b.*")
+        done.append(large)
+    return functools.reduce(DataFrame.unionByName, done)
 
 
-def _spectrum(series: DataFrame, grid: DataFrame, b: Baseline, columns: tuple[str, ...], least: str | None = None) -> DataFrame:
+def _spectrum(series: DataFrame | Samples, grid: DataFrame, b: Baseline, columns: tuple[str, ...], least: str | None = None) -> DataFrame:
     """By series_id, j and f the named columns of ``_sinusoid`` beside a baseline."""
     keys, waves = ((b.night,) if b.night else ()), {"w": (0, 1), "y": (1, 1), "d": (0, 2)}
     if b.slopes:
-        series, waves = series.withColumn("u0_", _night_slopes(series, b)), waves | {"u": (2, 1)}
+        waves |= {"u": (2, 1)}
+        series = series if isinstance(series, Samples) else series.withColumn("u0_", _night_slopes(series, b))
     fit = Fit(columns, lambda plain, sums: _sinusoid(plain, sums, b, columns), least)
     return _summed(series, grid, keys, b.w, F.col("u0_") if b.slopes else None, waves, fit)
 
@@ -414,8 +585,10 @@ def _sinusoid(plain: np.ndarray, sums: np.ndarray, b: Baseline, wanted: tuple[st
     return [pa.array(values[n], mask=None if n in ("psd", "power", "rss") else ~ok) for n in wanted]
 
 
-def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
+def lomb_scargle(series: DataFrame | Samples, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """Floating-mean periodogram, psd normalisation: half the drop of the residual sum of squares."""
+    if isinstance(series, Samples):
+        weight = None
     if weight is not None:
         series = series.withColumn("w0_", weight)
     return _spectrum(series, grid, Baseline(weight=None if weight is None else "w0_"), ("psd",)).withColumnRenamed("psd", "power")
@@ -424,11 +597,13 @@ def lomb_scargle(series: DataFrame, grid: DataFrame, weight: Column | None = Non
 def _night_slopes(series: DataFrame, b: Baseline) -> Column:
     """Time from the night's mean: the weighted one beside offsets, so that both are orthogonal."""
     w, night = b.w, by("series_id", b.night)
+    if "y" in series.columns:  # a point without a value is in no fit
+        w = F.when(F.col("y").isNotNull() & F.col("t").isNotNull(), w)
     mean = F.sum(w * F.col("t")).over(night) / F.nullif(F.sum(w).over(night), F.lit(0.0)) if b.offsets else F.avg("t").over(night)
     return F.coalesce(F.col("t") - mean, F.lit(0.0))
 
 
-def nuisance_periodogram(series: DataFrame, grid: DataFrame, baseline: Baseline | str | None = None, slopes: bool = False) -> DataFrame:
+def nuisance_periodogram(series: DataFrame | Samples, grid: DataFrame, baseline: Baseline | str | None = None, slopes: bool = False) -> DataFrame:
     """Share of the weighted residual sum of squares that a sinusoid removes beside a baseline, with the fit (s_coeff, c_coeff,
     rss) and the covariance of both coefficients (cov_ss, cov_sc, cov_cc).
 
@@ -632,7 +807,7 @@ def excluded(spectrum: DataFrame, accepted: DataFrame, half: float | Column) ->
     return spectrum.join(taken, "series_id", "left").filter(free).drop("taken_")
 
 
-def frequency_fit(series: DataFrame, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, baseline: Baseline | str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
+def frequency_fit(series: DataFrame | Samples, centres: DataFrame, half: Column, fmin: float, fmax: float, steps: int = 1001, baseline: Baseline | str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
     """The frequency of least residual among ``steps`` even ones (11 at least) around f0: series_id, f, s_coeff, c_coeff, rss, power
     and the covariance; ``bounds`` names columns of ``centres`` that the frequency keeps within. Where no range is left, half of
     it around f0 is tried."""

@@ -120,3 +120,28 @@ def test_small_series_are_refined_whole_in_one_task(spark, monkeypatch):
     assert np.allclose(np.array(sorted(tuple(r) for r in M.global_refinement(df, modes, spans, 3, b).collect())), np.array(whole), atol=1e-8)
     start = modes.withColumns({"low": F.col("f") - 0.2, "high": F.col("f") + 0.2})
     assert "MapInArrow" in _plan(M._refined_whole(df, start, b, 3))
+
+
+def test_rounds_read_packed_points(spark, monkeypatch):
+    """Long series are packed once, passes read the arrays: the same as by rows, beside nights with slopes and weights too."""
+    rng = np.random.default_rng(4)
+    rows = [(s, float(t), float(5 + 3 * np.sin(2 * np.pi * 1.3 * t) + rng.normal()), i, int(t), float(1 + i % 3)) for s in range(3) for i, t in enumerate(np.sort(rng.uniform(0, 6, 150)))]
+    df = spark.createDataFrame([*rows, (0, None, 1.0, 900, 1, 1.0), (1, 2.0, None, 901, 1, 1.0)], "series_id long, t double, y double, k long, night long, weight double")
+    at = df.filter("series_id < 2").select("series_id").distinct().withColumn("f0", F.lit(1.3))
+    grid = P.local_grid(df.select("series_id").distinct().withColumn("f0", F.lit(1.2)), F.lit(0.5), F.lit(0.05), 0.1, 5.0).select("series_id", "j", "f")
+    near = lambda a, b: len(a) == len(b) and all(np.allclose(np.array(x, float), np.array(y, float), atol=1e-8, equal_nan=True) for x, y in zip(sorted(map(tuple, a)), sorted(map(tuple, b)), strict=True))
+    for b in (P.Baseline(), P.Baseline("night", slopes=True, weight="weight")):
+        fits = P.frequency_fit(df, at, F.lit(0.2), 0.1, 5.0, 51, b).localCheckpoint()
+        power = lambda s: P.nuisance_periodogram(s, grid, b).select("series_id", "j", "power").collect()  # noqa: B023, E731
+        before, after = power(df), power(P.prewhitened(df, fits, baseline=b))
+        for limit in (50_000, 0):
+            monkeypatch.setattr(P, "WHOLE", limit)
+            samples = P.packed_samples(df, b)
+            assert (samples.packed is None) == (limit == 50_000) and (samples.rows is None) == (limit == 0)
+            assert near(power(samples), before) and near(power(samples.less(fits)), after)
+            assert {r.series_id for r in power(samples.less(fits, only=True))} == {0, 1}
+    left, grid = {}, P.frequency_grid(df.groupBy("series_id").agg(F.lit(6.0).alias("t_full")), 0.1, 3.0, oversample=90.0)
+    for limit in (50_000, 0):
+        monkeypatch.setattr(P, "WHOLE", limit)
+        left[limit] = [(r.k, r.y) for r in M.harmonic_prewhitened(df.select("series_id", "t", "y", "k"), grid, 2, 1, -100.0, steps=21).filter("k < 900").collect()]
+    assert near(left[0], left[50_000]) and len(left[0]) == 450 and np.std([y for _, y in left[0]]) < 1.1
