@@ -3,6 +3,7 @@ driver sees only how many series go on."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -16,9 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.waves import amplitude, combined_power, dataset_weight, period, phase, sinusoid
 from ..tables import discard, stored
-from .regress import predicted, pseudo_solved
+from .regress import pseudo_solved
 from .series import by, clean, longest_chunk
-from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, Samples, _night_slopes, annulus_noise, by_series, excluded, frequency_fit, frequency_grid, harmonic_fit, harmonic_power, local_grid, lomb_scargle, nuisance_periodogram, packed_samples, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
+from .spectrum import KFIT, SIDE_BINS, SIDES, TAU, WHOLE, Baseline, Samples, _groups, _night_slopes, annulus_noise, by_series, excluded, frequency_fit, frequency_grid, harmonic_fit, harmonic_power, harmonic_wave, local_grid, lomb_scargle, nuisance_periodogram, packed_samples, prewhitened, spaced, strongest, top_peaks, whitened, with_errors
 
 #: Modes closer than this many resolution elements are one; a found mode's surroundings of as many are not searched again.
 SEPARATION = 5.0
@@ -53,7 +54,7 @@ def snr_at(spectrum: DataFrame, at: DataFrame, guard: Column, side: Column) -> D
     return out.select("series_id", F.when(F.col("w") > 0, F.sqrt("w")).alias("snr"), "w")
 
 
-def snr_after_fit(series: DataFrame, fits: DataFrame, spans: DataFrame, fmin: float, fmax: float, span: str = "t_full", nightly: bool = False, ks: float | None = None, baseline: Baseline | str | None = None) -> DataFrame:
+def snr_after_fit(series: DataFrame | Samples, fits: DataFrame, spans: DataFrame, fmin: float, fmax: float, span: str = "t_full", nightly: bool = False, ks: float | None = None, baseline: Baseline | str | None = None) -> DataFrame:
     """(series_id, snr, w) from a local spectrum around f, in steps of 1 / (5 T): the largest power inside the guard over the noise
     of the annulus. The guard is ``KFIT`` 2 / T, 2 / T (``nightly``: 3 / T) at least; sides are ``ks`` / T, 4 / T (6 / T) at least."""
     guard_bins, side_bins, most = (3.0, 6.0, 1601) if nightly else (2.0, 4.0, 1201)
@@ -549,7 +550,7 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
     """series with ``y`` free of up to ``rounds`` periodic signals of ``harmonics`` terms. A signal's frequency is the one of least
     residual within ``reach`` of the peak's and inside the grid: ``steps`` even points over that range, and as many again over
     two steps around the best, twice."""
-    left, whole = packed_samples(series), series
+    left, done = packed_samples(series), []
     ends = stored(grid.groupBy("series_id").agg(F.min("f").alias("first_"), F.max("f").alias("last_")), "ends")
     for _ in range(rounds):
         spectrum = stored(multiharmonic_power(left, grid, harmonics), "spectrum")
@@ -567,16 +568,33 @@ def harmonic_prewhitened(series: DataFrame, grid: DataFrame, rounds: int = 3, ha
             finest = harmonic_power(left, fine, harmonics, best=True).select("series_id", "f").join(window, "series_id")
             step = (F.col("high_") - F.col("low_")) / (steps - 1)
             window = stored(finest.select("series_id", F.col("f").alias("at_"), F.greatest("low_", F.col("f") - step).alias("low_"), F.least("high_", F.col("f") + step).alias("high_")), "harmonic-window")
-        rows, names = harmonic_features(whole.join(F.broadcast(fits), "series_id", "left"), harmonics)
-        wave = F.when(F.col("f").isNotNull(), predicted(names)).otherwise(0.0)
-        whole = rows.withColumn("y", F.col("y") - wave).select(*series.columns)
+        done.append(fits.withColumn("round_", F.lit(len(done))))
         former, left = left, left.less_harmonics(fits)
         former.discard()
         discard(spectrum)
-    return whole
+    return _without_harmonics(series, functools.reduce(DataFrame.unionByName, done)) if done else series
 
 
-def _both_whitened(first: DataFrame, second: DataFrame, grid: DataFrame, spans: DataFrame, weights: DataFrame, one: Baseline, two: Baseline) -> DataFrame:
+def _without_harmonics(series: DataFrame, fits: DataFrame) -> DataFrame:
+    """``series`` less the fits of all rounds (series_id, f, beta, round_), one after another, in one pass; other columns go along."""
+    waves = fits.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("round_", "f", "beta"))).alias("waves_"))
+    rows = series.withColumn("y", F.col("y").cast("double"))
+    names = rows.columns
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, y = (pc.fill_null(pc.cast(batch.column(c), pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in ("t", "y"))
+            y, none = y.copy(), pc.is_null(batch.column("y")).to_numpy(zero_copy_only=False)
+            for _, at in _groups(batch, ("series_id",)):
+                for w in batch.column("waves_")[int(at[0])].as_py() or []:
+                    y[at] -= harmonic_wave(t[at], w["f"], w["beta"])
+                    none[at] |= np.isnan(t[at])
+            yield pa.RecordBatch.from_arrays([pa.array(y, mask=none) if n == "y" else batch.column(n) for n in names], names)
+
+    return rows.join(F.broadcast(waves), "series_id", "left").select(*names, "waves_").mapInArrow(rest, rows.schema)
+
+
+def _both_whitened(first: DataFrame | Samples, second: DataFrame | Samples, grid: DataFrame, spans: DataFrame, weights: DataFrame, one: Baseline, two: Baseline) -> DataFrame:
     """(series_id, j, f, power, white, white2, score) on a grid: both series' whitened spectra (noise windows by t_full and t2) and
     their mean by ``weights`` (series_id, w1, w2)."""
     a = whitened(stored(lomb_scargle(first, grid, one.w), "spec"), spans.select("series_id", "t_full"), ks=SIDES).select("series_id", "j", "f", "power", "white")
@@ -586,7 +604,7 @@ def _both_whitened(first: DataFrame, second: DataFrame, grid: DataFrame, spans:
     return both.withColumn("score", combined_power(F.col("white"), F.col("white2"), F.col("w1"), F.col("w2"))).drop("w1", "w2")
 
 
-def fine_peaks(series: DataFrame, other: DataFrame, peaks: DataFrame, spans: DataFrame, weights: DataFrame, fmin: float, fmax: float, one: Baseline, two: Baseline) -> DataFrame:
+def fine_peaks(series: DataFrame | Samples, other: DataFrame | Samples, peaks: DataFrame, spans: DataFrame, weights: DataFrame, fmin: float, fmax: float, one: Baseline, two: Baseline) -> DataFrame:
     """(series_id, f0, f, score, white, white2): of each peak (series_id, f0, sep) the largest combined whitened power on a grid
     of sep / 10 within 3 sep; all peaks of all series in one plan."""
     key = F.concat_ws("|", F.col("f0").cast("string"), F.col("series_id").cast("string"))
@@ -597,7 +615,8 @@ def fine_peaks(series: DataFrame, other: DataFrame, peaks: DataFrame, spans: Dat
     grid = keyed.select(F.col("key_").alias("series_id"), "f0", "sep", points.alias("j"))
     grid = stored(grid.select("series_id", "j", (F.greatest(F.lit(fmin), F.col("f0") - reach) + F.col("j") * (F.col("sep") / 10)).alias("f")), "fine")
     own = lambda s: s.join(keyed.select("series_id", "key_"), "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
-    both = _both_whitened(own(series), own(other), grid, own(spans), own(weights), one, two)
+    points = lambda s: s.renamed(keyed.select("series_id", "key_")) if isinstance(s, Samples) else own(s)
+    both = _both_whitened(points(series), points(other), grid, own(spans), own(weights), one, two)
     best = F.max_by(F.struct("f", "score", "white", "white2"), F.struct("score", -F.col("j"))).alias("b")
     return both.filter("score is not null").groupBy(F.col("series_id").alias("key_")).agg(best).join(keyed.select("key_", "series_id", "f0"), "key_").select("series_id", "f0", "b.*")
 
@@ -628,7 +647,7 @@ def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, b
     grid = stored(frequency_grid(spans.select("series_id", longest.alias("longest")), fmin, fmax, span="longest", most=most), "grid")
     groups = second.groupBy("series_id").agg(F.count_distinct(two.night).cast("int").alias("n_groups")) if two.night else spans.select("series_id", F.lit(0).alias("n_groups"))
     groups = stored(groups, "groups")
-    a, b, out = stored(first, "joint"), stored(second, "joint"), None
+    a, b, out = packed_samples(first, one), packed_samples(second, two), None
     for n in range(1, rounds + 1):
         both = stored(_both_whitened(a, b, grid, spans, weights, one, two), "both")
         peaks = [top_peaks(both, k, F.col("sep"), prominence, v, sep).select("series_id", "f", F.col(v).alias("height"), "sep") for v, k in (("score", 10), ("power", 3))]
@@ -653,10 +672,10 @@ def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, b
             break
         out = rows if out is None else stored(out.unionByName(rows), "joint-all")
         go, former = rows.select("series_id"), (a, b, both)
-        a = stored(prewhitened(a.join(go, "series_id", "left_semi"), fa, baseline=one), "joint")
-        b = stored(prewhitened(b.join(go, "series_id", "left_semi"), fb, baseline=two), "joint")
-        for done in former:
-            discard(done)
+        a, b = (s.less(fit.join(go, "series_id", "left_semi"), only=True) for s, fit in ((a, fa), (b, fb)))
+        for done in former[:2]:
+            done.discard()
+        discard(both)
     if out is None:
         double = [f"{c}_{tag}" for tag in ("first", "second") for c in ("f", "amp", "amp_err", "phase", "phase_err", "snr", "w")]
         kinds = {"n": "int", "n_groups": "int", "offsets": "boolean", "slopes": "boolean"}

@@ -54,9 +54,9 @@ def polarimetric_frame(channels: DataFrame, gap: float = 0.4, rounds: int = 3, h
     daily = nm.withColumn("phase1d", F.pmod(F.col("t") - (F.floor(F.min("t").over(by())) + 0.5), F.lit(1.0)))
     resid = template(daily, "phase1d", 0.05, 3, "nm").withColumn("resid", F.col("nm") - F.coalesce("trend", F.lit(0.0))).drop("trend")
     resid = stored(resid, "products")
-    series = resid.select("series_id", "t", F.col("resid").alias("y"), "k")
-    clean = harmonic_prewhitened(series, stored(nyquist_grid(series, least=grid_points), "grid"), rounds, harmonics)
-    return resid.join(clean.select("series_id", "k", F.col("y").alias("prewhitened")), ["series_id", "k"])
+    series = resid.withColumns({"raw_": F.col("y"), "y": F.col("resid")})  # all columns go along: nothing is joined back
+    clean = harmonic_prewhitened(series, stored(nyquist_grid(series.select("series_id", "t", "y", "k"), least=grid_points), "grid"), rounds, harmonics)
+    return clean.withColumn("prewhitened", F.col("y")).withColumn("y", F.col("raw_")).drop("raw_")
 
 
 def catalogue_extraction(px: DataFrame, sky: DataFrame, sources: DataFrame, targets: int = 2, method: str = "multi", least: int = 1000) -> DataFrame:

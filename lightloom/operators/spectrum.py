@@ -85,15 +85,7 @@ class Samples(NamedTuple):
 
     def less_harmonics(self, fits: DataFrame) -> Samples:
         """Without the fits of an offset and harmonics (series_id, f, beta: offset, then a sine and a cosine each)."""
-
-        def wave(t: np.ndarray, w: dict) -> np.ndarray:
-            out = np.full(len(t), w["beta"][0])
-            for h, (s, c) in enumerate(zip(w["beta"][1::2], w["beta"][2::2], strict=True), 1):
-                angle = TAU * h * w["f"] * t
-                out += s * np.sin(angle) + c * np.cos(angle)
-            return out
-
-        return self._less(fits.select("series_id", F.struct("f", "beta").alias("wave_")), wave, False)
+        return self._less(fits.select("series_id", F.struct("f", "beta").alias("wave_")), lambda t, w: harmonic_wave(t, w["f"], w["beta"]), False)
 
     def _less(self, fits: DataFrame, wave: Callable[[np.ndarray, dict], np.ndarray], only: bool) -> Samples:
         how = "inner" if only else "left"
@@ -131,12 +123,26 @@ class Samples(NamedTuple):
         done = [None if points is None else stored(joined(points).mapInArrow(f, points.schema), "samples") for points, f in ((self.rows, of_rows), (self.packed, of_packed))]
         return Samples(*done)
 
+    def renamed(self, names: DataFrame) -> Samples:
+        """Every series once for each of its new names (series_id, key_)."""
+        own = lambda points, names: points.join(names, "series_id").drop("series_id").withColumnRenamed("key_", "series_id")
+        return Samples(None if self.rows is None else own(self.rows, names), None if self.packed is None else own(self.packed, F.broadcast(names)))
+
     def discard(self) -> None:
         for points in self:
             if points is not None:
                 discard(points)
 
 
+def harmonic_wave(t: np.ndarray, f: float, beta: list[float]) -> np.ndarray:
+    """The offset and sinusoids of ``harmonic_fit``."""
+    out = np.full(len(t), beta[0])
+    for h, (s, c) in enumerate(zip(beta[1::2], beta[2::2], strict=True), 1):
+        angle = TAU * h * f * t
+        out += s * np.sin(angle) + c * np.cos(angle)
+    return out
+
+
 def _replaced(batch: pa.RecordBatch, y: pa.Array) -> pa.RecordBatch:
     """The batch with another y and without its wave."""
     names = [n for n in batch.schema.names if n != "wave_"]
@@ -195,7 +201,8 @@ def packed_samples(series: DataFrame, baseline: Baseline | str | None = None) ->
         points = rows.join(F.broadcast(long), "series_id")
         if b.night:
             points = _dealt(points, names)
-        large = stored(points.mapInArrow(pack, schema), "samples")
+        # few large rows are dealt anew, whatever the tasks had: a pass is as long as its longest task
+        large = stored(points.mapInArrow(pack, schema).repartition(series.sparkSession.sparkContext.defaultParallelism), "samples")
     return Samples(small, large)
 
 
