@@ -48,10 +48,16 @@ def first_column(df: DataFrame, names: tuple[str, ...], forced: str | None = Non
     raise ValueError(f"none of the columns {', '.join(names)} in {', '.join(df.columns)}")
 
 
+def few_listings(spark: SparkSession) -> None:
+    """Many folders are listed by a few tasks with many each, instead of a task each."""
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+
+
 def _file_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines: file, k, cells; headers: file, header) of CSV files, each with its own header line: columns are found by their name in
     the file they stand in, so files may order or choose them as they like. Neither files nor their lists pass through the driver;
     files are split like any text. Values with commas or line ends are not expected."""
+    few_listings(spark)
     reader = spark.read.option("recursiveFileLookup", recursive)
     lines = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
     clean = lambda c: F.transform(F.split(c, ","), lambda x: F.btrim(F.btrim(x), F.lit('"')))

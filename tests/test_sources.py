@@ -166,3 +166,17 @@ def test_files_are_found_once_and_results_are_skipped(spark, tmp_path):
     assert [(r.series_id.rsplit("/", 1)[1], r.y, r.column) for r in rows.collect()] == [("one.csv", 1, "flux_rel")]
     got = {r.file.rsplit("/", 1)[1]: r.reason for r in skipped.collect()}
     assert got == {"detrended_two.csv": "already detrended", "three_detrend.csv": "already detrended", "four.csv": "no time_btjd column"}
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"series_id={k}").mkdir()
+        (tmp_path / f"series_id={k}" / "a.csv").write_text(f"time_btjd,flux_rel\n0,{k}\n1,2\n")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows, skipped = L.read_mixed_directory(spark, str(tmp_path))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= most < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows.count() == 120 and skipped.count() == 0
