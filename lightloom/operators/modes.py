@@ -647,7 +647,7 @@ def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, b
     grid = stored(frequency_grid(spans.select("series_id", longest.alias("longest")), fmin, fmax, span="longest", most=most), "grid")
     groups = second.groupBy("series_id").agg(F.count_distinct(two.night).cast("int").alias("n_groups")) if two.night else spans.select("series_id", F.lit(0).alias("n_groups"))
     groups = stored(groups, "groups")
-    a, b, out = packed_samples(first, one), packed_samples(second, two), None
+    a, b, out = stored(first, "joint"), stored(second, "joint"), None
     for n in range(1, rounds + 1):
         both = stored(_both_whitened(a, b, grid, spans, weights, one, two), "both")
         peaks = [top_peaks(both, k, F.col("sep"), prominence, v, sep).select("series_id", "f", F.col(v).alias("height"), "sep") for v, k in (("score", 10), ("power", 3))]
@@ -672,10 +672,10 @@ def joint_modes(first: DataFrame, second: DataFrame, fmin: float, fmax: float, b
             break
         out = rows if out is None else stored(out.unionByName(rows), "joint-all")
         go, former = rows.select("series_id"), (a, b, both)
-        a, b = (s.less(fit.join(go, "series_id", "left_semi"), only=True) for s, fit in ((a, fa), (b, fb)))
-        for done in former[:2]:
-            done.discard()
-        discard(both)
+        a = stored(prewhitened(a.join(go, "series_id", "left_semi"), fa, baseline=one), "joint")
+        b = stored(prewhitened(b.join(go, "series_id", "left_semi"), fb, baseline=two), "joint")
+        for done in former:
+            discard(done)
     if out is None:
         double = [f"{c}_{tag}" for tag in ("first", "second") for c in ("f", "amp", "amp_err", "phase", "phase_err", "snr", "w")]
         kinds = {"n": "int", "n_groups": "int", "offsets": "boolean", "slopes": "boolean"}
