@@ -54,6 +54,24 @@ _SPACE = chr(256 + _HIDDEN.index(32))
 _PUNCTUATION = ".,;:!?"
 
 
+class _Pieces(dict):
+    """Pieces to numbers. A piece met for the first time is numbered and put into ``fresh``; ``odd`` tells that one can't be taken on
+    its own (it is empty or begins or ends with white space)."""
+
+    def __init__(self, known: dict[str, int], pieces: int):
+        super().__init__(known)
+        self.pieces, self.fresh, self.odd = pieces, [], False
+
+    def __missing__(self, piece: str) -> int:
+        if not piece or piece.strip() != piece:
+            self.odd = True
+            return 0
+        at = self[piece] = self.pieces
+        self.pieces += 1
+        self.fresh.append(piece)
+        return at
+
+
 class PieceEncoder:
     """Texts to ids; piece 0 is the end of a document.
 
@@ -75,7 +93,7 @@ class PieceEncoder:
         self.marks = {c: self._ids(c).tolist() for c in _PUNCTUATION}
         self.letters, self.line_end = _byte_letters(), self._ids("\n").tolist()
         self.end_id, self.remembered = end_id, remembered
-        self.known: dict[str, int] = {}
+        self.known = _Pieces({}, 1)
         self.pool, self.used = np.full(1024, end_id, np.int32), 1
         self.offset, self.length, self.uses, self.pieces = np.zeros(1024, np.int64), np.ones(1024, np.int64), np.zeros(1024, np.int64), 1
 
@@ -88,7 +106,7 @@ class PieceEncoder:
         lengths, offsets = self.length[kept], self.offset[kept]
         begins = np.cumsum(lengths) - lengths
         pool = self.pool[np.repeat(offsets - begins, lengths) + np.arange(int(lengths.sum()))]
-        self.known = {names[k]: at for at, k in enumerate(often.tolist(), 1)}
+        self.known = _Pieces({names[k]: at for at, k in enumerate(often.tolist(), 1)}, len(kept))
         self.pool, self.used, self.pieces = pool, len(pool), len(kept)
         self.offset, self.length, self.uses = begins, lengths, self.uses[kept] // 2
 
@@ -143,8 +161,12 @@ class PieceEncoder:
 
     def _add_fresh(self, pieces: list[str]) -> None:
         flat, lengths, numbers, rest = [], [], [], []
+        tokenize = self.model.tokenize
         for at, piece in enumerate(pieces, self.pieces):
-            ids = self._lines(piece, _SPACE) if "\n" in piece else self._word(piece, _SPACE)
+            if piece.isalpha() and piece.isascii():  # most are, and spare the calls
+                ids = [t.id for t in tokenize(_SPACE + piece)]
+            else:
+                ids = self._lines(piece, _SPACE) if "\n" in piece else self._word(piece, _SPACE)
             if ids is None:
                 rest.append(at)
                 continue
@@ -160,20 +182,6 @@ class PieceEncoder:
         self._put(np.array(rest, np.int64), more, list(map(len, others)))
         self.pieces += len(pieces)
 
-    def _learn(self, row: list[int | None], pieces: list[str], fresh: list[str]) -> bool:
-        """Number the unknown pieces of a row; False if one of them can't be taken on its own."""
-        known = self.known
-        for k in [k for k, at in enumerate(row) if at is None]:
-            piece = pieces[k]
-            at = known.get(piece)
-            if at is None:
-                if not piece or piece[0].isspace() or piece[-1].isspace():
-                    return False
-                at = known[piece] = self.pieces + len(fresh)
-                fresh.append(piece)
-            row[k] = at
-        return True
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, lengths)."""
         collects = gc.isenabled()
@@ -187,13 +195,14 @@ class PieceEncoder:
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.remembered:
             self._forget()
-        known, order, counts, fresh, single = self.known, [], [], [], []
+        known, order, counts, single = self.known, [], [], []
         for text in texts:
             head, row = None, []
             if text:
                 head, *tail = text.split(" ")
-                row = list(map(known.get, tail))
-                if not _separable(head) or None in row and not self._learn(row, tail, fresh):
+                known.odd = not _separable(head)
+                row = [] if known.odd else list(map(known.__getitem__, tail))
+                if known.odd:
                     head, row = text, []
             if head is not None:  # begins the text, has no space before it
                 single.append(head)
@@ -201,8 +210,9 @@ class PieceEncoder:
             order += row
             order.append(0)
             counts.append(len(row) + 1 + (head is not None))
-        if fresh:
-            self._add_fresh(fresh)
+        if known.fresh:
+            self._add_fresh(known.fresh)
+            known.fresh = []
         at, used = self.pieces, self.used
         if single:
             made = [self._lines(t, "") or self._ids(t) for t in single]

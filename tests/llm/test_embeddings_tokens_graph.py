@@ -154,3 +154,21 @@ def test_token_files(spark, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (row[0], start, len(ids), crc, ids)
         start += len(ids)
     assert tokens.token_report(empty(spark), BPE).count() == 0
+
+
+def test_owners_of_values_without_search():
+    """Order 0 names the id of a value by a table, which follows its counts; the same as a search in the cumulated counts."""
+    model = rangecoder._Model(500, 4)
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        values = np.arange(int(model.total))
+        assert (model.owners(values) == np.searchsorted(model.cum, values, side="right") - 1).all()
+        model.count += rng.integers(0, 40, 500)
+        model._order0_up()
+
+
+def test_pieces_are_numbered_once():
+    """Pieces met for the first time are numbered as they are looked up; one that begins or ends with white space is told, not numbered."""
+    pieces = tokens._Pieces({"a": 1}, 2)
+    assert [pieces[p] for p in ("a", "b", "c", "b")] == [1, 2, 3, 2] and pieces.fresh == ["b", "c"] and not pieces.odd
+    assert [pieces[p] for p in ("", "x\n", "\x1cx")] == [0, 0, 0] and pieces.odd and pieces.fresh == ["b", "c"]
