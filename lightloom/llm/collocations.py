@@ -11,11 +11,13 @@ active any more. What reaches ``least`` in all has parts that reach it, so no fr
 
 1. Once, words become 64-bit codes of (language, word): a shard is stored as blocks of codes, 0 between pieces, beside the words
    themselves. Should a frequent word share its code with another word, all is done again with other codes.
-2. A scan is one job. Tasks keep the phrases whose two parts are in a bitmap of the phrases found so far (and one of both in that
+2. Once, all pairs are counted by hash in up to 2^``MOST_BITS`` buckets. A pair whose bucket stays below ``least`` over all texts
+   stays below it as well, so tasks leave it out; what is left is counted by its codes.
+3. A scan is one job. Tasks keep the phrases whose two parts are in a bitmap of the phrases found so far (and one of both in that
    of the last cycle: the others are complete), sum them up, and Spark adds them, with the counts of the last scans, by their
    codes. The bitmaps have at most 2^``MOST_BITS`` bits; what they let through too much is told by joins of the few phrases that
    come to ``least`` with those found: only the scans from a phrase's activation on count.
-3. In the end codes become words again, and phrases are scored.
+4. In the end codes become words again, and phrases are scored.
 
 Defined results: a null text has no words; a null language counts as ``und``; a language without a frequent phrase has no
 rows; repeated rows count again; an empty table gives no rows; other columns are ignored.
@@ -47,10 +49,15 @@ REMEMBERED = 100_000
 SALTS = 32
 #: Phrases in one batch that a task gives out.
 GIVEN = 20_000
+#: Hashes of pairs that a task holds before it gives out their buckets; places that the smallest number of buckets has in each.
+HELD_PAIRS = 500_000
+PAIRS_A_BUCKET = 4
 #: Words in one row, between line ends, which no word has.
 NAMES = 10_000
 #: Blocks of codes are long rows: about so many bytes go to a Python worker at a time.
 BATCH_BYTES = 1 << 20
+#: Readers take a page and a row group at once: Parquet looks at their sizes after 4 rows instead of 100.
+LONG_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4", "parquet.block.size.row.check.min": "4"}
 #: A-Z to a-z, what ends a piece to ``.``, a tab to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else (46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b) for b in range(256))
 #: Bits of a block that Spark's bitmap functions build.
@@ -159,13 +166,14 @@ def _mixed(codes: np.ndarray, first: int, n: int, size: int) -> np.ndarray:
 
 
 class Found:
-    """Bitmaps of phrases, all found so far and those of the last cycle, and the lengths of the latter."""
+    """Bitmaps of phrases, all found so far and those of the last cycle, and the lengths of the latter; if pairs are to be counted,
+    the bitmap of ``_pair_buckets``."""
 
-    def __init__(self, bits: int, every: np.ndarray, recent: np.ndarray, lengths: list[int]):
-        self.shift, self.every, self.recent, self.lengths = np.uint64(64 - bits), every, recent, lengths
+    def __init__(self, bits: int, every: np.ndarray, recent: np.ndarray, lengths: list[int], pairs: np.ndarray | None = None):
+        self.shift, self.every, self.recent, self.lengths, self.pairs = np.uint64(64 - bits), every, recent, lengths, pairs
 
-    def _has(self, bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
+    def _has(self, bitmap: np.ndarray, hashes: np.ndarray, shift: np.uint64 | None = None) -> np.ndarray:
+        at = hashes >> (self.shift if shift is None else shift)
         return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     def both(self, parts: np.ndarray) -> np.ndarray:
@@ -174,6 +182,10 @@ class Found:
         at = np.flatnonzero(known[:-1] & known[1:])
         return at[self._has(self.recent, parts[at]) | self._has(self.recent, parts[at + 1])]
 
+    def often(self, pairs: np.ndarray) -> np.ndarray:
+        """For hashes of pairs: which may come to the limit."""
+        return self._has(self.pairs, pairs, np.uint64(65 - (8 * len(self.pairs)).bit_length()))
+
 
 def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of ``words`` with their summed counts."""
@@ -205,6 +217,8 @@ class _Counter:
                 at = np.flatnonzero(word[:total])
             else:
                 at = self.found.both(_mixed(padded, 0, n - 1, total + 1))
+                if n == 2 and self.found.pairs is not None:
+                    at = at[self.found.often(_mixed(padded, 0, 2, total)[at])]
                 for k in range(n):
                     at = at[word[at + k]]
             at = at[at + n > again]
@@ -250,6 +264,66 @@ def phrase_counts(blocks: DataFrame, words: bool, found: object | None, longest:
     return blocks.select("codes", "words").mapInArrow(gives_back(count), ", ".join(f"{w} long" for w in WORDS) + ", count long")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones: most are 0 above, which a shuffle packs."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pair_buckets(rows: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Bitmap of 2^bits buckets of hashes of pairs: those with ``least`` places or more in all texts. A task gives out, for each
+    block of buckets, the distances of those it has met and their counts; Spark brings the blocks together."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def blocks() -> pa.RecordBatch:
+            at, counts = np.unique(np.concatenate(held), return_counts=True)
+            counts = np.minimum(counts, least).astype(np.int32)  # a sum of what is cut off here has come to the limit
+            starts = np.flatnonzero(np.diff(at >> _BLOCK_BITS, prepend=-1))
+            steps = np.diff(at, prepend=0)
+            steps[starts] = at[starts] & ((1 << _BLOCK_BITS) - 1)
+            steps = steps.astype(np.uint16)
+            cuts = list(zip(starts, [*starts[1:], len(at)], strict=True))
+            columns = [pa.array(at[starts] >> _BLOCK_BITS), *[pa.array([_planes(x[a:b]) for a, b in cuts], pa.binary()) for x in (steps, counts)]]
+            return pa.RecordBatch.from_arrays(columns, ["block", "steps", "counts"])
+
+        for batch in batches:
+            for codes, again in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(codes.as_buffer(), np.uint64)[max(0, again - 1) :]
+                if len(own) > 1:
+                    pair = (own[:-1] != 0) & (own[1:] != 0)
+                    held.append((_mixed(own, 0, 2, len(own) - 1)[pair] >> np.uint64(64 - bits)).astype(np.int32))
+                    size += len(held[-1])
+                if size > HELD_PAIRS:
+                    yield blocks()
+                    held, size = [], 0
+        if size:
+            yield blocks()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block not in totals:
+                    totals[block] = np.zeros(1 << _BLOCK_BITS, np.int32)
+                own, at = totals[block], np.cumsum(_of_planes(steps, np.uint16), dtype=np.int64)
+                own[at] = np.minimum(own[at] + _of_planes(counts, np.int32), least)
+        often = {block: own >= least for block, own in totals.items()}
+        often = {block: np.packbits(own, bitorder="little").tobytes() for block, own in often.items() if own.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.int32()), pa.array(list(often.values()), pa.binary())], ["block", "often"])
+
+    texts = rows.filter(F.col("shard") >= 0).select("codes", "words")
+    blocks = texts.mapInArrow(gives_back(met), "block int, steps binary, counts binary").repartition("block")
+    out, size = np.zeros((1 << bits) >> 3, np.uint8), 1 << (_BLOCK_BITS - 3)
+    for r in blocks.mapInArrow(gives_back(summed), "block int, often binary").collect():  # at most 2^(bits - 15), of 4096 bytes
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(bytes(r.often), np.uint8)
+    return out
+
+
 def _bitmaps(found: DataFrame, since: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of 2^bits bits of the hashes of all phrases, and of those reached ``since``, put together by Spark from blocks."""
 
@@ -307,7 +381,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shard = F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards)).cast("int")
     dealt = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", shard.alias("shard"))
-    rows = stored(coded(dealt, salt).sortWithinPartitions("shard"), "phrase-codes")  # a scan skips other shards' pages
+    rows = stored(coded(dealt, salt).sortWithinPartitions("shard"), "phrase-codes", **LONG_ROWS)  # a scan skips other shards' pages
+    words = rows.filter(F.col("shard") == _NAMES).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    pairs = _pair_buckets(rows, least, min(MOST_BITS, max(_BLOCK_BITS + 1, (words // PAIRS_A_BUCKET).bit_length())))
     run, found, final, step = None, None, None, 0
     while True:
         known, lengths = None, []
@@ -317,7 +393,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             lengths = sorted(r.n for r in sizes if r.recent and r.n < longest)
             if lengths:
                 bits = min(MOST_BITS, max(_BLOCK_BITS + 1, math.ceil(math.log2(sum(r.phrases for r in sizes))) + 5))
-                known = spark.sparkContext.broadcast(Found(bits, *_bitmaps(found, step - shards, bits), lengths))
+                known = spark.sparkContext.broadcast(Found(bits, *_bitmaps(found, step - shards, bits), lengths, pairs if 1 in lengths else None))
         if step >= shards and not lengths:
             break
         counted = phrase_counts(rows.filter(F.col("shard") == step % shards), step < shards, known, longest)

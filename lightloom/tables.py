@@ -22,11 +22,11 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as a Parquet table (with the writer's ``options``) in the shared folder and read back: survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lightloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     spark._jvm.System.gc()  # the context cleaner drops shuffle files only once the driver has collected its garbage
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path

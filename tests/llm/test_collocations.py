@@ -124,3 +124,30 @@ def test_counts_beyond_64_bits(spark):
 def test_corpus_and_empty(spark):
     assert C.collocations(empty(spark), shards=1).count() == 0
     assert sorted(map(tuple, C.collocations(frame(spark), least=3, shards=1).collect())) == brute(documents(), 3)
+
+
+def test_rare_pairs_are_not_shuffled(spark, monkeypatch):
+    """Pairs of frequent words that stay below the limit are left out by the counts of their buckets, in whatever shard they stand."""
+    rng = random.Random(5)
+    words = [f"v{k}" for k in range(150)]
+    rows = [row(" ".join(rng.choice(words) for _ in range(60)) + ". mit p q r x" + rng.choice(["", " y"]), doc_id=k) for k in range(400)]
+    runs, write = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name, **options: (out := write(df, name, **options), runs.append(out.filter("w2 <> 0 and w3 = 0").count()) if name == "phrase-run" else None)[0])
+    assert sorted(map(tuple, C.collocations(frame(spark, rows), least=30).collect())) == brute(rows, 30)
+    assert sum(runs) < 200  # of about 14,000 different pairs
+
+
+def test_pair_buckets(spark, monkeypatch):
+    """Buckets of pairs in blocks with repeated words, in several parts of a task and several tasks, against counting."""
+    monkeypatch.setattr(C, "HELD_PAIRS", 50)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcde") + rng.choice([" ", " ", " ", ". "]) for _ in range(400)) for _ in range(6)]
+    blocks = C.coded(spark.createDataFrame([("en", t, k % 2) for k, t in enumerate(texts)], "lang string, text string, shard int").repartition(3), block_words=40)
+    rows = C.stored(blocks, "codes")
+    counts = Counter(p for t in texts for p in phrases(t) if len(p) == 2)
+    codes = C._Codes("en", 0)
+    for least in (1, 60, 10**6):
+        often = C.Found(16, None, None, [], C._pair_buckets(rows, least, 17)).often
+        for pair, n in counts.items():
+            code = np.array([codes[w.encode()] for w in pair], np.uint64)
+            assert bool(often(C._mixed(code, 0, 2, 1))[0]) == (n >= least)
