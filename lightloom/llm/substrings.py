@@ -11,8 +11,11 @@
    word. Every window that is not its own first place is removed.
 
 A region is streamed through the shards that hold an anchor of it; in others nothing of it can be found, since equal windows
-have equal anchors. A shard that very many regions meet is compiled for each ``CHUNK_WORDS`` words of them. Anchors and texts
-that very many documents share are salted where they are joined.
+have equal anchors. Anchors that passages of several shards have (common phrases) would send a region to ever more shards as the
+corpus grows: they have one shard of their own instead (several by the windows' codes, if very many passages have them), which
+gets the runs of windows under them, of passages and regions alike, and nothing else of these. A shard that very many regions
+meet is compiled for each ``CHUNK_WORDS`` words of them. Anchors and texts that very many documents share are salted where they
+are joined.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows that share a doc_id and
 the words count as one document, other rows with one doc_id are ordered by a hash of their words; null doc_ids come
@@ -36,6 +39,8 @@ from .common import discard, gives_back, salted_join, stored
 WINDOW = 20
 GRAM = 6
 SHARD_WORDS, CHUNK_WORDS = 1_000_000, 4_000_000
+#: A common anchor has one shard for so many passages with it.
+COMMON_PASSAGES = 10_000
 _PART = 480
 _FIRST = 0xF0000  # letters of private use
 #: Up to so many shards, the table of their sizes (8 bytes each) goes to every task.
@@ -43,16 +48,14 @@ BROADCAST_SHARDS = 1_000_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
 def _rolling(codes: np.ndarray, n: int, odd: int) -> np.ndarray:
     """A 64-bit code of each n consecutive words, by doubling."""
     out, have, power = codes, 1, odd
@@ -94,16 +97,6 @@ def _anchors(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, at
 
 
-class _Scanner:
-    def __init__(self, window: int):
-        self.window, self.codes = window, _Codes()
-
-    def code(self, words: list[bytes]) -> np.ndarray:
-        if len(self.codes) > 300_000:
-            self.codes.clear()
-        return np.array(list(map(self.codes.__getitem__, words)), np.uint64)
-
-
 def _digest(codes: np.ndarray) -> tuple[int, int]:
     high, low = divmod(xxhash.xxh3_128_intdigest(codes.tobytes()), 1 << 64)
     return high - (1 << 63), low - (1 << 63)
@@ -116,11 +109,10 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     """docs: doc_id, t, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(window)
         for batch in batches:
             n_words, h1, h2, anchors = [], [], [], []
             for text in batch.column("text"):
-                codes = scanner.code(words_of(text.as_py()))
+                codes = word_codes(words_of(text.as_py()))
                 high, low = _digest(codes)
                 found = np.zeros(0, np.uint64)
                 if len(codes) >= window:
@@ -145,12 +137,11 @@ def regions(rows: DataFrame, window: int) -> DataFrame:
     the run starts, its words and how many, its anchors, and the two codes of each window."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(window)
         for batch in batches:
             out: list[tuple] = []
             for o, text, hits in zip(*(batch.column(c) for c in ("o", "text", "hits")), strict=True):
                 words = words_of(text.as_py())
-                codes = scanner.code(words)
+                codes = word_codes(words)
                 grams, at = _anchors(codes, window)
                 wanted, own = np.sort(hits.values.to_numpy().view(np.uint64)), grams[at]
                 place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
@@ -171,25 +162,54 @@ def regions(rows: DataFrame, window: int) -> DataFrame:
 
 
 def passages(rows: DataFrame, window: int) -> DataFrame:
-    """(o, start, words, n, anchors) from regions (o, start, words) and firsts (first places of recurring windows in the region)."""
+    """(o, region, start, words, n, anchors) from regions (o, start, words) and firsts (first places of recurring windows in the region)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(window)
         for batch in batches:
             out: list[tuple] = []
             for o, start, text, firsts in zip(*(batch.column(c) for c in ("o", "start", "words", "firsts")), strict=True):
                 words, at = text.as_py().split(), np.sort(firsts.values.to_numpy()) - start.as_py()
-                grams, least = _anchors(scanner.code(words), window)
+                grams, least = _anchors(word_codes(words), window)
                 for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
                     a, b = int(run[0]), int(run[-1])
                     own = np.unique(grams[least[a : b + 1]]).view(np.int64)
-                    out.append((o.as_py(), start.as_py() + a, b" ".join(words[a : b + window]), b - a + window, own))
+                    out.append((o.as_py(), start.as_py(), start.as_py() + a, b" ".join(words[a : b + window]), b - a + window, own))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["o", "region", "start", "words", "n", "anchors"])
+
+    return rows.select("o", "start", "words", "firsts").mapInArrow(gives_back(cut), "o long, region int, start int, words binary, n int, anchors array<long>")
+
+
+def common_runs(rows: DataFrame, window: int, shards: int) -> DataFrame:
+    """(shard, o, start, words, n): runs of windows under common anchors, from regions or passages (o, start, words) and common, the
+    anchors in question, each with the number of shards it has. Equal windows get the same shard."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for o, start, text, common in zip(*(batch.column(c) for c in ("o", "start", "words", "common")), strict=True):
+                words = text.as_py().split()
+                codes = word_codes(words)
+                grams, at = _anchors(codes, window)
+                anchors, split = (common.values.field(k).to_numpy() for k in ("anchor", "split"))
+                order = np.argsort(anchors.view(np.uint64))
+                wanted, split, own = anchors.view(np.uint64)[order], split[order].astype(np.uint64), grams[at]
+                place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                part = _rolling(codes, window, 0xA24BAED4963EE407) % split[place]
+                dealt = ((own ^ (part * _MIX)) * _MIX >> np.uint64(32)) % np.uint64(shards)
+                shard = np.where(wanted[place] == own, dealt.astype(np.int64), -1)
+                first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True):
+                    if shard[a] >= 0:
+                        out.append((int(shard[a]), o.as_py(), start.as_py() + a, b" ".join(words[a : b + window - 1]), b - a + window - 1))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors"])
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "o", "start", "words", "n"])
 
-    return rows.select("o", "start", "words", "firsts").mapInArrow(gives_back(cut), "o long, start int, words binary, n long, anchors array<long>")
+    return rows.select("o", "start", "words", "common").mapInArrow(gives_back(cut), "shard int, o long, start int, words binary, n int")
 
 
 class Shard:
@@ -311,20 +331,27 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     parts = stored(passages(here, window), "passages")
     shards = -(-(parts.agg(F.sum("n")).first()[0] or 1) // SHARD_WORDS)
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("o", F.floor(F.col("start") / (16 * _PART))), F.lit(shards)).cast("int"))
-    homes = dealt.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.collect_set("shard").alias("shards"))
+    homes = dealt.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor")
+    homes = homes.agg(F.min("shard").alias("shard"), F.max("shard").alias("last"), F.ceil(F.count("*") / COMMON_PASSAGES).alias("split"))
+    homes = homes.select("anchor", F.when(F.col("shard") == F.col("last"), F.col("shard")).alias("shard"), "split")
     pieces = found.select("o", "start", F.explode("anchors").alias("anchor"))
     held = stored(homes.join(pieces.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"), "anchor-shards")
-    routes = salted_join(pieces, held, "anchor", "o").select("o", "start", F.explode("shards").alias("shard")).distinct()
-    routes = stored(routes.groupBy("o", "start").agg(F.collect_list("shard").alias("shards")), "routes")
-    sent = found.select("o", "start", "words", "n").join(routes, ["o", "start"]).select("o", "start", "words", "n", F.explode("shards").alias("shard"))
-    sizes = found.select("o", "start", "n").join(routes, ["o", "start"]).select("n", F.explode("shards").alias("shard"))
+    common = F.when(F.col("shard").isNull(), F.struct("anchor", "split"))
+    routes = salted_join(pieces, held, "anchor", "o").groupBy("o", "start")
+    routes = stored(routes.agg(F.collect_set("shard").alias("shards"), F.collect_list(common).alias("common")), "routes")
+    whole = found.select("o", "start", "words", "n").join(routes, ["o", "start"]).select(F.explode("shards").alias("shard"), "o", "start", "words", "n")
+    commons = routes.filter(F.size("common") > 0).select("o", F.col("start").alias("region"), "common")
+    runs = stored(common_runs(found.withColumnRenamed("start", "region").join(commons, ["o", "region"]).withColumn("start", F.col("region")), window, shards), "common-runs")
+    dealt = dealt.select(runs.columns).unionByName(common_runs(parts.join(commons, ["o", "region"]), window, shards))
+    sent = whole.unionByName(runs)
+    sizes = found.select("o", "start", "n").join(routes, ["o", "start"]).select("n", F.explode("shards").alias("shard")).unionByName(runs.select("n", "shard"))
     sizes = stored(sizes.groupBy("shard").agg(F.ceil(F.sum("n") / CHUNK_WORDS).cast("int").alias("chunks")), "shard-sizes")
     chunk = F.pmod(F.xxhash64("o", "start"), F.col("chunks")).cast("int").alias("chunk")
     sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "start", "words", "n")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     spans = _streamed(sent, dealt.join(sizes, "shard").select("shard", every, "o", "start", "words"), window)
     spans = stored(spans.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
-    for done in (found, starts, parts, held, routes, counted):
+    for done in (found, starts, parts, held, routes, runs, counted):
         discard(done)
     cut = spans.join(ids, "o").select(*order, F.lit(False).alias("copy"), "spans")
     cut = cut.unionByName(copies.select(*order, F.lit(True).alias("copy"), F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))

@@ -156,6 +156,30 @@ def test_substrings_come_from_the_automaton(spark, monkeypatch):
     assert sum(r.n_removed for r in substrings.substring_report(docs).collect()) < sum(r.n_removed for r in got)
 
 
+def test_substrings_send_a_region_to_few_shards(spark, monkeypatch):
+    """A phrase that passages of all shards have does not send its regions to all of them."""
+    phrases = [f"p{k} of the and to in".split() for k in range(3000)]
+    code = lambda words: substrings._rolling(substrings.word_codes([w.encode() for w in words]), substrings.GRAM, 0x9E3779B97F4A7C15)[0]
+    phrase = min(phrases, key=code)  # so that it is the anchor of all windows with it
+    rows = []
+    for k in range(40):
+        passage = [f"a{k}x{i}" for i in range(20)] + phrase + [f"b{k}x{i}" for i in range(20)]
+        rows += [(2 * k + j, " ".join([f"h{k}x{j}", *passage, f"t{k}x{j}"])) for j in (0, 1)]
+    docs, streamed, sent = spark.createDataFrame(rows, "doc_id long, text string"), substrings._streamed, []
+
+    def counted(documents, parts, window):
+        sent.append((documents.count(), parts.select("shard").distinct().count()))
+        return streamed(documents, parts, window)
+
+    monkeypatch.setattr(substrings, "_streamed", counted)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 30)
+    for common in (substrings.COMMON_PASSAGES, 5):
+        monkeypatch.setattr(substrings, "COMMON_PASSAGES", common)
+        got = substrings.substring_report(docs).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(i, 48, 46 * (i % 2)) for i in range(80)]
+    assert sent[0][1] > 20 and sent[0][0] <= 4 * len(rows)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 7])
 def test_decontamination(spark, most):
     rows = documents()
