@@ -24,14 +24,14 @@ first; other columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, gives_back, salted_join, stored
@@ -80,21 +80,32 @@ def _rolling(codes: np.ndarray, n: int, odd: int) -> np.ndarray:
     return result ^ (result >> np.uint64(29))
 
 
+def _slid(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """``best`` (least or greatest) of each n consecutive values: over 1, 2, 4, ... of them, then the rest."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        values = best(values[:-step], values[step:])
+        have += step
+    return values
+
+
 def _anchors(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all grams; for each window the position of its least gram (the leftmost among equals)."""
+    """Codes of all grams; for each window its anchor."""
     grams = _rolling(codes, GRAM, 0x9E3779B97F4A7C15)
-    span = window - GRAM + 1
-    at = np.arange(len(grams))
-    least, have = grams, 1
-    while have < span:  # minima over 1, 2, 4, ... grams, then the rest
-        step = min(have, span - have)
-        keep = len(least) - step
-        left, right = least[:keep], least[step:]
-        better = right < left
-        least = np.where(better, right, left)
-        at = np.where(better, at[step:], at[:keep])
-        have += step
-    return grams, at
+    return grams, _slid(grams, window - GRAM + 1, np.minimum)
+
+
+def _places(grams: np.ndarray, own: np.ndarray, window: int) -> np.ndarray:
+    """The anchors by their places: grams that are the least of a window."""
+    around = np.concatenate([z := np.zeros(window - GRAM, np.uint64), own, z])
+    return grams[grams == _slid(around, window - GRAM + 1, np.maximum)]
+
+
+def _runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the anchors, and how many windows each has."""
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return own[first].view(np.int64), np.diff(np.r_[first, len(own)])
 
 
 def _digest(codes: np.ndarray) -> tuple[int, int]:
@@ -116,8 +127,7 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
                 high, low = _digest(codes)
                 found = np.zeros(0, np.uint64)
                 if len(codes) >= window:
-                    grams, at = _anchors(codes, window)
-                    found = grams[at[np.r_[True, at[1:] != at[:-1]]]]
+                    found = _places(*_anchors(codes, window), window)
                 n_words.append(len(codes))
                 h1.append(high)
                 h2.append(low)
@@ -129,12 +139,12 @@ def anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(gives_back(scan), ANCHOR_SCHEMA)
 
 
-REGION_SCHEMA = "o long, start int, words binary, n int, anchors array<long>, h array<long>, g array<int>"
+REGION_SCHEMA = "o long, start int, words binary, n int, anchors array<long>, runs array<int>, h array<long>, g array<int>"
 
 
 def regions(rows: DataFrame, window: int) -> DataFrame:
     """Runs of windows whose anchor recurs, in parts of up to ``_PART`` windows, from o, text and hits (recurring anchors): where
-    the run starts, its words and how many, its anchors, and the two codes of each window."""
+    the run starts, its words and how many, its anchors in order and how many windows each has, and the two codes of each window."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +152,7 @@ def regions(rows: DataFrame, window: int) -> DataFrame:
             for o, text, hits in zip(*(batch.column(c) for c in ("o", "text", "hits")), strict=True):
                 words = words_of(text.as_py())
                 codes = word_codes(words)
-                grams, at = _anchors(codes, window)
-                wanted, own = np.sort(hits.values.to_numpy().view(np.uint64)), grams[at]
+                wanted, own = np.sort(hits.values.to_numpy().view(np.uint64)), _anchors(codes, window)[1]
                 place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 starts = np.flatnonzero(wanted[place] == own)
                 h = _rolling(codes, window, 0xA24BAED4963EE407).view(np.int64)
@@ -151,65 +160,69 @@ def regions(rows: DataFrame, window: int) -> DataFrame:
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
                     for k in range(0, len(run), _PART):
                         a, b = int(run[k]), int(run[min(k + _PART, len(run)) - 1]) + 1
-                        anchors = np.unique(own[a:b]).view(np.int64)
-                        out.append((o.as_py(), a, b" ".join(words[a : b + window - 1]), b - a + window - 1, anchors, h[a:b], g[a:b]))
+                        out.append((o.as_py(), a, b" ".join(words[a : b + window - 1]), b - a + window - 1, *_runs(own[a:b]), h[a:b], g[a:b]))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), longs, ints, longs, ints)
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors", "h", "g"])
+                yield pa.RecordBatch.from_arrays(columns, ["o", "start", "words", "n", "anchors", "runs", "h", "g"])
 
     return rows.select("o", "text", "hits").mapInArrow(gives_back(scan), REGION_SCHEMA)
 
 
+PASSAGE_SCHEMA = "o long, region int, start int, words binary, n int, anchors array<long>, runs array<int>"
+
+
 def passages(rows: DataFrame, window: int) -> DataFrame:
-    """(o, region, start, words, n, anchors) from regions (o, start, words) and firsts (first places of recurring windows in the region)."""
+    """(o, region, start, words, n, anchors, runs) from regions (o, start, words, anchors, runs) and firsts (first places of recurring
+    windows in the region)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for o, start, text, firsts in zip(*(batch.column(c) for c in ("o", "start", "words", "firsts")), strict=True):
+            for o, start, text, anchors, runs, firsts in zip(*batch.columns, strict=True):
                 words, at = text.as_py().split(), np.sort(firsts.values.to_numpy()) - start.as_py()
-                grams, least = _anchors(word_codes(words), window)
+                own = np.repeat(anchors.values.to_numpy(), runs.values.to_numpy())
                 for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                    a, b = int(run[0]), int(run[-1])
-                    own = np.unique(grams[least[a : b + 1]]).view(np.int64)
-                    out.append((o.as_py(), start.as_py(), start.as_py() + a, b" ".join(words[a : b + window]), b - a + window, own))
+                    a, b = int(run[0]), int(run[-1]) + 1
+                    part = b" ".join(words[a : b + window - 1])
+                    out.append((o.as_py(), start.as_py(), start.as_py() + a, part, b - a + window - 1, *_runs(own[a:b])))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["o", "region", "start", "words", "n", "anchors"])
+                yield pa.RecordBatch.from_arrays(columns, ["o", "region", "start", "words", "n", "anchors", "runs"])
 
-    return rows.select("o", "start", "words", "firsts").mapInArrow(gives_back(cut), "o long, region int, start int, words binary, n int, anchors array<long>")
+    return rows.select("o", "start", "words", "anchors", "runs", "firsts").mapInArrow(gives_back(cut), PASSAGE_SCHEMA)
 
 
 def common_runs(rows: DataFrame, window: int, shards: int) -> DataFrame:
-    """(shard, o, start, words, n): runs of windows under common anchors, from regions or passages (o, start, words) and common, the
-    anchors in question, each with the number of shards it has. Equal windows get the same shard."""
+    """(shard, o, start, words, n): runs of windows under common anchors, from regions or passages (o, start, words, anchors, runs) and
+    common, the anchors in question, each with the number of shards it has. Equal windows get the same shard."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for o, start, text, common in zip(*(batch.column(c) for c in ("o", "start", "words", "common")), strict=True):
-                words = text.as_py().split()
-                codes = word_codes(words)
-                grams, at = _anchors(codes, window)
-                anchors, split = (common.values.field(k).to_numpy() for k in ("anchor", "split"))
-                order = np.argsort(anchors.view(np.uint64))
-                wanted, split, own = anchors.view(np.uint64)[order], split[order].astype(np.uint64), grams[at]
-                place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                part = _rolling(codes, window, 0xA24BAED4963EE407) % split[place]
+            for o, start, text, anchors, runs, common in zip(*batch.columns, strict=True):
+                words, own = text.as_py().split(), anchors.values.to_numpy()
+                known, split = (common.values.field(k).to_numpy() for k in ("anchor", "split"))
+                order = np.argsort(known)
+                known, split = known[order], split[order].astype(np.uint64)
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                is_common, split, n_windows = known[place] == own, split[place], runs.values.to_numpy()
+                is_common, own, split = (np.repeat(x, n_windows) for x in (is_common, own.view(np.uint64), split))
+                part = _rolling(word_codes(words), window, 0xA24BAED4963EE407) % split if split.max() > 1 else np.uint64(0)
                 dealt = ((own ^ (part * _MIX)) * _MIX >> np.uint64(32)) % np.uint64(shards)
-                shard = np.where(wanted[place] == own, dealt.astype(np.int64), -1)
+                shard = np.where(is_common, dealt.astype(np.int64), -1)
                 first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True):
-                    if shard[a] >= 0:
-                        out.append((int(shard[a]), o.as_py(), start.as_py() + a, b" ".join(words[a : b + window - 1]), b - a + window - 1))
+                for a, b, s in zip(first.tolist(), [*first[1:].tolist(), len(shard)], shard[first].tolist(), strict=True):
+                    if s >= 0:
+                        out.append((s, o.as_py(), start.as_py() + a, b" ".join(words[a : b + window - 1]), b - a + window - 1))
             if out:
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "o", "start", "words", "n"])
 
-    return rows.select("o", "start", "words", "common").mapInArrow(gives_back(cut), "shard int, o long, start int, words binary, n int")
+    return rows.select("o", "start", "words", "anchors", "runs", "common").mapInArrow(gives_back(cut), "shard int, o long, start int, words binary, n int")
 
 
 class Shard:
@@ -301,13 +314,27 @@ def _streamed(documents: DataFrame, parts: DataFrame, window: int) -> DataFrame:
     return documents.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInArrow(stream, "o long, low int, high int")
 
 
+def _places_of_windows(parts: int, rows: int, words: int) -> tuple[Callable, Callable, Callable]:
+    """How a window's (o, start) becomes one value in the same order, and the way back to o and to start. ``o`` is a partition's
+    number (under ``parts``) and a row's in it (under ``rows``); if all places fit one long, their minima need no sorting."""
+    if parts * rows * words >= 1 << 63:
+        return lambda o, start: F.struct(F.col(o).alias("o"), start.alias("start")), lambda f: F.col(f)["o"], lambda f: F.col(f)["start"]
+
+    def place(o: str, start: Column) -> Column:
+        return (F.shiftright(o, 33) * F.lit(rows) + F.col(o).bitwiseAND((1 << 33) - 1)) * F.lit(words) + start
+
+    row = lambda f: F.expr(f"({f} div {words}L) % {rows}L")
+    return place, lambda f: F.shiftleft(F.expr(f"{f} div {rows * words}L"), 33) + row(f), lambda f: F.expr(f"cast({f} % {words}L as int)")
+
+
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, t, copy, spans) of the documents that lose words; t is the hash of the text, copy: all words go."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     scanned = stored(anchor_table(hashed, window).filter(F.col("n_words") >= window), "anchors")
     order = ["doc_id", "h1", "h2"]
-    ids = scanned.groupBy(*order).agg(F.min("t").alias("t"))
+    ids = scanned.groupBy(*order).agg(F.min("t").alias("t"), F.max("n_words").alias("n_words"))
     ids = stored(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("o", F.monotonically_increasing_id()), "order")
+    bounds = ids.agg(F.max(F.shiftright("o", 33)), F.max(F.col("o").bitwiseAND((1 << 33) - 1)), F.max("n_words")).first()
     heads = ids.groupBy("h1", "h2").agg(F.min(F.struct("o", "doc_id", "t")).alias("head"), F.count("*").alias("n"))
     heads = stored(heads.select("h1", "h2", "n", "head.*"), "first-of-class")
     words = F.struct("h1", "h2").alias("words")
@@ -323,25 +350,28 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     discard(firsts)
     found = stored(regions(hashed.join(hits, own_row(hashed)), window), "regions")
     windows = found.select("o", F.posexplode(F.arrays_zip("h", "g")).alias("at", "w"), "start")
-    windows = windows.select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), "o", (F.col("start") + F.col("at")).alias("start"))
-    confirmed = windows.groupBy("h", "g").agg(F.min(F.struct("o", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    starts = stored(confirmed.groupBy(F.col("f.o").alias("o")).agg(F.collect_list("f.start").alias("starts")), "first-windows")
+    place, place_o, place_start = _places_of_windows(*(1 + (x or 0) for x in bounds))
+    windows = windows.select(F.col("w.h").alias("h"), F.col("w.g").alias("g"), place("o", F.col("start") + F.col("at")).alias("f"))
+    confirmed = windows.groupBy("h", "g").agg(F.min("f").alias("f"), F.count("*").alias("n")).filter("n > 1")
+    firsts = confirmed.select(place_o("f").alias("o"), place_start("f").alias("start"))
+    starts = stored(firsts.groupBy("o").agg(F.collect_list("start").alias("starts")), "first-windows")
     inside = F.filter("starts", lambda s: (s >= F.col("start")) & (s <= F.col("start") + F.col("n") - window))
-    here = found.join(starts, "o").select("o", "start", "words", inside.alias("firsts")).filter(F.size("firsts") > 0)
+    here = found.join(starts, "o").select("o", "start", "words", "anchors", "runs", inside.alias("firsts")).filter(F.size("firsts") > 0)
     parts = stored(passages(here, window), "passages")
     shards = -(-(parts.agg(F.sum("n")).first()[0] or 1) // SHARD_WORDS)
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("o", F.floor(F.col("start") / (16 * _PART))), F.lit(shards)).cast("int"))
-    homes = dealt.select("shard", F.explode("anchors").alias("anchor")).groupBy("anchor")
+    homes = dealt.select("shard", F.explode(F.array_distinct("anchors")).alias("anchor")).groupBy("anchor")
     homes = homes.agg(F.min("shard").alias("shard"), F.max("shard").alias("last"), F.ceil(F.count("*") / COMMON_PASSAGES).alias("split"))
     homes = homes.select("anchor", F.when(F.col("shard") == F.col("last"), F.col("shard")).alias("shard"), "split")
-    pieces = found.select("o", "start", F.explode("anchors").alias("anchor"))
+    pieces = found.select("o", "start", F.explode(F.array_distinct("anchors")).alias("anchor"))
     held = stored(homes.join(pieces.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"), "anchor-shards")
     common = F.when(F.col("shard").isNull(), F.struct("anchor", "split"))
     routes = salted_join(pieces, held, "anchor", "o").groupBy("o", "start")
     routes = stored(routes.agg(F.collect_set("shard").alias("shards"), F.collect_list(common).alias("common")), "routes")
     whole = found.select("o", "start", "words", "n").join(routes, ["o", "start"]).select(F.explode("shards").alias("shard"), "o", "start", "words", "n")
     commons = routes.filter(F.size("common") > 0).select("o", F.col("start").alias("region"), "common")
-    runs = stored(common_runs(found.withColumnRenamed("start", "region").join(commons, ["o", "region"]).withColumn("start", F.col("region")), window, shards), "common-runs")
+    under = found.withColumn("region", F.col("start")).join(commons, ["o", "region"])
+    runs = stored(common_runs(under, window, shards), "common-runs")
     dealt = dealt.select(runs.columns).unionByName(common_runs(parts.join(commons, ["o", "region"]), window, shards))
     sent = whole.unionByName(runs)
     sizes = found.select("o", "start", "n").join(routes, ["o", "start"]).select("n", F.explode("shards").alias("shard")).unionByName(runs.select("n", "shard"))
@@ -349,7 +379,9 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("o", "start"), F.col("chunks")).cast("int").alias("chunk")
     sent = sent.join(F.broadcast(sizes) if shards <= BROADCAST_SHARDS else sizes, "shard").select("shard", chunk, "o", "start", "words", "n")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    spans = _streamed(sent, dealt.join(sizes, "shard").select("shard", every, "o", "start", "words"), window)
+    own = dealt.join(sizes, "shard").select("shard", every, "o", "start", "words")
+    tasks = 2 * (sizes.agg(F.sum("chunks")).first()[0] or 1)  # else a few tasks by bytes, unevenly loaded
+    spans = _streamed(sent.repartition(tasks, "shard", "chunk"), own.repartition(tasks, "shard", "chunk"), window)
     spans = stored(spans.groupBy("o").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
     for done in (found, starts, parts, held, routes, runs, counted):
         discard(done)

@@ -180,6 +180,16 @@ def test_substrings_send_a_region_to_few_shards(spark, monkeypatch):
     assert sent[0][1] > 20 and sent[0][0] <= 4 * len(rows)
 
 
+@pytest.mark.parametrize("bounds,kind", [((8, 40, 300), "bigint"), ((1 << 12, 1 << 30, 1 << 20), "bigint"), ((1 << 12, 1 << 30, 1 << 21), "struct<o:bigint,start:int>")])
+def test_places_of_windows_keep_their_order(spark, bounds, kind):
+    parts, rows, words = bounds
+    want = [(p << 33 | r, s) for p in (0, 1, parts - 1) for r in (0, 5, rows - 1) for s in (0, 7, words - 1)]
+    place, o, start = substrings._places_of_windows(*bounds)
+    got = spark.createDataFrame(want[::-1], "o long, start int").select(place("o", F.col("start")).alias("f"))
+    assert got.dtypes == [("f", kind)]
+    assert list(map(tuple, got.orderBy("f").select(o("f"), start("f")).collect())) == want
+
+
 @pytest.mark.parametrize("most", [1_000_000, 7])
 def test_decontamination(spark, most):
     rows = documents()
