@@ -152,9 +152,10 @@ def regions(rows: DataFrame, window: int) -> DataFrame:
             for o, text, hits in zip(*(batch.column(c) for c in ("o", "text", "hits")), strict=True):
                 words = words_of(text.as_py())
                 codes = word_codes(words)
-                wanted, own = np.sort(hits.values.to_numpy().view(np.uint64)), _anchors(codes, window)[1]
-                place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                starts = np.flatnonzero(wanted[place] == own)
+                wanted, own = np.sort(hits.values.to_numpy()), _anchors(codes, window)[1]
+                anchors, n_windows = _runs(own)
+                place = np.minimum(np.searchsorted(wanted, anchors), len(wanted) - 1)
+                starts = np.flatnonzero(np.repeat(wanted[place] == anchors, n_windows))
                 h = _rolling(codes, window, 0xA24BAED4963EE407).view(np.int64)
                 g = (_rolling(codes, window, 0x9FB21C651E98DF25).view(np.int64) >> 32).astype(np.int32)
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
